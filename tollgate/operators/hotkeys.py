@@ -1,0 +1,42 @@
+"""Joins between many rows and one-row-per-key tables when some keys are hot."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+
+
+def attach_per_key(
+    rows: DataFrame,
+    per_key: DataFrame,
+    key: str,
+    values: Sequence[str],
+    weight: str,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Left join ``rows`` to ``per_key`` (one row per ``key``) without piling a hot key on one task.
+
+    ``weight`` is the number of rows a key has. At most ``count(rows) / hot_rows``
+    keys can exceed ``hot_rows``, which bounds the broadcast side. Their rows find
+    the values there and spread over random keys in the shuffled join.
+    """
+    hot = per_key.filter(F.col(weight) > hot_rows).select(
+        F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
+    )
+    cold = per_key.filter(F.col(weight) <= hot_rows).select(
+        F.struct(F.lit(0).alias("salt"), F.col(key).alias("key")).alias("_key"),
+        F.struct(*values).alias("_cold"),
+    )
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("int"))
+    spread = marked.withColumn(
+        "_key", F.struct(F.coalesce(salt, F.lit(0)).alias("salt"), F.col(key).alias("key"))
+    )
+    joined = spread.join(cold, "_key", "left")
+    return joined.select(
+        *rows.columns, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values]
+    )
