@@ -128,3 +128,10 @@ def no_text() -> Column:
 def messages_if(condition: Column, message: Column) -> Column:
     """A one-message array where ``condition`` holds, else an empty array."""
     return F.when(F.coalesce(condition, F.lit(False)), F.array(message)).otherwise(no_text())
+
+
+def words_found(low: Column, listed: list[str]) -> Column:
+    """The words of a fixed list that occur in a lower-cased text, in list order."""
+    if not listed:
+        return no_text()
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in listed]))

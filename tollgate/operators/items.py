@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.functions.text import messages_if, no_text
+from tollgate.functions.text import messages_if, no_text, words_found
 from tollgate.operators.requests import by_lower_name
 from tollgate.operators.rules import joined
 
@@ -80,9 +80,7 @@ def attach_files(items: DataFrame, files: DataFrame) -> DataFrame:
 
 def blocked_words(text: Column, words: list[str]) -> Column:
     """The listed words that occur in ``text``, in list order, any case."""
-    low = F.lower(text)
-    listed = F.array(*[F.lit(w) for w in words]) if words else no_text()
-    return F.filter(listed, lambda w: F.contains(low, F.lower(w)))
+    return words_found(F.lower(text), words)
 
 
 def _rule_messages(rule: Mapping, has_class: bool) -> Column:

@@ -225,3 +225,218 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("output_text").alias("description"),
         class_of((F.col("request_id") + F.col("item_no")) % 5).alias("description_class"),
     )
+
+
+# --- invocation log ---------------------------------------------------------------------
+
+view(
+    "invocations",
+    """SELECT event_id AS log_id, ts, user_id, event_type AS tool,
+         CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS class_no,
+         'uc-' || user_id % 5 AS use_case,
+         CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'bad' ELSE sha256('uc-' || user_id % 5) END AS breadcrumb,
+         sha256(user_id || '|' || event_type || '|' || event_id % 50) AS token, props AS params, value,
+         sha256(props) AS auth_hash, props || CASE WHEN event_id % 11 = 0 THEN 'x' ELSE '' END AS exec_params,
+         ts AS auth_ts, ts + to_minutes(event_id % 7) AS exec_ts, ts + to_minutes(5) AS expiry,
+         CASE event_id % 3 WHEN 0 THEN ['TransactionBoundTokens', 'AtomicTokenConsumption', 'DualAgentValidation']
+              WHEN 1 THEN ['TransactionBoundTokens', 'AtomicTokenConsumption'] ELSE ['TransactionBoundTokens'] END AS performed
+       FROM events""",
+)
+
+
+def as_invocations(rows: DataFrame) -> DataFrame:
+    """Events (batch or stream) as invocation log entries."""
+    eid, kind = F.col("event_id"), F.col("event_type")
+    use_case = F.concat(F.lit("uc-"), (F.col("user_id") % 5).cast("string"))
+    number = (
+        F.when(kind == "signup", 1).when(kind == "purchase", 2).when(kind == "error", 3).when(kind == "click", 4).otherwise(5)
+    )
+    token_text = F.concat_ws("|", F.col("user_id").cast("string"), kind, (eid % 50).cast("string"))
+    checks = ["TransactionBoundTokens", "AtomicTokenConsumption", "DualAgentValidation"]
+
+    def first(n):
+        return F.array(*[F.lit(c) for c in checks[:n]])
+
+    return rows.select(
+        eid.alias("log_id"),
+        "ts",
+        "user_id",
+        kind.alias("tool"),
+        number.alias("class_no"),
+        use_case.alias("use_case"),
+        F.when(eid % 13 == 0, F.lit(None))
+        .when(eid % 17 == 0, F.lit("bad"))
+        .otherwise(F.sha2(use_case, 256))
+        .alias("breadcrumb"),
+        F.sha2(token_text, 256).alias("token"),
+        F.col("props").alias("params"),
+        "value",
+        F.sha2("props", 256).alias("auth_hash"),
+        F.concat("props", F.when(eid % 11 == 0, "x").otherwise("")).alias("exec_params"),
+        F.col("ts").alias("auth_ts"),
+        (F.col("ts") + F.make_dt_interval(mins=(eid % 7).cast("int"))).alias("exec_ts"),
+        (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("expiry"),
+        F.when(eid % 3 == 0, first(3)).when(eid % 3 == 1, first(2)).otherwise(first(1)).alias("performed"),
+    )
+
+
+def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_invocations(events(spark, sf_dir))
+
+
+# Registered actions: every observed (use case, tool) but purchases of uc-4; the class of
+# clicks in uc-3 was verified as 3, and views were attested one class higher than verified.
+view(
+    "registry",
+    """SELECT use_case, tool, 'run-' || tool AS action,
+         CASE WHEN use_case = 'uc-3' AND tool = 'click' THEN 3 ELSE min(class_no) END AS class_no,
+         CASE WHEN tool = 'view' THEN 4 WHEN use_case = 'uc-3' AND tool = 'click' THEN 3 ELSE min(class_no) END AS attested_no
+       FROM invocations WHERE NOT (use_case = 'uc-4' AND tool = 'purchase') GROUP BY use_case, tool""",
+    "invocations",
+)
+view(
+    "class_names",
+    """SELECT * FROM (VALUES (1, 'Class1_PII'), (2, 'Class2_SensitivePersonalData'), (3, 'Class3_ConfidentialPersonalData'),
+         (4, 'Class4_InternalData'), (5, 'Class5_PublicData')) v(class_no, label)""",
+)
+
+
+def registry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry document (JSON text) per use case, from the observed tools."""
+    from tollgate.operators.audit import class_name, required_extensions
+
+    seen = invocations(spark, sf_dir).filter(~((F.col("use_case") == "uc-4") & (F.col("tool") == "purchase")))
+    tools = seen.groupBy("use_case", "tool").agg(F.min("class_no").alias("n"))
+    raised = (F.col("use_case") == "uc-3") & (F.col("tool") == "click")
+    verified = F.when(raised, 3).otherwise(F.col("n"))
+    attested = F.when(F.col("tool") == "view", 4).otherwise(verified)
+    action = F.struct(
+        F.concat(F.lit("run-"), F.col("tool")).alias("action_name"),
+        class_name(attested).alias("mcp_classification_attested_by_user"),
+        class_name(verified).alias("mcp_classification_verified"),
+        required_extensions(verified).alias("mcp_handshake_extensions_required"),
+    )
+    per_tool = tools.select("use_case", F.struct(F.col("tool").alias("tool_system_id"), F.array(action).alias("actions")).alias("t"))
+    # a registry document lists the tools of one use case, at most one per event type
+    documents = per_tool.groupBy("use_case").agg(F.array_sort(F.collect_list("t")).alias("tools_and_actions"))
+    return documents.select(
+        F.to_json(F.struct(F.col("use_case").alias("use_case_id"), "tools_and_actions")).alias("value")
+    )
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.operators.audit import class_number
+    from tollgate.sources.logs import parse_registry, registry_actions
+
+    actions = registry_actions(parse_registry(registry_documents(spark, sf_dir)))
+    return actions.withColumns({"class_no": class_number(F.col("verified")), "attested_no": class_number(F.col("attested"))})
+
+
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = invocations(spark, sf_dir).select("use_case").distinct()
+    return used.withColumn("breadcrumb", F.sha2("use_case", 256))
+
+
+view(
+    "pebbles",
+    """SELECT event_id AS log_id, ts, 'uc-' || user_id % 5 AS use_case, event_type AS status,
+         CASE WHEN event_id % 19 = 0 THEN 'bad' ELSE sha256('{"status": "' || event_type || '"}' || sha256('uc-' || user_id % 5)) END AS proof
+       FROM events""",
+)
+
+
+def as_pebbles(rows: DataFrame) -> DataFrame:
+    use_case = F.concat(F.lit("uc-"), (F.col("user_id") % 5).cast("string"))
+    state = F.concat(F.lit('{"status": "'), F.col("event_type"), F.lit('"}'))
+    secret = F.sha2(use_case, 256)
+    return rows.select(
+        F.col("event_id").alias("log_id"),
+        "ts",
+        use_case.alias("use_case"),
+        state.alias("state"),
+        secret.alias("breadcrumb"),
+        F.when(F.col("event_id") % 19 == 0, "bad").otherwise(F.sha2(F.concat(state, secret), 256)).alias("proof"),
+    )
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select(F.col("event_type").alias("metric"), "ts", "value", "event_id", "user_id")
+
+
+# --- configuration changes ----------------------------------------------------------------
+
+view(
+    "config_changes",
+    """SELECT event_id AS change_id, ts,
+         CASE event_id % 3 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'runtime' ELSE 'integration' END AS schema_type,
+         CASE WHEN user_id % 11 = 0 THEN 'tok-unknown' WHEN user_id % 13 = 0 THEN 'tok-c'
+              ELSE CASE event_id % 3 WHEN 0 THEN 'tok-a' WHEN 1 THEN 'tok-b' ELSE 'tok-c' END END AS token,
+         CASE WHEN event_id % 97 = 0 THEN 'no json' ELSE '{' ||
+           CASE event_id % 3
+             WHEN 0 THEN '"name":"gate-' || user_id || '","targetMetric":' || CASE WHEN event_id % 25 = 0 THEN '5' ELSE '"' || event_type || '"' END
+               || ',"dataClassification":"' || CASE user_id % 5 WHEN 0 THEN 'Public' WHEN 1 THEN 'Internal' WHEN 2 THEN 'Confidential' WHEN 3 THEN 'Restricted' ELSE 'Secret' END
+               || '","quickAlertHeuristic":{"threshold":' || (user_id + 1) || '.5' || CASE WHEN event_id % 35 = 0 THEN '' ELSE ',"window":"5m"' END || '}'
+               || CASE WHEN event_id % 40 = 0 THEN ',"gpu_config":{"type":"A100"}' WHEN event_id % 55 = 0 THEN ',"gpu_config":"A100"' ELSE '' END
+             WHEN 1 THEN '"modelVersion":"v' || user_id || '","validationParameters":' || CASE WHEN event_id % 25 = 1 THEN '"none"' ELSE '{"minBatchSize":32}' END
+               || CASE event_id % 40 WHEN 1 THEN ',"operational_metric":"throughput"' WHEN 13 THEN ',"operational_metric":7' ELSE '' END
+             ELSE '"customThresholds":{"accuracy":' || CASE WHEN event_id % 25 = 2 THEN '"high"' ELSE '0.95' END || ',"latency_p99":' || user_id || '},"businessMetric":"revenue"'
+               || CASE WHEN event_id % 40 = 2 THEN ',"callbackUrl":"https://cb.example.org"' ELSE '' END
+           END || CASE WHEN event_id % 30 = 0 THEN '' ELSE ',"reason":"r' || user_id || '"' END || '}' END AS body
+       FROM events""",
+)
+
+
+def as_config_changes(rows: DataFrame) -> DataFrame:
+    """Events (batch or stream) as configuration changes, some of them wrong on purpose."""
+    eid, user = F.col("event_id"), F.col("user_id").cast("string")
+    kind = eid % 3
+
+    def some(condition, text):
+        return F.when(condition, F.lit(text)).otherwise(F.lit(""))
+
+    level = F.element_at(
+        F.array(*[F.lit(x) for x in ("Public", "Internal", "Confidential", "Restricted", "Secret")]),
+        (F.col("user_id") % 5 + 1).cast("int"),
+    )
+    enterprise = F.concat(
+        F.lit('"name":"gate-'), user, F.lit('","targetMetric":'),
+        F.when(eid % 25 == 0, F.lit("5")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))),
+        F.lit(',"dataClassification":"'), level,
+        F.lit('","quickAlertHeuristic":{"threshold":'), (F.col("user_id") + 1).cast("string"), F.lit(".5"),
+        some(eid % 35 != 0, ',"window":"5m"'), F.lit("}"),
+        F.when(eid % 40 == 0, ',"gpu_config":{"type":"A100"}').when(eid % 55 == 0, ',"gpu_config":"A100"').otherwise(""),
+    )
+    runtime = F.concat(
+        F.lit('"modelVersion":"v'), user, F.lit('","validationParameters":'),
+        F.when(eid % 25 == 1, '"none"').otherwise('{"minBatchSize":32}'),
+        F.when(eid % 40 == 1, ',"operational_metric":"throughput"').when(eid % 40 == 13, ',"operational_metric":7').otherwise(""),
+    )
+    integration = F.concat(
+        F.lit('"customThresholds":{"accuracy":'), F.when(eid % 25 == 2, '"high"').otherwise("0.95"),
+        F.lit(',"latency_p99":'), user, F.lit('},"businessMetric":"revenue"'),
+        some(eid % 40 == 2, ',"callbackUrl":"https://cb.example.org"'),
+    )
+    reason = F.when(eid % 30 == 0, F.lit("")).otherwise(F.concat(F.lit(',"reason":"r'), user, F.lit('"')))
+    body = F.concat(F.lit("{"), F.when(kind == 0, enterprise).when(kind == 1, runtime).otherwise(integration), reason, F.lit("}"))
+    return rows.select(
+        eid.alias("change_id"),
+        "ts",
+        F.when(kind == 0, "enterprise").when(kind == 1, "runtime").otherwise("integration").alias("schema_type"),
+        F.when(F.col("user_id") % 11 == 0, "tok-unknown")
+        .when(F.col("user_id") % 13 == 0, "tok-c")
+        .when(kind == 0, "tok-a")
+        .when(kind == 1, "tok-b")
+        .otherwise("tok-c")
+        .alias("token"),
+        F.when(eid % 97 == 0, "no json").otherwise(body).alias("body"),
+    )
+
+
+def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_config_changes(events(spark, sf_dir))
+
+
+def role_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [("tok-a", "enterprise"), ("tok-b", "lob-it"), ("tok-c", "app-team")], "token string, role string"
+    )
