@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import no_text
 from tollgate.operators.ordered import carried_forward, numbered
-from tollgate.session import small_side
+from tollgate.session import cut_lineage, small_side
 
 # The base schemas, the role and the author prefix of each schema type.
 STAMPS = ["author", "timestamp"]
@@ -53,6 +53,8 @@ DENIED = {
     "integration": "App team access required",
 }
 INVALID_TOKEN = "Invalid token"
+# Type names of parsed JSON; all other types are numbers.
+JSON_NAMES = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 
 def _per_type(values: Mapping[str, str]) -> Column:
@@ -86,15 +88,9 @@ def authorise(changes: DataFrame, roles: DataFrame) -> DataFrame:
 
 def json_type(value: Column) -> Column:
     """JSON type name of a variant; null for an absent one."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .when(name.isNotNull(), "number")
-    )
+    first = F.regexp_extract(F.schema_of_variant(value), "^\\w+", 0)
+    names = F.create_map(*[F.lit(x) for pair in JSON_NAMES.items() for x in pair])
+    return F.when(value.isNotNull(), F.coalesce(names[first], F.lit("number")))
 
 
 def _missing(path: str) -> str:
@@ -105,70 +101,79 @@ def _wrong_type(path: str, expected: str) -> str:
     return f"Field '{path}' is not of type '{expected}'"
 
 
-def _errors_at(body: Column, schema: Mapping, prefix: str = "") -> list[Column]:
-    """One nullable message column per check of an object schema."""
-    messages: list[Column] = []
+def _paths(schema: Mapping, prefix: str = "") -> list[str]:
+    """Dotted paths of all fields a schema names."""
+    found = []
+    for name in dict.fromkeys([*schema.get("required", []), *schema.get("properties", {})]):
+        rule = schema.get("properties", {}).get(name, {})
+        found.append(prefix + name)
+        found.extend(_paths(rule, f"{prefix}{name}."))
+    return found
 
-    def value(name: str) -> Column:
-        return F.try_variant_get(body, f"$.{prefix}{name}", "variant")
 
-    for name in schema.get("required", []):
-        messages.append(F.when(value(name).isNull(), F.lit(_missing(prefix + name))))
+def _errors_at(schema: Mapping, kinds: Mapping[str, Column], prefix: str = "") -> list[Column]:
+    """One nullable message column per check; ``kinds`` gives the JSON type found at a path."""
+    messages = [
+        F.when(kinds[prefix + name].isNull(), F.lit(_missing(prefix + name))) for name in schema.get("required", [])
+    ]
     for name, rule in schema.get("properties", {}).items():
-        here, path = value(name), prefix + name
-        messages.append(F.when(json_type(here) != rule["type"], F.lit(_wrong_type(path, rule["type"]))))
+        path = prefix + name
+        kind = kinds[path]
+        messages.append(F.when(kind != rule["type"], F.lit(_wrong_type(path, rule["type"]))))
         if "enum" in rule:
-            text = F.try_variant_get(body, f"$.{path}", "string")
-            wrong = (json_type(here) == "string") & ~text.isin(rule["enum"])
+            text = F.try_variant_get("_body", f"$.{path}", "string")
+            wrong = (kind == "string") & ~text.isin(rule["enum"])
             messages.append(F.when(wrong, F.lit(f"Field '{path}' is not one of the allowed values")))
-        if rule["type"] == "object" and ("properties" in rule or "required" in rule):
-            inner = _errors_at(body, rule, f"{path}.")
-            messages.extend(F.when(json_type(here) == "object", m) for m in inner)
+        inner = _errors_at(rule, kinds, f"{path}.")
+        messages.extend(F.when(kind == "object", m) for m in inner)
     return messages
 
 
-def _map_value_errors(body: Column, schema: Mapping) -> Column:
+def _map_value_errors(schema: Mapping, kinds: Mapping[str, Column]) -> list[Column]:
+    """An array of messages per field that is a map with values of one type."""
     arrays = []
     for name, rule in schema.get("properties", {}).items():
         if "values" not in rule:
             continue
-        here = F.try_variant_get(body, f"$.{name}", "variant")
-        entries = F.map_entries(F.when(json_type(here) == "object", here).cast("map<string,variant>"))
+        given = F.when(kinds[name] == "object", F.try_variant_get("_body", f"$.{name}", "variant"))
+        entries = F.map_entries(given.cast("map<string,variant>"))
         wrong = F.filter(entries, lambda e: json_type(e["value"]) != rule["values"])
-        arrays.append(
-            F.coalesce(
-                F.transform(
-                    wrong,
-                    lambda e: F.format_string(_wrong_type(f"{name}.%s", rule["values"]), e["key"]),
-                ),
-                no_text(),
-            )
-        )
-    return F.concat(*arrays) if arrays else no_text()
-
-
-def body_errors(body_json: Column, schema: Mapping) -> Column:
-    """All violations of a base schema by a JSON body."""
-    body = F.try_parse_json(body_json)
-    found = F.concat(F.array_compact(F.array(*_errors_at(body, schema))), _map_value_errors(body, schema))
-    is_object = F.coalesce(json_type(body) == "object", F.lit(False))
-    return F.when(~is_object, F.array(F.lit("Body is not a JSON object"))).otherwise(found)
+        told = F.transform(wrong, lambda e: F.format_string(_wrong_type(f"{name}.%s", rule["values"]), e["key"]))
+        arrays.append(F.coalesce(told, no_text()))
+    return arrays
 
 
 def validate_bodies(changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
-    """Adds ``errors`` for the base schema of each change's type. Works on streams."""
-    chosen = None
+    """Adds ``errors`` for the base schema of each change's type. Works on streams.
+
+    The body is parsed once, the type at each path is looked up once, and the
+    checks compare those types.
+    """
+    paths = list(dict.fromkeys(p for schema in schemas.values() for p in _paths(schema)))
+    # As generator output the parsed values stay where they are: a filter on
+    # ``errors`` would otherwise be pushed down with a copy of the parse per check.
+    parsed = changes.select(*changes.columns, F.explode(F.array(F.try_parse_json("body"))).alias("_body"))
+    looked_up = [json_type(F.col("_body")).alias("_kind")] + [
+        json_type(F.try_variant_get("_body", f"$.{path}", "variant")).alias(f"_kind_{n}") for n, path in enumerate(paths)
+    ]
+    typed = parsed.select(*changes.columns, "_body", F.inline(F.array(F.struct(*looked_up))))
+    kinds = {path: F.col(f"_kind_{n}") for n, path in enumerate(paths)}
+    chosen = F.when(
+        ~F.coalesce(F.col("_kind") == "object", F.lit(False)), F.array(F.lit("Body is not a JSON object"))
+    )
     for schema_type, schema in schemas.items():
-        here = F.col("schema_type") == schema_type
-        errors = body_errors(F.col("body"), schema)
-        chosen = F.when(here, errors) if chosen is None else chosen.when(here, errors)
-    return changes.withColumn("errors", chosen.otherwise(F.array(F.lit("Unknown schema type"))))
+        found = F.concat(
+            F.array_compact(F.array(*_errors_at(schema, kinds))), *_map_value_errors(schema, kinds)
+        )
+        chosen = chosen.when(F.col("schema_type") == schema_type, found)
+    errors = chosen.otherwise(F.array(F.lit("Unknown schema type")))
+    return typed.select(*changes.columns, errors.alias("errors"))
 
 
 def body_fields(changes: DataFrame) -> DataFrame:
     """One row per top-level field of a valid body: ``field``, ``value`` (JSON text), ``json_type``."""
     entries = F.map_entries(F.try_parse_json("body").cast("map<string,variant>"))
-    rows = changes.withColumn("_entry", F.explode(entries))
+    rows = changes.select(*[c for c in changes.columns if c != "body"], F.explode(entries).alias("_entry"))
     return rows.withColumns(
         {
             "field": F.col("_entry.key"),
@@ -222,7 +227,8 @@ def apply_changes(changes: DataFrame, roles: DataFrame, schemas: Mapping[str, Ma
     checked = validate_bodies(authorise(changes, roles), schemas)
     status = F.when(F.col("status_code") != 200, F.col("status_code")).when(F.size("errors") > 0, 400).otherwise(200)
     detail = F.coalesce("detail", F.when(F.size("errors") > 0, F.array_join("errors", "; ")))
-    judged = checked.withColumns({"status_code": status, "detail": detail})
+    # Several jobs below read the checked changes; parse and check them once.
+    judged = cut_lineage(checked.withColumns({"status_code": status, "detail": detail}))
     clashes = (
         type_conflicts(judged.filter("status_code = 200"), schemas)
         .groupBy("change_id")
