@@ -121,7 +121,8 @@ def top_k(
     d_type = dict(documents.dtypes)[doc_id]
 
     def reduce(docs, matrix, names, probe):
-        scores = unit_rows(probe) @ matrix.T
+        # Rounded, so equal vectors tie exactly and the id decides.
+        scores = np.round(unit_rows(probe) @ matrix.T, 10)
         keys = docs[doc_id].to_numpy()
         order = np.argsort(keys, kind="stable")
         keys, scores = keys[order], scores[:, order]

@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
-MODULES = ["views", "request_queries", "vector_queries", "audit_queries", "config_queries"]
+MODULES = ["views", "request_queries", "vector_queries", "audit_queries", "config_queries", "agent_queries"]
 
 
 def view(name: str, body: str, needs: str = "") -> None:
@@ -19,7 +19,7 @@ def view(name: str, body: str, needs: str = "") -> None:
     VIEWS[name] = (needs.split(), body)
 
 
-def with_views(body: str, needs: str = "", recursive: bool = False) -> str:
+def with_views(body: str, needs: str = "") -> str:
     """``body`` behind a WITH clause that defines the views it needs."""
     order: list[str] = []
 
@@ -32,21 +32,18 @@ def with_views(body: str, needs: str = "", recursive: bool = False) -> str:
     for name in needs.split():
         visit(name)
     defined = [f"{name} AS ({VIEWS[name][1]})" for name in order]
-    if recursive:
-        head, tail = body.split("--- MAIN ---")
-        return "WITH RECURSIVE " + ",\n".join([*defined, head.strip()]) + "\n" + tail.strip()
     if not defined:
         return body
-    return "WITH " + ",\n".join(defined) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(defined) + "\n" + body
 
 
-def query(name: str, sql: str | None = None, needs: str = "", recursive: bool = False):
+def query(name: str, sql: str | None = None, needs: str = ""):
     """Register a query, with the SQL that gives the same rows where SQL can express it."""
 
     def register(function):
         QUERIES[name] = function
         if sql is not None:
-            CHECK_SQL[name] = with_views(sql.strip(), needs, recursive)
+            CHECK_SQL[name] = with_views(sql.strip(), needs)
         return function
 
     return register
