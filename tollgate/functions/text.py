@@ -116,9 +116,24 @@ def strip_description_echo(raw: Column, prompt: Column) -> Column:
     return strip(F.when(text.startswith("ASSISTANT: "), F.substr(text, F.lit(12))).otherwise(text))
 
 
+def round_two(col: Column) -> Column:
+    """Two decimals by the exact value of the double, ties to even, as Python rounds.
+
+    A value that reads as ``d.dd5`` lies just above or below that tie. Its exact
+    thousandfold (the product and what the product lost) tells which.
+    """
+    product = col * 1000.0
+    scaled = col * 134217729.0
+    upper = scaled - (scaled - col)
+    lost = (upper * 1000.0 - product) + (col - upper) * 1000.0
+    tie = (product == F.floor(product)) & (F.abs(product) % 10 == 5)
+    below, above = F.floor(product / 10.0) / 100.0, F.ceil(product / 10.0) / 100.0
+    return F.when(tie & (lost > 0), above).when(tie & (lost < 0), below).otherwise(F.bround(col, 2))
+
+
 def two_decimals(col: Column) -> Column:
-    """``%.2f`` with exact ties rounded to even."""
-    return F.format_string("%.2f", F.bround(col, 2))
+    """``%.2f`` as Python prints it."""
+    return F.format_string("%.2f", round_two(col))
 
 
 def no_text() -> Column:

@@ -11,7 +11,7 @@ from tollgate.functions.text import cut, no_text
 from tollgate.operators.embedding import Embedder, TrigramEmbedder, embed_text
 from tollgate.operators.requests import by_lower_name
 from tollgate.operators.similarity import top_k
-from tollgate.session import small_side
+from tollgate.session import cut_lineage, small_side
 
 # The search phrases of each violation term, and the defaults of the settings.
 TERM_QUERIES: dict[str, list[str]] = {
@@ -144,11 +144,14 @@ def suggest(
     side, so neither is shuffled on a popular query or chunk.
     """
     asking = with_help_queries(rejected, policies).filter("help_enabled AND index_path IS NOT NULL")
-    asked = asking.select("request_id", "per_query", "total", "threshold", F.explode("queries_used").alias("query"))
+    # Read three times below; the checkpoint saves validating the requests again.
+    asked = cut_lineage(
+        asking.select("request_id", "per_query", "total", "threshold", F.explode("queries_used").alias("query"))
+    )
     k = max([int(_assist(p).get("max_suggestions_per_query", PER_QUERY)) for p in policies.values()] or [PER_QUERY])
     texts = asked.select("query").distinct().withColumn("vector", embed_text(F.col("query"), make))
-    hits = top_k(texts, index.select("id", "embedding"), k, query_id="query")
-    shown = index.select("id", "text", "metadata").join(small_side(hits), "id")
+    hits = cut_lineage(top_k(texts, index.select("id", "embedding"), k, query_id="query"))
+    shown = cut_lineage(index.select("id", "text", "metadata").join(small_side(hits), "id"))
     found = asked.join(small_side(shown.withColumnRenamed("query", "hit_query")), F.col("query") == F.col("hit_query"))
     near = found.filter((F.col("rank") <= F.col("per_query")) & (F.col("score") >= F.col("threshold")))
     best = near.groupBy("request_id", "id").agg(

@@ -440,3 +440,31 @@ def role_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [("tok-a", "enterprise"), ("tok-b", "lob-it"), ("tok-c", "app-team")], "token string, role string"
     )
+
+
+# --- Markdown documents -----------------------------------------------------------------------
+
+view(
+    "md_docs",
+    r"""SELECT doc_id, 'docs/' || doc_id AS source, chr(10) || chr(10) || '# Source Document: docs/' || doc_id || chr(10) || chr(10)
+         || regexp_replace(text, '(^|\n)([ABC])', '\1## \2', 'g')
+         || CASE WHEN n_chars % 3 = 0 THEN repeat(chr(10), 2) || '## Setup' || chr(10) || '```' || chr(10) || 'git status' || chr(10) || '```' || chr(10)
+                 WHEN n_chars % 5 = 0 THEN repeat(chr(10), 2) || '# Notes' || chr(10) || 'One `word`.' ELSE '' END AS md
+       FROM documents""",
+)
+
+
+def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a source header, headings at lines that start with A, B or C, and a closing section."""
+    from tollgate.operators.chunking import with_source_header
+
+    source = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+    text = F.regexp_replace("text", "(^|\\n)([ABC])", "$1## $2")
+    tail = (
+        F.when(F.col("n_chars") % 3 == 0, "\n\n## Setup\n```\ngit status\n```\n")
+        .when(F.col("n_chars") % 5 == 0, "\n\n# Notes\nOne `word`.")
+        .otherwise("")
+    )
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", source.alias("source"), F.concat(with_source_header(source, text), tail).alias("md")
+    )
