@@ -10,15 +10,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.vectors import best_of, softmax
+from tollgate.functions.vectors import best_of, let, softmax
 
 
-def from_logits(logits: Column) -> dict[str, Column]:
-    """``prediction``, ``probability_positive`` and ``confidence`` of a classifier's logits."""
-    probabilities = softmax(F.transform(logits, lambda x: x.cast("double")))
-    best = best_of(probabilities)
-    positive = F.when(F.size(probabilities) > 1, F.try_element_at(probabilities, F.lit(2))).otherwise(probabilities[0])
-    return {"prediction": best["index"], "probability_positive": positive, "confidence": best["score"]}
+def from_logits(logits: Column) -> Column:
+    """``struct(prediction, probability_positive, confidence)`` of a classifier's logits."""
+
+    def read(shares: Column) -> Column:
+        best = best_of(shares)
+        positive = F.when(F.size(shares) > 1, F.try_element_at(shares, F.lit(2))).otherwise(shares[0])
+        return F.struct(
+            best["index"].alias("prediction"),
+            positive.alias("probability_positive"),
+            best["score"].alias("confidence"),
+        )
+
+    return let(softmax(F.transform(logits, lambda x: x.cast("double"))), read)
 
 
 def _with_pair_text(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
-MODULES = ["views", "request_queries", "vector_queries", "audit_queries", "config_queries", "agent_queries", "document_queries", "image_queries"]
+MODULES = ["views", "request_queries", "vector_queries", "audit_queries", "config_queries", "agent_queries", "document_queries", "image_queries", "stream_queries"]
 
 
 def view(name: str, body: str, needs: str = "") -> None:

@@ -215,12 +215,12 @@ def frame_summary(spark, sf_dir):
 )
 def io_scores(spark, sf_dir):
     """Each vector read as the logits of a classifier."""
-    found = views.table(spark, sf_dir, "embeddings").withColumns(pairs.from_logits(F.col("embedding")))
+    found = views.table(spark, sf_dir, "embeddings").withColumn("given", pairs.from_logits(F.col("embedding")))
     return found.select(
         "vec_id",
-        "prediction",
-        F.round("probability_positive", 6).alias("probability_positive"),
-        F.round("confidence", 6).alias("confidence"),
+        "given.prediction",
+        F.round("given.probability_positive", 6).alias("probability_positive"),
+        F.round("given.confidence", 6).alias("confidence"),
     )
 
 

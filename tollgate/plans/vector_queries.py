@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tollgate.functions.vectors import best_of, cosine, dot, mean_vectors, norm, softmax
+from tollgate.functions.vectors import best_of, cosine, dot, mean_vectors, norm, softmax, unit
 from tollgate.operators import similarity
 from tollgate.operators.embedding import classify_texts, embed_text
 from tollgate.plans import views
@@ -172,9 +172,9 @@ def rerank(asked, docs, candidates: int):
     from pyspark.sql import Window
 
     means = mean_vectors(docs, ["doc_id"], "vector", "embedding")
-    unit = means.withColumn("embedding", F.transform("embedding", lambda x: x / norm(F.col("embedding"))))
+    held = means.withColumn("embedding", unit(F.col("embedding")))
     first = similarity.top_k(
-        mean_vectors(asked, ["query_id"], "vector"), unit, candidates, doc_id="doc_id"
+        mean_vectors(asked, ["query_id"], "vector"), held, candidates, doc_id="doc_id"
     ).select("query_id", "doc_id")
     kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
     scores = similarity.maxsim(asked, kept).join(first, ["query_id", "doc_id"], "left_semi")
