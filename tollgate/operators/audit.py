@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import words_found
 from tollgate.operators.ordered import over_order
-from tollgate.session import small_side
+from tollgate.session import small_table
 
 # Class names by number, tools with a known class, and what a class requires.
 CLASS_NAMES = {
@@ -76,12 +76,12 @@ def lookup_tool_class(calls: DataFrame, spark: SparkSession) -> DataFrame:
 
 def missing_breadcrumbs(log: DataFrame, registered: DataFrame) -> DataFrame:
     """Invocations whose breadcrumb no use case has."""
-    return log.join(small_side(registered.select("breadcrumb").distinct()), "breadcrumb", "left_anti")
+    return log.join(small_table(registered.select("breadcrumb").distinct()), "breadcrumb", "left_anti")
 
 
 def wrong_breadcrumbs(log: DataFrame, registered: DataFrame) -> DataFrame:
     """Invocations whose breadcrumb is not the one registered for their use case."""
-    known = small_side(registered.select("use_case", F.col("breadcrumb").alias("registered_breadcrumb")))
+    known = small_table(registered.select("use_case", F.col("breadcrumb").alias("registered_breadcrumb")))
     return log.join(known, "use_case").filter(
         F.col("breadcrumb").isNotNull() & (F.col("breadcrumb") != F.col("registered_breadcrumb"))
     )
@@ -101,7 +101,7 @@ def breadcrumb_findings(log: DataFrame, registered: DataFrame) -> DataFrame:
 
 def sensitivity_drift(log: DataFrame, actions: DataFrame) -> DataFrame:
     """Invocations of unregistered actions or with another class than the verified one."""
-    known = small_side(actions.select("use_case", "tool", F.col("class_no").alias("verified_class")))
+    known = small_table(actions.select("use_case", "tool", F.col("class_no").alias("verified_class")))
     finding = F.when(F.col("verified_class").isNull(), "unregistered action").when(
         F.col("verified_class") != F.col("class_no"), "sensitivity drift"
     )

@@ -14,6 +14,7 @@ from tollgate.functions.text import first_line, is_blank, strip
 CUT_MARKS = ["\n\n", "\n", ". ", "! ", "? "]
 COMMANDS = "curl|python|pip|docker|git"
 HEADING = "(?dm)(?=^#{1,2} )"
+FENCED_ARRAY = "(?s)```json\\s*(\\[.*?\\])\\s*```"
 
 
 def _cut_after(text: str, low: int, high: int, least: int) -> int:
@@ -133,13 +134,6 @@ def blocks_with_headings(docs: DataFrame, text: str) -> DataFrame:
     return rows.select(*kept, "block_no", "_z._heads.h1", "_z._heads.h2", F.col("_z._blocks").alias("block"))
 
 
-METADATA_FIELDS = [
-    "h1_section", "h2_section", "h3_section", "h4_section", "is_code_block", "contains_code_elements",
-    "contains_commands", "chunk_type", "topics", "source_url", "vlm_processed", "char_count", "chunk_index",
-    "is_sub_chunk", "parent_chunk_id",
-]
-
-
 def markdown_chunks(docs: DataFrame, text: str, source: str, size: int | None = 1000) -> DataFrame:
     """Markdown chunks with their metadata: ``(<other columns>, id, text, metadata)``."""
     split = docs.withColumn("_blocks", heading_blocks(F.col(text)))
@@ -216,17 +210,26 @@ def secondary_chunks(chunks: DataFrame, size: int) -> DataFrame:
 
 
 def _answer_json(answer: Column) -> Column:
-    """The JSON array inside a model's answer: the fenced one, else the first that parses."""
-    fenced = F.regexp_extract(answer, "(?s)```json\\s*(\\[.*?\\])\\s*```", 1)
-    short = F.regexp_extract(answer, "(?s)(\\[.*?\\s\\])", 1)
-    widest = F.regexp_extract(answer, "(?s)(\\[.*\\])", 1)
-    return (
-        F.when(fenced != "", fenced)
-        .when((short != "") & F.try_parse_json(short).isNotNull(), short)
-        .when(widest != "", widest)
+    """The parsed JSON array inside a model's answer: the fenced one, else the first that parses."""
+
+    def found(pattern: str) -> Column:
+        text = F.regexp_extract(answer, pattern, 1)
+        return F.when(text != "", text)
+
+    return F.coalesce(
+        F.when(
+            F.contains(answer, F.lit("```json")) & answer.rlike(FENCED_ARRAY),
+            F.coalesce(F.try_parse_json(found(FENCED_ARRAY)), F.parse_json(F.lit("null"))),
+        ),
+        F.try_parse_json(found("(?s)(\\[.*?\\s\\])")),
+        F.try_parse_json(found("(?s)(\\[.*\\])")),
     )
 
 
+def _elements(parsed: Column) -> Column:
+    return F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed).cast("array<variant>")
+
+
 def _truthy(value: Column) -> Column:
     """Python truth of a JSON value; null when the value is absent."""
     text = value.cast("string")
@@ -237,19 +240,25 @@ def _field(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
 
+def with_parsed_answer(answers: DataFrame, answer: str) -> DataFrame:
+    """Adds ``_json``. As generator output it is parsed once, whatever is filtered on it later."""
+    return answers.select("*", F.explode(F.array(_answer_json(F.col(answer)))).alias("_json"))
+
+
 def model_chunks(answers: DataFrame, answer: str, source: str) -> DataFrame:
     """Chunks listed in a model's answer, with ids and metadata filled in.
 
     An answer that is no JSON array gives none. Elements that are no objects or
     have a blank text are dropped; ``chunk_index`` is the place in the array.
     """
-    parsed = answers.withColumn("_json", F.try_parse_json(_answer_json(F.col(answer))))
-    is_list = F.schema_of_variant("_json").startswith("ARRAY")
-    elements = F.when(is_list, F.col("_json")).cast("array<variant>")
-    kept = [c for c in answers.columns if c not in (answer, source)]
-    rows = parsed.select(*kept, F.col(source).alias("_source"), F.posexplode(elements).alias("_no", "_e"))
+    return _listed_chunks(with_parsed_answer(answers, answer).drop(answer), source)
+
+
+def _listed_chunks(parsed: DataFrame, source: str) -> DataFrame:
+    kept = [c for c in parsed.columns if c not in ("_json", source)]
+    listed = parsed.select(*kept, F.col(source).alias("_source"), F.posexplode(_elements(F.col("_json"))).alias("_no", "_e"))
     is_text = F.schema_of_variant(_field(F.col("_e"), "$.text")) == "STRING"
-    rows = rows.withColumns(
+    rows = listed.withColumns(
         {
             "_text": F.when(is_text, strip(_field(F.col("_e"), "$.text", "string"))),
             "_m": _field(F.col("_e"), "$.metadata"),
@@ -292,23 +301,15 @@ def chunks_or_fallback(
     docs: DataFrame, key: str, text: str, source: str, answer: str, size: int | None = 1000
 ) -> DataFrame:
     """Model chunks where the answer has any, the Markdown chunker for the other documents."""
-    has_chunks = F.coalesce(F.size(_usable(F.col(answer))) > 0, F.lit(False))
-    marked = docs.withColumn("_usable", has_chunks)
-    good = model_chunks(marked.filter("_usable").select(key, source, answer), answer, source)
+    parsed = with_parsed_answer(docs.select(key, source, text, answer), answer).drop(answer)
+    usable = F.coalesce(F.exists(_elements(F.col("_json")), _gives_chunk), F.lit(False))
+    good = _listed_chunks(parsed.filter(usable).select(key, source, "_json"), source)
     if size:
         good = secondary_chunks(good, size)
-    rest = markdown_chunks(marked.filter("NOT _usable").select(key, source, text), text, source, size)
+    rest = markdown_chunks(parsed.filter(~usable).select(key, source, text), text, source, size)
     return good.unionByName(rest)
 
 
-def _usable(answer: Column) -> Column:
-    """Elements of an answer that give a chunk."""
-    parsed = F.try_parse_json(_answer_json(answer))
-    elements = F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed).cast("array<variant>")
-    return F.filter(
-        elements,
-        lambda e: F.coalesce(
-            (F.schema_of_variant(_field(e, "$.text")) == "STRING") & (strip(_field(e, "$.text", "string")) != ""),
-            F.lit(False),
-        ),
-    )
+def _gives_chunk(element: Column) -> Column:
+    is_text = F.schema_of_variant(_field(element, "$.text")) == "STRING"
+    return F.coalesce(is_text & ~is_blank(_field(element, "$.text", "string")), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import no_text
 from tollgate.operators.ordered import carried_forward, numbered
-from tollgate.session import cut_lineage, small_side
+from tollgate.session import cut_lineage, small_side, small_table
 
 # The base schemas, the role and the author prefix of each schema type.
 STAMPS = ["author", "timestamp"]
@@ -191,12 +191,8 @@ def _is_new_field(schemas: Mapping[str, Mapping]) -> Column:
     return ~known
 
 
-def new_fields(valid_changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
-    """Fields that changes added to their schema: the type of the first occurrence and its change.
-
-    One min per field, combined before the shuffle.
-    """
-    rows = body_fields(valid_changes).filter(_is_new_field(schemas))
+def _first_types(rows: DataFrame) -> DataFrame:
+    """Type and change of the first occurrence of each field; one min, combined before the shuffle."""
     first = F.min(F.struct("ts", "change_id", "json_type"))
     return (
         rows.groupBy("schema_type", "field")
@@ -210,11 +206,17 @@ def new_fields(valid_changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_S
     )
 
 
+def new_fields(valid_changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
+    """Fields that changes added to their schema, with the type of the first occurrence."""
+    return _first_types(body_fields(valid_changes).filter(_is_new_field(schemas)))
+
+
 def type_conflicts(valid_changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
     """Fields given with another type than the one first recorded for them."""
-    recorded = new_fields(valid_changes, schemas).select("schema_type", "field", F.col("json_type").alias("recorded_type"))
-    rows = body_fields(valid_changes).filter(_is_new_field(schemas))
-    return rows.join(small_side(recorded), ["schema_type", "field"]).filter(
+    # only rows of added fields; read twice below
+    rows = cut_lineage(body_fields(valid_changes).filter(_is_new_field(schemas)))
+    recorded = _first_types(rows).select("schema_type", "field", F.col("json_type").alias("recorded_type"))
+    return rows.join(small_table(recorded), ["schema_type", "field"]).filter(
         F.col("json_type") != F.col("recorded_type")
     )
 
@@ -268,7 +270,7 @@ def incompatible_history(accepted: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("ts", "change_id", "json_type")).alias("last"))
         .select("schema_type", "field", F.col("last.json_type").alias("newest_type"))
     )
-    return rows.join(small_side(newest), ["schema_type", "field"]).filter(F.col("json_type") != F.col("newest_type"))
+    return rows.join(small_table(newest), ["schema_type", "field"]).filter(F.col("json_type") != F.col("newest_type"))
 
 
 def in_force(metrics: DataFrame, versions: DataFrame, key: str, value: str, **limits) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.operators.ordered import numbered, over_order
-from tollgate.session import small_side
+from tollgate.session import small_table
 
 
 def baseline(metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def baseline(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 def deviations(current: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Current means against the stored baseline, in spreads."""
-    known = small_side(stored.select(*keys, F.col("mean").alias("base_mean"), F.col("spread").alias("base_spread")))
+    known = small_table(stored.select(*keys, F.col("mean").alias("base_mean"), F.col("spread").alias("base_spread")))
     score = F.when(F.col("base_spread") > 0, (F.col("mean") - F.col("base_mean")) / F.col("base_spread"))
     return current.join(known, keys).withColumn("deviation", score)
 
@@ -50,7 +50,7 @@ def exact_quantiles(
     rows = metrics.filter("value IS NOT NULL").select(key, "value", tie)
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
     wanted = sizes.withColumn("_at", F.lit(quantile) * (F.col("_n") - 1) + 1)
-    placed = numbered(rows, [key], ["value", tie], "_no", **limits).join(small_side(wanted), key)
+    placed = numbered(rows, [key], ["value", tie], "_no", **limits).join(small_table(wanted), key)
     near = placed.filter((F.col("_no") == F.floor("_at")) | (F.col("_no") == F.ceil("_at")))
     low, high = F.min("value"), F.max("value")
     part = F.first("_at") - F.floor(F.first("_at"))
@@ -62,7 +62,7 @@ def threshold_breaches(measured: DataFrame, thresholds: DataFrame, key: str) ->
 
     ``thresholds`` holds ``(key, metric, threshold)``, ``measured`` ``(key, metric, value)``.
     """
-    joined = measured.join(small_side(thresholds), [key, "metric"])
+    joined = measured.join(small_table(thresholds), [key, "metric"])
     low = F.col("metric").startswith("accuracy")
     breach = F.when(low, F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
     return joined.withColumn("breached", breach)

@@ -8,6 +8,7 @@ from tollgate.functions.text import truncate_lines
 from tollgate.operators import agent, code
 from tollgate.plans import views
 from tollgate.plans.catalog import query, view
+from tollgate.session import spread
 from tollgate.sources.logs import action_log_view as newest_first
 
 view(
@@ -211,7 +212,7 @@ def action_log_view(spark, sf_dir):
        FROM (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[1:-2] ELSE text END, chr(10)) AS l FROM documents)""",
 )
 def truncated(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.documents(spark, sf_dir)
     return docs.select("doc_id", F.md5(truncate_lines(F.col("text"), 3)).alias("output_md5"))
 
 
@@ -259,7 +260,7 @@ def source_files(spark, sf_dir):
         F.lit("\n\n    def area(self, n):\n        return self.size * n\n\n    def label(self):\n        \"\"\"Name.\"\"\"\n        return '"),
         F.col("p_brand"), F.lit("'\n\n\ndef make_"), key, F.lit("(a, b=1):\n    return a + b\n"),
     )
-    return views.table(spark, sf_dir, "part").select(
+    return spread(views.table(spark, sf_dir, "part")).select(
         "p_partkey", F.when(F.col("p_partkey") % 7 == 3, F.concat(text, F.lit("def broken(:\n"))).otherwise(text).alias("code")
     )
 

@@ -207,7 +207,7 @@ def audit_sample(spark, sf_dir):
        WHERE contains(lower(text), lower(p))""",
 )
 def attack_patterns(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.documents(spark, sf_dir)
     return audit.matched_patterns(docs, "text", ["ignore", "The ", "password", "eaux", "@"]).select("doc_id", "pattern")
 
 

@@ -18,7 +18,7 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def docs(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents")
+    return views.documents(spark, sf_dir)
 
 
 @query(

@@ -227,7 +227,7 @@ def io_scores(spark, sf_dir):
 @query("train_eval")
 def train_eval(spark, sf_dir):
     """Train the pair classifier on labelled documents and test it on held-out ids."""
-    docs = views.table(spark, sf_dir, "documents").join(views.table(spark, sf_dir, "labels"), "doc_id")
+    docs = views.documents(spark, sf_dir).join(views.table(spark, sf_dir, "labels"), "doc_id")
     labelled = docs.select("doc_id", F.col("source").alias("input_text"), F.col("text").alias("output_text"), F.col("quality").alias("label"))
     training, test = pairs.split_by_id(labelled, "doc_id", 0.25)
     return pairs.evaluate(test, pairs.train(training))

@@ -129,12 +129,24 @@ def stream_breadcrumb(spark, sf_dir):
 
 @query(
     "stream_token_once",
-    """SELECT token, log_id, CASE WHEN row_number() OVER (PARTITION BY token ORDER BY ts, log_id) = 1 THEN 'first' ELSE 'replay' END AS outcome FROM invocations""",
+    """SELECT token, min(log_id) FILTER (no = 1) AS first_use, count(*) - 1 AS replays FROM
+         (SELECT *, row_number() OVER (PARTITION BY token, session ORDER BY ts, log_id) AS no FROM
+           (SELECT *, sum(fresh) OVER (PARTITION BY token ORDER BY ts, log_id) AS session FROM
+             (SELECT token, log_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY token ORDER BY ts, log_id) < INTERVAL 5 DAY THEN 0 ELSE 1 END AS fresh FROM invocations)))
+       GROUP BY token, session HAVING max(epoch_us(ts)) + 432000000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)""",
     "invocations",
 )
 def stream_token_once(spark, sf_dir):
+    """Tokens of a five-day life whose life is over."""
     uses = views.as_invocations(event_stream(spark, sf_dir))
-    return _run(jobs.token_uses(uses), "tokens").select("token", "log_id", "outcome")
+    return _run(jobs.token_sessions(uses, "5 days"), "tokens").select("token", "first_use", "replays")
+
+
+@query("stream_token_first", "SELECT DISTINCT token FROM invocations", "invocations")
+def stream_token_first(spark, sf_dir):
+    """The uses that pass: one per token."""
+    uses = views.as_invocations(event_stream(spark, sf_dir)).select("token", "ts")
+    return _run(jobs.first_uses(uses), "token-first").select("token")
 
 
 @query(

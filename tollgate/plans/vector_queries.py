@@ -288,7 +288,7 @@ view(
 )
 def classify_sensitivity(spark, sf_dir):
     """Sensitivity class of every whole document text."""
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
     found = classify_texts(docs, "text", "result")
     return found.select(
         "doc_id",

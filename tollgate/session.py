@@ -68,3 +68,18 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def small_table(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """:func:`small_side` for a table that is itself the result of a job: computed once, then counted."""
+    return small_side(cut_lineage(df), max_rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than cores; untouched otherwise.
+
+    Helps expressions that are heavy per row on a small or badly split table. A
+    large table has more splits than cores and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -89,9 +89,30 @@ def against_baseline(metrics: DataFrame, stored: DataFrame, every: str, late: st
 # --- single-use tokens -------------------------------------------------------------------------------
 
 
+def token_sessions(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """First use and number of replays of every token, per life of the token.
+
+    A session ends when a token was not used for ``life``. Uses combine before the
+    shuffle, so a token replayed by most rows costs one state row. State ends with
+    the watermark.
+    """
+    span = F.session_window("ts", life)
+    counted = uses.withWatermark("ts", late).groupBy(span, "token").agg(
+        F.min(F.struct("ts", "log_id")).alias("first"), F.count("*").alias("uses")
+    )
+    return counted.select(
+        "token",
+        F.col("session_window.start").alias("first_ts"),
+        F.col("first.log_id").alias("first_use"),
+        (F.col("uses") - 1).alias("replays"),
+    )
+
+
 def token_uses(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """``outcome`` of every use of a token: ``first`` or ``replay``.
 
+    Decides each use on its own, in Python, at some milliseconds per token and
+    batch; :func:`token_sessions` and :func:`first_uses` stay in the JVM.
     The earliest use of the first batch that shows a token passes, all others are
     replays. Rows pass through one at a time and only the best candidate is held,
     so memory does not grow with the number of uses. State ends when the
