@@ -126,9 +126,11 @@ def round_two(col: Column) -> Column:
     scaled = col * 134217729.0
     upper = scaled - (scaled - col)
     lost = (upper * 1000.0 - product) + (col - upper) * 1000.0
-    tie = (product == F.floor(product)) & (F.abs(product) % 10 == 5)
-    below, above = F.floor(product / 10.0) / 100.0, F.ceil(product / 10.0) / 100.0
-    return F.when(tie & (lost > 0), above).when(tie & (lost < 0), below).otherwise(F.bround(col, 2))
+    hundredths = F.floor(product / 10.0)
+    beyond = (product - (hundredths * 10.0 + 5.0)) + lost
+    up = (beyond > 0) | ((beyond == 0) & (hundredths % 2 != 0))
+    exact = (hundredths + F.when(up, 1).otherwise(0)) / 100.0
+    return F.when(F.abs(col) < 1e12, exact).otherwise(F.bround(col, 2))
 
 
 def two_decimals(col: Column) -> Column:

@@ -186,6 +186,10 @@ def markdown_chunks(docs: DataFrame, text: str, source: str, size: int | None =
 def secondary_chunks(chunks: DataFrame, size: int) -> DataFrame:
     """Split chunks longer than ``size``; parts know their parent."""
     long = F.length("text") > size
+    unsplit = {"char_count": F.length("text"), "is_sub_chunk": F.lit(False), "parent_chunk_id": F.lit(None).cast("string")}
+    for name, value in unsplit.items():
+        if name not in chunks.schema["metadata"].dataType.names:
+            chunks = chunks.withColumn("metadata", F.col("metadata").withField(name, value))
     rows = chunks.withColumn("_pieces", split_column(F.col("text"), size, size // 4)).withColumn("_long", long)
     kept = [c for c in chunks.columns if c not in ("id", "text", "metadata")]
     parts = rows.select(*kept, "id", "metadata", "_long", F.posexplode("_pieces").alias("_no", "_text"))
