@@ -65,7 +65,7 @@ def parsed_calls(spark, sf_dir):
 
 @query(
     "tool_calls",
-    "SELECT event_id, line_no, raw_call, tool_name, coalesce(pid, '') AS pid, coalesce(code, '') AS code FROM parsed_calls",
+    "SELECT event_id, line_no::INTEGER AS line_no, raw_call, tool_name, coalesce(pid, '') AS pid, coalesce(code, '') AS code FROM parsed_calls",
     "parsed_calls",
 )
 def tool_calls(spark, sf_dir):
@@ -113,7 +113,7 @@ def confirm_decision(spark, sf_dir):
 
 @query(
     "approval_gate",
-    f"""SELECT p.event_id, line_no, CASE WHEN NOT {_SAFE} THEN 'rejected' WHEN CASE WHEN human IS NOT NULL THEN human <> 'deny'
+    f"""SELECT p.event_id, line_no::INTEGER AS line_no, CASE WHEN NOT {_SAFE} THEN 'rejected' WHEN CASE WHEN human IS NOT NULL THEN human <> 'deny'
          ELSE starts_with(confirmation, 'APPROVE') END THEN 'approved' ELSE 'denied' END AS outcome
        FROM parsed_calls p JOIN decisions d ON d.event_id = p.event_id""",
     "parsed_calls decisions",
@@ -307,7 +307,7 @@ def code_class_stats(spark, sf_dir):
 
 @query(
     "code_lines",
-    """SELECT p_partkey, 'code_segment_1' AS id, md5(code) AS text_md5, 1 AS estimated_start_line, length(code) - length(replace(code, chr(10), '')) + 1 AS estimated_end_line
+    """SELECT p_partkey, 'code_segment_1' AS id, md5(code) AS text_md5, 1 AS estimated_start_line, (length(code) - length(replace(code, chr(10), '')) + 1)::INTEGER AS estimated_end_line
        FROM source_files""",
     "source_files",
 )

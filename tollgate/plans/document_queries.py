@@ -106,7 +106,7 @@ _split_views("plain", "plain_docs", 500, 125)
 
 @query(
     "split_overlap",
-    "SELECT id AS doc_id, piece_no, md5(piece) AS piece_md5, length(piece) AS chars FROM plain_pieces",
+    "SELECT id AS doc_id, piece_no::INTEGER AS piece_no, md5(piece) AS piece_md5, length(piece)::INTEGER AS chars FROM plain_pieces",
     "plain_pieces",
 )
 def split_overlap(spark, sf_dir):
@@ -142,7 +142,7 @@ view(
 )
 
 
-@query("md_blocks", "SELECT doc_id, block_no, md5(block) AS block_md5 FROM md_blocks", "md_blocks")
+@query("md_blocks", "SELECT doc_id, block_no::INTEGER AS block_no, md5(block) AS block_md5 FROM md_blocks", "md_blocks")
 def md_blocks(spark, sf_dir):
     rows = views.md_docs(spark, sf_dir)
     return rows.select("doc_id", F.posexplode(chunking.heading_blocks(F.col("md"))).alias("block_no", "b")).select(
@@ -152,7 +152,7 @@ def md_blocks(spark, sf_dir):
 
 @query(
     "heading_context",
-    "SELECT doc_id, block_no, coalesce(h1, '') AS h1, coalesce(h2, '') AS h2 FROM md_heads",
+    "SELECT doc_id, block_no::INTEGER AS block_no, coalesce(h1, '') AS h1, coalesce(h2, '') AS h2 FROM md_heads",
     "md_heads",
 )
 def heading_context(spark, sf_dir):
@@ -182,7 +182,7 @@ def md_chunks(spark, sf_dir, size=600):
 @query(
     "md_chunks",
     """SELECT doc_id, 'fallback_chunk_docs/' || doc_id || '_' || chunk_index AS id, md5(text) AS text_md5, coalesce(h1, '') AS h1, coalesce(h2, '') AS h2,
-         contains_code_elements, contains_commands, length(text) AS char_count FROM md_chunks""",
+         contains_code_elements, contains_commands, length(text)::INTEGER AS char_count FROM md_chunks""",
     "md_chunks",
 )
 def markdown(spark, sf_dir):
@@ -226,7 +226,7 @@ _split_views("part", "plain_docs", 800, 200)
 @query(
     "secondary_chunks",
     """SELECT CASE WHEN was_long THEN 'd' || id || '_part_' || (piece_no + 1) ELSE 'd' || id END AS id, md5(piece) AS text_md5, was_long AS is_sub_chunk,
-         CASE WHEN was_long THEN 'd' || id ELSE '' END AS parent, length(piece) AS char_count FROM part_pieces""",
+         CASE WHEN was_long THEN 'd' || id ELSE '' END AS parent, length(piece)::INTEGER AS char_count FROM part_pieces""",
     "part_pieces",
 )
 def secondary(spark, sf_dir):
@@ -298,7 +298,7 @@ def model_json_parse(spark, sf_dir):
 @query(
     "chunk_enhance",
     """SELECT doc_id, id, h1, topics, commands AS contains_commands, false AS is_code_block, contains(text, '`') AS contains_code_elements, 'content' AS chunk_type,
-         length(text) AS char_count, true AS vlm_processed FROM model_chunks""",
+         length(text)::INTEGER AS char_count, true AS vlm_processed FROM model_chunks""",
     "model_chunks",
 )
 def chunk_enhance(spark, sf_dir):
@@ -428,7 +428,7 @@ HELP_POLICIES = {
 }
 
 
-@query("help_queries", "SELECT request_id, no, q AS query FROM help_queries WHERE no <= 3", "help_queries")
+@query("help_queries", "SELECT request_id, no::INTEGER AS no, q AS query FROM help_queries WHERE no <= 3", "help_queries")
 def help_queries(spark, sf_dir):
     asked = help.with_help_queries(rejected(spark, sf_dir), views.POLICIES)
     rows = asked.select("request_id", F.posexplode("queries_used").alias("no", "query"))
@@ -505,7 +505,7 @@ def suggestions(spark, sf_dir):
 
 @query(
     "help_suggestions",
-    """SELECT request_id, rank, s.id AS document_id, round(score, 6) AS score, d.source || CASE d.lang WHEN 'en' THEN ': en' ELSE '' END AS title,
+    """SELECT request_id, rank::INTEGER AS rank, s.id AS document_id, round(score, 6) AS score, d.source || CASE d.lang WHEN 'en' THEN ': en' ELSE '' END AS title,
          md5(CASE WHEN length(d.text) > 500 THEN substr(d.text, 1, 500) || '...' ELSE d.text END) AS preview_md5
        FROM suggested s JOIN documents d ON d.doc_id::VARCHAR = s.id WHERE rank <= total""",
     "suggested",

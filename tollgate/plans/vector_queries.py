@@ -53,7 +53,7 @@ def vec_cosine(spark, sf_dir):
 
 @query(
     "retrieve_topk",
-    """SELECT query_id, id, rank, score FROM (
+    """SELECT query_id, id, rank::INTEGER AS rank, score FROM (
          SELECT l.label AS query_id, e.vec_id AS id,
            round(list_dot_product(e.embedding::DOUBLE[], l.vector) / sqrt(list_dot_product(l.vector, l.vector)), 6) AS score,
            row_number() OVER (PARTITION BY l.label ORDER BY
@@ -93,7 +93,7 @@ def retrieve_single(spark, sf_dir):
 # --- MaxSim: documents are groups of ten token vectors ----------------------------------------
 
 view("doc_tokens", "SELECT vec_id // 10 AS doc_id, vec_id % 10 AS token_no, embedding::DOUBLE[] AS vector FROM embeddings")
-view("query_tokens", "SELECT label // 5 AS query_id, label AS token_no, vector FROM label_means", "label_means")
+view("query_tokens", "SELECT (label // 5)::BIGINT AS query_id, label AS token_no, vector FROM label_means", "label_means")
 view(
     "token_maxima",
     """SELECT q.query_id, d.doc_id, q.token_no, max(list_cosine_similarity(q.vector, d.vector)) AS best
@@ -155,7 +155,7 @@ view(
 
 @query(
     "maxsim_rerank",
-    """SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
+    """SELECT query_id, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id))::INTEGER AS rank
        FROM (SELECT c.query_id, c.doc_id, avg(t.best) AS score FROM
          (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY
              list_cosine_similarity(q.vector, d.vector) DESC, d.doc_id) AS place FROM query_means q, doc_means d) c

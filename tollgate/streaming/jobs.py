@@ -92,10 +92,11 @@ def against_baseline(metrics: DataFrame, stored: DataFrame, every: str, late: st
 def token_sessions(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """First use and number of replays of every token, per life of the token.
 
-    A session ends when a token was not used for ``life``. Uses combine before the
-    shuffle, so a token replayed by most rows costs one state row. State ends with
-    the watermark.
+    A session ends when a token was not used for ``life``. Uses merge inside each
+    task before the shuffle, so a token replayed by most rows sends few of them.
+    State ends with the watermark.
     """
+    uses.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     span = F.session_window("ts", life)
     counted = uses.withWatermark("ts", late).groupBy(span, "token").agg(
         F.min(F.struct("ts", "log_id")).alias("first"), F.count("*").alias("uses")
