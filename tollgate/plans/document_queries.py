@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tollgate import api
 from tollgate.functions.text import duration_seconds, has_letters, word_count
 from tollgate.operators import chunking, help
 from tollgate.operators.embedding import classify_texts, embed_text
@@ -594,6 +595,38 @@ def direct_classify(spark, sf_dir):
     )
 
 
+view(
+    "asked_grams",
+    """SELECT key, dim, x / sqrt(sum(x * x) OVER (PARTITION BY key)) AS x FROM
+         (SELECT key, (unicode(c[i]) * 961 + unicode(c[i + 1]) * 31 + unicode(c[i + 2])) % 64 AS dim, count(*)::DOUBLE AS x FROM
+           (SELECT key, c, unnest(range(1, len(c) - 1)) AS i FROM (SELECT key, string_split(' ' || lower(t) || ' ', '') AS c FROM
+             (SELECT 'd' || doc_id AS key, text AS t FROM documents WHERE text <> '' UNION ALL SELECT 'q' || request_id, output_text FROM requests WHERE output_text <> ''))) GROUP BY 1, 2)""",
+    "requests",
+)
+
+
+@query(
+    "direct_retrieve",
+    """SELECT q[2:]::BIGINT AS query_id, d[2:] AS id, round(score, 6) AS score, rank::INTEGER AS rank, '' AS error FROM
+         (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d[2:]) AS rank FROM
+           (SELECT a.key AS q, b.key AS d, round(sum(a.x * b.x), 10) AS score FROM asked_grams a JOIN asked_grams b ON a.dim = b.dim
+            WHERE a.key LIKE 'q%' AND b.key LIKE 'd%' GROUP BY 1, 2)) WHERE rank <= 5
+       UNION ALL SELECT request_id, '', -1.0, -1, '''query'' field required.' FROM requests WHERE output_text = ''""",
+    "requests asked_grams",
+)
+def direct_retrieve(spark, sf_dir):
+    """Each answer as a query for the five nearest documents; unanswered turns give an error row."""
+    asked = views.requests(spark, sf_dir).select(F.col("request_id").alias("query_id"), F.col("output_text").alias("query"))
+    found = api.retrieve(asked, document_index(spark, sf_dir))
+    return found.select(
+        "query_id",
+        F.coalesce("id", F.lit("")).alias("id"),
+        F.coalesce(F.round("score", 6), F.lit(-1.0)).alias("score"),
+        F.coalesce("rank", F.lit(-1)).alias("rank"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
 @query(
     "text_stats",
     """SELECT doc_id, regexp_matches(text, '\\p{L}') AS has_letters, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM documents""",
