@@ -48,7 +48,7 @@ def test_validate_with_models_and_help(spark):
     )
     index = api.build_index(docs, path)
     shown = api.suggest_help(results, POLICIES, index).orderBy("rank").collect()
-    assert {r["request_id"] for r in shown} == {1} and shown[0]["suggestion"]["title"] == "Handling: PII"
+    assert {r["request_id"] for r in shown} == {1} and "Handling: PII" in {r["suggestion"]["title"] for r in shown}
 
 
 def test_code_index_and_retrieval(spark):
