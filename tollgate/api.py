@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.text import is_blank, no_text
+from tollgate.functions.text import is_blank
 from tollgate.operators import agent, audit, chunking, code, config, handshake, help, items, pairs, pebbles, requests, zero_shot
 from tollgate.operators.embedding import Embedder, TrigramEmbedder, classify_texts, embed_text
 from tollgate.operators.similarity import top_k
@@ -57,8 +57,7 @@ def validate(
         checked = items.item_messages(
             described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found"), policies
         )
-        rows = rows.join(items.regroup(checked), "request_id", "left")
-        rows = rows.withColumn("item_violations", F.coalesce("item_violations", no_text()))
+        return requests.validate(rows, policies, items.regroup(checked))
     return requests.validate(rows, policies)
 
 

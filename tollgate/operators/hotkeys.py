@@ -24,6 +24,9 @@ def attach_per_key(
     keys can exceed ``hot_rows``, which bounds the broadcast side. Their rows find
     the values there and spread over random keys in the shuffled join.
     """
+    # Rows without a key have no values. Dropping them here gives both branches the
+    # same plan, so the aggregate behind ``per_key`` is computed once.
+    per_key = per_key.filter(F.col(key).isNotNull())
     hot = per_key.filter(F.col(weight) > hot_rows).select(
         F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
     )

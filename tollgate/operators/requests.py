@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.functions.text import no_text
-from tollgate.operators.rules import policy_messages
+from tollgate.operators.rules import policy_checks
 
 # Status names and error texts.
 BAD_REQUEST = "ERROR_BAD_REQUEST"
@@ -47,26 +47,41 @@ def _per_policy(policies: Mapping[str, Column], default: Column) -> Column:
     return default if chosen is None else chosen.otherwise(default)
 
 
-def validate(requests: DataFrame, policies: Mapping[str, Mapping]) -> DataFrame:
-    """One result row per request; a single narrow stage without a shuffle.
+def validate(
+    requests: DataFrame, policies: Mapping[str, Mapping], item_results: DataFrame | None = None
+) -> DataFrame:
+    """One result row per request. Works on batch and streaming frames.
 
-    Works on batch and streaming frames. Columns for model results are described
-    at :func:`tollgate.operators.rules.policy_messages`.
+    Columns for model results are described at :func:`tollgate.operators.rules.policy_checks`.
+    Item messages come from a column ``item_violations`` or from ``item_results``,
+    ``(request_id, item_violations)``. Without ``item_results`` this is one narrow
+    stage. With it, texts are checked before the join, so a plan that does not
+    select them does not shuffle them.
     """
-    messages: dict[str, Column] = {}
-    skipped: dict[str, Column] = {}
-    for name, policy in by_lower_name(policies).items():
-        found, missing = policy_messages(policy, requests)
-        messages[name] = found
-        skipped[name] = F.array(*[F.lit(m) for m in missing]) if missing else no_text()
+    has_items = item_results is not None or "item_violations" in requests.columns
+    checks = {name: policy_checks(p, requests, has_items) for name, p in by_lower_name(policies).items()}
+    names = list(checks)
     asked = F.coalesce(F.col("api_class"), F.lit("")) != ""
-    known = F.coalesce(F.lower(F.col("api_class")).isin(list(messages)), F.lit(False)) if messages else F.lit(False)
-    judged = requests.withColumns(
-        {
-            "violation_reasons": _per_policy(messages, no_text()),
-            "checks_skipped": _per_policy(skipped, no_text()),
+    known = F.coalesce(F.lower(F.col("api_class")).isin(names), F.lit(False)) if names else F.lit(False)
+    skipped = {
+        n: F.array(*[F.lit(m) for m in c.skipped]) if c.skipped else no_text() for n, c in checks.items()
+    }
+    columns = {"checks_skipped": _per_policy(skipped, no_text())}
+    if not has_items:
+        whole = {n: F.concat(c.before, c.after) for n, c in checks.items()}
+        judged = requests.withColumns({**columns, "violation_reasons": _per_policy(whole, no_text())})
+    else:
+        parts = {
+            "_before": _per_policy({n: c.before for n, c in checks.items()}, no_text()),
+            "_after": _per_policy({n: c.after for n, c in checks.items()}, no_text()),
         }
-    )
+        judged = requests.withColumns({**columns, **parts})
+        if item_results is not None:
+            judged = judged.join(item_results.select("request_id", "item_violations"), "request_id", "left")
+        with_rules = [n for n, c in checks.items() if c.items]
+        told = F.when(F.lower("api_class").isin(with_rules), F.col("item_violations")) if with_rules else no_text()
+        reasons = F.concat("_before", F.coalesce(told, no_text()), "_after")
+        judged = judged.withColumn("violation_reasons", reasons).drop("_before", "_after", "item_violations")
     status = (
         F.when(~asked, F.lit(BAD_REQUEST))
         .when(~known, F.lit(INVALID_POLICY))

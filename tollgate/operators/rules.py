@@ -184,12 +184,22 @@ def _text(fields: Fields, name: str) -> Column:
     return F.lit(None).cast("string") if col is None else col
 
 
-def policy_messages(policy: Mapping, df: DataFrame) -> tuple[Column, list[str]]:
-    """All violations of one policy in contract order, and the checks that had no model.
+@dataclass
+class PolicyChecks:
+    """Messages of one policy before and after those of its items, and the checks that had no model."""
+
+    before: Column
+    after: Column
+    items: bool
+    skipped: list[str]
+
+
+def policy_checks(policy: Mapping, df: DataFrame, has_items: bool = False) -> PolicyChecks:
+    """The checks of one policy on a request.
 
     Model results are read from the columns ``io_prediction``, ``io_probability``,
-    ``input_class``, ``output_class`` and ``item_violations``. A check whose
-    column is absent is skipped and named in the second result.
+    ``input_class`` and ``output_class``. A check whose column is absent is
+    skipped and named, item checks also when no item results are given.
     """
     fields = Fields(df)
     arrays: list[Column] = []
@@ -215,10 +225,7 @@ def policy_messages(policy: Mapping, df: DataFrame) -> tuple[Column, list[str]]:
             )
         else:
             skipped.append(f"colbert_{side}_sensitivity")
-    if policy.get("item_processing_rules"):
-        if "item_violations" in df.columns:
-            arrays.append(F.coalesce(F.col("item_violations"), no_text()))
-        else:
-            skipped.append("item_processing_rules")
-    arrays.append(custom_rule_messages(policy, fields))
-    return joined(arrays), skipped
+    items = bool(policy.get("item_processing_rules"))
+    if items and not has_items:
+        skipped.append("item_processing_rules")
+    return PolicyChecks(joined(arrays), custom_rule_messages(policy, fields), items, skipped)

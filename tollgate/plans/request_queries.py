@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -350,7 +348,7 @@ def validated(spark, sf_dir):
     """Requests with model results, item results and all rules applied."""
     with_items = views.requests_with_items(spark, sf_dir)
     per_request = item_ops.regroup(checked_items(spark, sf_dir))
-    return request_ops.validate(with_items.join(per_request, "request_id", "left"), views.POLICIES)
+    return request_ops.validate(with_items, views.POLICIES, per_request)
 
 
 @query(
