@@ -174,3 +174,41 @@ def test_rule_messages_run_without_python(spark):
     plan = requests.validate(df, {"BasicGate": views.POLICIES["BasicGate"]})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Exchange" not in plan
     assert rules.rule_errors({"type": "text_length_limit"}, 4) == "Invalid 'text_length_limit' rule config at index 4."
+
+
+def test_items_as_json_text(spark):
+    policies = {"P": {"item_processing_rules": [{"item_type": "image", "vlm_processing": {"required": True}}]}, "Q": {"description": "no item rules"}}
+    rows = [
+        (1, "p", '[{"id": "a", "type": "image", "filename_in_form": "f"}, 5, {"type": "image"}]'),
+        (2, "q", '{"id": 1}'), (3, "q", "[7]"), (4, "p", None), (5, "p", "[]"),
+    ]
+    df = spark.createDataFrame(rows, "request_id int, api_class string, input_items string")
+    given = spark.createDataFrame([(1, "f", "text")], "request_id int, file_name string, description string")
+    told = items.item_messages(items.attach_files(items.explode_json_items(df), given), policies)
+    got = {r["request_id"]: r["item_violations"] for r in items.regroup(told).collect()}
+    assert got[1] == ["Item at index 1 is not a valid object.", items.NO_FILE_NAME % "item_2"]
+    assert got[2] == [items.NOT_A_LIST] and got[3] == [] and 4 not in got
+
+
+def test_image_workflow(spark):
+    def caption_model():
+        return lambda image, prompt: f"{prompt} ASSISTANT: a {image.decode()}" if "1 of" in prompt else prompt
+
+    def explain_model():
+        def model(image, prompt):
+            assert image == b"secret"
+            return f"{prompt} it shows {image.decode()}"
+
+        return model
+
+    policies = {"P": {"description": "No secrets.", "zero_shot_violation_rules": [{"if_classified_as_contains": "secret"}]}}
+    df = spark.createDataFrame([("p", "look", b"secret"), ("p", "look", b"tree")], "policy_name string, guidance string, content binary")
+    shown = zero_shot.with_captions(df, caption_model, 3)
+    assert [r["captions"] for r in shown.collect()][1] == [
+        "a tree", "Failed to generate caption 2", "Failed to generate caption 3",
+    ]
+    judged = shown.withColumns({"classified_as": F.col("captions")[0], "confidence": F.lit(0.9)})
+    from tollgate import api
+
+    rows = {r["status"]: r["explanation"] for r in api.check_images(judged, policies, explain_model).collect()}
+    assert rows == {"violation": "it shows secret", "no violation": None}

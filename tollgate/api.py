@@ -34,6 +34,7 @@ def validate(
 ) -> DataFrame:
     """Requests with ``overall_status``, ``violation_reasons``, ``checks_skipped`` and ``error_message``.
 
+    Items come as an array column ``items`` or as JSON text in ``input_items``.
     ``files`` holds ``(request_id, file_name, description)`` of attached files. A
     model only sees the rows whose policy asks for it.
     """
@@ -51,8 +52,10 @@ def validate(
         )
     if pair_model is not None and any(p.get("modernbert_io_validation") for p in named.values()):
         rows = pairs.score(rows, pair_model)
-    if files is not None and "items" in rows.columns:
-        attached = items.attach_files(items.explode_items(rows), files)
+    listed = {"items": items.explode_items, "input_items": items.explode_json_items}
+    given = next((c for c in listed if c in rows.columns), None)
+    if files is not None and given:
+        attached = items.attach_files(listed[given](rows), files)
         described = classify_texts(attached, "description", "_found", examples, make)
         checked = items.item_messages(
             described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found"), policies
@@ -105,9 +108,14 @@ def suggest_help(results: DataFrame, policies: Mapping[str, Mapping], index: Dat
     return help.suggest(rejected, policies, index, make)
 
 
-def check_images(images: DataFrame, policies: Mapping[str, Mapping]) -> DataFrame:
-    """Status and reason per image from its captions, class and confidence."""
-    return zero_shot.assess(images, policies)
+def check_images(images: DataFrame, policies: Mapping[str, Mapping], explain: zero_shot.Model | None = None) -> DataFrame:
+    """Status and reason per image from its captions, class and confidence.
+
+    With ``explain``, violating images (column ``content``) also get an ``explanation``;
+    the model sees no others.
+    """
+    assessed = zero_shot.assess(images, policies)
+    return assessed if explain is None else zero_shot.explained(assessed, policies, explain)
 
 
 def apply_config_changes(changes: DataFrame, roles: DataFrame) -> dict[str, DataFrame]:

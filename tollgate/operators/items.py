@@ -57,6 +57,40 @@ def explode_items(requests: DataFrame) -> DataFrame:
     )
 
 
+def explode_json_items(requests: DataFrame, column: str = "input_items") -> DataFrame:
+    """The same for items given as JSON text, with ``shape_error`` for what is no list or no object.
+
+    A value that is no list gives one row of its own.
+    """
+    given = requests.filter(F.col(column).isNotNull()).select(
+        "request_id",
+        F.lower("api_class").alias("policy_name"),
+        F.explode(F.array(F.try_parse_json(column))).alias("_json"),
+    )
+    is_list = F.coalesce(F.schema_of_variant("_json").startswith("ARRAY"), F.lit(False))
+    elements = F.when(is_list, F.col("_json").cast("array<variant>")).otherwise(F.array(F.col("_json")))
+    rows = given.select(
+        "request_id", "policy_name", is_list.alias("_is_list"), F.posexplode(elements).alias("item_no", "_item")
+    )
+    is_object = F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False))
+    error = F.when(~F.col("_is_list"), F.lit(NOT_A_LIST)).when(
+        ~is_object, F.format_string(NOT_AN_OBJECT, F.col("item_no"))
+    )
+
+    def field(name: str) -> Column:
+        return F.try_variant_get("_item", f"$.{name}", "string")
+
+    return rows.select(
+        "request_id",
+        "policy_name",
+        "item_no",
+        F.coalesce(field("id"), F.concat(F.lit("item_"), F.col("item_no").cast("string"))).alias("item_id"),
+        F.coalesce(field("type"), F.lit("unknown_type")).alias("item_type"),
+        field("filename_in_form").alias("file_name"),
+        error.alias("shape_error"),
+    )
+
+
 def item_rule_table(spark: SparkSession, policies: Mapping[str, Mapping]) -> DataFrame:
     """``(policy_name, item_type, rule_no)``; only the first rule of each type counts."""
     first: dict[tuple[str, str], int] = {}
@@ -123,6 +157,13 @@ def item_messages(
     """
     has_class = "description_class" in items.columns
     chosen = F.when(F.lit(False), no_text())
+    if "shape_error" in items.columns:
+        # a policy without item rules only looks at the list as a whole
+        with_rules = [n for n, p in by_lower_name(policies).items() if p.get("item_processing_rules")]
+        reported = (F.col("shape_error") == NOT_A_LIST) | F.col("policy_name").isin(with_rules)
+        chosen = F.when(F.col("shape_error").isNotNull() & reported, F.array("shape_error")).when(
+            F.col("shape_error").isNotNull(), no_text()
+        )
     for name, policy in by_lower_name(policies).items():
         rules = policy.get("item_processing_rules") or []
         if not rules:

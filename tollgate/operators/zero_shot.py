@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tollgate.functions.text import is_blank, round_two, two_decimals
+from tollgate.functions.text import is_blank, round_two, strip_caption_echo, strip_explanation_echo, two_decimals
+from tollgate.functions.vectors import best_of, cosine, softmax
 from tollgate.operators.requests import by_lower_name
 
 # Texts that mark failed captions, and result texts.
@@ -175,7 +176,10 @@ def frame_summaries(videos: DataFrame, frames: DataFrame, key: str = "video_id",
 # --- model calls ------------------------------------------------------------------------------------
 
 
-def describe(content: Column, prompt: Column, make: Callable[[], Callable[[bytes, str], str]]) -> Column:
+Model = Callable[[], Callable[[bytes, str], str]]
+
+
+def describe(content: Column, prompt: Column, make: Model) -> Column:
     """``struct(description, error)`` from a caller's model; a failure is a row, never an exception.
 
     ``make`` loads the model once per Python worker and returns ``(image bytes, prompt) -> text``.
@@ -194,3 +198,59 @@ def describe(content: Column, prompt: Column, make: Callable[[], Callable[[bytes
             yield pd.DataFrame(rows, columns=["description", "error"])
 
     return run(content, prompt)
+
+
+def captions(content: Column, prompts: Column, make: Model) -> Column:
+    """One raw answer per prompt; a failure gives ``Error: ...`` for every prompt."""
+
+    @pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+
+        def answers(image, texts):
+            try:
+                return [model(image, text) for text in texts]
+            except Exception as error:  # noqa: BLE001
+                return [f"Error: {error}"] * len(texts)
+
+        for images, prompt_lists in batches:
+            yield pd.Series([answers(image, list(texts)) for image, texts in zip(images, prompt_lists)])
+
+    return run(content, prompts)
+
+
+def with_captions(images: DataFrame, make: Model, count: int = 3) -> DataFrame:
+    """``captions`` of images ``(content, guidance)``: echoes removed, different ones, padded to ``count``."""
+    asked = images.withColumn("_prompts", caption_prompts(F.lit(None).cast("string"), F.col("guidance"), count))
+    raw = asked.withColumn("_raw", captions(F.col("content"), F.col("_prompts"), make))
+    cleaned = F.transform(
+        F.arrays_zip("_raw", "_prompts"),
+        lambda z: strip_caption_echo(z["_raw"], z["_prompts"]),
+    )
+    named = F.transform(
+        cleaned,
+        lambda c, n: F.when(c == "", F.concat(F.lit(f"{FAILED} caption "), (n + 1).cast("string"))).otherwise(c),
+    )
+    return raw.withColumn("captions", distinct_padded(named, count)).drop("_prompts", "_raw")
+
+
+def classify_captions(image: Column, caption_vectors: Column) -> Column:
+    """``struct(index, score)`` of the caption nearest to the image: softmax of 100 times the cosine."""
+    scores = F.transform(caption_vectors, lambda c: 100.0 * cosine(image, c))
+    return best_of(softmax(scores))
+
+
+def explained(assessed: DataFrame, policies: Mapping[str, Mapping], make: Model) -> DataFrame:
+    """Adds ``explanation`` to violating rows. Only their images reach the model."""
+    about = F.when(F.lit(False), F.lit(""))
+    for name, policy in by_lower_name(policies).items():
+        about = about.when(F.col("policy_name") == name, F.lit(policy.get("description", "No policy description provided.")))
+    prompt = explanation_prompt(about, F.col("violation_reason"), F.col("classified_as"), F.col("confidence"))
+    told = describe(F.col("content"), prompt, make)
+    violating = to_explain(assessed).withColumn("_told", told)
+    text = F.when(
+        F.col("_told.error").isNotNull(),
+        F.concat(F.lit("Error generating explanation: "), F.substring("_told.error", 8, 1 << 30)),
+    ).otherwise(strip_explanation_echo(F.col("_told.description")))
+    others = assessed.filter("status <> 'violation'").withColumn("explanation", F.lit(None).cast("string"))
+    return violating.withColumn("explanation", text).drop("_told").unionByName(others)

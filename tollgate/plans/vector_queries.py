@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tollgate.functions.vectors import best_of, cosine, dot, mean_vectors, norm, softmax, unit
+from tollgate.functions.vectors import cosine, dot, mean_vectors, norm, unit
 from tollgate.operators import similarity
 from tollgate.operators.embedding import classify_texts, embed_text
+from tollgate.operators.zero_shot import classify_captions
 from tollgate.plans import views
 from tollgate.plans.catalog import query, view
 
@@ -322,8 +323,7 @@ def caption_softmax(spark, sf_dir):
         F.max_by("vector", F.when(F.col("token_no") == 0, 1)).alias("image"),
         F.array_sort(F.collect_list(F.when(F.col("token_no") > 0, F.struct("token_no", "vector")))).alias("captions"),
     )
-    scores = F.transform("captions", lambda c: 100.0 * cosine(F.col("image"), c["vector"]))
-    best = best_of(softmax(scores))
+    best = classify_captions(F.col("image"), F.transform("captions", lambda c: c["vector"]))
     return images.select(
         "image_id",
         best["index"].cast("long").alias("best_caption_index"),

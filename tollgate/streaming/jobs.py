@@ -45,6 +45,14 @@ def run_available(
     return f"{base}/rows"
 
 
+def keep_running(stream: DataFrame, path: str, every: str = "5 seconds", fmt: str = "parquet", partition_by: tuple[str, ...] = ()):
+    """Start the same sink with a processing-time trigger; gives the running query."""
+    writer = stream.writeStream.format(fmt).option("checkpointLocation", f"{path}/checkpoint")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    return writer.trigger(processingTime=every).start(f"{path}/rows")
+
+
 # --- windows -------------------------------------------------------------------------------------
 
 
