@@ -259,13 +259,14 @@ view(
 )
 
 
-def checked_items(spark, sf_dir, **options):
-    items = item_ops.explode_items(views.requests_with_items(spark, sf_dir))
-    given = views.files(spark, sf_dir)
+def checked_items(spark, sf_dir, base=None):
+    base = base or views.requests(spark, sf_dir)
+    items = item_ops.explode_items(views.requests_with_items(spark, sf_dir, base))
+    given = views.files(spark, sf_dir, base)
     attached = items.join(
         given.withColumn("has_file", F.lit(True)), ["request_id", "file_name"], "left"
     )
-    return item_ops.item_messages(attached, views.POLICIES, **options)
+    return item_ops.item_messages(attached, views.POLICIES)
 
 
 @query("item_checks", "SELECT request_id, item_no, item_type, violations FROM item_results", "item_results")
@@ -346,8 +347,9 @@ _STATUS = """CASE WHEN coalesce(api_class, '') = '' THEN 'ERROR_BAD_REQUEST'
 
 def validated(spark, sf_dir):
     """Requests with model results, item results and all rules applied."""
-    with_items = views.requests_with_items(spark, sf_dir)
-    per_request = item_ops.regroup(checked_items(spark, sf_dir))
+    base = views.requests(spark, sf_dir)
+    with_items = views.requests_with_items(spark, sf_dir, base)
+    per_request = item_ops.regroup(checked_items(spark, sf_dir, base))
     return request_ops.validate(with_items, views.POLICIES, per_request)
 
 

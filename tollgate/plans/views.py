@@ -11,6 +11,8 @@ from tollgate.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the given timestamps carry no zone; all queries read them as UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -168,11 +170,11 @@ def class_of(number):
     return F.element_at(F.array(*[F.lit(c) for c in CLASS_LABELS]), (number + 1).cast("int"))
 
 
-def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_requests(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     n_in, n_out = F.length("input_text"), F.length("output_text")
     probability = F.when(n_out == 0, 0.0).otherwise(n_out * 1.0 / (n_in + n_out + 0.37))
     return (
-        requests(spark, sf_dir)
+        (base or requests(spark, sf_dir))
         .withColumns(
             {
                 "io_probability": probability,
@@ -197,7 +199,7 @@ view(
 )
 
 
-def requests_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests_with_items(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Two items in the array of each request."""
 
     def item(number: int):
@@ -208,7 +210,7 @@ def requests_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((F.col("conv_id") + number) % 4 != 0, F.lit(f"f{number}.png")).alias("filename_in_form"),
         )
 
-    return scored_requests(spark, sf_dir).withColumn("items", F.array(item(0), item(1)))
+    return scored_requests(spark, sf_dir, base).withColumn("items", F.array(item(0), item(1)))
 
 
 view(
@@ -222,9 +224,9 @@ view(
 )
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Attached files with the description an image model gave; no second file for unanswered turns."""
-    rows = requests(spark, sf_dir).withColumn("item_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = (base or requests(spark, sf_dir)).withColumn("item_no", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.filter(~((F.col("item_no") == 1) & (F.col("output_text") == ""))).select(
         "request_id",
         F.concat(F.lit("f"), F.col("item_no").cast("string"), F.lit(".png")).alias("file_name"),
