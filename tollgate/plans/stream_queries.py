@@ -19,6 +19,7 @@ from tollgate.streaming import jobs
 
 
 def event_stream(spark, sf_dir):
+    views.read_as_utc(spark)
     path = f"{sf_dir}/events.parquet"
     rows = jobs.read_files(spark, path, spark.read.parquet(path).schema)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -28,8 +29,9 @@ def _sink(spark, path, schema, fmt="parquet"):
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def _run(stream, label, **options):
-    path = jobs.run_available(stream, label, **options)
+def _run(stream, label, sf_dir, **options):
+    partitions = jobs.state_partitions(stream.sparkSession, f"{sf_dir}/events.parquet")
+    path = jobs.run_available(stream, label, partitions=partitions, **options)
     return _sink(stream.sparkSession, path, stream.schema)
 
 
@@ -46,6 +48,7 @@ def stream_validate(spark, sf_dir):
     return _run(
         checked.select("request_id", "overall_status", F.array_join("violation_reasons", "|").alias("violations")),
         "stream-validate",
+        sf_dir,
     )
 
 
@@ -61,7 +64,7 @@ _CLOSED = "epoch_us(w) + {0}000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 -
 )
 def rate_limit(spark, sf_dir):
     calls = event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("policy"), "user_id")
-    found = _run(jobs.rate_limit(calls, ["policy", "user_id"], 1, "1 hour"), "rate-limit")
+    found = _run(jobs.rate_limit(calls, ["policy", "user_id"], 1, "1 hour"), "rate-limit", sf_dir)
     return found.withColumn("window_start", F.unix_seconds("window_start"))
 
 
@@ -85,7 +88,7 @@ _THRESHOLDS = "(VALUES ('click', 12.0), ('view', 10.0), ('purchase', 15.0), ('si
          JOIN {_THRESHOLDS} USING (metric) WHERE mean > threshold AND {_CLOSED.format(300)}""",
 )
 def quick_alert(spark, sf_dir):
-    found = _run(jobs.alerts(_metrics(spark, sf_dir), _settings(spark), "5 minutes"), "alerts")
+    found = _run(jobs.alerts(_metrics(spark, sf_dir), _settings(spark), "5 minutes"), "alerts", sf_dir)
     return found.select(F.unix_seconds("window_start").alias("window_start"), "metric", F.round("mean", 6).alias("mean"), "samples")
 
 
@@ -97,7 +100,7 @@ def quick_alert(spark, sf_dir):
          JOIN {_THRESHOLDS} USING (metric) WHERE mean > threshold AND {_CLOSED.format(3600)}""",
 )
 def quick_alert_sliding(spark, sf_dir):
-    found = _run(jobs.alerts(_metrics(spark, sf_dir), _settings(spark), "1 hour", "30 minutes"), "alerts-sliding")
+    found = _run(jobs.alerts(_metrics(spark, sf_dir), _settings(spark), "1 hour", "30 minutes"), "alerts-sliding", sf_dir)
     return found.select(F.unix_seconds("window_start").alias("window_start"), "metric", F.round("mean", 6).alias("mean"), "samples")
 
 
@@ -110,7 +113,7 @@ def quick_alert_sliding(spark, sf_dir):
 )
 def stream_baseline(spark, sf_dir):
     stored = monitoring.baseline(views.metrics(spark, sf_dir), ["metric"])
-    found = _run(jobs.against_baseline(_metrics(spark, sf_dir), stored, "1 hour"), "baseline")
+    found = _run(jobs.against_baseline(_metrics(spark, sf_dir), stored, "1 hour"), "baseline", sf_dir)
     return found.select(
         F.unix_seconds("window_start").alias("window_start"), "metric", "samples", F.round("deviation", 6).alias("deviation")
     )
@@ -124,7 +127,7 @@ def stream_baseline(spark, sf_dir):
 def stream_breadcrumb(spark, sf_dir):
     log = views.as_invocations(event_stream(spark, sf_dir))
     found = audit.breadcrumb_findings(log, views.breadcrumbs(spark, sf_dir))
-    return _run(found.select("log_id", "finding"), "breadcrumbs")
+    return _run(found.select("log_id", "finding"), "breadcrumbs", sf_dir)
 
 
 @query(
@@ -139,14 +142,14 @@ def stream_breadcrumb(spark, sf_dir):
 def stream_token_once(spark, sf_dir):
     """Tokens of a five-day life whose life is over."""
     uses = views.as_invocations(event_stream(spark, sf_dir))
-    return _run(jobs.token_sessions(uses, "5 days"), "tokens").select("token", "first_use", "replays")
+    return _run(jobs.token_sessions(uses, "5 days"), "tokens", sf_dir).select("token", "first_use", "replays")
 
 
 @query("stream_token_first", "SELECT DISTINCT token FROM invocations", "invocations")
 def stream_token_first(spark, sf_dir):
     """The uses that pass: one per token."""
     uses = views.as_invocations(event_stream(spark, sf_dir)).select("token", "ts")
-    return _run(jobs.first_uses(uses), "token-first").select("token")
+    return _run(jobs.first_uses(uses), "token-first", sf_dir).select("token")
 
 
 @query(
@@ -163,7 +166,7 @@ def stream_handshake(spark, sf_dir):
     executed = log().filter("tool <> 'error'").select(
         "transaction_id", "token", "exec_ts", F.sha2("exec_params", 256).alias("exec_hash")
     )
-    return _run(jobs.matched_phases(authorised, executed), "handshake")
+    return _run(jobs.matched_phases(authorised, executed), "handshake", sf_dir)
 
 
 @query(
@@ -172,14 +175,14 @@ def stream_handshake(spark, sf_dir):
     "action_log",
 )
 def stream_action_log(spark, sf_dir):
-    return action_log_view(_run(agent.action_log(as_results(event_stream(spark, sf_dir)), "ts"), "actions"))
+    return action_log_view(_run(agent.action_log(as_results(event_stream(spark, sf_dir)), "ts"), "actions", sf_dir))
 
 
 @query("stream_pebble", "SELECT log_id, use_case, proof <> 'bad' AS verified FROM pebbles", "pebbles")
 def stream_pebble(spark, sf_dir):
     """Pebbles with a bad proof land in their own folder of the sink."""
     checked = pebbles.verify(views.as_pebbles(event_stream(spark, sf_dir)))
-    found = _run(checked, "pebbles", partition_by=("verified",))
+    found = _run(checked, "pebbles", sf_dir, partition_by=("verified",))
     return found.select("log_id", "use_case", "verified")
 
 

@@ -10,9 +10,13 @@ from tollgate.plans.catalog import view
 from tollgate.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # the given timestamps carry no zone; all queries read them as UTC
+def read_as_utc(spark: SparkSession) -> None:
+    """The given timestamps carry no zone; all queries read them as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    read_as_utc(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

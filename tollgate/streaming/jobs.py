@@ -6,6 +6,7 @@ windows with watermarks, the single-use token state and the two-phase join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +29,38 @@ def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", fil
     return reader.load(pattern)
 
 
+def state_partitions(spark: SparkSession, path: str, bytes_each: int = 128 << 20) -> int:
+    """Partitions for the state of a stream over ``path``.
+
+    A stream cannot merge small partitions as adaptive execution does for batches.
+    So a small input gets one per core, a large one up to ``spark.sql.shuffle.partitions``.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
+    wanted = max(spark.sparkContext.defaultParallelism, math.ceil(size / bytes_each))
+    return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def run_available(
     stream: DataFrame, label: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "append",
-    path: str | None = None,
+    path: str | None = None, partitions: int | None = None,
 ) -> str:
     """Process what is there into a file sink and stop; gives the sink's path.
 
     Sink and checkpoint lie in the shared folder, so a restart goes on where it stopped.
     """
+    conf, setting = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(setting)
     base = path or scratch_path(stream.sparkSession, label)
     writer = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    started = writer.trigger(availableNow=True).start(f"{base}/rows")
+    try:
+        # the query takes its own copy of the settings when it starts
+        conf.set(setting, str(partitions or before))
+        started = writer.trigger(availableNow=True).start(f"{base}/rows")
+    finally:
+        conf.set(setting, before)
     started.awaitTermination()
     return f"{base}/rows"
 
