@@ -41,3 +41,17 @@ def test_replays_combine_before_the_shuffle(spark, sf_dir):
 def test_chunking_does_not_shuffle(spark, sf_dir):
     text = plan(catalog.QUERIES["md_chunks"](spark, sf_dir))
     assert "hashpartitioning" not in text and "Window" not in text
+
+
+def test_only_measured_tables_are_broadcast(spark):
+    from tollgate.session import small_side
+
+    left, right = spark.range(100).toDF("k"), spark.range(100).toDF("k")
+    wide = right.selectExpr("k", "repeat('x', 1000) AS s")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Broadcast" in plan(left.join(small_side(right), "k"))
+        assert "Broadcast" not in plan(left.join(small_side(right, max_rows=99), "k"))
+        assert "Broadcast" not in plan(left.join(small_side(wide, max_bytes=50_000), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

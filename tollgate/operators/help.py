@@ -78,11 +78,15 @@ def suggestion_title(doc_id: Column, metadata: Column) -> Column:
     )
 
 
-def suggestion(doc_id: Column, text: Column, metadata: Column, score: Column) -> Column:
-    """The record shown for a suggested chunk."""
+def preview(text: Column) -> Column:
+    return cut(text, 500)
+
+
+def suggestion(doc_id: Column, shown: Column, metadata: Column, score: Column) -> Column:
+    """The record shown for a suggested chunk; ``shown`` is the preview of its text."""
     return F.struct(
         suggestion_title(doc_id, metadata).alias("title"),
-        cut(text, 500).alias("content_preview"),
+        shown.alias("content_preview"),
         F.lit(True).alias("full_content_available"),
         doc_id.alias("document_id"),
         score.alias("relevance_score"),
@@ -151,13 +155,14 @@ def suggest(
     k = max([int(_assist(p).get("max_suggestions_per_query", PER_QUERY)) for p in policies.values()] or [PER_QUERY])
     texts = asked.select("query").distinct().withColumn("vector", embed_text(F.col("query"), make))
     hits = cut_lineage(top_k(texts, index.select("id", "embedding"), k, query_id="query"))
-    shown = cut_lineage(index.select("id", "text", "metadata").join(small_side(hits), "id"))
+    records = index.select("id", preview(F.col("text")).alias("preview"), "metadata")
+    shown = cut_lineage(records.join(small_side(hits), "id"))
     found = asked.join(small_side(shown.withColumnRenamed("query", "hit_query")), F.col("query") == F.col("hit_query"))
     near = found.filter((F.col("rank") <= F.col("per_query")) & (F.col("score") >= F.col("threshold")))
     best = near.groupBy("request_id", "id").agg(
         F.max("score").alias("score"),
         F.first("total").alias("total"),
-        F.first("text").alias("text"),
+        F.first("preview").alias("preview"),
         F.first("metadata").alias("metadata"),
     )
     # at most max_queries * per_query rows per request
@@ -168,7 +173,7 @@ def suggest(
             "relevant": F.count("*").over(of_request),
         }
     ).filter(F.col("rank") <= F.col("total"))
-    record = suggestion(F.col("id").cast("string"), F.col("text"), F.col("metadata"), F.col("score"))
+    record = suggestion(F.col("id").cast("string"), F.col("preview"), F.col("metadata"), F.col("score"))
     return ranked.select("request_id", "rank", "relevant", record.alias("suggestion"))
 
 

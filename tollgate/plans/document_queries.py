@@ -568,7 +568,7 @@ def suggestion_title(spark, sf_dir):
     "md_chunks",
 )
 def suggestion_format(spark, sf_dir):
-    record = help.suggestion(F.col("id"), F.col("text"), F.col("metadata"), F.lit(0.0))
+    record = help.suggestion(F.col("id"), help.preview(F.col("text")), F.col("metadata"), F.lit(0.0))
     rows = md_chunks(spark, sf_dir).select(record.alias("s"))
     return rows.select(
         "s.document_id", "s.primary_section", "s.secondary_section", F.md5("s.content_preview").alias("preview_md5"),

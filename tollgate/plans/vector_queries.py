@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.vectors import cosine, dot, mean_vectors, norm, unit
 from tollgate.operators import similarity
-from tollgate.operators.embedding import classify_texts, embed_text
+from tollgate.operators.embedding import classify_texts
 from tollgate.operators.zero_shot import classify_captions
 from tollgate.plans import views
 from tollgate.plans.catalog import query, view
