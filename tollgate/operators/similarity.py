@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollgate.session import cut_lineage
+
 QUERY_BLOCK = 1024
 BROADCAST_BYTES = 64 << 20
 
@@ -80,6 +82,8 @@ def _meet(
     schema: str,
     broadcast_bytes: int,
 ) -> DataFrame:
+    # The query side is measured and then used: work it out once.
+    queries = cut_lineage(queries.select(*query_ids, query_vector))
     size = queries.agg(F.count("*").alias("n"), F.max(F.size(query_vector)).alias("dim")).first()
     count, dim = size["n"], size["dim"] or 1
     blocks = max(1, math.ceil(count / QUERY_BLOCK))
@@ -214,8 +218,11 @@ def class_scores(
     t_type = dict(text_tokens.dtypes)["text_id"]
     c_type = dict(example_tokens.dtypes)["class"]
     # All tokens of one example travel together, so its maximum is complete in one block.
-    gathered = example_tokens.groupBy("class", "class_no", "example_no").agg(
-        F.collect_list("vector").alias("vectors"), F.max(F.size("vector")).alias("dim")
+    # one group holds the tokens of one example text
+    gathered = cut_lineage(
+        example_tokens.groupBy("class", "class_no", "example_no").agg(
+            F.collect_list("vector").alias("vectors"), F.max(F.size("vector")).alias("dim")
+        )
     )
     flat = gathered.select("class", "class_no", "example_no", "dim", F.flatten("vectors").alias("vector"))
     dims = text_tokens.select(F.size("vector").alias("d")).limit(1).first()
