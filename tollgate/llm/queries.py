@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import trie_bpe, wu_manber
+from tollgate.llm import repair_tokens, store, trie_bpe, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = store.work_folder(spark, "token-ids")
+    manifest = repair_tokens.write(table(spark, sf_dir, "documents"), root, tokenizer_path())
+    return repair_tokens.read(spark, root, manifest)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op7_decontamination": op7_decontamination,
+    "op9_token_ids": op9_token_ids,
     "op10_bpe": op10_bpe,
 }
 
