@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import repair_tokens, store, trie_bpe, wu_manber
+from tollgate.llm import quality_kn, repair_tokens, store, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_kn.judge(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = store.work_folder(spark, "warc")
+    return warc.read(spark, root, warc.write(table(spark, sf_dir, "pages"), root))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,11 +42,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_warc": op2_warc,
     "op7_decontamination": op7_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_bpe": op10_bpe,
 }
 
 CHECK_SQL = {
+    "op2_warc": warc.SQL,
     "op7_decontamination": wu_manber.SQL,
 }
