@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import quality_kn, repair_tokens, store, trie_bpe, warc, wu_manber
+from tollgate.llm import deleted_interpolation, quality_kn, repair_tokens, store, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root, warc.write(table(spark, sf_dir, "pages"), root))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
+    "op6_lm_scores": op6_lm_scores,
     "op7_decontamination": op7_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_bpe": op10_bpe,
