@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import deleted_interpolation, quality_kn, repair_tokens, store, trie_bpe, warc, wu_manber
+from tollgate.llm import deleted_interpolation, lsh_forest, quality_kn, repair_tokens, store, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.join(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = store.work_folder(spark, "token-ids")
     manifest = repair_tokens.write(table(spark, sf_dir, "documents"), root, tokenizer_path())
@@ -50,11 +54,13 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op6_lm_scores": op6_lm_scores,
     "op7_decontamination": op7_decontamination,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_token_ids": op9_token_ids,
     "op10_bpe": op10_bpe,
 }
 
 CHECK_SQL = {
     "op2_warc": warc.SQL,
+    "op8_near_duplicates": lsh_forest.SQL,
     "op7_decontamination": wu_manber.SQL,
 }
