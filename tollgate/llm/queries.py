@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import deleted_interpolation, lsh_forest, quality_kn, repair_tokens, secret_cnn, store, trie_bpe, warc, wu_manber
+from tollgate.llm import deleted_interpolation, html_crf, lsh_forest, quality_kn, repair_tokens, secret_cnn, store, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.find(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op4_secrets": op4_secrets,
+    "op5_main_text": op5_main_text,
     "op6_lm_scores": op6_lm_scores,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
