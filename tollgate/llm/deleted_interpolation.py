@@ -35,7 +35,7 @@ from tollgate.llm import wordbytes as wb
 FOLDS = 10
 HELD_FOLD = 0
 DELETED_FOLD = 1
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 BUCKET_KEYS = 2_000_000
 ADD = 0.1
 ROUNDS = 60
@@ -99,8 +99,10 @@ class Block:
         before[firsts[:-1]] = END
         n = len(words)
         all_keys = np.concatenate([word_keys(words), bigram_keys(before, words)])
+        del before
         order, heads, which = wb.groups(all_keys)
         self.keys = all_keys[order[heads]]
+        del all_keys, order
         self.word, self.pair = which[:n], which[n:]
         self.before = np.empty_like(self.word)
         self.before[1:] = self.word[:-1]

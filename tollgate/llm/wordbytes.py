@@ -123,12 +123,14 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     bits = max(1, n.bit_length())
     if bits <= 24:
         mask = U((1 << bits) - 1)
-        packed = (keys & ~mask) | np.arange(n, dtype=U)
+        packed = keys & ~mask
+        packed |= np.arange(n, dtype=U)
         packed.sort()
-        order = (packed & mask).astype(np.int64)
+        order = (packed & mask).view(np.int64)
         packed &= ~mask
-        sorted_keys = keys[order]
-        if not ((packed[1:] == packed[:-1]) & (sorted_keys[1:] != sorted_keys[:-1])).any():
+        joined = packed[1:] == packed[:-1]
+        np.take(keys, order, out=packed, mode="clip")
+        if not (joined & (packed[1:] != packed[:-1])).any():
             return order
     return np.argsort(keys, kind="stable")
 
@@ -139,8 +141,11 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ranked = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    del ranked
     which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(new) - 1
+    number = np.cumsum(new)
+    number -= 1
+    which[order] = number
     return order, np.flatnonzero(new), which
 
 
