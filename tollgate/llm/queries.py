@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import deleted_interpolation, html_crf, lsh_forest, quality_kn, repair_tokens, secret_cnn, store, trie_bpe, warc, wu_manber
+from tollgate.llm import deleted_interpolation, html_crf, license_scan, lsh_forest, quality_kn, repair_tokens, secret_cnn, store, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root, warc.write(table(spark, sf_dir, "pages"), root))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_cnn.find(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
+    "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op5_main_text": op5_main_text,
     "op6_lm_scores": op6_lm_scores,
