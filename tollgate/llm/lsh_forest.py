@@ -16,7 +16,7 @@ of links per text and one edge per text towards its group.
 Words are ``[^\\x20\\x09-\\x0D]+``, case kept. Defined cases: a null text or one without
 words is in no group; a text of fewer than five words has one shingle, all its words; a
 null doc_id is in no group; repeated rows and equal texts share class and links; only
-``doc_id``, ``text`` and the columns named in ``extra`` are read. Shingles and texts
+``doc_id`` and ``text`` are read, other columns may have any name. Shingles and texts
 are compared as 64-bit hashes.
 """
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm import store
@@ -107,7 +107,7 @@ def labels(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def signed(docs: DataFrame) -> DataFrame:
     """doc_id, the key of the text (null without words), and its signature."""
 
     def task(batches):
@@ -120,11 +120,9 @@ def signed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                 for i, s in zip(np.flatnonzero(some).tolist(), signatures(values, firsts), strict=True):
                     packed[i] = s.tobytes()
                 columns = [part.column("doc_id"), pa.array(keys.view(np.int64), mask=~some), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + [part.column(c) for c in extra], names=["doc_id", "key", "signature", *extra])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "signature"])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra]
-    schema = ", ".join(["doc_id long, key long, signature binary", *kinds])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in extra if c not in ("doc_id", "text")]).mapInArrow(task, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, key long, signature binary")
 
 
 def tree_rows(texts: DataFrame) -> DataFrame:
@@ -296,12 +294,12 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("label", "low", "high", "own", "key", "shingles").mapInArrow(task, "key long, links long, root long")
 
 
-def join(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
     """One row per document: class_id, the smallest doc_id of its group, and n_links, the other texts within reach.
 
     A group is what links and equal texts connect; a document without any is its own class.
     """
-    rows = store.written(signed(docs, extra), "forest-signed")
+    rows = store.written(signed(docs), "forest-signed")
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     texts = store.written(known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "forest-texts")
     links = store.written(candidate_links(texts.select("key", "signature")), "forest-links")
@@ -316,9 +314,23 @@ def join(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     texts = store.written(texts, "forest-labelled")
     lowest = store.written(texts.groupBy("label").agg(F.min("doc_id").alias("class_id")), "forest-lowest")
     classes = store.written(texts.join(lowest, "label").select("key", "class_id", "n_links"), "forest-classes")
-    out = known.select("doc_id", "key", *extra).join(classes, "key").select("doc_id", "class_id", "n_links", *extra)
+    out = known.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "n_links")
     alone = rows.where("key IS NULL OR doc_id IS NULL")
-    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *extra))
+    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all its columns.
+
+    Documents in no group stay. Of rows with the same doc_id and text one stays.
+    """
+    losers = store.written(join(docs).where("doc_id != class_id").select("doc_id").distinct(), "forest-losers")
+    rest = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    mark = "_copy"
+    while mark in docs.columns:
+        mark += "_"
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return rest.withColumn(mark, F.row_number().over(copies)).where(F.col(mark) == 1).drop(mark)
 
 
 SQL = r"""

@@ -12,8 +12,8 @@ training only: every candidate of every whole text is scored.
 Defined cases: a null or empty text has no findings; base findings stay whatever the
 network says; a candidate that overlaps a base finding is not reported again; equal
 spans of two kinds are both reported; repeated rows give repeated results; without any
-labelled finding the random keys alone are positive; only ``doc_id``, ``text`` and the
-columns named in ``extra`` are read.
+labelled finding the random keys alone are positive; only ``doc_id`` and ``text``
+(and ``n_chars`` when redacting) are read, other columns may have any name.
 """
 
 from __future__ import annotations

@@ -183,34 +183,35 @@ def slices(items: DataFrame, limit: int = SLICE_BYTES) -> Iterator[list[tuple[ob
     numbered.unpersist()
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+def hits_of(folded: Folded, searches: list[Search]) -> tuple[np.ndarray, dict[int, set]]:
+    """Words inside an occurrence per text, and the items found per text."""
+    edge = np.zeros(len(folded.word_starts) + 1, np.int64)
+    found: dict[int, set] = {}
+    for search in searches:
+        at, number = search.occurrences(folded)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + search.words[number], -1)
+        doc = np.searchsorted(folded.firsts, at, "right") - 1
+        for pair in np.unique(np.stack([doc, number], 1), axis=0) if len(at) else ():
+            found.setdefault(int(pair[0]), set()).update(search.owners[pair[1]])
+    return wb.per_row((np.cumsum(edge)[:-1] > 0).astype(np.int64), folded.firsts), found
+
 
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, extra: tuple[str, ...] = (), limit: int = SLICE_BYTES) -> DataFrame:
-    """Words, hit words and matching items of every document.
 
-    ``extra`` names columns of ``docs`` to carry along.
-    """
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(Search(items_, window)) for items_ in slices(items, limit)]
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, limit: int = SLICE_BYTES) -> DataFrame:
+    """Words, hit words and matching items of every document."""
+    shared = [docs.sparkSession.sparkContext.broadcast(Search(own, window)) for own in slices(items, limit)]
 
     def task(batches):
         searches = [b.value for b in shared]
         for batch in batches:
-            texts = batch.column("text")
-            for first, rows in wb.row_runs(texts):
+            for first, rows in wb.row_runs(batch.column("text")):
                 part = batch.slice(first, rows)
                 folded = Folded(part.column("text"))
-                edge = np.zeros(len(folded.word_starts) + 1, np.int64)
-                found: dict[int, set] = {}
-                for search in searches:
-                    at, number = search.occurrences(folded)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + search.words[number], -1)
-                    doc = np.searchsorted(folded.firsts, at, "right") - 1
-                    for pair in np.unique(np.stack([doc, number], 1), axis=0) if len(at) else ():
-                        found.setdefault(int(pair[0]), set()).update(search.owners[pair[1]])
-                hit = wb.per_row((np.cumsum(edge)[:-1] > 0).astype(np.int64), folded.firsts)
+                hit, found = hits_of(folded, searches)
                 names = [sorted(found.get(i, ())) for i in range(rows)]
                 columns = [
                     part.column("doc_id"),
@@ -219,16 +220,26 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, extra: t
                     pa.array([len(x) for x in names], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                     pa.array(hit > 0),
-                    *(part.column(c) for c in extra),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*RESULT_NAMES, *extra])
+                yield pa.RecordBatch.from_arrays(columns, names=RESULT_NAMES)
 
-    schema = ", ".join([RESULT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
-    wanted = list(dict.fromkeys(["doc_id", "text", *extra]))
-    return docs.select(*wanted).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(task, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, RESULT)
 
 
-RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, limit: int = SLICE_BYTES) -> DataFrame:
+    """The documents without any benchmark window, with all their columns."""
+    shared = [docs.sparkSession.sparkContext.broadcast(Search(own, window)) for own in slices(items, limit)]
+
+    def task(batches):
+        searches = [b.value for b in shared]
+        for batch in batches:
+            for first, rows in wb.row_runs(batch.column("text")):
+                part = batch.slice(first, rows)
+                hit, _ = hits_of(Folded(part.column("text")), searches)
+                yield part.filter(pa.array(hit == 0))
+
+    return docs.mapInArrow(task, docs.schema)
+
 
 SQL = r"""
 WITH words AS (
