@@ -1,0 +1,413 @@
+"""Operators on texts against plain Python, on small awkward fixtures."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tollgate.llm import deleted_interpolation, license_scan, lsh_forest, quality_kn, repair_tokens, secret_cnn, store, trie_bpe, wordbytes, wu_manber
+from tollgate.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept int, fold string, key string"
+PROSE = "the quick brown fox jumps over the lazy dog while nine small birds sing in an old tree by the river and no one hears them at all today"
+
+
+def awkward_texts():
+    rng = random.Random(4)
+    words = "the of and river tree über éa naïve ß x9 A.b 日本 don't WE'RE 12345 *** <tag> |".split()
+    texts = [None, "", " \n\t ", "one", "a b", PROSE, PROSE, PROSE.upper() + "\n\n" + PROSE + "\n" + PROSE, "x" * 30_000, "ab " * 9_000, "\x0b\x0c\x1c z\u0085y w"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 300))) for _ in range(30)]
+    texts += ["\n".join(rng.choice(["line one", "", " ", "line two", "é"]) for _ in range(60))]
+    return texts
+
+
+def frame(spark, texts, first=0):
+    rows = [(None if i == 3 else first + i, t, ["en", "fr", None][i % 3], "s", len(t or ""), "clash", 1, "clash", "clash") for i, t in enumerate(texts)]
+    rows.append(rows[5])  # a repeated row
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return awkward_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return store.written(frame(spark, texts), "awkward")
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    found = {}
+    for row in df.collect():
+        assert found.setdefault(row["doc_id"], row) == row, "equal rows give equal results"
+    return found
+
+
+def base_statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = collections.Counter(zip(words, words[1:], words[2:]))
+    marked, lines, copies = set(), set(), 0
+    for i, w in enumerate(zip(words, words[1:], words[2:])):
+        if windows[w] > 1:
+            marked |= {i, i + 1, i + 2}
+    for line in text.split("\n"):
+        if WORD.search(line):
+            copies += line in lines
+            lines.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), copies, len(marked)
+
+
+def test_quality_base(spark, docs, texts, nothing):
+    found = by_id(quality_kn.judge(docs))
+    for i, text in enumerate(texts):
+        row = found[None if i == 3 else i]
+        want = base_statistics(text)
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == want
+        assert row.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (row.base_failed and row.kept)
+    assert quality_kn.judge(nothing).count() == 0
+    assert quality_kn.keep(nothing).count() == 0
+
+
+def test_quality_keep_is_judge(spark, docs):
+    kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in quality_kn.judge(docs).where("kept").collect())
+    rows = quality_kn.keep(docs)
+    assert rows.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in rows.collect()) == kept
+
+
+def test_kneser_ney_sums_to_one_and_separates():
+    text = (PROSE + " ") * 20
+    codes, firsts = quality_kn.symbol_codes([text, None])
+    assert firsts[-1] == len(text) + 2
+    grams, counts = np.unique(codes, return_counts=True)
+    model = quality_kn.Model(grams, counts)
+    for context in (grams[5] // quality_kn.SYMBOLS, grams[-1] // quality_kn.SYMBOLS, 123):
+        followers = context * quality_kn.SYMBOLS + np.arange(quality_kn.SYMBOLS)
+        assert math.isclose(float((10 ** model.log_probabilities(followers)).sum()), 1, rel_tol=1e-4)
+    like, _ = quality_kn.symbol_codes([PROSE[:60]])
+    unlike, _ = quality_kn.symbol_codes(["zq xkjw vvq zzx qqk wxz"])
+    assert model.log_probabilities(like).mean() > model.log_probabilities(unlike).mean() + 0.5
+    assert (np.diff(model.keys) > 0).all()
+
+
+def test_quality_bands_reject_unlike_text(spark):
+    rng = random.Random(1)
+    words = PROSE.split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "en") for i in range(200)]
+    rows += [(1000 + i, " ".join("".join(rng.choice("zqxjkvw") for _ in range(5)) for _ in range(120)), "en") for i in range(2)]
+    found = {r["doc_id"]: r["kept"] for r in quality_kn.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i] for i in range(200))
+    assert not found[1000] and not found[1001]
+
+
+def decontaminated(texts, items, window=10):
+    def split(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        words = split(text)
+        if item is not None and words:
+            for i in range(max(1, len(words) - window + 1)):
+                windows[tuple(words[i : i + window])].add(str(item))
+    for text in texts:
+        words = split(text)
+        hit, found = set(), set()
+        for size in {len(w) for w in windows}:
+            for i in range(len(words) - size + 1):
+                if own := windows.get(tuple(words[i : i + size])):
+                    hit |= set(range(i, i + size))
+                    found |= own
+        yield len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+ITEMS = [(1, PROSE), (2, PROSE.title()), (3, "river tree"), (4, None), (5, "..."), (None, PROSE), (6, "x9"), (7, "the"), (11, PROSE[40:]), (1, PROSE), (8, "日本 über")]
+
+
+@pytest.mark.parametrize("limit", [wu_manber.SLICE_BYTES, 150])
+def test_decontamination(spark, docs, texts, nothing, limit):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    found = by_id(wu_manber.scan(docs, items, limit=limit))
+    for i, want in enumerate(decontaminated(texts, ITEMS)):
+        assert tuple(found[None if i == 3 else i])[1:] == want, texts[i]
+    clean = wu_manber.clean(docs, items, limit=limit)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(not w[-1] for w in decontaminated([*texts, texts[5]], ITEMS))
+    assert wu_manber.scan(nothing, items).count() == 0
+    assert not any(r["contaminated"] for r in wu_manber.scan(docs, items.limit(0)).collect())
+
+
+def test_wu_manber_on_random_text():
+    rng = random.Random(8)
+    words = ["ab", "abc", "b", "ba", "cab", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 400))) for _ in range(40)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    search = wu_manber.Search(items, 4)
+    folded = wu_manber.Folded(pa.array(texts))
+    hit, found = wu_manber.hits_of(folded, [search])
+    for i, want in enumerate(decontaminated(texts, items, 4)):
+        assert (int(hit[i]), len(found.get(i, ()))) == want[1:3]
+
+
+def test_tokens_like_the_library(spark, docs, texts, nothing):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    odd = [*texts, "<|endoftext|>a<|startoftext|> <|END|>", "İstanbul ǅ ﬁ é é", "don't WE'VE it'S", "🙂🙂 ½ ²"]
+    found = by_id(trie_bpe.digests(frame(spark, odd), tokenizer_path()))
+    for i, text in enumerate(odd):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        row = found[None if i == 3 else i]
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert trie_bpe.digests(nothing, tokenizer_path()).count() == 0
+
+
+def test_word_cache_starts_again(monkeypatch):
+    from tollgate.llm import wordcache
+
+    bpe = trie_bpe.TrieBpe(tokenizer_path())
+    column = pa.array([" ".join(f"w{i}" for i in range(300)), PROSE])
+    want = bpe.encode(column)
+    monkeypatch.setattr(wordcache, "KEEP_WORDS", 50)
+    small = trie_bpe.TrieBpe(tokenizer_path())
+    for _ in range(3):
+        got = small.encode(column)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_token_files(spark, docs, texts, nothing):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    root = store.work_folder(spark, "test-tokens")
+    manifest = repair_tokens.write(docs, root, tokenizer_path(), shard_ids=5_000, task_bytes=20_000)
+    got = sorted(map(tuple, repair_tokens.read(spark, root, manifest).collect()), key=lambda r: r[1])
+    rows = sorted([(None if i == 3 else i, t) for i, t in enumerate(texts)] + [(5, texts[5])], key=lambda r: (r[0] is not None, r[0] or 0))
+    want, at = [], 0
+    for doc, text in rows:
+        ids = np.asarray([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+    root = store.work_folder(spark, "test-no-tokens")
+    assert repair_tokens.read(spark, root, repair_tokens.write(nothing, root, tokenizer_path())).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "run", "pairs", "short"])
+def test_repair_random_access(kind):
+    rng = np.random.default_rng(2)
+    ids = {"random": rng.zipf(1.3, 30_000) % 900, "run": np.full(20_000, 7), "pairs": np.tile([3, 4, 3, 5], 6_000), "short": np.array([1])}[kind].astype(np.int32)
+    cuts = np.sort(rng.choice(len(ids), min(40, len(ids)), replace=False))
+    cuts[0] = 0
+    shard = repair_tokens.Shard(repair_tokens.pack(ids, cuts, list(range(len(cuts))), 1000))
+    assert (shard.ids() == ids).all()
+    for _ in range(200):
+        start = int(rng.integers(len(ids)))
+        size = int(rng.integers(0, min(3000, len(ids) - start) + 1))
+        assert (shard.slice(start, size) == ids[start : start + size]).all()
+    if kind != "short":
+        assert len(shard.symbols) < len(ids)
+
+
+def test_secrets_base_and_redaction(spark, nothing):
+    key = "AKIA" + "Q7RXMPL2ZKT9WB4C"
+    texts = [
+        None,
+        "",
+        f"é my Password: 'abcdefgh12345678' and {key} end",
+        "token = short password=abcdefghijkl token=" + "deadbeef" * 5,
+        "0123456789abcdef0123 ſecret=aaaaaaaaaaaaaaaa",
+        "apikey=" + "x" * 5000 + " tail",
+        "plain words only " * 50,
+    ]
+    df = spark.createDataFrame([(i, t, len(t or ""), "c") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")
+    net = secret_cnn.train(df)
+    found = {r["doc_id"]: r for r in secret_cnn.find(df, net).collect()}
+    assert [found[i].n_assign for i in range(7)] == [0, 0, 1, 2, 0, 1, 0]
+    assert [found[i].n_access for i in range(7)] == [0, 0, 1, 0, 0, 0, 0]
+    assert [found[i].n_hex for i in range(7)] == [0, 0, 0, 1, 2, 0, 0]
+    for i, text in enumerate(texts):
+        spans = [s.split(":") for s in found[i].spans.split(",") if s]
+        base = [s for s in spans if s[0] != "cnn"]
+        assert found[i].base_sha256 == hashlib.sha256(",".join(":".join(s) for s in base).encode()).hexdigest()
+        for kind, a, b in base:
+            assert {"assign": "=" in text[int(a) : int(b)] or ":" in text[int(a) : int(b)], "access": text[int(a) : int(b)] == key, "hex": True}[kind]
+    redacted = {r["doc_id"]: r for r in secret_cnn.redact(df, net).collect()}
+    assert redacted[2].text == f"é my {secret_cnn.MARK}' and {secret_cnn.MARK} end"
+    assert redacted[2].n_chars == len(redacted[2].text) and redacted[0].text is None and redacted[6].text == texts[6]
+    assert secret_cnn.find(nothing, net).count() == 0
+
+
+def test_secret_network_on_held_out_findings():
+    rng = random.Random(3)
+    words = PROSE.split()
+    texts = [" ".join(rng.choice(words) for _ in range(20)) + " " + "".join(rng.choice(words) for _ in range(5)) + " and so on" for _ in range(300)]
+    texts += [t + " password=" + "".join(rng.choice("0123456789abcdef") for _ in range(24)) + " x" for t in texts[:200]]
+    found = secret_cnn.Candidates(pa.array(texts))
+    x, y = found.windows, found.label.astype(float)
+    made = secret_cnn.made_findings(x[y == 0])
+    net = secret_cnn.CharNet()
+    net.fit(np.concatenate([x, made]), np.concatenate([y, np.ones(len(made))]))
+    fresh = secret_cnn.made_findings(x[y == 0], 300, seed=77)
+    assert (net.probabilities(fresh) >= net.threshold).mean() >= 0.95
+    assert (net.probabilities(x[y == 0]) >= net.threshold).mean() <= 0.01
+
+
+def test_license_scan(spark, nothing):
+    rng = random.Random(6)
+    filler = "erth ononth resh tion and under the license version of".split()
+    sets = {}
+    for name, text in license_scan.TEMPLATES.items():
+        values, _ = license_scan.shingles(pa.array([text]))
+        sets[name] = set(values.tolist())
+    texts = [None, "", "license", license_scan.TEMPLATES["mit"]]
+    for text in list(license_scan.TEMPLATES.values()) * 6:
+        words = text.split()
+        for _ in range(rng.randint(0, len(words) // 12)):
+            words[rng.randrange(len(words))] = "zzz"
+        texts.append(" ".join([rng.choice(filler) for _ in range(rng.randint(0, 80))] + words + [rng.choice(filler) for _ in range(rng.randint(0, 80))]))
+    texts += [" ".join(rng.choice(filler) for _ in range(300)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for i, text in enumerate(texts):
+        values, _ = license_scan.shingles(pa.array([text], pa.string()))
+        values = values.tolist()
+        exact, near = set(), set()
+        for name, own in sets.items():
+            size = len(own)
+            for group, width in ((exact, size), (near, size + 2 * max(1, size // license_scan.PARTS) + 2)):
+                for at in range(max(1, len(values) - width + 1)):
+                    if 5 * len(own & set(values[at : at + width])) >= 4 * size:
+                        group.add(name)
+                        break
+        got = set(filter(None, found[i].licenses.split(",")))
+        assert got <= near and bool(got) >= bool(exact), (text, got, exact, near)
+        assert found[i].n_matches == len([s for s in found[i].spans.split(",") if s])
+    assert found[3].licenses == "mit" and found[3].spans == "mit:0:5"
+    assert license_scan.scan(nothing).count() == 0
+    assert license_scan.collision_bound() > 0.999
+
+
+def test_near_duplicates(spark, nothing):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(200)]
+    texts = [None, "", " ", "one two", "one  two", "one two three", " ".join(base)]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(1, 9)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(20)]
+    texts += [" ".join(base), " ".join(base)]
+    rows = [(i, t, "c", i) for i, t in enumerate(texts)] + [(6, texts[6], "c", 6), (None, texts[6], "c", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, class_id int")
+    sets = {}
+    for i, text in enumerate(texts):
+        words = WORD.findall(text or "")
+        if words:
+            sets[i] = (tuple(words), {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    firsts = {}
+    for i, (words, _) in sets.items():
+        firsts.setdefault(words, i)
+    near = {a: {b for b in firsts.values() if a != b and 5 * len(sets[a][1] & sets[b][1]) >= 4 * len(sets[a][1] | sets[b][1])} for a in firsts.values()}
+    label = {a: a for a in near}
+    for _ in near:
+        label = {a: min([label[a], *(label[b] for b in near[a])]) for a in near}
+    got = lsh_forest.join(df).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        i = row["doc_id"]
+        if i in sets:
+            one = firsts[sets[i][0]]
+            assert (row["class_id"], row["n_links"]) == (label[one], len(near[one])), i
+        else:
+            assert (row["class_id"], row["n_links"]) == (i, 0)
+    kept = lsh_forest.keep_one(df)
+    assert kept.columns == df.columns
+    want = [i for i in range(len(texts)) if i not in sets or label[firsts[sets[i][0]]] == i]
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == want
+    assert lsh_forest.join(nothing).count() == 0 and lsh_forest.keep_one(nothing).count() == 0
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, lsh_forest.join(df).collect()))
+    monkeypatch.setattr(lsh_forest, "BLOCK", 16)
+    assert sorted(map(tuple, lsh_forest.join(df).collect())) == whole
+    assert max(r[2] for r in whole) > 10
+
+
+def test_scores(spark, docs, texts, nothing):
+    df = frame(spark, texts + [PROSE + f" {i % 7}" for i in range(60)])
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    found = [r for r in deleted_interpolation.score(df, block_tokens=500, bucket_keys=2_000).collect()]
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    tokens = [(i, [*WORD.findall((t or "").translate(lower)), "\0end"]) for i, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in tokens]
+    counts = collections.Counter(w for (_, own), h in zip(tokens, held) if not h for w in own)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i is None, i or 0, h, len(own), sum(counts[w] > 0 for w in own), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), 5)) for (i, own), h in zip(tokens, held))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found)
+    assert got == want
+    fresh = [r for r in found if r.held_out and r.doc_id >= len(texts)]
+    assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in found)
+    assert deleted_interpolation.score(nothing).count() == 0
+
+
+def test_expectation_maximisation_finds_the_mixture():
+    rng = np.random.default_rng(1)
+    bins2, bins1 = np.array([0, 120, 140]), np.array([90, 100, 64])
+    codes = ((5 * deleted_interpolation.BINS + bins2) * deleted_interpolation.BINS + bins1).astype(np.int64)
+    counts = rng.integers(50, 500, 3).astype(float)
+    weights = deleted_interpolation.fit_weights(codes, counts, 400)[5]
+    ratio = np.stack([deleted_interpolation.ratio_of(bins2), deleted_interpolation.ratio_of(bins1), np.ones(3)], 1)
+
+    def likelihood(w):
+        return float((counts * np.log(ratio @ w)).sum())
+
+    for _ in range(300):
+        assert likelihood(rng.dirichlet([1, 1, 1])) <= likelihood(weights) + 1e-2
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(3)
+    for values in (np.zeros(0, np.uint64), rng.integers(0, 200, 1000).astype(np.uint64), np.array([0, 1 << 63, 5], np.uint64)):
+        assert (deleted_interpolation.unsqueezed(deleted_interpolation.squeezed(values)) == values).all()
+    keys = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+    assert (deleted_interpolation.unsqueezed_keys(deleted_interpolation.squeezed_keys(keys)) == keys).all()
+
+
+def test_group_order_with_joined_prefixes():
+    keys = np.array([5, (1 << 40) + 1, 5, (1 << 40) + 2, (1 << 40) + 1, 0], np.uint64)
+    order, heads, which = wordbytes.groups(keys)
+    assert (np.sort(keys) == keys[order]).all()
+    assert len(heads) == 4 and (keys[order[heads]][which] == keys).all()
