@@ -354,8 +354,12 @@ SENTENCE = "The quick report, written in one go, says what happened and why it m
 def train(pages: DataFrame, seed: int = SEED) -> Field:
     """The field for these pages, from a bounded sample of those that mark their article."""
     rng = np.random.default_rng(seed)
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html").distinct()
-    sample = [r["html"] for r in marked.orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES).collect()]
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html")
+    # twice as many as needed, by hash, so that only those are compared and sent
+    share = min(1.0, 2 * FIT_PAGES / max(1, marked.count()))
+    highest = min((1 << 63) - 1, int((2 * share - 1) * (1 << 63)))
+    near = marked.where(F.xxhash64("html") <= F.lit(highest)).distinct()
+    sample = [r["html"] for r in near.orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES).collect()]
     labelled = []
     for page in sample or [f"<nav><a>menu</a></nav><article><h1>Report</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></article><footer>&copy; site</footer>"] * 8:
         blocks = leaves(page)
