@@ -13,12 +13,12 @@ from pyspark.sql.types import StringType
 
 @pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
-    """Keys sorted, ``", "`` and ``": "`` between parts, ASCII escapes; null for text that is no JSON."""
+    """Keys sorted, ``", "`` and ``": "`` between parts, ASCII escapes; null for text that is no JSON or nested too deeply."""
 
     def one(text):
         try:
             return json.dumps(json.loads(text), sort_keys=True)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return texts.map(one)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,34 +21,39 @@ HEADING = "(?dm)(?=^#{1,2} )"
 FENCED_ARRAY = "(?s)```json\\s*(\\[.*?\\])\\s*```"
 
 
-def _cut_after(text: str, low: int, high: int, least: int) -> int:
-    for mark in CUT_MARKS:
-        found = text.rfind(mark, low, high)
-        if found > low and found + len(mark) > least:
-            return found + len(mark)
-    return high
+class _Cuts:
+    """Where a text may be cut: per mark the positions just behind it, in ascending order."""
+
+    def __init__(self, text: str):
+        self.behind = [(len(m), [f.start() + len(m) for f in re.finditer(f"(?={re.escape(m)})", text)]) for m in CUT_MARKS]
+
+    def last(self, low: int, high: int, least: int) -> int:
+        """The last cut of the best mark in ``(low, high]`` beyond ``least``; ``high`` if there is none."""
+        for width, ends in self.behind:
+            at = bisect_right(ends, high) - 1
+            if at >= 0 and ends[at] > max(least, low + width):
+                return ends[at]
+        return high
 
 
 def split_overlapping(text: str, size: int, overlap: int) -> list[str]:
     """Pieces of at most ``size`` characters that start ``overlap`` before the last cut.
 
     A cut falls behind the preferred mark that leaves more than a quarter of the
-    size. A text that fits comes back unchanged.
+    size. A text that fits comes back unchanged. All marks are found once; each cut
+    is a search in their sorted positions.
     """
-    total = len(text)
-    if total <= size:
+    if len(text) <= size:
         return [text]
-    pieces: list[str] = []
-    low = 0
-    while True:
-        high = low + size
-        high = total if high >= total else _cut_after(text, low, high, low + size // 4)
-        piece = text[low:high].strip()
-        if piece:
-            pieces.append(piece)
-        if high >= total:
-            return pieces
-        low = min(max(low + 1, high - overlap), high)
+    cuts, spans = _Cuts(text), []
+    start, end = 0, 0
+    while end < len(text):
+        limit = start + size
+        end = cuts.last(start, limit, start + size // 4) if limit < len(text) else len(text)
+        spans.append((start, end))
+        start = min(end, max(end - overlap, start + 1))
+    stripped = (text[a:b].strip() for a, b in spans)
+    return [piece for piece in stripped if piece]
 
 
 def split_column(col: Column, size: int, overlap: int) -> Column:
@@ -92,25 +101,23 @@ def _h2(line: Column) -> Column:
 def carried_headings(blocks: Column) -> Column:
     """``array<struct<h1, h2>>``: the headings in force in each block.
 
-    A new H1 clears the H2. Only the first lines go through Python, in one pass.
+    A new H1 clears the H2. Only the first lines go through Python, all of a batch at
+    once: each heading is filled forward within its document, and H2 within its H1.
     """
 
     @pandas_udf("array<struct<h1 string, h2 string>>")
     def run(lists: pd.Series) -> pd.Series:
-        def carry(lines):
-            if lines is None:
-                return None
-            h1 = h2 = None
-            out = []
-            for line in lines:
-                if line.startswith("# "):
-                    h1, h2 = line[2:].strip(), None
-                elif line.startswith("## "):
-                    h2 = line[3:].strip()
-                out.append({"h1": h1, "h2": h2})
-            return out
-
-        return lists.map(carry)
+        sizes = lists.map(lambda x: 0 if x is None else len(x)).to_numpy()
+        lines = pd.Series([line for x in lists if x is not None for line in x], dtype=object)
+        doc = pd.Series(np.repeat(np.arange(len(sizes)), sizes))
+        level = lines.str.extract(r"^(#{1,2}) ")[0].str.len() if len(lines) else pd.Series(dtype=float)
+        title = pd.Series([x[int(n) + 1 :].strip() if n == n else None for x, n in zip(lines, level, strict=True)], dtype=object)
+        h1 = title.where(level == 1).groupby(doc).ffill()
+        part = (level == 1).groupby(doc).cumsum()
+        h2 = title.where(level == 2).groupby([doc, part]).ffill()
+        rows = [{"h1": a if isinstance(a, str) else None, "h2": b if isinstance(b, str) else None} for a, b in zip(h1, h2, strict=True)]
+        ends = np.cumsum(sizes)
+        return pd.Series([None if x is None else rows[end - size : end] for x, size, end in zip(lists, sizes, ends, strict=True)])
 
     return run(F.transform(blocks, first_line))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
@@ -33,21 +38,46 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     return spark
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a local folder is shared by all."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a
-    single-machine test) a temporary folder is taken instead.
+    A cluster names it in ``spark.checkpoint.dir``; without it there is an error. Only on
+    a single machine a temporary folder is taken instead, and removed at the end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not on_one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tollgate-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python functions work from any folder. Once per application."""
+    context = spark.sparkContext
+    name = f"tollgate-{context.applicationId}.zip"
+    if any(path.endswith(name) for path in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tollgate-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / name
+    with zipfile.ZipFile(path, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent).as_posix())
+    context.addPyFile(str(path))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/tollgate/{label}-{uuid.uuid4().hex}"
