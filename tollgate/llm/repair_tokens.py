@@ -287,6 +287,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, shard_ids: int = SHARD_IDS
                     yield flush()
         if names:
             yield flush()
+        enc.cache.clear()
 
     shards = held.repartitionByRange(int(pieces), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(task, MANIFEST)
     manifest = store.written(shards, "token-manifest")

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tollgate.llm import wordbytes as wb
 from tollgate.llm.wordcache import WordCache
 
-KEEP_PIECES = 300_000
-KEEP_PAIRS = 1_000_000
+KEEP_PIECES = 100_000
+KEEP_PAIRS = 300_000
 
 #: ASCII and the letters U+00C0 to U+017F are the same before and after composition, and
 #: fold one by one; other characters go through the tokenizer's own normaliser and splitter.
@@ -223,6 +223,11 @@ class TrieBpe:
             lengths[n] = len(flat) - before
         return lengths, np.asarray(flat, np.int32)
 
+    def forget(self) -> None:
+        """Release what a task has gathered; the vocabulary stays."""
+        self.cache.clear()
+        self.pieces = {}
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and the first id of each text (one more than texts)."""
         return self.cache.ids(column)
@@ -257,6 +262,7 @@ def encode(docs: DataFrame, path: str, extra: tuple[str, ...] = ()) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 columns = [part.column("doc_id"), *(part.column(c) for c in extra), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *extra, "ids"])
+        bpe.forget()
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra]
     schema = ", ".join(["doc_id long", *kinds, "ids array<int>"])
@@ -279,6 +285,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     text_digest.append(hashlib.sha256(bpe.decode(flat[a:b])).hexdigest())
                 columns = [part.column("doc_id"), pa.array(np.diff(edges)), pa.array(id_digest), pa.array(text_digest)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, schema)

@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from tollgate.llm import wordbytes as wb
 
-KEEP_WORDS = 3_000_000
-KEEP_IDS = 16_000_000
+KEEP_WORDS = 700_000
+KEEP_IDS = 4_000_000
 
 #: Bytes that surely end a word for the tokenizer, whatever stands beside them.
 TOKENIZER_WORD = wb.table(b" \t\n\r", inverse=True)
@@ -27,6 +27,10 @@ class WordCache:
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         """``encode`` maps distinct words to (ids per word, all ids). Keys are kept in ascending order."""
         self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words: at the bound, and at the end of a task, since workers live on."""
         self.keys = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
@@ -34,8 +38,7 @@ class WordCache:
 
     def _add(self, keys: np.ndarray, words: list[str], bounded: bool = True) -> None:
         if bounded and (len(self.keys) + len(keys) > KEEP_WORDS or len(self.flat) > KEEP_IDS):
-            self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+            self.clear()
         lengths, flat = self.encode(words)
         slot = np.arange(len(keys)) + len(self.starts) - 1
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
