@@ -7,7 +7,7 @@ documents: the training documents of fold ``DELETED_FOLD``, seen against the cou
 the other ones. The history of the first token is the end token.
 
 Work goes in blocks. A task turns about ``BLOCK_TOKENS`` tokens of whole documents into
-a sorted list of their distinct word and bigram keys (64-bit hashes), and sends each
+a sorted list of their distinct word and bigram keys (hashes of 64 and 56 bits), and sends each
 slice of that list to the bucket of its leading bits. A bucket sums the counts of all
 blocks and answers every slice with the sums; a block then scores its documents from
 the answers. What is shuffled is a few bytes per distinct key of a block, whatever the
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tollgate.llm import store
 from tollgate.llm import wordbytes as wb
+from tollgate.session import scratch_path
 
 FOLDS = 10
 HELD_FOLD = 0
@@ -60,8 +61,8 @@ def word_keys(words: np.ndarray) -> np.ndarray:
 
 
 def bigram_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Keys of bigrams are even."""
-    return wb.mix(wb.mix(before * wb.U(3)) + words) & ~ONE
+    """Keys of bigrams are even: 56 bits, with the low byte empty."""
+    return wb.mix(wb.mix(before * wb.U(3)) + words) & ~wb.U(0xFF)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -80,12 +81,16 @@ def unsqueezed(data: bytes) -> np.ndarray:
 
 
 def squeezed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys, as differences."""
-    return squeezed(np.diff(keys, prepend=wb.U(0)))
+    """Ascending distinct keys, as differences; those with an empty low byte apart, without it."""
+    empty = (keys & wb.U(0xFF)) == 0
+    first = squeezed(np.diff(keys[~empty], prepend=wb.U(0)))
+    return len(first).to_bytes(8, "little") + first + squeezed(np.diff(keys[empty] >> wb.U(8), prepend=wb.U(0)))
 
 
 def unsqueezed_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unsqueezed(data), dtype=np.uint64)
+    size = int.from_bytes(data[:8], "little")
+    first, second = (np.cumsum(unsqueezed(x), dtype=np.uint64) for x in (data[8 : 8 + size], data[8 + size :]))
+    return np.sort(np.concatenate([first, second << wb.U(8)]))
 
 
 class Block:
@@ -328,8 +333,10 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket_keys: int =
     while buckets * bucket_keys * 5 < size:
         buckets *= 2
     root = store.work_folder(spark, "lm-tokens")
-    slices = store.written(gather(docs, root, buckets, block_tokens), "lm-keys")
+    place = scratch_path(spark, "lm-keys")
+    slices = store.written(gather(docs, root, buckets, block_tokens), "lm-keys", place)
     answers = store.written(answer(slices), "lm-answers")
+    store.discard(spark, place)
     sums = answers.where("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_retained", "n_retained_words")]).first()
     n_tokens, n_words, n_retained, n_retained_words = map(int, sums)
     found = held_out_counts(answers, n_retained, n_retained_words).toArrow()

@@ -55,9 +55,14 @@ def move(source: str, target: str) -> None:
     system.move(old, new)
 
 
-def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe when executors are lost."""
-    path = scratch_path(df.sparkSession, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    path = path or scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing refers to any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
