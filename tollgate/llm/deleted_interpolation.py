@@ -154,6 +154,7 @@ def gather(docs: DataFrame, root: str, buckets: int, block_tokens: int = BLOCK_T
     """The key slices of all blocks; their tokens go to files below ``root``."""
     bits = buckets.bit_length() - 1
 
+    @wb.sparing
     def task(batches):
         held = {True: [[], [], [], [], 0], False: [[], [], [], [], 0]}
 

@@ -184,6 +184,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates))
     names = [x.split()[0] for x in RESULT.split(", ")]
 
+    @wb.sparing
     def task(batches):
         scanner = shared.value
         for batch in batches:

@@ -110,6 +110,7 @@ def labels(signature: np.ndarray) -> np.ndarray:
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, the key of the text (null without words), and its signature."""
 
+    @wb.sparing
     def task(batches):
         for batch in batches:
             for first, rows in wb.row_runs(batch.column("text")):
@@ -128,6 +129,7 @@ def signed(docs: DataFrame) -> DataFrame:
 def tree_rows(texts: DataFrame) -> DataFrame:
     """(label, key): one row per tree."""
 
+    @wb.sparing
     def task(batches):
         for batch in batches:
             for at in range(0, len(batch), 2000):
@@ -197,6 +199,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     joined = in_block_pairs(members.join(texts, "key"), "label", "key")
     least = least_agreement()
 
+    @wb.sparing
     def task(batches):
         a, b = [], []
         for piece in pieces(batches, ["label", "low", "high"]):
@@ -247,6 +250,7 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ``groups`` has doc_id, key, label and n (the size of the group) for one document per text.
     """
 
+    @wb.sparing
     def sets(batches):
         for batch in batches:
             for first, rows in wb.row_runs(batch.column("text")):
@@ -260,6 +264,7 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.hint("shuffle_hash"), "doc_id")
     rows = in_block_pairs(held.select("label", "key", "n", "text").mapInArrow(sets, "label long, key long, n long, shingles binary"), "label", "key")
 
+    @wb.sparing
     def task(batches):
         out: list[list[np.ndarray]] = []
         for piece in pieces(batches, ["label", "low", "high"]):

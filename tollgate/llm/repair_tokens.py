@@ -256,6 +256,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, shard_ids: int = SHARD_IDS
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = max(spark.sparkContext.defaultParallelism, -(-total // task_bytes))
 
+    @wb.sparing
     def task(batches):
         enc = encoder(tokenizer)
         part = TaskContext.get().partitionId()
@@ -287,7 +288,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, shard_ids: int = SHARD_IDS
                     yield flush()
         if names:
             yield flush()
-        enc.cache.clear()
+        _encoders.clear()
 
     shards = held.repartitionByRange(int(pieces), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(task, MANIFEST)
     manifest = store.written(shards, "token-manifest")
@@ -307,6 +308,7 @@ def read(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     placed = manifest.select("part", "seq", "name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     spread = placed.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "name")
 
+    @wb.sparing
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():

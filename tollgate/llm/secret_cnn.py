@@ -238,6 +238,7 @@ def train(docs: DataFrame) -> CharNet:
     highest = min((1 << 63) - 1, int((2 * share - 1) * (1 << 63)))
     sample = docs.select("text").where(F.xxhash64("text", F.lit(SEED)) <= F.lit(highest))
 
+    @wb.sparing
     def task(batches):
         for batch in batches:
             for first, rows in wb.row_runs(batch.column("text")):
@@ -283,6 +284,7 @@ def find(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
     names = [x.split()[0] for x in RESULT.split(", ")]
     nothing = hashlib.sha256(b"").hexdigest()
 
+    @wb.sparing
     def task(batches):
         model = shared.value
         for batch in batches:
@@ -321,6 +323,7 @@ def redact(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
     """The documents with secrets replaced in ``text`` and ``n_chars`` brought up to date; other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(net or train(docs))
 
+    @wb.sparing
     def task(batches):
         model = shared.value
         for batch in batches:

@@ -223,11 +223,6 @@ class TrieBpe:
             lengths[n] = len(flat) - before
         return lengths, np.asarray(flat, np.int32)
 
-    def forget(self) -> None:
-        """Release what a task has gathered; the vocabulary stays."""
-        self.cache.clear()
-        self.pieces = {}
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and the first id of each text (one more than texts)."""
         return self.cache.ids(column)
@@ -241,7 +236,7 @@ _encoders: dict[str, TrieBpe] = {}
 
 
 def encoder(path: str) -> TrieBpe:
-    """The encoder of this Python worker."""
+    """The encoder of the running task; tasks drop it at their end."""
     if path not in _encoders:
         _encoders[path] = TrieBpe(path)
     return _encoders[path]
@@ -253,6 +248,7 @@ def encode(docs: DataFrame, path: str, extra: tuple[str, ...] = ()) -> DataFrame
     ``path`` is the tokenizer file, readable on every node.
     """
 
+    @wb.sparing
     def task(batches):
         bpe = encoder(path)
         for batch in batches:
@@ -262,7 +258,7 @@ def encode(docs: DataFrame, path: str, extra: tuple[str, ...] = ()) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 columns = [part.column("doc_id"), *(part.column(c) for c in extra), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *extra, "ids"])
-        bpe.forget()
+        _encoders.clear()
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra]
     schema = ", ".join(["doc_id long", *kinds, "ids array<int>"])
@@ -272,6 +268,7 @@ def encode(docs: DataFrame, path: str, extra: tuple[str, ...] = ()) -> DataFrame
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text; per document the number of ids and the digests of ids and decoded text."""
 
+    @wb.sparing
     def task(batches):
         bpe = encoder(path)
         for batch in batches:
@@ -285,7 +282,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     text_digest.append(hashlib.sha256(bpe.decode(flat[a:b])).hexdigest())
                 columns = [part.column("doc_id"), pa.array(np.diff(edges)), pa.array(id_digest), pa.array(text_digest)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.forget()
+        _encoders.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, schema)

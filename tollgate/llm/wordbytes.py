@@ -7,6 +7,9 @@ that words and lines never cross texts. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,30 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give the memory of a finished task back to the system: Python workers outlive their tasks."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
+def sparing(task):
+    """A task over record batches that releases its memory at its end."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 

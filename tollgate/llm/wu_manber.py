@@ -205,6 +205,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, limit: i
     """Words, hit words and matching items of every document."""
     shared = [docs.sparkSession.sparkContext.broadcast(Search(own, window)) for own in slices(items, limit)]
 
+    @wb.sparing
     def task(batches):
         searches = [b.value for b in shared]
         for batch in batches:
@@ -230,6 +231,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, limit:
     """The documents without any benchmark window, with all their columns."""
     shared = [docs.sparkSession.sparkContext.broadcast(Search(own, window)) for own in slices(items, limit)]
 
+    @wb.sparing
     def task(batches):
         searches = [b.value for b in shared]
         for batch in batches:
