@@ -7,7 +7,7 @@ temporary name; the manifest of the committed shards then gives the final names
 by a running sum over shards, the place of each document in the whole stream.
 
 Re-Pair replaces frequent pairs of symbols by new symbols until no pair is frequent. A
-round replaces all pairs whose count is at least an eighth of the highest one; where
+round replaces all pairs whose count is at least a sixteenth of the highest one; where
 occurrences overlap, the leftmost goes first. A shard file holds the rules, the
 expansion length of each rule, the symbols, the expanded position of every
 ``STEP``-th symbol, and the start of each document: any range of ids is decoded from
@@ -41,13 +41,15 @@ TASK_BYTES = 16 << 20
 #: Symbols are 16-bit numbers: the ids of the vocabulary, then the rules of the shard.
 SYMBOLS = 1 << 16
 #: A pair that occurs less often is not worth a rule.
-LEAST_COUNT = 24
+LEAST_COUNT = 48
 STEP = 1024
 #: Rules that expand to more ids are expanded through their parts.
 LONG_RULE = 4096
 MAGIC = b"RPTOK001"
 HEADER = struct.Struct("<8sIIqqq")
 JOINED_WORDS = 4000
+#: Words that a Python worker holds from task to task, some 40 bytes each.
+KEEP_WORDS = 3_000_000
 
 
 class LibraryEncoder:
@@ -67,7 +69,7 @@ class LibraryEncoder:
         mark = self.library.model.end_of_word_suffix
         self.ends_piece = np.zeros(self.vocabulary, bool)
         self.ends_piece[[i for s, i in self.library.get_vocab(with_added_tokens=False).items() if s.endswith(mark)]] = True
-        self.cache = WordCache(self.encode_words)
+        self.cache = WordCache(self.encode_words, KEEP_WORDS)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.zeros(len(words), np.int64)
@@ -115,7 +117,7 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tupl
         top = int(counts.max())
         if top < least:
             break
-        good = np.flatnonzero(counts >= max(least, top // 8))
+        good = np.flatnonzero(counts >= max(least, top // 16))
         good = good[np.argsort(-counts[good], kind="stable")][: SYMBOLS - first_rule - made]
         chosen = np.sort(keys[edges[good]])
         place = np.full(1 << 20, False)
@@ -288,7 +290,6 @@ def write(docs: DataFrame, root: str, tokenizer: str, shard_ids: int = SHARD_IDS
                     yield flush()
         if names:
             yield flush()
-        _encoders.clear()
 
     shards = held.repartitionByRange(int(pieces), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(task, MANIFEST)
     manifest = store.written(shards, "token-manifest")

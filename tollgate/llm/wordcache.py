@@ -2,9 +2,9 @@
 
 A text is encoded as the ids of its white-space separated words, one after the other:
 the tokenizer normalises, splits and merges within such words only. Each worker holds
-the ids of words it has met; when more than ``KEEP_WORDS`` words or ``KEEP_IDS`` ids
-are held, it starts again with the words at hand. This bounds memory only: a word that
-was dropped is encoded again.
+the ids of words it has met; when more than ``KEEP_WORDS`` words, or
+``KEEP_IDS_PER_WORD`` times as many ids, are held, it starts again with the words at
+hand. This bounds memory only: a word that was dropped is encoded again.
 """
 
 from __future__ import annotations
@@ -17,16 +17,17 @@ import pyarrow as pa
 from tollgate.llm import wordbytes as wb
 
 KEEP_WORDS = 700_000
-KEEP_IDS = 4_000_000
+KEEP_IDS_PER_WORD = 6
 
 #: Bytes that surely end a word for the tokenizer, whatever stands beside them.
 TOKENIZER_WORD = wb.table(b" \t\n\r", inverse=True)
 
 
 class WordCache:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep_words: int | None = None):
         """``encode`` maps distinct words to (ids per word, all ids). Keys are kept in ascending order."""
         self.encode = encode
+        self.keep_words = keep_words or KEEP_WORDS
         self.clear()
 
     def clear(self) -> None:
@@ -37,7 +38,7 @@ class WordCache:
         self.flat = np.zeros(0, np.int32)
 
     def _add(self, keys: np.ndarray, words: list[str], bounded: bool = True) -> None:
-        if bounded and (len(self.keys) + len(keys) > KEEP_WORDS or len(self.flat) > KEEP_IDS):
+        if bounded and (len(self.keys) + len(keys) > self.keep_words or len(self.flat) > KEEP_IDS_PER_WORD * self.keep_words):
             self.clear()
         lengths, flat = self.encode(words)
         slot = np.arange(len(keys)) + len(self.starts) - 1
