@@ -74,14 +74,19 @@ def test_handshake_findings(spark):
 
 def test_audit_and_review(spark):
     log = spark.createDataFrame(
-        [(1, "u", "pay", 1, "b", ["TransactionBoundTokens", "AtomicTokenConsumption", "DualAgentValidation"]), (2, "u", "pay", 2, "x", []), (3, "u", "new", 5, None, [])],
-        "log_id long, use_case string, tool string, class_no int, breadcrumb string, performed array<string>",
+        [
+            (1, "u", "pay", "send", 1, "b", ["TransactionBoundTokens", "AtomicTokenConsumption", "DualAgentValidation"]),
+            (2, "u", "pay", "send", 2, "x", []),
+            (3, "u", "new", "send", 5, None, []),
+            (4, "u", "pay", "list", 3, "b", ["TransactionBoundTokens", "AtomicTokenConsumption"]),
+        ],
+        "log_id long, use_case string, tool string, action string, class_no int, breadcrumb string, performed array<string>",
     )
-    actions = spark.createDataFrame([("u", "pay", 1)], "use_case string, tool string, class_no int")
+    actions = spark.createDataFrame([("u", "pay", "send", 1), ("u", "pay", "list", 3)], "use_case string, tool string, action string, class_no int")
     crumbs = spark.createDataFrame([("u", "b")], "use_case string, breadcrumb string")
     got = {(r["log_id"], r["finding"]) for r in api.audit_invocations(log, actions, crumbs).collect()}
     assert {(2, "breadcrumb mismatch"), (2, "sensitivity drift"), (3, "breadcrumb missing"), (3, "unregistered action")} <= got
-    assert not any(i == 1 for i, _ in got) and (2, "missing DualAgentValidation") in got
+    assert not any(i in (1, 4) for i, _ in got) and (2, "missing DualAgentValidation") in got
     responses = spark.createDataFrame([(1, 'execute_code(code="import os")'), (2, "kill_process(pid=3)")], "id int, response string")
     decisions = spark.createDataFrame([(1, None, "APPROVE"), (2, "deny", "APPROVE")], "id int, human string, confirmation string")
     rows = {r["id"]: r for r in api.review_proposals(responses, decisions).collect()}

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tollgate.operators import audit, config, handshake, monitoring, ordered
-from tollgate.operators.hotkeys import attach_per_key
 from tollgate.plans.views import pair_turns
 
 
@@ -78,17 +77,8 @@ def test_exact_quantile(events):
         }
 
 
-def test_attach_per_key(events):
-    rows = events.filter("key IS NOT NULL")
-    per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    plain = rows.join(per_key.drop("n"), "key", "left")
-    for hot_rows in (10, 1000, 1_000_000):
-        same(plain, attach_per_key(rows, per_key, "key", ["first"], "n", hot_rows))
-
-
 def test_replays_with_a_hot_token(events):
     uses = events.filter("key IS NOT NULL").select(F.col("key").alias("token"), F.col("t").alias("ts"), F.col("id").alias("log_id"))
-    same(handshake.replays(uses), handshake.replays(uses, hot_rows=5))
     assert handshake.replays(uses).count() == uses.count() - uses.select("token").distinct().count()
 
 

@@ -5,11 +5,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tollgate.operators import config
+from tollgate.operators import config, handshake
 from tollgate.session import scratch_path
 from tollgate.streaming import jobs
 
-SCHEMA = "token string, log_id long, ts timestamp"
+SCHEMA = "token string, log_id long, ts timestamp, expiry timestamp"
 
 
 def write_batches(spark, batches, schema):
@@ -32,33 +32,70 @@ def run(stream, label, schema=None):
     return stream.sparkSession.read.schema(schema or stream.schema).parquet(path).collect()
 
 
+def issued(token, log_id, second, issue=0, life=300):
+    return (token, log_id, at(second), at(issue + life))
+
+
 def test_token_decisions_over_batches(spark):
     batches = [
-        [("a", 3, at(30)), ("a", 1, at(10)), ("b", 2, at(20))],
-        [("a", 4, at(5)), ("b", 5, at(40)), ("c", 6, at(50))],
+        [issued("a", 3, 30), issued("a", 1, 10), issued("b", 2, 20)],
+        [issued("a", 4, 5), issued("b", 5, 40), issued("c", 6, 50), issued("c", 7, 301)],
     ]
     path = write_batches(spark, batches, SCHEMA)
     rows = run(jobs.token_uses(jobs.read_files(spark, path, SCHEMA, files_per_trigger=1)), "tokens")
     got = {r["log_id"]: r["outcome"] for r in rows}
     # use 4 came late: the token had passed already
-    assert got == {1: "first", 3: "replay", 2: "first", 4: "replay", 5: "replay", 6: "first"}
+    assert got == {1: "first", 3: "replay", 2: "first", 4: "replay", 5: "replay", 6: "first", 7: "expired"}
+
+
+# Uses of one token far apart, other tokens between them, one file each; ``d`` is used after its life only.
+SPENT = [
+    [issued("a", 1, 0), issued("b", 2, 20, 20), issued("b", 3, 90, 20)],
+    [issued("a", 4, 1800), issued("c", 5, 1800, 1800)],
+    [issued("a", 6, 3600), issued("c", 7, 1900, 1800)],
+    [issued("a", 8, 5400), issued("d", 9, 5400, 0), issued("e", 10, 5400, 5400)],
+    [issued("a", 11, 9000), issued("f", 12, 9000, 9000)],
+]
+OUTCOMES = {1: "first", 2: "first", 3: "replay", 4: "expired", 5: "first", 6: "expired", 7: "replay", 8: "expired", 9: "expired", 10: "first", 11: "expired", 12: "first"}
+
+
+def test_spent_tokens_never_pass_again(spark):
+    path = write_batches(spark, SPENT, SCHEMA)
+    batch = handshake.outcomes(spark.read.parquet(path))
+    assert {r["log_id"]: r["outcome"] for r in batch.collect()} == OUTCOMES
+
+    def source():
+        return jobs.read_files(spark, path, SCHEMA, files_per_trigger=1)
+
+    passed = run(jobs.first_uses(source()), "first")
+    assert sorted(r["log_id"] for r in passed) == [i for i, o in OUTCOMES.items() if o == "first"]
+    decided = run(jobs.token_uses(source()), "uses")
+    assert {r["log_id"]: r["outcome"] for r in decided} == OUTCOMES
+    stream, finish = jobs.with_end(source(), "ts", "expiry")
+    lives = jobs.token_lives(stream)
+    sink = jobs.run_available(lives, "lives", finish=finish)
+    rows = spark.read.schema(lives.schema).parquet(sink).collect()
+    assert sorted((r["token"], r["first_use"], r["replays"], r["expired"]) for r in rows) == [
+        ("a", 1, 0, 2), ("b", 2, 1, 0), ("c", 5, 1, 0), ("e", 10, 0, 0), ("f", 12, 0, 0),
+    ]
 
 
-def test_token_sessions_and_passing_uses(spark):
-    batches = [
-        [("a", 1, at(10)), ("a", 2, at(100)), ("b", 3, at(20))],
-        [("a", 4, at(3600)), ("z", 9, at(90000))],
-        [("z", 10, at(180000))],
-    ]
-    path = write_batches(spark, batches, SCHEMA)
-    source = jobs.read_files(spark, path, SCHEMA, files_per_trigger=1)
-    rows = run(jobs.token_sessions(source, "5 minutes", "1 minute"), "sessions")
-    assert sorted((r["token"], r["first_use"], r["replays"]) for r in rows) == [
-        ("a", 1, 1), ("a", 4, 0), ("b", 3, 0), ("z", 9, 0),
-    ]
-    source = jobs.read_files(spark, path, SCHEMA, files_per_trigger=1)
-    passed = run(jobs.first_uses(source, "30 minutes"), "first")
-    assert sum(r["token"] == "b" for r in passed) == 1
+def test_steady_replays_do_not_prolong_a_life(spark):
+    rows = [[issued("a", i, 100 * i)] for i in range(5)]
+    path = write_batches(spark, rows, SCHEMA)
+    got = run(jobs.token_uses(jobs.read_files(spark, path, SCHEMA, files_per_trigger=1)), "steady")
+    assert {r["log_id"]: r["outcome"] for r in got} == {0: "first", 1: "replay", 2: "replay", 3: "replay", 4: "expired"}
+
+
+def test_a_finished_input_is_written_to_the_end(spark):
+    schema = "ts timestamp, metric string, value double"
+    path = write_batches(spark, [[(at(0), "m", 5.0)], [(at(3600), "m", 7.0), (at(3601), "n", 1.0)]], schema)
+    settings = spark.createDataFrame([("m", 1.0), ("n", 3.0)], "metric string, threshold double")
+    for ended, want in ((False, 1), (True, 2)):
+        stream, finish = jobs.with_end(jobs.read_files(spark, path, schema, files_per_trigger=1), "ts")
+        found = jobs.alerts(stream, settings, "5 minutes")
+        sink = jobs.run_available(found, "ended", finish=finish if ended else None)
+        assert spark.read.schema(found.schema).parquet(sink).count() == want
 
 
 def test_late_rows_are_dropped_and_counted(spark):

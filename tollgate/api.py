@@ -127,7 +127,7 @@ def apply_config_changes(changes: DataFrame, roles: DataFrame) -> dict[str, Data
 def audit_invocations(log: DataFrame, actions: DataFrame, registered: DataFrame) -> DataFrame:
     """All findings on a log: ``(log_id, finding)``.
 
-    ``actions`` holds ``(use_case, tool, class_no)``, ``registered`` ``(use_case, breadcrumb)``.
+    ``actions`` holds ``(use_case, tool, action, class_no)``, ``registered`` ``(use_case, breadcrumb)``.
     """
     crumbs = audit.breadcrumb_findings(log, registered).filter("finding <> 'ok'").select(
         "log_id", F.concat(F.lit("breadcrumb "), "finding").alias("finding")

@@ -100,12 +100,15 @@ def breadcrumb_findings(log: DataFrame, registered: DataFrame) -> DataFrame:
 
 
 def sensitivity_drift(log: DataFrame, actions: DataFrame) -> DataFrame:
-    """Invocations of unregistered actions or with another class than the verified one."""
-    known = small_table(actions.select("use_case", "tool", F.col("class_no").alias("verified_class")))
+    """Invocations of unregistered actions or with another class than the verified one.
+
+    An action is known by use case, tool and name: actions of one tool differ in class.
+    """
+    known = small_table(actions.select("use_case", "tool", "action", F.col("class_no").alias("verified_class")))
     finding = F.when(F.col("verified_class").isNull(), "unregistered action").when(
         F.col("verified_class") != F.col("class_no"), "sensitivity drift"
     )
-    return log.join(known, ["use_case", "tool"], "left").withColumn("finding", finding).filter("finding IS NOT NULL")
+    return log.join(known, ["use_case", "tool", "action"], "left").withColumn("finding", finding).filter("finding IS NOT NULL")
 
 
 def missing_extensions(log: DataFrame, performed: str = "performed") -> DataFrame:

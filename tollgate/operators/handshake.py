@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.operators.hotkeys import HOT_ROWS, attach_per_key
+from tollgate.session import cut_lineage
 
 
 def parameters_bound(params: Column, authorised_hash: Column) -> Column:
@@ -23,13 +23,31 @@ def first_uses(uses: DataFrame, key: str = "token", order: tuple[str, ...] = ("t
     return uses.groupBy(key).agg(F.count("*").alias("uses"), first.alias("first_use"))
 
 
-def replays(
-    uses: DataFrame, key: str = "token", order: tuple[str, ...] = ("ts", "log_id"), hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Every use of a single-use token but the first. A token used by most rows stays spread."""
-    per_token = first_uses(uses, key, order)
-    seen = attach_per_key(uses, per_token, key, ["first_use"], "uses", hot_rows)
-    return seen.filter(F.struct(*order) != F.col("first_use"))
+def outcomes(uses: DataFrame, key: str = "token", order: tuple[str, ...] = ("ts", "log_id"), expiry: str = "expiry") -> DataFrame:
+    """``outcome`` of every use of a single-use token: ``first``, ``replay`` or ``expired``.
+
+    The life of a token runs from its issue to ``expiry``, whatever is done with it. A
+    use after it is expired and spends nothing; of the uses within it the first passes
+    and the others are replays. A use without a token is null.
+
+    The first uses are stored before the join, so that adaptive execution can split the
+    rows of a token that most of them use.
+    """
+    alive = F.col(order[0]) <= F.col(expiry)
+    first = cut_lineage(first_uses(uses.filter(alive & F.col(key).isNotNull()), key, order).select(key, "first_use"))
+    outcome = (
+        F.when(F.col(key).isNull(), F.lit(None))
+        .when(~alive, "expired")
+        .when(F.struct(*order) == F.col("first_use"), "first")
+        .otherwise("replay")
+    )
+    return uses.join(first, key, "left").select(*uses.columns, outcome.alias("outcome"))
+
+
+def replays(uses: DataFrame, key: str = "token", order: tuple[str, ...] = ("ts", "log_id")) -> DataFrame:
+    """Every use of a single-use token but the first, for uses known to lie within the token's life."""
+    marked = outcomes(uses.withColumn("_expiry", F.col(order[0])), key, order, "_expiry")
+    return marked.filter("outcome = 'replay'").select(*uses.columns)
 
 
 def match(authorised: DataFrame, executed: DataFrame) -> DataFrame:

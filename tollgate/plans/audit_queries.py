@@ -8,12 +8,12 @@ from tollgate.functions.canonical import breadcrumb
 from tollgate.operators import audit, handshake, monitoring, pebbles
 from tollgate.plans import views
 from tollgate.plans.catalog import query, view
-from tollgate.sources.logs import parse_invocations
+from tollgate.sources.logs import parse_invocations, tool_and_action
 
 
 @query(
     "invocation_scan",
-    """SELECT event_id::VARCHAR AS log_entry_id, event_type AS tool, user_id::VARCHAR AS user_id, sha256(props) AS parameters_hash,
+    """SELECT event_id::VARCHAR AS log_entry_id, event_type AS tool, 'run-' || event_type AS action, user_id::VARCHAR AS user_id, sha256(props) AS parameters_hash,
          epoch_us(ts) // 1000 AS ts_millis, 1 + event_id % 2 AS checks FROM events""",
 )
 def invocation_scan(spark, sf_dir):
@@ -26,7 +26,7 @@ def invocation_scan(spark, sf_dir):
                 F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
                 F.struct(F.col("user_id").cast("string").alias("id")).alias("user"),
             ).alias("transaction"),
-            F.struct(F.col("event_type").alias("name"), F.sha2("props", 256).alias("parameters_hash")).alias("tool"),
+            F.struct(F.concat("event_type", F.lit("/run-"), "event_type").alias("name"), F.sha2("props", 256).alias("parameters_hash")).alias("tool"),
             F.struct(
                 F.when(F.col("event_id") % 2 == 0, F.array(F.lit("pattern")))
                 .otherwise(F.array(F.lit("pattern"), F.lit("schema")))
@@ -34,9 +34,11 @@ def invocation_scan(spark, sf_dir):
             ).alias("validation"),
         )
     )
+    tool, action = tool_and_action(F.col("tool.name"))
     return parse_invocations(ev.select(line.alias("value"))).select(
         "log_entry_id",
-        F.col("tool.name").alias("tool"),
+        tool.alias("tool"),
+        action.alias("action"),
         F.col("transaction.user.id").alias("user_id"),
         F.col("tool.parameters_hash").alias("parameters_hash"),
         F.unix_millis("transaction.timestamp").alias("ts_millis"),
@@ -107,14 +109,14 @@ def breadcrumb_mismatch(spark, sf_dir):
 
 @query(
     "sensitivity_drift",
-    """SELECT log_id, i.use_case, i.tool, CASE WHEN r.tool IS NULL THEN 'unregistered action' ELSE 'sensitivity drift' END AS finding
-       FROM invocations i LEFT JOIN registry r ON r.use_case = i.use_case AND r.tool = i.tool
+    """SELECT log_id, i.use_case, i.tool, i.action, CASE WHEN r.tool IS NULL THEN 'unregistered action' ELSE 'sensitivity drift' END AS finding
+       FROM invocations i LEFT JOIN registry r ON r.use_case = i.use_case AND r.tool = i.tool AND r.action = i.action
        WHERE r.tool IS NULL OR r.class_no <> i.class_no""",
     "invocations registry",
 )
 def sensitivity_drift(spark, sf_dir):
     found = audit.sensitivity_drift(views.invocations(spark, sf_dir), views.registry(spark, sf_dir))
-    return found.select("log_id", "use_case", "tool", "finding")
+    return found.select("log_id", "use_case", "tool", "action", "finding")
 
 
 @query(
@@ -280,13 +282,13 @@ def handshake_metrics(spark, sf_dir):
 
 @query(
     "token_replay",
-    """SELECT token, log_id FROM (SELECT token, log_id, row_number() OVER (PARTITION BY token ORDER BY ts, log_id) AS use_no FROM invocations)
-       WHERE use_no > 1""",
-    "invocations",
+    """SELECT token, log_id, CASE WHEN ts > expiry THEN 'expired' WHEN EXISTS (SELECT 1 FROM token_uses e
+           WHERE e.token = u.token AND e.ts <= e.expiry AND (e.ts, e.log_id) < (u.ts, u.log_id)) THEN 'replay' ELSE 'first' END AS outcome
+       FROM token_uses u""",
+    "token_uses",
 )
 def token_replay(spark, sf_dir):
-    uses = views.invocations(spark, sf_dir).select("token", "ts", "log_id")
-    return handshake.replays(uses).select("token", "log_id")
+    return handshake.outcomes(views.as_token_uses(views.events(spark, sf_dir))).select("token", "log_id", "outcome")
 
 
 # --- pebbles ------------------------------------------------------------------------------------

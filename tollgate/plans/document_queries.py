@@ -429,7 +429,7 @@ HELP_POLICIES = {
 }
 
 
-@query("help_queries", "SELECT request_id, no::INTEGER AS no, q AS query FROM help_queries WHERE no <= 3", "help_queries")
+@query("help_queries", "SELECT request_id, no::INTEGER AS no, q AS query FROM help_queries WHERE no <= CASE policy WHEN 'mediagate' THEN 4 ELSE 3 END", "help_queries")
 def help_queries(spark, sf_dir):
     asked = help.with_help_queries(rejected(spark, sf_dir), views.POLICIES)
     rows = asked.select("request_id", F.posexplode("queries_used").alias("no", "query"))
@@ -456,7 +456,7 @@ view(
     """SELECT key, dim, count(*)::DOUBLE AS x FROM (SELECT key, (unicode(c[i]) * 961 + unicode(c[i + 1]) * 31 + unicode(c[i + 2])) % 64 AS dim
          FROM (SELECT key, c, unnest(range(1, len(c) - 1)) AS i FROM
            (SELECT key, string_split(' ' || lower(t) || ' ', '') AS c FROM
-             (SELECT 'd' || doc_id AS key, text AS t FROM documents WHERE text <> '' UNION SELECT 'q' || q, q FROM help_queries WHERE no <= 3)))) GROUP BY 1, 2""",
+             (SELECT 'd' || doc_id AS key, text AS t FROM documents WHERE text <> '' UNION SELECT 'q' || q, q FROM help_queries WHERE no <= 4)))) GROUP BY 1, 2""",
     "help_queries",
 )
 view(
@@ -475,8 +475,8 @@ view(
     "suggested",
     """SELECT request_id, id, max(score) AS score, count(*) OVER (PARTITION BY request_id) AS relevant,
          row_number() OVER (PARTITION BY request_id ORDER BY max(score) DESC, id) AS rank, any_value(total) AS total
-       FROM (SELECT h.request_id, x.id, x.score, CASE policy WHEN 'strictgate' THEN 4 ELSE 5 END AS total FROM help_queries h JOIN hits x ON x.query = h.q
-             WHERE h.no <= 3 AND x.score >= 0.1 AND h.policy <> 'basicgate' AND x.rank <= CASE policy WHEN 'strictgate' THEN 2 ELSE 3 END)
+       FROM (SELECT h.request_id, x.id, x.score, 4 AS total FROM help_queries h JOIN hits x ON x.query = h.q
+             WHERE h.no <= CASE policy WHEN 'mediagate' THEN 4 ELSE 3 END AND x.score >= CASE policy WHEN 'mediagate' THEN 0.15 ELSE 0.1 END AND h.policy <> 'basicgate' AND x.rank <= 2)
        GROUP BY request_id, id""",
     "help_queries hits",
 )

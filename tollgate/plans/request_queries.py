@@ -118,7 +118,7 @@ def rule_required(spark, sf_dir):
 @query(
     "rule_format",
     """SELECT request_id,
-         CASE WHEN user_email IS NOT NULL AND NOT regexp_matches(user_email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$')
+         CASE WHEN user_email IS NOT NULL AND NOT regexp_matches(user_email, '^[^@ ]+@[^@ ]+[.][a-z]{2,9}$')
               THEN 'Field ''user_email'' does not match required format pattern.' ELSE '' END
          || CASE WHEN user_id IS NOT NULL THEN
               'Invalid regex pattern in ''format_validation'' for field ''user_id'': unterminated character set at position 0' ELSE '' END AS violations
@@ -327,7 +327,7 @@ view(
           CASE WHEN length(output_text) > 300 THEN 'Field ''output_text'' (length ' || length(output_text) || ') exceeds maximum length of 300 characters.' END AS long_out,
           CASE WHEN coalesce(input_text, '') = '' THEN 'Required field ''input_text'' is missing or empty.' END AS no_input,
           CASE WHEN coalesce(user_id, '') = '' THEN 'Required field ''user_id'' is missing or empty.' END AS no_user,
-          CASE WHEN user_email IS NOT NULL AND NOT regexp_matches(user_email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$')
+          CASE WHEN user_email IS NOT NULL AND NOT regexp_matches(user_email, '^[^@ ]+@[^@ ]+[.][a-z]{2,9}$')
                THEN 'Field ''user_email'' does not match required format pattern.' END AS bad_mail,
           CASE WHEN io_probability < 0.45 AND (input_text <> '' OR output_text <> '')
                THEN format('ModernBERT I/O validation failed (validity score: {:.2f}).', io_probability) END AS pair,

@@ -13,7 +13,7 @@ from tollgate.plans import views
 from tollgate.plans.agent_queries import as_results
 from tollgate.plans.catalog import query
 from tollgate.plans.request_queries import _STATUS, checked_items
-from tollgate.session import scratch_path
+from tollgate.session import cut_lineage, scratch_path, small_table
 from tollgate.sources.logs import action_log_view, audit_entries, read_audit
 from tollgate.streaming import jobs
 
@@ -25,6 +25,11 @@ def event_stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def ended_stream(spark, sf_dir):
+    """The events as an input that is complete, and the call that says so."""
+    return jobs.with_end(event_stream(spark, sf_dir), "ts")
+
+
 def _sink(spark, path, schema, fmt="parquet"):
     return spark.read.schema(schema).format(fmt).load(path)
 
@@ -52,24 +57,22 @@ def stream_validate(spark, sf_dir):
     )
 
 
-# Windows leave the state when the watermark, ten minutes behind the last event, has passed them.
-_CLOSED = "epoch_us(w) + {0}000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)"
-
-
 @query(
     "rate_limit",
     f"""SELECT epoch(w)::BIGINT AS window_start, policy, user_id, calls FROM
          (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS policy, user_id, count(*) AS calls FROM events GROUP BY 1, 2, 3)
-       WHERE calls > 1 AND {_CLOSED.format(3600)}""",
+       WHERE calls > 1""",
 )
 def rate_limit(spark, sf_dir):
-    calls = event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("policy"), "user_id")
-    found = _run(jobs.rate_limit(calls, ["policy", "user_id"], 1, "1 hour"), "rate-limit", sf_dir)
+    events, finish = ended_stream(spark, sf_dir)
+    calls = events.select("ts", F.col("event_type").alias("policy"), "user_id")
+    found = _run(jobs.rate_limit(calls, ["policy", "user_id"], 1, "1 hour"), "rate-limit", sf_dir, finish=finish)
     return found.withColumn("window_start", F.unix_seconds("window_start"))
 
 
 def _metrics(spark, sf_dir):
-    return event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("metric"), "value")
+    events, finish = ended_stream(spark, sf_dir)
+    return events.select("ts", F.col("event_type").alias("metric"), "value"), finish
 
 
 def _settings(spark):
@@ -85,10 +88,11 @@ _THRESHOLDS = "(VALUES ('click', 12.0), ('view', 10.0), ('purchase', 15.0), ('si
     "quick_alert",
     f"""SELECT epoch(w)::BIGINT AS window_start, metric, round(mean, 6) AS mean, samples FROM
          (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, event_type AS metric, avg(value) AS mean, count(*) AS samples FROM events GROUP BY 1, 2)
-         JOIN {_THRESHOLDS} USING (metric) WHERE mean > threshold AND {_CLOSED.format(300)}""",
+         JOIN {_THRESHOLDS} USING (metric) WHERE mean > threshold""",
 )
 def quick_alert(spark, sf_dir):
-    found = _run(jobs.alerts(_metrics(spark, sf_dir), _settings(spark), "5 minutes"), "alerts", sf_dir)
+    metrics, finish = _metrics(spark, sf_dir)
+    found = _run(jobs.alerts(metrics, _settings(spark), "5 minutes"), "alerts", sf_dir, finish=finish)
     return found.select(F.unix_seconds("window_start").alias("window_start"), "metric", F.round("mean", 6).alias("mean"), "samples")
 
 
@@ -97,10 +101,11 @@ def quick_alert(spark, sf_dir):
     f"""SELECT epoch(w)::BIGINT AS window_start, metric, round(mean, 6) AS mean, samples FROM
          (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS w, event_type AS metric, avg(value) AS mean, count(*) AS samples
           FROM events, (VALUES (0), (1)) v(k) GROUP BY 1, 2)
-         JOIN {_THRESHOLDS} USING (metric) WHERE mean > threshold AND {_CLOSED.format(3600)}""",
+         JOIN {_THRESHOLDS} USING (metric) WHERE mean > threshold""",
 )
 def quick_alert_sliding(spark, sf_dir):
-    found = _run(jobs.alerts(_metrics(spark, sf_dir), _settings(spark), "1 hour", "30 minutes"), "alerts-sliding", sf_dir)
+    metrics, finish = _metrics(spark, sf_dir)
+    found = _run(jobs.alerts(metrics, _settings(spark), "1 hour", "30 minutes"), "alerts-sliding", sf_dir, finish=finish)
     return found.select(F.unix_seconds("window_start").alias("window_start"), "metric", F.round("mean", 6).alias("mean"), "samples")
 
 
@@ -108,12 +113,13 @@ def quick_alert_sliding(spark, sf_dir):
     "stream_baseline",
     f"""SELECT epoch(w)::BIGINT AS window_start, metric, samples, round((m.mean - b.mean) / b.spread, 6) AS deviation FROM
          (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS metric, avg(value) AS mean, count(*) AS samples FROM events GROUP BY 1, 2) m
-         JOIN (SELECT event_type AS metric, avg(value) AS mean, stddev_samp(value) AS spread FROM events GROUP BY 1) b USING (metric)
-       WHERE {_CLOSED.format(3600)}""",
+         JOIN (SELECT event_type AS metric, avg(value) AS mean, stddev_samp(value) AS spread FROM events GROUP BY 1) b USING (metric)""",
 )
 def stream_baseline(spark, sf_dir):
-    stored = monitoring.baseline(views.metrics(spark, sf_dir), ["metric"])
-    found = _run(jobs.against_baseline(_metrics(spark, sf_dir), stored, "1 hour"), "baseline", sf_dir)
+    # stored once: a stream would work the aggregate out again in every batch
+    stored = cut_lineage(monitoring.baseline(views.metrics(spark, sf_dir), ["metric"]))
+    metrics, finish = _metrics(spark, sf_dir)
+    found = _run(jobs.against_baseline(metrics, stored, "1 hour"), "baseline", sf_dir, finish=finish)
     return found.select(
         F.unix_seconds("window_start").alias("window_start"), "metric", "samples", F.round("deviation", 6).alias("deviation")
     )
@@ -126,30 +132,29 @@ def stream_baseline(spark, sf_dir):
 )
 def stream_breadcrumb(spark, sf_dir):
     log = views.as_invocations(event_stream(spark, sf_dir))
-    found = audit.breadcrumb_findings(log, views.breadcrumbs(spark, sf_dir))
+    found = audit.breadcrumb_findings(log, small_table(views.breadcrumbs(spark, sf_dir)))
     return _run(found.select("log_id", "finding"), "breadcrumbs", sf_dir)
 
 
 @query(
     "stream_token_once",
-    """SELECT token, min(log_id) FILTER (no = 1) AS first_use, count(*) - 1 AS replays FROM
-         (SELECT *, row_number() OVER (PARTITION BY token, session ORDER BY ts, log_id) AS no FROM
-           (SELECT *, sum(fresh) OVER (PARTITION BY token ORDER BY ts, log_id) AS session FROM
-             (SELECT token, log_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY token ORDER BY ts, log_id) < INTERVAL 5 DAY THEN 0 ELSE 1 END AS fresh FROM invocations)))
-       GROUP BY token, session HAVING max(epoch_us(ts)) + 432000000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)""",
-    "invocations",
+    """SELECT token, min(log_id) FILTER (outcome = 'first') AS first_use, count(*) FILTER (outcome = 'replay') AS replays, count(*) FILTER (outcome = 'expired') AS expired FROM
+         (SELECT token, log_id, CASE WHEN ts > expiry THEN 'expired'
+            WHEN row_number() OVER (PARTITION BY token, ts <= expiry ORDER BY ts, log_id) = 1 THEN 'first' ELSE 'replay' END AS outcome FROM token_uses)
+       GROUP BY token""",
+    "token_uses",
 )
 def stream_token_once(spark, sf_dir):
-    """Tokens of a five-day life whose life is over."""
-    uses = views.as_invocations(event_stream(spark, sf_dir))
-    return _run(jobs.token_sessions(uses, "5 days"), "tokens", sf_dir).select("token", "first_use", "replays")
+    """What happened to every token of a twelve-hour life."""
+    events, finish = ended_stream(spark, sf_dir)
+    return _run(jobs.token_lives(views.as_token_uses(events), "12 hours"), "tokens", sf_dir, finish=finish)
 
 
-@query("stream_token_first", "SELECT DISTINCT token FROM invocations", "invocations")
+@query("stream_token_first", "SELECT DISTINCT token FROM token_uses WHERE ts <= expiry", "token_uses")
 def stream_token_first(spark, sf_dir):
-    """The uses that pass: one per token."""
-    uses = views.as_invocations(event_stream(spark, sf_dir)).select("token", "ts")
-    return _run(jobs.first_uses(uses), "token-first", sf_dir).select("token")
+    """The uses that pass: one per token that was used within its life."""
+    uses = views.as_token_uses(event_stream(spark, sf_dir)).select("token", "ts", "expiry")
+    return _run(jobs.first_uses(uses, "12 hours"), "token-first", sf_dir).select("token")
 
 
 @query(

@@ -97,7 +97,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+EMAIL_PATTERN = r"^[^@ ]+@[^@ ]+[.][a-z]{2,9}$"
 IMAGE_WORDS = ["THE", "ouen", "ieren"]
 
 # Sample policies for the queries below.
@@ -144,10 +144,10 @@ POLICIES: dict[str, dict] = {
         "documentation_assistance": {
             "enabled": True,
             "index_path": "docs",
-            "max_suggestions_per_query": 3,
-            "max_total_suggestions": 5,
-            "min_similarity_threshold": 0.1,
-            "max_help_queries_to_use": 3,
+            "max_suggestions_per_query": 2,
+            "max_total_suggestions": 4,
+            "min_similarity_threshold": 0.15,
+            "max_help_queries_to_use": 4,
         },
     },
 }
@@ -243,7 +243,7 @@ def files(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> Da
 
 view(
     "invocations",
-    """SELECT event_id AS log_id, ts, user_id, event_type AS tool,
+    """SELECT event_id AS log_id, ts, user_id, event_type AS tool, CASE WHEN event_id % 4 = 3 THEN 'peek-' ELSE 'run-' END || event_type AS action,
          CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS class_no,
          'uc-' || user_id % 5 AS use_case,
          CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'bad' ELSE sha256('uc-' || user_id % 5) END AS breadcrumb,
@@ -274,6 +274,7 @@ def as_invocations(rows: DataFrame) -> DataFrame:
         "ts",
         "user_id",
         kind.alias("tool"),
+        F.concat(F.when(eid % 4 == 3, "peek-").otherwise("run-"), kind).alias("action"),
         number.alias("class_no"),
         use_case.alias("use_case"),
         F.when(eid % 13 == 0, F.lit(None))
@@ -292,17 +293,39 @@ def as_invocations(rows: DataFrame) -> DataFrame:
     )
 
 
+view(
+    "token_uses",
+    """SELECT event_id AS log_id, ts, sha256(event_type || '|' || user_id % 7 || '|' || CAST(date_trunc('day', ts) AS DATE)) AS token,
+         date_trunc('day', ts) + INTERVAL 12 HOUR AS expiry FROM events""",
+)
+
+
+def as_token_uses(rows: DataFrame) -> DataFrame:
+    """Events (batch or stream) as uses of tokens issued at midnight for twelve hours."""
+    day = F.date_trunc("day", "ts")
+    text = F.concat_ws("|", "event_type", (F.col("user_id") % 7).cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    return rows.select(
+        F.col("event_id").alias("log_id"), "ts", F.sha2(text, 256).alias("token"), (day + F.expr("INTERVAL 12 HOURS")).alias("expiry")
+    )
+
+
 def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_invocations(events(spark, sf_dir))
 
 
-# Registered actions: every observed (use case, tool) but purchases of uc-4; the class of
-# clicks in uc-3 was verified as 3, and views were attested one class higher than verified.
+# Registered actions: two for every observed (use case, tool) but purchases of uc-4. The class
+# of run-click in uc-3 was verified as 3, views were attested one class higher than verified,
+# and the other action of a tool is one class less sensitive.
 view(
     "registry",
-    """SELECT use_case, tool, 'run-' || tool AS action,
-         CASE WHEN use_case = 'uc-3' AND tool = 'click' THEN 3 ELSE min(class_no) END AS class_no,
-         CASE WHEN tool = 'view' THEN 4 WHEN use_case = 'uc-3' AND tool = 'click' THEN 3 ELSE min(class_no) END AS attested_no
+    """SELECT use_case, tool, 'run-' || tool AS action, class_no, CASE WHEN tool = 'view' THEN 4 ELSE class_no END AS attested_no FROM registered_tools
+       UNION ALL
+       SELECT use_case, tool, 'peek-' || tool, least(class_no + 1, 5), least(class_no + 1, 5) FROM registered_tools""",
+    "registered_tools",
+)
+view(
+    "registered_tools",
+    """SELECT use_case, tool, CASE WHEN use_case = 'uc-3' AND tool = 'click' THEN 3 ELSE min(class_no) END AS class_no
        FROM invocations WHERE NOT (use_case = 'uc-4' AND tool = 'purchase') GROUP BY use_case, tool""",
     "invocations",
 )
@@ -322,13 +345,18 @@ def registry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = (F.col("use_case") == "uc-3") & (F.col("tool") == "click")
     verified = F.when(raised, 3).otherwise(F.col("n"))
     attested = F.when(F.col("tool") == "view", 4).otherwise(verified)
-    action = F.struct(
-        F.concat(F.lit("run-"), F.col("tool")).alias("action_name"),
-        class_name(attested).alias("mcp_classification_attested_by_user"),
-        class_name(verified).alias("mcp_classification_verified"),
-        required_extensions(verified).alias("mcp_handshake_extensions_required"),
-    )
-    per_tool = tools.select("use_case", F.struct(F.col("tool").alias("tool_system_id"), F.array(action).alias("actions")).alias("t"))
+    less = F.least(verified + 1, F.lit(5))
+
+    def action(prefix, attested_class, verified_class):
+        return F.struct(
+            F.concat(F.lit(prefix), F.col("tool")).alias("action_name"),
+            class_name(attested_class).alias("mcp_classification_attested_by_user"),
+            class_name(verified_class).alias("mcp_classification_verified"),
+            required_extensions(verified_class).alias("mcp_handshake_extensions_required"),
+        )
+
+    actions = F.array(action("run-", attested, verified), action("peek-", less, less))
+    per_tool = tools.select("use_case", F.struct(F.col("tool").alias("tool_system_id"), actions.alias("actions")).alias("t"))
     # a registry document lists the tools of one use case, at most one per event type
     documents = per_tool.groupBy("use_case").agg(F.array_sort(F.collect_list("t")).alias("tools_and_actions"))
     return documents.select(

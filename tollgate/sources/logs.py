@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INVOCATION_SCHEMA = (
@@ -32,6 +32,13 @@ def parse_invocations(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, INVOCATION_SCHEMA).alias("entry")).select("entry.*")
 
 
+def tool_and_action(name: Column) -> tuple[Column, Column]:
+    """The parts of a logged name ``tool/action``; the action is null without a slash."""
+    cut = F.locate("/", name)
+    action = F.when(cut > 0, F.substr(name, cut + 1))
+    return F.when(cut > 0, F.substr(name, F.lit(1), cut - 1)).otherwise(name), action
+
+
 def read_invocations(spark: SparkSession, path: str) -> DataFrame:
     return parse_invocations(spark.read.text(path))
 

@@ -6,14 +6,16 @@ windows with watermarks, the single-use token state and the two-phase join.
 
 from __future__ import annotations
 
+import datetime
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, StringType, StructField, StructType
 
 from tollgate.session import scratch_path
 
@@ -41,14 +43,56 @@ def state_partitions(spark: SparkSession, path: str, bytes_each: int = 128 << 20
     return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+FAR = datetime.datetime(9000, 1, 1)
+
+
+def _empty(kind: DataType):
+    """A value of the type that is not null, for the types of log columns."""
+    if isinstance(kind, StringType):
+        return ""
+    if isinstance(kind, FractionalType):
+        return 0.0
+    if isinstance(kind, BooleanType):
+        return False
+    return 0 if isinstance(kind, IntegralType) else None
+
+
+def with_end(stream: DataFrame, *times: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream, and a call that tells it that its input is finished.
+
+    Windows and token lives are written when the watermark passes their end, so those of
+    the last minutes of an input stay open for rows that might still come. For a finished
+    input, hand the call to :func:`run_available` as ``finish``: when all rows are
+    processed it adds one row that is far ahead in ``times`` and empty otherwise (not null:
+    the optimiser drops rows without a join key before the watermark sees them), and a
+    second run from the same checkpoint writes what is left. That row's own window is
+    never written; jobs that pass single rows on have no use for it.
+    """
+    spark, schema = stream.sparkSession, StructType([StructField(f.name, f.dataType) for f in stream.schema])
+    folder = scratch_path(spark, "stream-end")
+    spark.createDataFrame([], schema).write.parquet(folder)
+
+    def finish() -> None:
+        row = tuple(FAR if f.name in times else _empty(f.dataType) for f in schema)
+        spark.createDataFrame([row], schema).write.mode("append").parquet(folder)
+
+    return stream.unionByName(spark.readStream.schema(schema).parquet(folder)), finish
+
+
 def run_available(
     stream: DataFrame, label: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "append",
-    path: str | None = None, partitions: int | None = None,
+    path: str | None = None, partitions: int | None = None, finish: Callable[[], None] | None = None,
 ) -> str:
     """Process what is there into a file sink and stop; gives the sink's path.
 
     Sink and checkpoint lie in the shared folder, so a restart goes on where it stopped.
+    With ``finish`` (see :func:`with_end`) the input is taken as complete.
     """
+    if finish is not None:
+        base = path or scratch_path(stream.sparkSession, label)
+        run_available(stream, label, fmt, partition_by, mode, base, partitions)
+        finish()
+        return run_available(stream, label, fmt, partition_by, mode, base, partitions)
     conf, setting = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
     before = conf.get(setting)
     base = path or scratch_path(stream.sparkSession, label)
@@ -115,39 +159,47 @@ def against_baseline(metrics: DataFrame, stored: DataFrame, every: str, late: st
 
 
 # --- single-use tokens -------------------------------------------------------------------------------
+#
+# Uses carry the ``expiry`` of their token, which runs from its issue. A use after it is
+# expired, whatever went before; of the uses within it the first passes, the others are
+# replays. A token can be forgotten once no use within its life can arrive any more, that
+# is when the watermark has passed its expiry: no earlier, however long it stays silent.
+
+
+def _alive() -> Column:
+    return F.col("ts") <= F.col("expiry")
 
 
-def token_sessions(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """First use and number of replays of every token, per life of the token.
+def _until_expiry(uses: DataFrame, life: str, late: str) -> DataFrame:
+    """State by expiry: the watermark stays behind the youngest token by its life and the lateness."""
+    seconds = pd.Timedelta(life).total_seconds() + pd.Timedelta(late).total_seconds()
+    return uses.withWatermark("expiry", f"{math.ceil(seconds)} seconds")
 
-    A session ends when a token was not used for ``life``. Uses merge inside each
-    task before the shuffle, so a token replayed by most rows sends few of them.
-    State ends with the watermark.
+
+def token_lives(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """First use, replays and expired uses of every token, written when its life is over.
+
+    ``life`` is the longest life of a token. Uses merge inside each task before the
+    shuffle, so a token replayed by most rows sends few of them. Expired uses count if
+    they arrive before the life is written; later ones are late rows, and never pass.
     """
-    uses.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    span = F.session_window("ts", life)
-    counted = uses.withWatermark("ts", late).groupBy(span, "token").agg(
-        F.min(F.struct("ts", "log_id")).alias("first"), F.count("*").alias("uses")
-    )
-    return counted.select(
-        "token",
-        F.col("session_window.start").alias("first_ts"),
-        F.col("first.log_id").alias("first_use"),
-        (F.col("uses") - 1).alias("replays"),
+    first = F.min(F.when(_alive(), F.struct("ts", "log_id")))
+    counted = _until_expiry(uses, life, late).groupBy("token", "expiry").agg(
+        first.alias("first"), F.count_if(_alive()).alias("alive"), F.count_if(~_alive()).alias("expired")
     )
+    replays = F.greatest(F.col("alive") - 1, F.lit(0))
+    return counted.select("token", F.col("first.log_id").alias("first_use"), replays.alias("replays"), "expired")
 
 
 def token_uses(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """``outcome`` of every use of a token: ``first`` or ``replay``.
+    """``outcome`` of every use of a token: ``first``, ``replay`` or ``expired``.
 
     Decides each use on its own, in Python, at some milliseconds per token and
-    batch; :func:`token_sessions` and :func:`first_uses` stay in the JVM.
-    The earliest use of the first batch that shows a token passes, all others are
-    replays. Rows pass through one at a time and only the best candidate is held,
-    so memory does not grow with the number of uses. State ends when the
-    watermark passes the token's life.
+    batch; :func:`token_lives` and :func:`first_uses` stay in the JVM.
+    The earliest use within its life of the first batch that shows a token passes, other
+    ones are replays. Expired uses need no state. Rows pass through one at a time and only
+    the best candidate is held, so memory does not grow with the number of uses.
     """
-    keep = int(pd.Timedelta(life).total_seconds() * 1000)
     schema = "token string, log_id bigint, ts timestamp, outcome string"
 
     def decide(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -155,7 +207,7 @@ def token_uses(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes
             state.remove()
             return
         used = state.exists
-        latest = state.get[0] if used else 0
+        over = state.get[0] if used else 0
         best: tuple | None = None
 
         def told(times, ids, outcome):
@@ -163,7 +215,7 @@ def token_uses(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes
 
         for chunk in chunks:
             times, ids = chunk["ts"].to_numpy(), chunk["log_id"].to_numpy()
-            latest = max(latest, int(times.max().astype("datetime64[ms]").astype("int64")))
+            over = max(over, int(chunk["expiry"].max().value // 1_000_000))
             replayed = np.ones(len(ids), dtype=bool)
             if not used:
                 first = np.lexsort((ids, times))[0]
@@ -177,18 +229,20 @@ def token_uses(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes
                 yield told(times[replayed], ids[replayed], "replay")
         if best is not None:
             yield told([best[0]], [best[1]], "first")
-        state.update((latest,))
-        state.setTimeoutTimestamp(max(latest + keep, state.getCurrentWatermarkMs() + 1))
+        state.update((over,))
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
 
-    marked = uses.select("token", "log_id", "ts").withWatermark("ts", late)
-    return marked.groupBy("token").applyInPandasWithState(
-        decide, schema, "latest bigint", "append", GroupStateTimeout.EventTimeTimeout
+    own = uses.select("token", "log_id", "ts", "expiry")
+    alive = _until_expiry(own.filter(_alive()), life, late)
+    decided = alive.groupBy("token").applyInPandasWithState(
+        decide, schema, "over bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return decided.unionByName(own.filter(~_alive()).select("token", "log_id", "ts", F.lit("expired").alias("outcome")))
 
 
-def first_uses(uses: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Only the uses that pass: the first arrival of each token within the watermark."""
-    return uses.withWatermark("ts", late).dropDuplicatesWithinWatermark(["token"])
+def first_uses(uses: DataFrame, life: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Only the uses that pass: the first arrival of each token within its life."""
+    return _until_expiry(uses.filter(_alive()), life, late).dropDuplicatesWithinWatermark(["token"])
 
 
 # --- two-phase handshake ----------------------------------------------------------------------------------
