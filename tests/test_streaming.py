@@ -157,6 +157,21 @@ def test_config_decisions(spark):
     assert {r["field"] for r in config.new_fields(accepted).collect()} == {"gpu_config", "callbackUrl"}
 
 
+def test_a_refused_change_records_no_type(spark):
+    good = '{"modelVersion":"v","validationParameters":{},"reason":"r",%s}'
+    bodies = ['"x":"t"', '"x":1,"y":"t"', '"y":2,"z":[]', '"y":"t"', '"z":[],"y":3', '"w":1,"z":"t"', '"w":"t"']
+    rows = [(i + 1, (i + 1) * 10, "runtime", "t", good % b) for i, b in enumerate(bodies)]
+    changes = spark.createDataFrame(rows, "change_id long, ts long, schema_type string, token string, body string")
+    roles = spark.createDataFrame([("t", "lob-it")], "token string, role string")
+    decided = config.apply_changes(changes, roles)
+    assert {r["change_id"]: r["status_code"] for r in decided.collect()} == {1: 200, 2: 400, 3: 200, 4: 400, 5: 200, 6: 400, 7: 200}
+    valid = config.validate_bodies(config.authorise(changes, roles))
+    assert {(r["field"], r["json_type"], r["first_change"]) for r in config.new_fields(valid).collect()} == {
+        ("x", "string", 1), ("y", "number", 3), ("z", "array", 3), ("w", "string", 7),
+    }
+    assert {(r["change_id"], r["field"]) for r in config.type_conflicts(valid).collect()} == {(2, "x"), (4, "y"), (6, "z")}
+
+
 def test_duration_texts():
     from tollgate.functions.text import duration_interval
 

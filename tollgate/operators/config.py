@@ -191,40 +191,61 @@ def _is_new_field(schemas: Mapping[str, Mapping]) -> Column:
     return ~known
 
 
-def _first_types(rows: DataFrame) -> DataFrame:
-    """Type and change of the first occurrence of each field; one min, combined before the shuffle."""
-    first = F.min(F.struct("ts", "change_id", "json_type"))
-    return (
-        rows.groupBy("schema_type", "field")
-        .agg(first.alias("first"))
-        .select(
-            "schema_type",
-            "field",
-            F.col("first.json_type").alias("json_type"),
-            F.col("first.change_id").alias("first_change"),
+def _settled_types(rows: DataFrame) -> DataFrame:
+    """Type, time and change that first recorded each added field.
+
+    A field is recorded by the first change that is not refused, and a change is refused
+    if any of its fields has another type than the recorded one: as if the changes came
+    one by one. A round refuses what contradicts the recorded types, then accepts every
+    open change that is the earliest open one for all its unrecorded fields. The earliest
+    open change always is, so there is at most one round per added field. Only rows of
+    added fields take part.
+    """
+    spark, key = rows.sparkSession, ["schema_type", "field"]
+    settled = spark.createDataFrame([], "schema_type string, field string, recorded_type string, first_ts timestamp, first_change bigint")
+    settled = settled.withColumns({"first_ts": F.col("first_ts").cast(rows.schema["ts"].dataType), "first_change": F.col("first_change").cast(rows.schema["change_id"].dataType)})
+    change = ["schema_type", "ts", "change_id"]
+    open_rows = rows.select(*change, "field", "json_type")
+    while True:
+        known = open_rows.join(settled, key, "left")
+        refused = known.filter(F.col("recorded_type") != F.col("json_type")).select(*change).distinct()
+        left = known.filter("recorded_type IS NULL").join(refused, change, "left_anti").select(*change, "field", "json_type")
+        earliest = left.groupBy(*key).agg(F.min(F.struct("ts", "change_id")).alias("first"))
+        marked = left.join(earliest, key).withColumn("is_first", F.struct("ts", "change_id") == F.col("first"))
+        ready = marked.groupBy(*change).agg(F.bool_and("is_first").alias("ready")).filter("ready").drop("ready")
+        new = left.join(ready, change).select(
+            *key, F.col("json_type").alias("recorded_type"), F.col("ts").alias("first_ts"), F.col("change_id").alias("first_change")
         )
-    )
+        new = cut_lineage(new.dropDuplicates(key))
+        if new.isEmpty():
+            return settled
+        settled, open_rows = cut_lineage(settled.unionByName(new)), cut_lineage(left)
+
+
+def _added(valid_changes: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
+    return cut_lineage(body_fields(valid_changes).filter(_is_new_field(schemas)))
 
 
 def new_fields(valid_changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
-    """Fields that changes added to their schema, with the type of the first occurrence."""
-    return _first_types(body_fields(valid_changes).filter(_is_new_field(schemas)))
+    """Fields that changes added to their schema, with the type and the change that recorded them."""
+    return _settled_types(_added(valid_changes, schemas)).select(
+        "schema_type", "field", F.col("recorded_type").alias("json_type"), "first_change"
+    )
 
 
 def type_conflicts(valid_changes: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
-    """Fields given with another type than the one first recorded for them."""
-    # only rows of added fields; read twice below
-    rows = cut_lineage(body_fields(valid_changes).filter(_is_new_field(schemas)))
-    recorded = _first_types(rows).select("schema_type", "field", F.col("json_type").alias("recorded_type"))
-    return rows.join(small_table(recorded), ["schema_type", "field"]).filter(
-        F.col("json_type") != F.col("recorded_type")
+    """Fields given with another type than the one recorded for them before."""
+    rows = _added(valid_changes, schemas)
+    later = F.struct("ts", "change_id") > F.struct("first_ts", "first_change")
+    return rows.join(_settled_types(rows), ["schema_type", "field"]).filter(
+        later & (F.col("json_type") != F.col("recorded_type"))
     )
 
 
 def apply_changes(changes: DataFrame, roles: DataFrame, schemas: Mapping[str, Mapping] = BASE_SCHEMAS) -> DataFrame:
     """The decision on every change: ``status_code`` 200, 400, 401 or 403 and its ``detail``.
 
-    The first authorised, valid change that names a new field fixes that field's type.
+    The first change that names a new field and is not refused fixes that field's type.
     """
     checked = validate_bodies(authorise(changes, roles), schemas)
     status = F.when(F.col("status_code") != 200, F.col("status_code")).when(F.size("errors") > 0, 400).otherwise(200)

@@ -66,16 +66,34 @@ view(
        FROM config_valid, unnest(json_keys(body)) t(field)""",
     "config_valid",
 )
-view("config_added", "SELECT * FROM config_fields WHERE field IN ('gpu_config', 'operational_metric', 'callbackUrl')", "config_fields")
+view("config_added", "SELECT * FROM config_fields WHERE field IN ('gpu_config', 'operational_metric', 'callbackUrl', 'audit_note')", "config_fields")
+# The rule taken change by change: the types known so far go along, and a refused change adds none.
 view(
-    "config_recorded",
-    "SELECT schema_type, field, arg_min(json_type, (ts, change_id)) AS json_type, arg_min(change_id, (ts, change_id)) AS first_change FROM config_added GROUP BY 1, 2",
+    "config_steps",
+    """SELECT schema_type, change_id, map(list(field), list(json_type)) AS given, row_number() OVER (PARTITION BY schema_type ORDER BY any_value(ts), change_id) AS no
+       FROM config_added GROUP BY schema_type, change_id""",
     "config_added",
 )
+view(
+    "config_walk",
+    """SELECT DISTINCT schema_type, 0::BIGINT AS no, NULL::BIGINT AS change_id, false AS refused, MAP {}::MAP(VARCHAR, VARCHAR) AS known FROM config_steps
+       UNION ALL
+       SELECT schema_type, no, change_id, refused, CASE WHEN refused THEN known ELSE map_concat(given, known) END FROM
+         (SELECT s.schema_type, s.no, s.change_id, s.given, w.known,
+            len(list_filter(map_keys(s.given), lambda k: map_extract(w.known, k)[1] <> map_extract(s.given, k)[1])) > 0 AS refused
+          FROM config_walk w JOIN config_steps s ON s.schema_type = w.schema_type AND s.no = w.no + 1)""",
+    "config_steps",
+)
+view(
+    "config_recorded",
+    """SELECT schema_type, field, arg_min(json_type, (ts, change_id)) AS json_type, arg_min(change_id, (ts, change_id)) AS first_change, min((ts, change_id)) AS first
+       FROM config_added WHERE change_id IN (SELECT change_id FROM config_walk WHERE NOT refused) GROUP BY 1, 2""",
+    "config_added config_walk",
+)
 view(
     "config_conflicts",
     """SELECT a.change_id, a.schema_type, a.field, a.json_type, r.json_type AS recorded_type FROM config_added a
-       JOIN config_recorded r ON r.schema_type = a.schema_type AND r.field = a.field WHERE a.json_type <> r.json_type""",
+       JOIN config_recorded r ON r.schema_type = a.schema_type AND r.field = a.field WHERE a.json_type <> r.json_type AND (a.ts, a.change_id) > r.first""",
     "config_added config_recorded",
 )
 view(

@@ -416,7 +416,8 @@ view(
              WHEN 0 THEN '"name":"gate-' || user_id || '","targetMetric":' || CASE WHEN event_id % 25 = 0 THEN '5' ELSE '"' || event_type || '"' END
                || ',"dataClassification":"' || CASE user_id % 5 WHEN 0 THEN 'Public' WHEN 1 THEN 'Internal' WHEN 2 THEN 'Confidential' WHEN 3 THEN 'Restricted' ELSE 'Secret' END
                || '","quickAlertHeuristic":{"threshold":' || (user_id + 1) || '.5' || CASE WHEN event_id % 35 = 0 THEN '' ELSE ',"window":"5m"' END || '}'
-               || CASE WHEN event_id % 40 = 0 THEN ',"gpu_config":{"type":"A100"}' WHEN event_id % 55 = 0 THEN ',"gpu_config":"A100"' ELSE '' END
+               || CASE WHEN event_id % 40 = 0 THEN ',"gpu_config":{"type":"A100"}' || CASE WHEN event_id % 9 = 0 THEN ',"audit_note":7' ELSE '' END
+                       WHEN event_id % 55 = 0 THEN ',"gpu_config":"A100","audit_note":"x"' ELSE '' END
              WHEN 1 THEN '"modelVersion":"v' || user_id || '","validationParameters":' || CASE WHEN event_id % 25 = 1 THEN '"none"' ELSE '{"minBatchSize":32}' END
                || CASE event_id % 40 WHEN 1 THEN ',"operational_metric":"throughput"' WHEN 13 THEN ',"operational_metric":7' ELSE '' END
              ELSE '"customThresholds":{"accuracy":' || CASE WHEN event_id % 25 = 2 THEN '"high"' ELSE '0.95' END || ',"latency_p99":' || user_id || '},"businessMetric":"revenue"'
@@ -444,7 +445,10 @@ def as_config_changes(rows: DataFrame) -> DataFrame:
         F.lit(',"dataClassification":"'), level,
         F.lit('","quickAlertHeuristic":{"threshold":'), (F.col("user_id") + 1).cast("string"), F.lit(".5"),
         some(eid % 35 != 0, ',"window":"5m"'), F.lit("}"),
-        F.when(eid % 40 == 0, ',"gpu_config":{"type":"A100"}').when(eid % 55 == 0, ',"gpu_config":"A100"').otherwise(""),
+        F.when((eid % 40 == 0) & (eid % 9 == 0), ',"gpu_config":{"type":"A100"},"audit_note":7')
+        .when(eid % 40 == 0, ',"gpu_config":{"type":"A100"}')
+        .when(eid % 55 == 0, ',"gpu_config":"A100","audit_note":"x"')
+        .otherwise(""),
     )
     runtime = F.concat(
         F.lit('"modelVersion":"v'), user, F.lit('","validationParameters":'),
