@@ -8,9 +8,8 @@ give the shift table and the suffix-hash buckets. The search moves many position
 chunk at once, each by its own shift; where the shift is zero, the bucket's patterns
 are compared byte by byte.
 
-The benchmark goes to the executors in slices of at most ``SLICE_BYTES`` bytes of item
-text, cut by a running sum in Spark; every slice is searched in every text in the same
-stage, so the size of the benchmark bounds neither memory nor the result.
+A benchmark of more than ``SLICE_BYTES`` goes to the executors in slices of about half as
+much, dealt by hash; every slice is searched in every text in the same stage.
 
 Defined cases: a null or empty text has no words and is not contaminated; a null or
 empty item, or one without words, has no windows; a null item_id is ignored; items with
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm import wordbytes as wb
@@ -169,18 +168,13 @@ class Search:
 
 
 def slices(items: DataFrame, limit: int = SLICE_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark as lists of (item_id, text), each of at most ``limit`` bytes or one item."""
+    """The benchmark as lists of (item_id, text) of about half of ``limit`` bytes, dealt by hash; one list if it fits."""
     held = items.select(F.col("item_id").alias("item"), F.col("text").alias("body")).where("item IS NOT NULL")
-    size = F.octet_length(F.coalesce("body", F.lit(""))) + 64
-    total = held.agg(F.sum(size)).first()[0] or 0
-    if total <= limit:
-        yield [tuple(r) for r in held.collect()]
-        return
-    number = F.floor(F.sum(size).over(Window.orderBy("item", "body").rowsBetween(Window.unboundedPreceding, 0)) / limit)
-    numbered = held.withColumn("slice", number).persist()
-    for row in numbered.select("slice").distinct().orderBy("slice").toLocalIterator():
-        yield [tuple(r) for r in numbered.where(F.col("slice") == row["slice"]).drop("slice").collect()]
-    numbered.unpersist()
+    total = held.agg(F.sum(F.octet_length(F.coalesce("body", F.lit(""))) + 64)).first()[0] or 0
+    count = 1 if total <= limit else -(-2 * total // limit)
+    for number in range(count):
+        own = held if count == 1 else held.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == number)
+        yield [tuple(r) for r in own.collect()]
 
 
 def hits_of(folded: Folded, searches: list[Search]) -> tuple[np.ndarray, dict[int, set]]:
