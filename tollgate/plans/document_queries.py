@@ -13,7 +13,7 @@ from tollgate.plans.catalog import query, view
 from tollgate.plans.request_queries import validated
 from tollgate.session import scratch_path
 from tollgate.sources import index_store
-from tollgate.sources.documents import parse_corpus
+from tollgate.sources.documents import parse_corpus, read_corpus, write_chunks
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -59,6 +59,14 @@ def corpus_scan(spark, sf_dir):
     return parse_corpus(corpus_lines(spark, sf_dir)).select("id", F.md5("text").alias("text_md5"))
 
 
+@query("chunk_sink", "SELECT id, md5(text) AS text_md5 FROM corpus", "corpus")
+def chunk_sink(spark, sf_dir):
+    """Chunks written as JSON lines and read again."""
+    path = scratch_path(spark, "chunks")
+    write_chunks(parse_corpus(corpus_lines(spark, sf_dir)), path)
+    return read_corpus(spark, path).select("id", F.md5("text").alias("text_md5"))
+
+
 @query("corpus_metadata", "SELECT id, lang, source, '' AS topic FROM corpus", "corpus")
 def corpus_metadata(spark, sf_dir):
     found = parse_corpus(corpus_lines(spark, sf_dir), metadata_fields=["lang", "source", "topic"])
@@ -377,6 +385,14 @@ def index_integrity(spark, sf_dir):
     return index_store.integrity(spark, _index_path(spark, sf_dir))
 
 
+@query("index_status", "SELECT 'exists_not_loaded' AS status, count(*) AS num_documents, 64 AS embedding_dimension, 'does_not_exist' AS elsewhere FROM documents")
+def index_status(spark, sf_dir):
+    path = _index_path(spark, sf_dir)
+    found, elsewhere = index_store.status(spark, path), index_store.status(spark, f"{path}-none")
+    row = (found["status"], found["num_documents"], found["embedding_dimension"], elsewhere["status"])
+    return spark.createDataFrame([row], "status string, num_documents long, embedding_dimension int, elsewhere string")
+
+
 # --- help --------------------------------------------------------------------------------------------------
 
 view(

@@ -405,3 +405,17 @@ def checks_skipped(spark, sf_dir):
     """Without model results the model checks are skipped and named."""
     checked = request_ops.validate(views.requests(spark, sf_dir), views.POLICIES)
     return checked.select("request_id", F.array_join("checks_skipped", "|").alias("checks_skipped"))
+
+
+@query(
+    "request_defaults",
+    """SELECT CASE WHEN request_id % 3 = 0 THEN 'req_' || (1700000000 + conv_id) || '_' || request_id ELSE request_id::VARCHAR END AS request_id,
+         (1700000000 + conv_id)::DOUBLE AS timestamp_utc FROM requests""",
+    "requests",
+)
+def request_defaults(spark, sf_dir):
+    """Requests without an id get one made of the time and a key of the data."""
+    rows = views.requests(spark, sf_dir).withColumn("key", F.col("request_id"))
+    rows = rows.withColumn("request_id", F.when(F.col("key") % 3 != 0, F.col("key")))
+    received = F.timestamp_seconds(F.lit(1700000000) + F.col("conv_id"))
+    return request_ops.with_request_id(rows, "key", received).select("request_id", "timestamp_utc")
