@@ -1,6 +1,7 @@
 """Shapes of physical plans that must hold at scale."""
 
-from tollgate.plans import catalog
+from tollgate.operators import handshake
+from tollgate.plans import catalog, views
 
 catalog.load()
 
@@ -34,8 +35,11 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
 
 
 def test_replays_combine_before_the_shuffle(spark, sf_dir):
-    text = plan(catalog.QUERIES["token_replay"](spark, sf_dir))
-    assert "partial_count" in text and "Window" not in text
+    uses = views.as_token_uses(views.events(spark, sf_dir))
+    assert "partial_min" in plan(handshake.first_uses(uses))
+    # the first uses are stored, so both sides of the join are plain exchanges that can be split
+    text = plan(handshake.outcomes(uses))
+    assert "Window" not in text and "Scan ExistingRDD" in text
 
 
 def test_chunking_does_not_shuffle(spark, sf_dir):
