@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and a character convolutional network over further candidates.
 
-Patterns give the base findings. A candidate is any other run of ``[A-Za-z0-9+/_.=-]`` of
-``LEAST_RUN`` characters or more; the network sees its characters and those around it.
-It is trained with numpy on labelled findings: base findings of a sample of at most
+Patterns give the base findings. A run is one of ``[A-Za-z0-9+/_.=-]`` of ``LEAST_RUN``
+characters or more. What the base findings leave of a run are its open stretches, each a
+candidate of its own, also a short one; one longer than ``INSIDE`` is seen through windows
+that start every ``STEP`` characters, the last one at its end, so no character of a run goes
+unscored. The network sees the characters of a window and those around it; windows that
+pass are findings, and those of a stretch that overlap are one finding. It is trained with numpy on labelled findings: base findings of a sample of at most
 about ``FIT_DOCUMENTS`` documents are positive, other candidates of the sample negative,
 and ``MADE`` seeded random keys in sampled surroundings stand for kinds that have no
 pattern. On findings held out from training, scores are calibrated (Platt) and the
 threshold is the highest one that keeps a recall of ``RECALL``. The sample bounds
-training only: every candidate of every whole text is scored.
+training only: every window of every whole text is scored.
 
 Defined cases: a null or empty text has no findings; base findings stay whatever the
-network says; a candidate that overlaps a base finding is not reported again; equal
+network says, and their characters are not reported again; equal
 spans of two kinds are both reported; repeated rows give repeated results; without any
 labelled finding the random keys alone are positive; only ``doc_id`` and ``text``
 (and ``n_chars`` when redacting) are read, other columns may have any name.
@@ -36,13 +39,17 @@ KINDS = ["assign", "access", "hex", "cnn"]
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 MARK = "[SECRET]"
 
-LEAST_RUN = 16
+#: The length of the shortest value that a base pattern labels.
+LEAST_RUN = 12
 FIT_DOCUMENTS = 20_000
 FIT_FINDINGS = 4_000
 MADE = 600
 RECALL = 0.99
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
+STEP = 10
+#: Windows that are built at a time.
+BLOCK = 16_384
 EMBED, FILTERS, REACH = 8, 24, 5
 EPOCHS, BATCH, RATE = 10, 64, 0.005
 SEED = 11
@@ -61,11 +68,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Candidates:
-    """Base findings and further candidates of one chunk of texts."""
+    """Base findings, and the windows of all runs, of one chunk of texts."""
 
     def __init__(self, column: pa.Array):
         chunk = wb.Chunk(column)
-        data = chunk.bytes
+        self.data, self.offsets = data, offsets = chunk.bytes, chunk.offsets
         starts, ends, _ = chunk.words(RUN_BYTE)
         long = ends - starts >= LEAST_RUN
         starts, ends = starts[long], ends[long]
@@ -73,39 +80,65 @@ class Candidates:
         marks = [hex_starts[hex_ends - hex_starts >= LEAST_HEX], np.flatnonzero(SETTING[data])]
         raw = data.tobytes()
         marks.append(np.asarray([m.start() for m in re.finditer(b"AKIA", raw)], np.int64))
-        suspects = np.unique(np.searchsorted(chunk.offsets, np.concatenate(marks), "right") - 1)
+        suspects = np.unique(np.searchsorted(offsets, np.concatenate(marks), "right") - 1)
         self.base: dict[int, list[tuple[int, int, int]]] = {}
         for row in suspects.tolist():
-            text = raw[chunk.offsets[row] : chunk.offsets[row + 1] - 1].decode("utf-8", "replace")
+            text = raw[offsets[row] : offsets[row + 1] - 1].decode("utf-8", "replace")
             if found := base_spans(text):
                 self.base[row] = found
-        self.row = np.searchsorted(chunk.offsets, starts, "right") - 1
+        row = np.searchsorted(offsets, starts, "right") - 1
         points = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        self.start = points[starts] - points[chunk.offsets[self.row]]
-        self.end = points[ends] - points[chunk.offsets[self.row]]
-        self.windows = windows(data, chunk.offsets, self.row, starts, ends)
-        self.covered = np.zeros(len(starts), bool)
-        self.label = np.zeros(len(starts), bool)
-        for n, (row, a, b) in enumerate(zip(self.row.tolist(), self.start.tolist(), self.end.tolist(), strict=True)):
-            for low, kind, high in self.base.get(row, ()):
-                if low < b and a < high:
-                    self.covered[n] = True
-                    self.label[n] |= kind < 2 or not text_digits(self.windows[n])
-
-
-def text_digits(window: np.ndarray) -> bool:
-    """Whether the candidate of a window is digits only: a number, for the network no secret."""
-    inside = window[BEFORE : BEFORE + INSIDE]
-    inside = inside[inside > 0]
-    return bool(((inside >= 0x30) & (inside <= 0x39)).all())
+        shift = starts - (points[starts] - points[offsets[row]])  # from characters of the text to bytes of the chunk, within a run
+        based = np.isin(row, np.asarray(sorted(self.base), np.int64))
+        plain = ~based
+        parts = [np.stack([row, starts, ends, shift, np.zeros_like(row), np.zeros_like(row)], 1)[plain]]
+        for own, a, b, move in np.stack([row, starts, ends, shift], 1)[based].tolist():
+            parts.append(np.asarray([(own, low, high, move, *kinds) for low, high, *kinds in pieces(a, b, [(x + move, k, y + move) for x, k, y in self.base[own]])], np.int64))
+        row, low, high, shift, covered, named = np.concatenate(parts).T
+        counts = -(-np.maximum(high - low - INSIDE, 0) // STEP) + 1
+        self.piece = np.repeat(np.arange(len(low)), counts)
+        number = np.arange(len(self.piece)) - (np.cumsum(counts) - counts)[self.piece]
+        last = np.maximum(high - INSIDE, low)[self.piece]
+        self.first = np.minimum(low[self.piece] + STEP * number, last)
+        self.last = np.minimum(self.first + INSIDE, high[self.piece])
+        self.row, self.covered = row[self.piece], covered[self.piece] > 0
+        self.start, self.end = self.first - shift[self.piece], self.last - shift[self.piece]
+        others = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data < 0x30) | (data > 0x39), out=others[1:])
+        # digits only are a number, for the network no secret
+        self.label = self.covered & ((named[self.piece] > 0) | (others[self.last] > others[self.first]))
+
+    def windows_of(self, which: np.ndarray) -> np.ndarray:
+        return windows(self.data, self.offsets, self.row[which], self.first[which], self.last[which])
+
+    @property
+    def windows(self) -> np.ndarray:
+        return self.windows_of(np.arange(len(self.row)))
+
+
+def pieces(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, bool]]:
+    """(start, end, covered, by a named pattern) of the stretches of a run inside and outside of base findings."""
+    out: list[tuple[int, int, bool, bool]] = []
+    at = start
+    for low, kind, high in base:
+        low, high = max(low, start), min(high, end)
+        if low >= high:
+            continue
+        if low > at:
+            out.append((at, low, False, False))
+        if out and out[-1][2] and low < at:
+            out[-1] = (out[-1][0], max(at, high), True, out[-1][3] or kind < 2)
+        else:
+            out.append((low, high, True, kind < 2))
+        at = max(at, high)
+    return [*out, (at, end, False, False)] if at < end else out
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bytes before, inside (the head and tail of long ones) and after each candidate; 0 where the text ends."""
+    """Bytes before, inside (at most INSIDE) and after each window; 0 where the text or the window ends."""
     out = np.zeros((len(starts), WIDTH), np.uint8)
     low, high = offsets[row], offsets[row + 1] - 1
-    head = INSIDE - INSIDE // 3
 
     def put(column: int, at: np.ndarray, good: np.ndarray) -> None:
         out[good, column] = data[at[good]]
@@ -113,10 +146,8 @@ def windows(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, starts: np.n
     for i in range(BEFORE):
         at = starts - BEFORE + i
         put(i, at, at >= low)
-    size = ends - starts
     for i in range(INSIDE):
-        at = np.where((size > INSIDE) & (i >= head), ends - INSIDE + i, starts + i)
-        put(BEFORE + i, at, at < ends)
+        put(BEFORE + i, starts + i, starts + i < ends)
     for i in range(AFTER):
         at = ends + i
         put(BEFORE + INSIDE + i, at, at < high)
@@ -224,6 +255,35 @@ def made_findings(surroundings: np.ndarray, count: int = MADE, seed: int = SEED)
     return out
 
 
+def joined(surroundings: np.ndarray, count: int = MADE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Windows along long runs, and labels: each run joins plain words of other windows, every second one also a random key."""
+    rng = np.random.default_rng(seed)
+    mixed = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    sets = [mixed, np.append(mixed, [0x2B, 0x5F]), mixed[26:]]
+    words = [w for row in surroundings[rng.integers(0, len(surroundings), count)] for w in re.findall(rb"[A-Za-z0-9_-]{2,16}", row[: BEFORE + INSIDE].tobytes())] or [b"path", b"file"]
+    out, label = np.zeros((count, WIDTH), np.uint8), np.arange(count) % 2
+    for n in range(count):
+
+        def plain() -> bytes:
+            line = b""
+            while len(line) < WIDTH:
+                word = words[int(rng.integers(len(words)))]
+                line += [word, word.lower(), word.title(), b"%d" % rng.integers(10_000)][int(rng.integers(4))] + b"///.-_="[(at := int(rng.integers(7))) : at + 1]
+            return line
+
+        before, after, key = plain(), plain(), b""
+        start = len(before)
+        if label[n]:
+            key = rng.choice(sets[n // 2 % len(sets)], int(rng.integers(20, INSIDE + 1))).tobytes()
+            after = b"/.-_="[(at := int(rng.integers(5))) : at + 1] + after
+            # of the windows along a run, one holds a short key whole, and all but half a step of a long one
+            low, high = len(key) - INSIDE, 0
+            start += int(rng.integers(low, high + 1)) if high - low >= STEP else int(rng.integers((low + high - STEP) // 2, (low + high + STEP) // 2 + 1))
+        line = before + key + after
+        out[n] = np.frombuffer(line[start - BEFORE : start - BEFORE + WIDTH], np.uint8)
+    return out, label.astype(float)
+
+
 def capitals(plain: np.ndarray) -> np.ndarray:
     """Every second window in capitals: words in capitals are no secrets either."""
     out = plain[::2].copy()
@@ -243,8 +303,9 @@ def train(docs: DataFrame) -> CharNet:
         for batch in batches:
             for first, rows in wb.row_runs(batch.column("text")):
                 found = Candidates(batch.column("text").slice(first, rows))
-                if len(found.windows):
-                    columns = [pa.array([w.tobytes() for w in found.windows], pa.binary()), pa.array(found.label)]
+                for at in range(0, len(found.row), BLOCK):
+                    own = found.windows_of(np.arange(at, min(at + BLOCK, len(found.row))))
+                    columns = [pa.array([w.tobytes() for w in own], pa.binary()), pa.array(found.label[at : at + BLOCK])]
                     yield pa.RecordBatch.from_arrays(columns, names=["window", "label"])
 
     rows = sample.mapInArrow(task, "window binary, label boolean").distinct()
@@ -256,8 +317,9 @@ def train(docs: DataFrame) -> CharNet:
     plain = np.stack(x) if x else np.full((1, WIDTH), 0x20, np.uint8)
     made = made_findings(plain)
     shouted = capitals(plain[np.asarray(y if x else [0.0]) == 0])
+    long, of_long = joined(plain[np.asarray(y if x else [0.0]) == 0] if 0.0 in y or not x else plain)
     net = CharNet()
-    net.fit(np.concatenate([plain, shouted, made]), np.concatenate([y if x else [0.0], np.zeros(len(shouted)), np.ones(len(made))]))
+    net.fit(np.concatenate([plain, shouted, made, long]), np.concatenate([y if x else [0.0], np.zeros(len(shouted)), np.ones(len(made)), of_long]))
     return net
 
 
@@ -265,9 +327,16 @@ def spans_of(found: Candidates, net: CharNet) -> dict[int, list[tuple[int, int,
     """All findings of a chunk by row, each row in order of start, then kind."""
     out = {row: list(spans) for row, spans in found.base.items()}
     open_ = np.flatnonzero(~found.covered)
-    hits = open_[net.probabilities(found.windows[open_]) >= net.threshold] if len(open_) else open_
-    for n in hits.tolist():
-        out.setdefault(int(found.row[n]), []).append((int(found.start[n]), 3, int(found.end[n])))
+    last = -1
+    for at in range(0, len(open_), BLOCK):
+        own = open_[at : at + BLOCK]
+        for n in own[net.probabilities(found.windows_of(own)) >= net.threshold].tolist():
+            spans = out.setdefault(int(found.row[n]), [])
+            if last == found.piece[n] and found.start[n] < spans[-1][2]:
+                spans[-1] = (spans[-1][0], 3, int(found.end[n]))
+            else:
+                spans.append((int(found.start[n]), 3, int(found.end[n])))
+            last = found.piece[n]
     return {row: sorted(spans) for row, spans in out.items()}
 
 
