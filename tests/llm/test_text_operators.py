@@ -335,6 +335,37 @@ def test_license_scan(spark, nothing):
     assert license_scan.collision_bound() > 0.999
 
 
+def test_license_siblings(spark):
+    notice = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation; either version {3} of the License, or (at your option) any later version."
+    cases = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa-4.0-notice",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License": "cc-by-sa-3.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 7.0 International License": "cc",
+        "Licensed under CC BY-NC-ND 4.0": "cc-by-nc-nd-4.0",
+        notice.format("program", ";", "General Public License", "2"): "gpl-2.0-notice",
+        notice.format("program", ":", "General Public License", "3"): "gpl-3.0-notice",
+        notice.format("program", ":", "General Public License", "9"): "gpl-notice",
+        notice.format("library", ";", "Lesser General Public License", "2.1"): "lgpl-2.1-notice",
+        notice.format("library", ";", "Library General Public License", "2"): "lgpl-2.0-notice",
+        notice.format("program", ":", "Affero General Public License", "3"): "agpl-3.0-notice",
+        "This work is licensed under the GNU General Public License, version 2": "gpl-2.0",
+        "This work is licensed under the GNU Affero General Public License, version 3": "agpl-3.0",
+        "Licensed under the Apache License, Version 1.1": "apache",
+    }
+    wholes = license_scan.whole_texts()
+    assert set(wholes) == set(license_scan.PHRASES)
+    texts = [*cases, *(f"before it {t} and after" for t in wholes.values())]
+    # two versions side by side, and a sibling of a whole text without a template of its own
+    texts += [" ".join(list(cases)[5:7]), re.sub(r"GNU General Public", "GNU Affero General Public", wholes["gpl-3.0-text"], flags=re.I)]
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(cases))] == list(cases.values())
+    for i, name in enumerate(wholes, len(cases)):
+        assert name in found[i].split(",") and sum(x.endswith("-text") for x in found[i].split(",")) == 1, (name, found[i])
+    assert found[len(texts) - 2] == "gpl-2.0-notice,gpl-3.0-notice"
+    assert "gpl-3.0-text" not in found[len(texts) - 1].split(",") and "agpl-3.0-notice" in found[len(texts) - 1]
+
+
 def test_near_duplicates(spark, nothing):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(500)]
