@@ -81,6 +81,26 @@ def test_leaves():
     assert html_crf.leaves('<p class="x' * 500 + ">end") is not None
 
 
+def test_leaves_keep_text_around_embedded_elements(spark):
+    def texts(page):
+        return [b.text for b in html_crf.leaves(page)]
+
+    assert texts("<p>so <math display='block'><mi>a</mi><mo>=</mo><mspace/><semantics><mn>2</mn><annotation encoding='tex'>x</annotation></semantics></math> holds</p><p>b") == ["so a=2 holds", "b"]
+    assert texts("<p>a<math/> b</p>") == ["a b"] and html_crf.leaves("<p>a<math/> b</p><i>c")[1].chain == ()
+    assert texts('<p>one <object data="f>g"><p>instead</p></object></p><noscript><p>plain &amp; text</p></noscript><p>two') == ["one", "instead", "plain & text", "two"]
+    assert texts('<p>one <svg viewBox="0 0 > 1" /> two</p><svg><text>no</text></svg ><p>three</p><svg width=1><path/>') == ["one two", "three"]
+    for tag in ("svg-icon", "object-viewer", "template-x", "script-note", "style-guide", "iframe-box", "math-field", "noscript-x"):
+        assert texts(f"<p>one <{tag} name='a'></{tag}> two</p><{tag}>three</{tag}><p>four</p>") == ["one", "two", "three", "four"], tag
+    assert texts("<p>a</p><script src='x>y'>b</script ><style>c</style><template><p>d</p></template><iframe>e</iframe><p>f</p><script>g") == ["a", "f"]
+    page = "<nav><a href='/'>menu</a></nav><article><h1>Report</h1>{}</article><footer>&copy; site</footer>"
+    body = f"<p>{html_crf.SENTENCE}</p>"
+    odd = body + '<svg-icon name="a"></svg-icon><svg width="1"/>' + body + "<noscript>" + body + "</noscript><p>In all, it is <math><mi>x</mi></math>, as they said, and no more than that.</p>"
+    rows = [(1, "u", page.format(body + body)), (2, "u", page.format(odd))]
+    found = {r["page_id"]: r["text"] for r in html_crf.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == " ".join(["Report"] + [html_crf.SENTENCE] * 2)
+    assert found[2] == " ".join(["Report"] + [html_crf.SENTENCE] * 3 + ["In all, it is x, as they said, and no more than that."])
+
+
 def test_main_text_on_held_out_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     field = html_crf.train(pages.where("page_id % 2 = 0"))

@@ -15,7 +15,8 @@ decoded whole.
 
 Defined cases: a null or empty page has the empty text; text outside all elements is a
 block; an element that is never closed ends with the page or its parent; scripts,
-styles, comments and declarations are no text, also unclosed; repeated rows give
+styles, templates, frames, drawings, comments and declarations are no text, also unclosed;
+formulas, the content of ``object`` and of ``noscript`` are text like any other; repeated rows give
 repeated results; pages without any marked article train on a built-in sentence; only
 ``page_id``, ``url`` and ``html`` are read.
 """
@@ -40,7 +41,9 @@ SEED = 5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|iframe|object|svg|math)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    # a self-closing svg holds nothing; the other raw elements have no such form
+    r"""|<svg(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
+    r"""|<(?P<raw>script|style|template|iframe|svg|annotation|annotation-xml)(?=[\s/>])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>).*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"""
     r"|<[!?][^>]*+(?:>|\Z)"
     r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z)",
@@ -50,9 +53,13 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^
 NAME_WORD = re.compile(r"[a-z]+")
 # Fixed values of the markup language: elements without content, elements inside a line, elements that end their like.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
+#: Elements of formulas: inside a line, and the only ones there that "/>" closes.
+FORMULA = frozenset("math maction menclose merror mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = FORMULA | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Elements that are a block of their own within a paragraph and do not end it; so are those with a hyphen in their name.
+HELD = frozenset("noscript object".split())
 ENDS_LIKE = {t: frozenset(o) for t, o in {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}.items()}
 LISTS = frozenset("ul ol dl table select tbody thead tfoot".split())
 #: Words in class and id names that usually tell what a container holds.
@@ -127,7 +134,7 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in HELD and "-" not in tag:
             ends = ENDS_LIKE.get(tag, frozenset())
             for depth in range(len(stack) - 1, -1, -1):
                 name = stack[depth][0]
@@ -137,7 +144,7 @@ def leaves(page: str | None) -> list[Leaf]:
                 if name not in INLINE and (name in LISTS or not ends):
                     break
         text = token["attributes"] or token["attributes2"] or ""
-        if not text.rstrip().endswith("/") or tag in INLINE:
+        if not text.rstrip().endswith("/") or tag in INLINE and tag not in FORMULA:
             stack.append((tag, *(attributes(text) if text else ((), False))))
     if at < len(page):
         words(page[at:])
