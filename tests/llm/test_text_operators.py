@@ -117,6 +117,20 @@ def test_quality_bands_reject_unlike_text(spark):
     assert not found[1000] and not found[1001]
 
 
+@pytest.mark.parametrize("alphabet", ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "".join(map(chr, range(0x4E00, 0x4E00 + 1500))), "".join(map(chr, range(0xAC00, 0xAC00 + 900))), "".join(map(chr, range(0x1E900, 0x1E922)))])
+def test_quality_sees_other_scripts(spark, alphabet):
+    rng = random.Random(2)
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(150)) + ".", "xx") for i in range(200)]
+    for i in range(3):
+        letters = [x for x in rows[i][1] if x not in " ."]
+        rng.shuffle(letters)
+        rows.append((1000 + i, "".join(x if x in " ." else letters.pop() for x in rows[i][1]), "xx"))
+    found = {r["doc_id"]: r["kept"] for r in quality_kn.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i] for i in range(200))
+    assert not any(found[1000 + i] for i in range(3))
+
+
 def decontaminated(texts, items, window=10):
     def split(text):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
