@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-An LSH forest holds ``TREES`` prefix tries of MinHash labels. Starting from labels of
-``LONGEST`` values, the prefix is shortened until two documents at the threshold share
-it in at least one tree with probability ``TARGET``; every subtrie at that depth is a
-set of candidates. Documents with the same words are one text. Within a subtrie, pairs
+Candidates come from fixed-depth bands, not from an LSH forest: the similarity is fixed,
+so the depth at which two documents at the threshold share a prefix in at least one of
+``TREES`` trees with probability ``TARGET`` is worked out once, from ``LONGEST`` down, and
+only that many MinHash values are computed. Texts with the same prefix in a tree, called a
+subtrie, are a set of candidates; there are no sorted tries and no shortening level by level. Documents with the same words are one text. Within a subtrie, pairs
 whose whole signatures agree clearly less than the threshold are put aside, and the
 others join texts into candidate groups; the groups then get their shingles, once, and
 all pairs of a group are verified exactly.
