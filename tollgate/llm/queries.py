@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import burst_trie, deleted_interpolation, html_crf, license_scan, lsh_forest, quality_kn, repair_tokens, secret_cnn, store, trie_bpe, warc, wu_manber
+from tollgate.llm import burst_trie, deleted_interpolation, html_crf, license_scan, lsh_forest, quality_kn, repair_tokens, secret_cnn, spelling_fst, store, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_fst.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_ids": op9_token_ids,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -83,5 +88,6 @@ CHECK_SQL = {
     "op2_warc": warc.SQL,
     "op8_near_duplicates": lsh_forest.SQL,
     "op7_decontamination": wu_manber.SQL,
+    "op11_spelling_variants": spelling_fst.SQL,
     "op13_conversation_trie": burst_trie.SQL,
 }
