@@ -21,7 +21,7 @@ def test_query_agrees_with_sql(spark, sf_dir, name, monkeypatch):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in [*range(1, 12), 13])
+    assert sorted(n.split("_")[0] for n in names if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import burst_trie, deleted_interpolation, html_crf, license_scan, lsh_forest, quality_kn, repair_tokens, secret_cnn, spelling_fst, store, trie_bpe, warc, wu_manber
+from tollgate.llm import burst_trie, deleted_interpolation, html_crf, license_scan, lsh_forest, quality_kn, repair_tokens, secret_cnn, spelling_fst, store, toxic_crf, trie_bpe, warc, wu_manber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_fst.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_crf.score(docs, toxic_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_bpe": op10_bpe,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_toxicity": op12_toxicity,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
