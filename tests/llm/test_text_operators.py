@@ -484,3 +484,16 @@ def test_group_order_with_joined_prefixes():
     order, heads, which = wordbytes.groups(keys)
     assert (np.sort(keys) == keys[order]).all()
     assert len(heads) == 4 and (keys[order[heads]][which] == keys).all()
+
+
+def test_bpe_of_odd_neighbours_equals_the_library():
+    """Special tokens beside control characters, marks, odd spaces and letters that fold to several."""
+    rng = random.Random(10)
+    bpe = trie_bpe.TrieBpe(tokenizer_path())
+    bits = [*list(bpe.special) * 2, "a", "the", " ", "\n", "\x0b", "\x1c", "\x1f", "\x7f", "\x00", "é", "́", " ", " ", "​", "日本", "İ", "ß", "'s", "'LL", "<|", "|>", "12", "³", "😀", "ŉ", "--", "Ǆ"]
+    texts = ["<|endoftext|>\x7f", "a\x00<|startoftext|>b", "x\x1f<|endoftext|>"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    flat, edges = bpe.encode(pa.array(texts))
+    for text, a, b, want in zip(texts, edges[:-1], edges[1:], bpe.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert flat[a:b].tolist() == want.ids, text
+        assert bpe.decode(flat[a:b]).decode() == bpe.library.decode(want.ids, skip_special_tokens=False)

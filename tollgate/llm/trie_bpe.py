@@ -172,8 +172,8 @@ class TrieBpe:
             before = piece
 
     def split(self, word: str) -> list[str]:
-        """The pieces of one word, as byte symbols."""
-        if word.isascii():
+        """The pieces of one word without special tokens, as byte symbols."""
+        if word.isascii() and word.isprintable():
             return PIECE.findall(word.lower())
         if PLAIN.fullmatch(word):
             symbol = self.symbol
@@ -201,8 +201,6 @@ class TrieBpe:
                         found.append(self.special[bit])
                     elif bit:
                         found.extend(self.split(bit))
-            elif word.isascii() and not word.isprintable():
-                found = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
             else:
                 found = self.split(word)
             parts.append(found)
