@@ -4,6 +4,7 @@ import gzip
 import html
 import io
 import re
+import time
 
 import numpy as np
 import pytest
@@ -137,3 +138,39 @@ def test_viterbi_is_the_best_labelling():
 
         every = [[n >> i & 1 for i in range(len(rows))] for n in range(1 << len(rows))]
         assert value(field.decode(rows)) == pytest.approx(max(map(value, every)))
+
+
+A = "The committee met on Tuesday to discuss the new plan, which had been delayed twice."
+B = "After two hours of debate, members agreed that the budget would be revised by spring."
+LAYOUTS = {
+    "names inside attributes": (f"<article><h1>Plan delayed</h1><p data-id='comment-share-ad'>{A}</p><p data-class=nav aria-role=menu>{B}</p></article>", ""),
+    "bare containers": (f"<div>Plan delayed</div><div>{A}</div><div>{B}</div>", ""),
+    "nested containers": (f"<div><h1>Plan delayed</h1><div>{A}</div><div>{B}</div></div>", ""),
+    "menu and footer": (f"<div id=nav><a href=/>Home</a> <a href=/n>News</a></div><div><h1>Plan delayed</h1><p>{A}</p><p>{B}</p></div><div class=footer>&copy; 2020 Site</div>", ""),
+    "table": (f"<main><h1>Plan delayed</h1><p>{A}</p><table><tr><td>Year</td><td>Cost</td></tr></table><p>{B}</p></main><aside><p>{A}</p></aside>", "Year Cost"),
+    "list and comments": (f"<nav><ul><li><a href=/>Home</a></ul></nav><div class=post><h1>Plan delayed</h1><p>{A}</p><ul><li>First item of the list</ul><p>{B}</p></div><div class=comments><div class=comment><p>{A}</p></div></div>", "First item of the list"),
+    "code": (f"<article><h1>Plan delayed</h1><p>{A}</p><pre>x = 1\ny = 2</pre><p>{B}</p></article><footer><p>{A}</p></footer>", "x = 1 y = 2"),
+    "unclosed": (f"<header><p>Site name</header><article><h1>Plan delayed</h1><p>{A}<p>{B}</article><form><p>{A}</form>", ""),
+    "newsletter": (f"<div class='menu'><ul><li><a>a</a></li></ul></div><section class='entry-content'><h2>Plan delayed</h2><p>{A}</p><blockquote>{B}</blockquote></section><div class='newsletter'><p>{A}</p></div>", ""),
+    "cookies and adverts": (f"<div id=cookie-banner><p>{A}</p></div><div id=main-content><h1>Plan delayed</h1><p>{A}</p><div class=ad>Buy now</div><p>{B}</p></div>", ""),
+}
+
+
+@pytest.fixture(scope="module")
+def trained(spark, sf_dir):
+    return html_crf.train(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet"))
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_layouts_made_by_hand(trained, layout):
+    page, between = LAYOUTS[layout]
+    want = " ".join(x for x in ("Plan delayed", A, between, B) if x)
+    assert html_crf.extract(f"<html><body>{page}</body></html>", trained) == want
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x", "<div><b>x", "<div>x</span>", "<ul><li><div>x", "<li><b>x</li><p>"])
+def test_depth_takes_linear_time(trained, piece):
+    began = time.process_time()
+    html_crf.extract(piece * 100_000, trained)
+    assert time.process_time() - began < 40
+    assert html_crf.leaves("".join(f"<div class='c{i}'>x" for i in range(2_000)))[-1].chain[-1] == ("div", ("c",))

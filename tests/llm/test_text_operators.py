@@ -497,3 +497,21 @@ def test_bpe_of_odd_neighbours_equals_the_library():
     for text, a, b, want in zip(texts, edges[:-1], edges[1:], bpe.library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert flat[a:b].tolist() == want.ids, text
         assert bpe.decode(flat[a:b]).decode() == bpe.library.decode(want.ids, skip_special_tokens=False)
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(8)
+
+    def text():
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+
+    t, u, v = text(), text(), text()
+    rows = [(1, t, "x"), (2, t, "x"), (2, u, "x"), (3, u + " more", "x"), (4, v, "x"), (4, v, "y"), (None, v, "x"), (None, v, "x"), (5, None, "x"), (5, "", "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    found = lsh_forest.keep_one(docs)
+    assert found.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    assert kept == sorted([(1, t), (2, u), (4, v), (None, v), (5, None), (5, ""), (6, "")], key=str)
+    near = t + " other"
+    kept = lsh_forest.keep_one(spark.createDataFrame([(1, t, ""), (1, near, ""), (0, u, "")], "doc_id long, text string, digest string")).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {0, 1}

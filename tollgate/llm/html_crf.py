@@ -49,7 +49,8 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+#: The name stands at the start, or behind white space, a slash or another attribute's quotes; never inside a longer name.
+ATTRIBUTE = re.compile(r"""(?<![^\s/"'])(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[a-z]+")
 # Fixed values of the markup language: elements without content, elements inside a line, elements that end their like.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,13 +71,36 @@ MAIN_NAMES = frozenset("article content post entry main story body text".split()
 SKIPPED = frozenset("title textarea button select option".split())
 
 
+class Element:
+    """An open element: what it adds to the names of its ancestors, and a way up."""
+
+    __slots__ = ("tag", "words", "parent", "new", "score")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Element | None, new: list[str]):
+        self.tag, self.words, self.parent, self.new = tag, words, parent, new
+        self.score: float | None = None
+
+    def line(self) -> list[Element]:
+        """This element and its ancestors, the outermost first."""
+        out, at = [], self
+        while at is not None:
+            out.append(at)
+            at = at.parent
+        return out[::-1]
+
+
 @dataclass
 class Leaf:
     text: str
-    chain: tuple[tuple[str, tuple[str, ...]], ...]
+    element: Element | None
     linked: int
     marked: bool
 
+    @property
+    def chain(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """Tag and name words of the ancestors that are no part of a line."""
+        return tuple((e.tag, e.words) for e in self.element.line()) if self.element else ()
+
 
 def attributes(text: str) -> tuple[tuple[str, ...], bool]:
     """Words of class, id and role names, and whether the element carries a training label."""
@@ -89,10 +113,77 @@ def attributes(text: str) -> tuple[tuple[str, ...], bool]:
     return tuple(words), marked
 
 
+def names_of(tag: str, words: tuple[str, ...]) -> list[str]:
+    """Feature names that an element gives to every block inside it."""
+    names = [f"in {tag}", *(f"named {w}" for w in words)]
+    if OTHER_NAMES.intersection(words):
+        names.append("hint other")
+    if MAIN_NAMES.intersection(words):
+        names.append("hint main")
+    return names
+
+
+class Open:
+    """The open elements at a place of a page. Every question takes the same time at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, list[str]]] = []
+        self.at: dict[str, list[int]] = {}  # places of each tag
+        self.blocks: list[int] = []  # places of elements that are no part of a line
+        self.lists: list[int] = []
+        self.elements: list[Element] = []
+        self.counts: dict[str, int] = {}  # feature names
+        self.marked = self.skipped = 0
+
+    def push(self, tag: str, words: tuple[str, ...], marked: bool) -> None:
+        place = len(self.stack)
+        self.at.setdefault(tag, []).append(place)
+        self.marked += marked
+        self.skipped += tag in SKIPPED
+        names: list[str] = []
+        if tag not in INLINE:
+            self.blocks.append(place)
+            names = list(dict.fromkeys(names_of(tag, words)))
+            new = [n for n in names if not self.counts.get(n)]
+            self.elements.append(Element(tag, words, self.elements[-1] if self.elements else None, new))
+            for n in names:
+                self.counts[n] = self.counts.get(n, 0) + 1
+        if tag in LISTS:
+            self.lists.append(place)
+        self.stack.append((tag, marked, names))
+
+    def cut(self, place: int) -> None:
+        """Close everything from a place on."""
+        while len(self.stack) > place:
+            tag, marked, names = self.stack.pop()
+            self.at[tag].pop()
+            self.marked -= marked
+            self.skipped -= tag in SKIPPED
+            if tag not in INLINE:
+                self.blocks.pop()
+                self.elements.pop()
+                for n in names:
+                    self.counts[n] -= 1
+            if tag in LISTS:
+                self.lists.pop()
+
+    def close(self, tag: str) -> None:
+        if self.at.get(tag):
+            self.cut(self.at[tag][-1])
+
+    def make_way(self, tag: str) -> None:
+        """Close what the start of a block element ends: a paragraph, or its like within the same list."""
+        ends = ENDS_LIKE.get(tag, ())
+        place = max((self.at[t][-1] for t in ("p", *ends) if self.at.get(t)), default=-1)
+        border = (self.lists[-1] + 1 if self.lists else 0) if ends else (self.blocks[-1] if self.blocks else 0)
+        if place >= max(border, 0):
+            self.cut(place)
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """The leaf blocks of a page, in page order."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    now = Open()
     found: list[Leaf] = []
     parts: list[str] = []
     linked, at = 0, 0
@@ -102,15 +193,14 @@ def leaves(page: str | None) -> list[Leaf]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
-            if text:
-                chain = tuple((tag, words) for tag, words, _ in stack if tag not in INLINE)
-                found.append(Leaf(text, chain, linked, any(m for _, _, m in stack)))
+            if text and not now.skipped:
+                found.append(Leaf(text, now.elements[-1] if now.elements else None, linked, now.marked > 0))
         linked = 0
 
     def words(piece: str) -> None:
         nonlocal linked
         parts.append(piece)
-        if any(tag == "a" for tag, _, _ in stack):
+        if now.at.get("a"):
             linked += len(piece.strip())
 
     for token in TOKEN.finditer(page):
@@ -127,49 +217,29 @@ def leaves(page: str | None) -> list[Leaf]:
         if tag not in INLINE:
             flush()
         if token["close"] or token["close2"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            now.close(tag)
             continue
         if tag in VOID:
             continue
         if tag not in INLINE and tag not in HELD and "-" not in tag:
-            ends = ENDS_LIKE.get(tag, frozenset())
-            for depth in range(len(stack) - 1, -1, -1):
-                name = stack[depth][0]
-                if name == "p" or name in ends:
-                    del stack[depth:]
-                    break
-                if name not in INLINE and (name in LISTS or not ends):
-                    break
+            now.make_way(tag)
         text = token["attributes"] or token["attributes2"] or ""
         if not text.rstrip().endswith("/") or tag in INLINE and tag not in FORMULA:
-            stack.append((tag, *(attributes(text) if text else ((), False))))
+            now.push(tag, *(attributes(text) if text else ((), False)))
     if at < len(page):
         words(page[at:])
     flush()
-    return [leaf for leaf in found if not any(tag in SKIPPED for tag, _ in leaf.chain)]
+    return found
 
 
-def features(blocks: list[Leaf]) -> list[list[str]]:
-    """Names of the features of each block."""
+def own_features(blocks: list[Leaf]) -> list[list[str]]:
+    """Names of the features of each block's text and place."""
     out = []
-    chains: dict[tuple, list[str]] = {}
     for n, block in enumerate(blocks):
-        names = chains.get(block.chain)
-        if names is None:
-            names = {f"in {tag}" for tag, _ in block.chain}
-            for _, words in block.chain:
-                names |= {f"named {w}" for w in words}
-                names |= {"hint other"} if OTHER_NAMES.intersection(words) else set()
-                names |= {"hint main"} if MAIN_NAMES.intersection(words) else set()
-            last = block.chain[-1][0] if block.chain else "none"
-            names = chains[block.chain] = sorted(names | {f"leaf {last}"})
         text = block.text
         share = block.linked / len(text)
         own = [
-            *names,
+            f"leaf {block.element.tag if block.element else 'none'}",
             f"length {min(len(text) // 8, 1 << 20).bit_length()}",
             f"links {0 if share == 0 else 1 if share < 0.5 else 2}",
             "sentence" if text[-1] in ".!?…。！？\"'" else "no sentence",
@@ -183,6 +253,18 @@ def features(blocks: list[Leaf]) -> list[list[str]]:
     return out
 
 
+def features(blocks: list[Leaf]) -> list[list[str]]:
+    """Names of all features of each block: those of its ancestors and its own."""
+    kept: dict[int, list[str]] = {}
+    out = []
+    for block, own in zip(blocks, own_features(blocks), strict=True):
+        above = kept.get(id(block.element))
+        if above is None:
+            above = kept[id(block.element)] = sorted(n for e in (block.element.line() if block.element else ()) for n in e.new)
+        out.append([*above, *own])
+    return out
+
+
 class Field:
     """Two-label linear chain: weights per feature, one weight per transition, one for the first label."""
 
@@ -252,8 +334,24 @@ class Field:
         self.weights, self.first = theta[:size].copy(), float(theta[size])
         self.transitions = theta[size + 1 :].reshape(2, 2).copy()
 
-    def decode(self, rows: list[list[str]]) -> list[int]:
-        """The most probable labels (Viterbi)."""
+    def weigh(self, element: Element | None) -> float:
+        """The weight of all features of an element and its ancestors; each element is weighed once."""
+        waiting = []
+        while element is not None and element.score is None:
+            waiting.append(element)
+            element = element.parent
+        score = 0.0 if element is None else element.score
+        for e in reversed(waiting):
+            score += sum(float(self.weights[i]) for i in map(self.index.get, e.new) if i is not None)
+            e.score = score
+        return score
+
+    def label(self, blocks: list[Leaf]) -> list[int]:
+        """The most probable labels of the blocks of a page."""
+        return self.decode(own_features(blocks), [self.weigh(b.element) for b in blocks])
+
+    def decode(self, rows: list[list[str]], above: list[float] | None = None) -> list[int]:
+        """The most probable labels (Viterbi); ``above`` is what ancestors add to each row."""
         if not rows:
             return []
         get, weights = self.index.get, self.weights.tolist()
@@ -261,7 +359,7 @@ class Field:
         back = []
         zero = one = 0.0
         for t, names in enumerate(rows):
-            score = sum([weights[i] for i in map(get, names) if i is not None])
+            score = sum([weights[i] for i in map(get, names) if i is not None]) + (above[t] if above else 0.0)
             if t == 0:
                 zero, one = 0.0, score + self.first
                 continue
@@ -279,7 +377,7 @@ class Field:
 def extract(page: str | None, field: Field) -> str:
     """The main text of one page."""
     blocks = leaves(page)
-    labels = field.decode(features(blocks))
+    labels = field.label(blocks)
     return " ".join(b.text for b, label in zip(blocks, labels, strict=True) if label)
 
 
@@ -336,13 +434,14 @@ def rearranged(main: list[str], other: list[str], rng: np.random.Generator) -> s
         return ""
 
     body = []
+    plain = rng.random() < 0.25  # a page that knows one kind of container only
     for n, text in enumerate(main):
-        tag = "h1" if n == 0 and len(text) < 200 else pick("p", "p", "p", "p", "h2", "li", "blockquote") if len(text) > 20 else "p"
+        tag = pick("h1", "div") if plain and n == 0 else "div" if plain else "h1" if n == 0 and len(text) < 200 else pick("p", "p", "p", "p", "h2", "li", "blockquote") if len(text) > 20 else "p"
         body.append(f'<{tag} data-main="1">{entities.escape(text)}</{tag}>')
         if rng.random() < 0.08:
             body.append(extra())
     tail = "".join(extra() for _ in range(rng.integers(0, 3)))
-    opening = pick("article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="entry-content"', "div")
+    opening = "div" if plain else pick("article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="entry-content"', "div")
     parts = [
         pick("", element(pick("header", 'div class="header"', 'div id="top-banner"'), element("h2", short(1)[0]) + pick("", paragraphs(1)))),
         pick("", element(pick("nav", 'div class="menu"', 'ul id="nav"'), pick("<ul>", "<ol>") + links(int(rng.integers(3, 12))) + "</ul>")),
@@ -350,7 +449,7 @@ def rearranged(main: list[str], other: list[str], rng: np.random.Generator) -> s
         element(opening, "".join(body) + (tail if rng.random() < 0.5 else "")),
         "" if rng.random() < 0.5 else tail,
         extra(),
-        element(pick("footer", 'div class="footer"', 'div id="footer"'), pick("&copy; " + some(1, 200)[0], paragraphs(1), "<ul>" + links(3) + "</ul>")),
+        element(pick("footer", 'div class="footer"', 'div id="footer"'), pick("&copy; " + some(1, 200)[0], paragraphs(1), paragraphs(2), "<ul>" + links(3) + "</ul>")),
     ]
     return element("html", element("body", "".join(parts)))
 

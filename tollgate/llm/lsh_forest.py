@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm import store
@@ -109,7 +109,7 @@ def labels(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, the key of the text (null without words), and its signature."""
+    """doc_id, the key of the text (null without words), its signature, and a digest of the text as it stands."""
 
     @wb.sparing
     def task(batches):
@@ -121,10 +121,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 packed: list = [None] * rows
                 for i, s in zip(np.flatnonzero(some).tolist(), signatures(values, firsts), strict=True):
                     packed[i] = s.tobytes()
-                columns = [part.column("doc_id"), pa.array(keys.view(np.int64), mask=~some), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "signature"])
+                columns = [part.column("doc_id"), pa.array(keys.view(np.int64), mask=~some), pa.array(packed, pa.binary()), part.column("digest")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "signature", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, key long, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    return rows.mapInArrow(task, "doc_id long, key long, signature binary, digest long")
 
 
 def tree_rows(texts: DataFrame) -> DataFrame:
@@ -300,11 +301,8 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("label", "low", "high", "own", "key", "shingles").mapInArrow(task, "key long, links long, root long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per document: class_id, the smallest doc_id of its group, and n_links, the other texts within reach.
-
-    A group is what links and equal texts connect; a document without any is its own class.
-    """
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and per text its key, smallest doc_id, label of its group and number of links."""
     rows = store.written(signed(docs), "forest-signed")
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     texts = store.written(known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "forest-texts")
@@ -317,7 +315,16 @@ def join(docs: DataFrame) -> DataFrame:
     counts = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     texts = texts.select("key", "doc_id").join(joined.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")
     texts = texts.select("key", "doc_id", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    texts = store.written(texts, "forest-labelled")
+    return rows, store.written(texts, "forest-labelled")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row per document: class_id, the smallest doc_id of its group, and n_links, the other texts within reach.
+
+    A group is what links and equal texts connect; a document without any is its own class.
+    """
+    rows, texts = grouped(docs)
+    known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     lowest = store.written(texts.groupBy("label").agg(F.min("doc_id").alias("class_id")), "forest-lowest")
     classes = store.written(texts.join(lowest, "label").select("key", "class_id", "n_links"), "forest-classes")
     out = known.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "n_links")
@@ -326,17 +333,40 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns.
+    """One document of each group with all its columns: the one of the smallest doc_id.
 
-    Documents in no group stay. Of rows with the same doc_id and text one stays.
+    Rows are told apart by doc_id and text, so ids may repeat: of the texts under one id each is
+    kept or dropped for itself, and where one group has several texts of its smallest id, the one
+    of the smallest digest stays. Rows equal in both are copies, of which one stays, whatever
+    their other columns hold. Documents without a doc_id or without words are in no group and stay.
     """
-    losers = store.written(join(docs).where("doc_id != class_id").select("doc_id").distinct(), "forest-losers")
-    rest = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
-    mark = "_copy"
-    while mark in docs.columns:
-        mark += "_"
-    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return rest.withColumn(mark, F.row_number().over(copies)).where(F.col(mark) == 1).drop(mark)
+    rows, texts = grouped(docs)
+    known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest", "key")
+    placed = store.written(known.join(texts.select("key", "label"), "key").select("label", F.struct("doc_id", "digest").alias("row")), "forest-placed")
+    best = store.written(placed.groupBy("label").agg(F.min("row").alias("best")), "forest-best")
+    losers = placed.join(best, "label").where("row != best").select("row.doc_id", "row.digest").distinct()
+    losers = store.written(losers, "forest-losers")
+    repeated = store.written(rows.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "forest-repeated")
+    place, digest = free_name("place", docs), free_name("digest", docs)
+    marked = docs.withColumns({place: F.col("doc_id").cast("long"), digest: F.xxhash64("text")})
+
+    def same(other: DataFrame) -> Column:
+        return marked[place].eqNullSafe(other["doc_id"]) & (marked[digest] == other["digest"])
+
+    rest = marked.join(losers, same(losers), "left_anti")
+    marked = rest
+    single = marked.join(repeated, same(repeated), "left_anti").select(docs.columns)
+    several = marked.join(repeated, same(repeated), "left_semi")
+    number = free_name("number", docs)
+    several = several.withColumn(number, F.row_number().over(Window.partitionBy(place, digest).orderBy(place)))
+    return single.unionByName(several.where(F.col(number) == 1).select(docs.columns))
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 SQL = r"""
