@@ -1,10 +1,14 @@
 """Rule checks on hand-made requests."""
 
+import json
+import time
+
 from pyspark.sql import functions as F
 
 from tollgate.functions import text
-from tollgate.operators import help, items, requests, rules, zero_shot
+from tollgate.operators import help, items, policies, requests, rules, zero_shot
 from tollgate.plans import views
+from tollgate.sources import policies as sources
 
 
 def violations(df, policy):
@@ -61,12 +65,12 @@ def test_format_is_anchored_at_the_start_only(spark):
 
 def test_statuses_and_policy_names(spark):
     df = frame(spark, [(1, "OTHER", "a", ""), (2, None, "a", ""), (3, "nope", "a", ""), (4, "other", "", ""), (5, "empty", "", "")])
-    policies = {
+    named = {
         "Other": {"custom_validation_rules": [{"type": "required_fields", "fields": ["missing"]}]},
         "OTHER": {"custom_validation_rules": [{"type": "required_fields", "fields": ["input_text"]}]},
         "Empty": {},
     }
-    got = {r["request_id"]: r["overall_status"] for r in requests.validate(df, policies).collect()}
+    got = {r["request_id"]: r["overall_status"] for r in requests.validate(df, named).collect()}
     assert got == {
         1: "PASS", 2: "ERROR_BAD_REQUEST", 3: "REJECT_INVALID_POLICY", 4: "REJECT_POLICY_VIOLATION", 5: "REJECT_INVALID_POLICY",
     }
@@ -169,10 +173,11 @@ def test_two_decimals_as_python_prints_them(spark):
 
 
 def test_rule_messages_run_without_python(spark):
-    """A rules-only policy is one native stage: no Python node, no shuffle."""
+    """A rules-only policy is one native stage: no Python node, no shuffle; only the policy table is broadcast."""
     df = frame(spark, [(1, "BasicGate", "a", "b")])
     plan = requests.validate(df, {"BasicGate": views.POLICIES["BasicGate"]})._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan.replace("PythonRDD", "") and "Exchange" not in plan
+    moved = plan.replace("BroadcastExchange HashedRelationBroadcastMode(List(input[0, string", "")
+    assert "Python" not in plan.replace("PythonRDD", "") and "Exchange" not in moved
     assert rules.rule_errors({"type": "text_length_limit"}, 4) == "Invalid 'text_length_limit' rule config at index 4."
 
 
@@ -212,3 +217,99 @@ def test_image_workflow(spark):
 
     rows = {r["status"]: r["explanation"] for r in api.check_images(judged, policies, explain_model).collect()}
     assert rows == {"violation": "it shows secret", "no violation": None}
+
+
+def many_policies(n):
+    return {
+        f"Policy{i}": {
+            "description": f"policy {i}",
+            "colbert_input_sensitivity": True,
+            "disallowed_colbert_input_classes": [f"Class {i % 7}"],
+            "custom_validation_rules": [
+                {"type": "text_length_limit", "max_length": i, "text_fields": ["input_text"]},
+                {"type": "required_fields", "fields": ["user", "absent"]},
+                {"type": "format_validation", "field": "user", "pattern": f"u{i}$"},
+            ],
+            "item_processing_rules": [{"item_type": "image", "vlm_processing": {"required": i % 2 == 0}}],
+        }
+        for i in range(n)
+    }
+
+
+def policy_rows(spark, policies):
+    return sources.policy_rows(spark.createDataFrame([(json.dumps(policies),)], "value string"))
+
+
+def test_a_thousand_policies_take_the_time_of_ten(spark):
+    rows = spark.range(60_000).select(
+        F.col("id").alias("request_id"), F.concat(F.lit("policy"), (F.col("id") % 10).cast("string")).alias("api_class"),
+        F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("input_text"), F.concat(F.lit("u"), (F.col("id") % 20).cast("string")).alias("user"),
+        F.concat(F.lit("Class "), (F.col("id") % 9).cast("string")).alias("input_class"),
+    )
+    took, seen = {}, {}
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # code that is too large to compile would be an error
+    try:
+        for n in (10, 1000):
+            checked = requests.validate(rows, policy_rows(spark, many_policies(n)))
+            plan = checked._jdf.queryExecution().executedPlan().toString()
+            assert "ArrowEvalPython" not in plan.split("BroadcastExchange")[0]
+            for _ in range(2):
+                began = time.perf_counter()
+                checked.write.format("noop").mode("overwrite").save()
+                took[n] = time.perf_counter() - began
+            seen[n] = checked.agg(F.sum(F.xxhash64("request_id", "violation_reasons", "overall_status", "checks_skipped").cast("decimal(38)"))).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert seen[10] == seen[1000]
+    assert took[1000] < 3 * took[10] + 2
+
+
+def test_policy_rows_and_dicts_say_the_same(spark):
+    odd = {
+        "A": {"custom_validation_rules": "none"},
+        "a": {
+            "custom_validation_rules": [
+                {"type": "text_length_limit", "max_length": "3"}, 7, None, {"type": "text_length_limit", "max_length": 3, "text_fields": "input_text"},
+                {"type": "text_length_limit", "max_length": 3, "text_fields": ["input_text", 5]}, {"type": "other"}, {},
+                {"type": "required_fields", "fields": "x"}, {"type": "required_fields"}, {"type": "required_fields", "fields": ["n", "output_text", "k"]},
+                {"type": "format_validation", "field": "input_text", "pattern": ""}, {"type": "format_validation", "field": "input_text", "pattern": "(x"},
+                {"type": "format_validation", "field": "k", "pattern": "(?P<a>v)(?P=a)\\Z"}, {"type": "format_validation", "field": "n", "pattern": "7$"},
+            ]
+        },
+        "Gone": {}, "B": {"description": "said", "modernbert_io_validation": True, "rate_limiting": {"enabled": True, "max_requests_per_minute": 5}},
+    }
+    df = spark.createDataFrame(
+        [(1, "a", "long text", None, 0, {"k": "vv"}), (2, "A", "", "x", 7, {"k": "v"}), (3, "b", "", "", 1, None), (4, "gone", "", "", 1, None)],
+        "request_id int, api_class string, input_text string, output_text string, n int, extra map<string,string>",
+    )
+    shown = ["request_id", "overall_status", "violation_reasons", "checks_skipped", "error_message"]
+    one = sorted(map(str, requests.validate(df, odd).select(shown).collect()))
+    other = sorted(map(str, requests.validate(df, policy_rows(spark, odd)).select(shown).collect()))
+    assert one == other
+    told = {r["request_id"]: r for r in requests.validate(df, odd).collect()}
+    assert told[1]["violation_reasons"] == [
+        "Invalid 'text_length_limit' rule config at index 0.", "Custom rule at index 1 is not a valid object.", "Custom rule at index 2 is not a valid object.",
+        "Invalid 'text_length_limit' rule config at index 3.", "Field 'input_text' (length 9) exceeds maximum length of 3 characters.",
+        "Invalid 'required_fields' rule config at index 7.", "Required field 'n' is missing or empty.", "Required field 'output_text' is missing or empty.",
+        "Invalid 'format_validation' rule config at index 10.",
+        "Invalid regex pattern in 'format_validation' for field 'input_text': missing ), unterminated subpattern at position 0",
+        "Field 'n' does not match required format pattern.",
+    ]
+    assert told[2]["violation_reasons"][-1] == "Field 'k' does not match required format pattern."
+    assert told[3]["overall_status"] == "PASS" and told[3]["checks_skipped"] == ["modernbert_io_validation"]
+    assert told[4]["overall_status"] == "REJECT_INVALID_POLICY"
+    limits = {r["policy_name"]: r["rate_limit"] for r in policies.policy_table(spark, policy_rows(spark, odd)).collect()}
+    assert limits == {"a": None, "b": 5}
+
+
+def test_a_policy_table_too_large_to_broadcast(spark, monkeypatch):
+    df = frame(spark, [(i, f"POLICY{i % 9}", "text", "") for i in range(40)])
+    want = sorted(map(str, requests.validate(df, many_policies(8)).collect()))
+    monkeypatch.setattr(policies, "small_side", lambda table: table)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = requests.validate(df, policy_rows(spark, many_policies(8)))
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.text import is_blank
 from tollgate.operators import agent, audit, chunking, code, config, handshake, help, items, pairs, pebbles, requests, zero_shot
 from tollgate.operators.embedding import Embedder, TrigramEmbedder, classify_texts, embed_text
+from tollgate.operators.policies import Policies, policy_table, with_policy
 from tollgate.operators.similarity import top_k
 from tollgate.session import cut_lineage
 from tollgate.sources import index_store
@@ -18,15 +19,9 @@ from tollgate.sources import index_store
 Make = Callable[[], Embedder]
 
 
-def _only(policies: Mapping[str, Mapping], uses: Callable[[Mapping], bool], text: str) -> Column:
-    """The text where the request's policy needs it, else null, so other rows cost the model nothing."""
-    names = [name for name, policy in requests.by_lower_name(policies).items() if uses(policy)]
-    return F.when(F.lower("api_class").isin(names), F.col(text))
-
-
 def validate(
     incoming: DataFrame,
-    policies: Mapping[str, Mapping],
+    policies: Policies,
     files: DataFrame | None = None,
     pair_model: PipelineModel | None = None,
     examples: Mapping[str, Sequence[str]] | None = None,
@@ -34,23 +29,25 @@ def validate(
 ) -> DataFrame:
     """Requests with ``overall_status``, ``violation_reasons``, ``checks_skipped`` and ``error_message``.
 
-    Items come as an array column ``items`` or as JSON text in ``input_items``.
-    ``files`` holds ``(request_id, file_name, description)`` of attached files. A
-    model only sees the rows whose policy asks for it.
+    ``policies`` is a dict, or a table as :func:`tollgate.sources.policies.policy_rows` gives it. Items come as an
+    array column ``items`` or as JSON text in ``input_items``. ``files`` holds ``(request_id, file_name, description)``
+    of attached files. A model only sees the rows whose policy asks for it.
     """
-    rows = incoming
-    named = requests.by_lower_name(policies)
+    table = policy_table(incoming.sparkSession, policies)
+    if isinstance(policies, DataFrame):
+        table = cut_lineage(table)  # met three times below
+    asked = table.agg(*[F.max(c).alias(c) for c in ("pair_check", "input_check", "output_check")]).first()
+    rows = with_policy(incoming, table)
     for side in ("input", "output"):
-        key = f"colbert_{side}_sensitivity"
-        if not any(p.get(key) for p in named.values()):
+        if not asked[f"{side}_check"]:
             continue
-        asked = rows.withColumn("_text", _only(policies, lambda p: bool(p.get(key)), f"{side}_text"))
+        text = F.when(F.col(f"_policy.{side}_check"), F.col(f"{side}_text"))
         rows = (
-            classify_texts(asked, "_text", "_found", examples, make)
+            classify_texts(rows.withColumn("_text", text), "_text", "_found", examples, make)
             .withColumn(f"{side}_class", F.col("_found.predicted_class"))
             .drop("_text", "_found")
         )
-    if pair_model is not None and any(p.get("modernbert_io_validation") for p in named.values()):
+    if pair_model is not None and asked["pair_check"]:
         rows = pairs.score(rows, pair_model)
     listed = {"items": items.explode_items, "input_items": items.explode_json_items}
     given = next((c for c in listed if c in rows.columns), None)
@@ -58,10 +55,10 @@ def validate(
         attached = items.attach_files(listed[given](rows), files)
         described = classify_texts(attached, "description", "_found", examples, make)
         checked = items.item_messages(
-            described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found"), policies
+            described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found"), table
         )
-        return requests.validate(rows, policies, items.regroup(checked))
-    return requests.validate(rows, policies)
+        return requests.validate(rows, table, items.regroup(checked))
+    return requests.validate(rows, table)
 
 
 def build_index(
@@ -102,7 +99,7 @@ def classify_sensitivity(
     return classify_texts(texts, text, "sensitivity", examples, make)
 
 
-def suggest_help(results: DataFrame, policies: Mapping[str, Mapping], index: DataFrame, make: Make = TrigramEmbedder) -> DataFrame:
+def suggest_help(results: DataFrame, policies: Policies, index: DataFrame, make: Make = TrigramEmbedder) -> DataFrame:
     """Suggestions for the rejected rows of :func:`validate`."""
     rejected = results.filter(F.col("overall_status") == requests.VIOLATION)
     return help.suggest(rejected, policies, index, make)

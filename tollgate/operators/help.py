@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.functions.text import cut, no_text
 from tollgate.operators.embedding import Embedder, TrigramEmbedder, embed_text
-from tollgate.operators.requests import by_lower_name
+from tollgate.operators.policies import PER_QUERY, Policies, policy_table, with_policy
 from tollgate.operators.similarity import top_k
 from tollgate.session import cut_lineage, small_side
 
-# The search phrases of each violation term, and the defaults of the settings.
+# The search phrases of each violation term, and the error texts.
 TERM_QUERIES: dict[str, list[str]] = {
     "pii": ["handling PII", "sensitive data policy", "data privacy"],
     "sensitive": ["data sensitivity levels", "confidential information rules"],
@@ -24,7 +24,6 @@ TERM_QUERIES: dict[str, list[str]] = {
     "required field": ["mandatory fields", "API data requirements"],
     "format validation": ["data format rules", "pattern matching requirements"],
 }
-MAX_QUERIES, PER_QUERY, TOTAL, THRESHOLD = 3, 2, 5, 0.1
 NO_INDEX_PATH = "Documentation RAG index path not configured."
 INDEX_MISSING = "Documentation RAG index at '%s' not available or failed to load."
 NO_QUERIES = "No specific help queries generated for violations."
@@ -105,39 +104,20 @@ def suggestion(doc_id: Column, shown: Column, metadata: Column, score: Column) -
     )
 
 
-def _setting(policies: Mapping[str, Mapping], pick: Callable[[Mapping], object], kind: str) -> Column:
-    name = F.lower(F.col("api_class"))
-    chosen = F.when(F.lit(False), F.lit(None).cast(kind))
-    for policy_name, policy in by_lower_name(policies).items():
-        chosen = chosen.when(name == policy_name, F.lit(pick(policy)).cast(kind))
-    return chosen
-
-
-def _assist(policy: Mapping) -> Mapping:
-    return policy.get("documentation_assistance", {})
-
-
-def with_help_queries(rejected: DataFrame, policies: Mapping[str, Mapping]) -> DataFrame:
+def with_help_queries(rejected: DataFrame, policies: Policies) -> DataFrame:
     """Adds the assistance settings of the policy and ``help_queries``."""
-    settings = {
-        "help_enabled": _setting(policies, lambda p: bool(_assist(p).get("enabled", False)), "boolean"),
-        "index_path": _setting(policies, lambda p: _assist(p).get("index_path"), "string"),
-        "per_query": _setting(policies, lambda p: _assist(p).get("max_suggestions_per_query", PER_QUERY), "int"),
-        "total": _setting(policies, lambda p: _assist(p).get("max_total_suggestions", TOTAL), "int"),
-        "threshold": _setting(policies, lambda p: _assist(p).get("min_similarity_threshold", THRESHOLD), "double"),
-        "max_queries": _setting(policies, lambda p: _assist(p).get("max_help_queries_to_use", MAX_QUERIES), "int"),
-        "description": _setting(policies, lambda p: p.get("description"), "string"),
-    }
-    filled = rejected.withColumns(settings)
+    filled = with_policy(rejected, policies)
+    settings = ("help_enabled", "index_path", "per_query", "total", "threshold", "max_queries")
+    filled = filled.withColumns({n: F.col(f"_policy.help.{n}") for n in settings} | {"description": F.col("_policy.description")})
     queries = help_queries(F.col("violation_reasons"), F.col("description"))
-    return filled.withColumn("help_queries", queries).withColumn(
+    return filled.drop("_policy").withColumn("help_queries", queries).withColumn(
         "queries_used", F.slice("help_queries", 1, F.col("max_queries"))
     )
 
 
 def suggest(
     rejected: DataFrame,
-    policies: Mapping[str, Mapping],
+    policies: Policies,
     index: DataFrame,
     make: Callable[[], Embedder] = TrigramEmbedder,
 ) -> DataFrame:
@@ -152,7 +132,8 @@ def suggest(
     asked = cut_lineage(
         asking.select("request_id", "per_query", "total", "threshold", F.explode("queries_used").alias("query"))
     )
-    k = max([int(_assist(p).get("max_suggestions_per_query", PER_QUERY)) for p in policies.values()] or [PER_QUERY])
+    most = policy_table(rejected.sparkSession, policies).agg(F.max("help.per_query").alias("k")).first()
+    k = most["k"] or PER_QUERY
     texts = asked.select("query").distinct().withColumn("vector", embed_text(F.col("query"), make))
     hits = cut_lineage(top_k(texts, index.select("id", "embedding"), k, query_id="query"))
     records = index.select("id", preview(F.col("text")).alias("preview"), "metadata")

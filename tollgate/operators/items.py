@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.text import messages_if, no_text, words_found
-from tollgate.operators.requests import by_lower_name
+from tollgate.operators.policies import Policies, with_policy
 from tollgate.operators.rules import joined
 
 # Message texts and the item types an image model takes.
@@ -91,19 +89,15 @@ def explode_json_items(requests: DataFrame, column: str = "input_items") -> Data
     )
 
 
-def item_rule_table(spark: SparkSession, policies: Mapping[str, Mapping]) -> DataFrame:
-    """``(policy_name, item_type, rule_no)``; only the first rule of each type counts."""
-    first: dict[tuple[str, str], int] = {}
-    for name, policy in by_lower_name(policies).items():
-        for number, rule in enumerate(policy.get("item_processing_rules", [])):
-            first.setdefault((name, rule.get("item_type")), number)
-    rows = [(name, kind, number) for (name, kind), number in first.items()]
-    return spark.createDataFrame(rows, "policy_name string, item_type string, rule_no int")
+def rule_of(item_type: Column) -> Column:
+    """The rule of the row's policy for an item type; null where it has none."""
+    return F.get(F.filter(F.col("_policy.item_rules"), lambda r: r["item_type"] == item_type), F.lit(0))
 
 
-def match_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Items with the number of their rule; null where the policy has none. The rule table is configuration."""
-    return items.join(F.broadcast(rules), ["policy_name", "item_type"], "left")
+def match_rules(items: DataFrame, policies: Policies) -> DataFrame:
+    """Items with the number of the first rule of their type, ``rule_no``; null where the policy has none."""
+    rows = with_policy(items, policies, "policy_name")
+    return rows.withColumn("rule_no", rule_of(F.col("item_type"))["rule_no"]).drop("_policy")
 
 
 def attach_files(items: DataFrame, files: DataFrame) -> DataFrame:
@@ -112,73 +106,57 @@ def attach_files(items: DataFrame, files: DataFrame) -> DataFrame:
     return items.join(named, ["request_id", "file_name"], "left")
 
 
-def blocked_words(text: Column, words: list[str]) -> Column:
-    """The listed words that occur in ``text``, in list order, any case."""
-    return words_found(F.lower(text), words)
+def blocked_words(text: Column, words: Column | list[str]) -> Column:
+    """The listed words that occur in ``text``, in list order, any case. A list may come from the row itself."""
+    if isinstance(words, list):
+        return words_found(F.lower(text), words)
+    low = F.lower(text)
+    return F.filter(words, lambda w: F.contains(low, F.lower(w)))
 
 
-def _rule_messages(rule: Mapping, has_class: bool) -> Column:
-    config = rule.get("vlm_processing", {})
-    if not config.get("required", False):
-        return no_text()
+def _rule_messages(rule: Column, has_class: bool) -> Column:
     item, name, kind = F.col("item_id"), F.col("file_name"), F.col("item_type")
     no_name = F.coalesce(name, F.lit("")) == ""
     found = F.coalesce(F.col("has_file"), F.lit(False)) & ~no_name
     text = F.when(found & kind.isin(IMAGE_TYPES), F.coalesce(F.col("description"), F.lit(""))).otherwise(F.lit(""))
+    hits = blocked_words(text, rule["words"])
     arrays = [
         messages_if(no_name, F.format_string(NO_FILE_NAME, item)),
         messages_if(~no_name & ~found, F.format_string(NO_FILE, name, item)),
         messages_if(found & ~kind.isin(IMAGE_TYPES), F.format_string(NOT_SUPPORTED, kind)),
     ]
-    derived = rule.get("derived_text_checks", {})
-    if derived.get("colbert_sensitivity", False) and has_class:
-        denied = derived.get("disallowed_classes", [])
-        arrays.append(
-            messages_if(
-                (text != "") & F.col("description_class").isin(denied),
-                F.format_string(DERIVED_CLASS, item, F.col("description_class")),
-            )
-        )
-    words = derived.get("blocked_keywords", [])
-    if words:
-        hits = blocked_words(text, words)
-        arrays.append(
-            messages_if((text != "") & (F.size(hits) > 0), F.format_string(DERIVED_WORDS, item, F.array_join(hits, ", ")))
-        )
-    return joined(arrays)
+    if has_class:
+        denied = rule["class_check"] & (text != "") & F.array_contains(rule["denied"], F.col("description_class"))
+        arrays.append(messages_if(denied, F.format_string(DERIVED_CLASS, item, F.col("description_class"))))
+    arrays.append(
+        messages_if((text != "") & (F.size(hits) > 0), F.format_string(DERIVED_WORDS, item, F.array_join(hits, ", ")))
+    )
+    return F.when(rule["required"], joined(arrays)).otherwise(no_text())
 
 
-def item_messages(
-    items: DataFrame, policies: Mapping[str, Mapping], strict_reported: bool = True
-) -> DataFrame:
+def item_messages(items: DataFrame, policies: Policies, strict_reported: bool = True) -> DataFrame:
     """Adds ``violations`` per item. Reads ``has_file``, ``description`` and, if there, ``description_class``.
 
+    An item meets the rules of its policy in a join and looks up the one of its type.
     ``strict_reported=False`` reproduces services that note a missing rule but never report it.
     """
     has_class = "description_class" in items.columns
+    rows = with_policy(items, policies, "policy_name").withColumn("_rule", rule_of(F.col("item_type")))
+    with_rules = F.coalesce(F.size("_policy.item_rules") > 0, F.lit(False))
     chosen = F.when(F.lit(False), no_text())
     if "shape_error" in items.columns:
         # a policy without item rules only looks at the list as a whole
-        with_rules = [n for n, p in by_lower_name(policies).items() if p.get("item_processing_rules")]
-        reported = (F.col("shape_error") == NOT_A_LIST) | F.col("policy_name").isin(with_rules)
+        reported = (F.col("shape_error") == NOT_A_LIST) | with_rules
         chosen = F.when(F.col("shape_error").isNotNull() & reported, F.array("shape_error")).when(
             F.col("shape_error").isNotNull(), no_text()
         )
-    for name, policy in by_lower_name(policies).items():
-        rules = policy.get("item_processing_rules") or []
-        if not rules:
-            continue
-        here = F.col("policy_name") == name
-        seen: set[str] = set()
-        for rule in rules:
-            kind = rule.get("item_type")
-            if kind in seen:
-                continue
-            seen.add(kind)
-            chosen = chosen.when(here & (F.col("item_type") == kind), _rule_messages(rule, has_class))
-        if policy.get("strict_item_type_matching", False) and strict_reported:
-            chosen = chosen.when(here, F.array(F.format_string(NO_RULE, F.col("item_type"))))
-    return items.withColumn("violations", chosen.otherwise(no_text()))
+    chosen = chosen.when(F.col("_rule").isNotNull(), _rule_messages(F.col("_rule"), has_class))
+    if strict_reported:
+        missing = F.array(F.format_string(NO_RULE, F.col("item_type")))
+        chosen = chosen.when(with_rules & F.col("_policy.strict"), missing)
+    if "description" not in items.columns:
+        rows = rows.withColumn("description", F.lit(None).cast("string"))
+    return rows.withColumn("violations", chosen.otherwise(no_text())).select(*items.columns, "violations")
 
 
 def regroup(items: DataFrame) -> DataFrame:

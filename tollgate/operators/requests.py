@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.text import no_text
-from tollgate.operators.rules import policy_checks
+from tollgate.operators.policies import Policies, with_policy
+from tollgate.operators.rules import class_list_messages, joined, pair_messages, rule_messages
 
 # Status names and error texts.
 BAD_REQUEST = "ERROR_BAD_REQUEST"
@@ -19,79 +18,82 @@ CLASS_REQUIRED = "'api_class' field is required in JSON payload."
 POLICY_NOT_FOUND = "Policy definition for API class '%s' (normalized to '%s') not found or not loaded."
 
 
-def by_lower_name(policies: Mapping[str, Mapping]) -> dict[str, Mapping]:
-    """Policies by lower-cased name; the last duplicate wins, empty policies count as absent."""
-    named = {name.lower(): policy for name, policy in policies.items()}
-    return {name: policy for name, policy in named.items() if policy}
-
+def lookup_policy(requests: DataFrame, policies: Policies) -> DataFrame:
+    """Each request with the name and description of its policy; ``policy_name`` is null where none matches."""
+    found = with_policy(requests, policies)
+    return found.withColumns({"policy_name": F.col("_policy.policy_name"), "description": F.col("_policy.description")}).drop("_policy")
 
-def policy_table(spark: SparkSession, policies: Mapping[str, Mapping]) -> DataFrame:
-    rows = [(name, str(p.get("description", ""))) for name, p in by_lower_name(policies).items()]
-    return spark.createDataFrame(rows, "policy_name string, description string")
 
+def model_messages(df: DataFrame) -> Column:
+    """Messages of the pair classifier and of the class lists, from the model results that ``df`` has."""
+    policy = F.col("_policy")
 
-def lookup_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each request with its policy row; ``policy_name`` is null where none matches.
+    def text(name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
-    ``policies`` comes from configuration held by the driver, which bounds the broadcast.
-    """
-    name = F.lower(F.col("api_class"))
-    return requests.join(F.broadcast(policies), name == F.col("policy_name"), "left")
+    arrays = []
+    if {"io_prediction", "io_probability"} <= set(df.columns):
+        found = pair_messages(F.col("io_prediction"), F.col("io_probability"), text("input_text"), text("output_text"))
+        arrays.append(F.when(policy["pair_check"], found).otherwise(no_text()))
+    for side in ("input", "output"):
+        if f"{side}_class" in df.columns:
+            found = class_list_messages(side, text(f"{side}_text"), F.col(f"{side}_class"), policy[f"{side}_denied"], policy[f"{side}_allowed"])
+            arrays.append(F.when(policy[f"{side}_check"], found).otherwise(no_text()))
+    return joined(arrays)
 
 
-def _per_policy(policies: Mapping[str, Column], default: Column) -> Column:
-    name = F.lower(F.col("api_class"))
-    chosen = None
-    for policy, value in policies.items():
-        chosen = F.when(name == policy, value) if chosen is None else chosen.when(name == policy, value)
-    return default if chosen is None else chosen.otherwise(default)
+def skipped_checks(df: DataFrame, has_items: bool) -> Column:
+    """Checks that a policy asks for and that have no results in ``df``."""
+    policy = F.col("_policy")
+    absent = {
+        "modernbert_io_validation": (policy["pair_check"], {"io_prediction", "io_probability"} <= set(df.columns)),
+        "colbert_input_sensitivity": (policy["input_check"], "input_class" in df.columns),
+        "colbert_output_sensitivity": (policy["output_check"], "output_class" in df.columns),
+        "item_processing_rules": (F.size(policy["item_rules"]) > 0, has_items),
+    }
+    named = [F.when(asked, F.lit(name)) for name, (asked, there) in absent.items() if not there]
+    return F.array_compact(F.array(*named)) if named else no_text()
 
 
-def validate(
-    requests: DataFrame, policies: Mapping[str, Mapping], item_results: DataFrame | None = None
-) -> DataFrame:
+def validate(requests: DataFrame, policies: Policies, item_results: DataFrame | None = None) -> DataFrame:
     """One result row per request. Works on batch and streaming frames.
 
-    Columns for model results are described at :func:`tollgate.operators.rules.policy_checks`.
-    Item messages come from a column ``item_violations`` or from ``item_results``,
-    ``(request_id, item_violations)``. Without ``item_results`` this is one narrow
-    stage. With it, texts are checked before the join, so a plan that does not
-    select them does not shuffle them.
+    ``policies`` is a dict or a table (see :func:`tollgate.operators.policies.policy_table`) of any number of
+    policies: a request meets its own one in a join, and only that one's rules are worked on. Model results are
+    read from the columns ``io_prediction``, ``io_probability``, ``input_class`` and ``output_class``; a check
+    whose column is absent is skipped and named. Item messages come from a column ``item_violations`` or from
+    ``item_results``, ``(request_id, item_violations)``. Without ``item_results`` nothing but the policies moves.
+    With it, texts are checked before the join, so a plan that does not select them does not shuffle them.
     """
     has_items = item_results is not None or "item_violations" in requests.columns
-    checks = {name: policy_checks(p, requests, has_items) for name, p in by_lower_name(policies).items()}
-    names = list(checks)
-    asked = F.coalesce(F.col("api_class"), F.lit("")) != ""
-    known = F.coalesce(F.lower(F.col("api_class")).isin(names), F.lit(False)) if names else F.lit(False)
-    skipped = {
-        n: F.array(*[F.lit(m) for m in c.skipped]) if c.skipped else no_text() for n, c in checks.items()
+    rows = requests if "_policy" in requests.columns else with_policy(requests, policies)
+    policy = F.col("_policy")
+    known = policy.isNotNull()
+    checked = {
+        "checks_skipped": F.coalesce(F.when(known, skipped_checks(requests, has_items)), no_text()),
+        "_before": F.coalesce(F.when(known, model_messages(requests)), no_text()),
+        "_after": F.coalesce(F.when(known, rule_messages(policy["rules"], requests)), no_text()),
+        "_known": known,
+        "_items": F.coalesce(F.size(policy["item_rules"]) > 0, F.lit(False)),
     }
-    columns = {"checks_skipped": _per_policy(skipped, no_text())}
-    if not has_items:
-        whole = {n: F.concat(c.before, c.after) for n, c in checks.items()}
-        judged = requests.withColumns({**columns, "violation_reasons": _per_policy(whole, no_text())})
-    else:
-        parts = {
-            "_before": _per_policy({n: c.before for n, c in checks.items()}, no_text()),
-            "_after": _per_policy({n: c.after for n, c in checks.items()}, no_text()),
-        }
-        judged = requests.withColumns({**columns, **parts})
-        if item_results is not None:
-            judged = judged.join(item_results.select("request_id", "item_violations"), "request_id", "left")
-        with_rules = [n for n, c in checks.items() if c.items]
-        told = F.when(F.lower("api_class").isin(with_rules), F.col("item_violations")) if with_rules else no_text()
-        reasons = F.concat("_before", F.coalesce(told, no_text()), "_after")
-        judged = judged.withColumn("violation_reasons", reasons).drop("_before", "_after", "item_violations")
+    judged = rows.withColumns(checked).drop("_policy")
+    if item_results is not None:
+        judged = judged.join(item_results.select("request_id", "item_violations"), "request_id", "left")
+    told = F.when(F.col("_items"), F.col("item_violations")) if has_items else no_text()
+    reasons = F.concat("_before", F.coalesce(told, no_text()), "_after")
+    judged = judged.withColumn("violation_reasons", reasons)
+    asked = F.coalesce(F.col("api_class"), F.lit("")) != ""
     status = (
         F.when(~asked, F.lit(BAD_REQUEST))
-        .when(~known, F.lit(INVALID_POLICY))
+        .when(~F.col("_known"), F.lit(INVALID_POLICY))
         .when(F.size("violation_reasons") > 0, F.lit(VIOLATION))
         .otherwise(F.lit(PASS))
     )
     error = F.when(~asked, F.lit(CLASS_REQUIRED)).when(
-        ~known, F.format_string(POLICY_NOT_FOUND, F.col("api_class"), F.lower(F.col("api_class")))
+        ~F.col("_known"), F.format_string(POLICY_NOT_FOUND, F.col("api_class"), F.lower(F.col("api_class")))
     )
-    return judged.withColumns({"overall_status": status, "error_message": error})
+    judged = judged.withColumns({"overall_status": status, "error_message": error})
+    return judged.drop("_before", "_after", "_known", "_items", *(["item_violations"] if has_items else []))
 
 
 def with_request_id(requests: DataFrame, key: str, received: Column) -> DataFrame:

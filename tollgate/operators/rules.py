@@ -1,15 +1,15 @@
-"""Policy rules compiled to column expressions.
+"""Policy rules as data, and the native expressions that interpret them.
 
-A policy is configuration: a dict with lists of rules. The compiler turns one
-policy into one ``array<string>`` column of violation messages, so a
-rules-only policy runs as native expressions and filters can reach the scan.
+A policy's rules are compiled to an array of small structs, one per check. Requests
+meet their policy's array in a join, and a higher-order function turns it into an array
+of violation messages, so the generated code does not grow with the number of policies.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,30 +30,6 @@ CLASS_DENIED = "{} text classified as disallowed sensitivity: '%s'."
 CLASS_NOT_ALLOWED = "{} text sensitivity class '%s' not in allowed list."
 
 
-@dataclass
-class Fields:
-    """How rules reach the fields of a request: named columns, then the ``extra`` map."""
-
-    df: DataFrame
-    types: dict[str, T.DataType] = field(init=False)
-
-    def __post_init__(self):
-        self.types = {f.name: f.dataType for f in self.df.schema.fields}
-
-    def get(self, name: str) -> Column | None:
-        if name in self.types:
-            return F.col(f"`{name}`")
-        if isinstance(self.types.get("extra"), T.MapType):
-            return F.col("extra")[name]
-        return None
-
-    def type_of(self, name: str) -> T.DataType:
-        if name in self.types:
-            return self.types[name]
-        extra = self.types.get("extra")
-        return extra.valueType if isinstance(extra, T.MapType) else T.NullType()
-
-
 def is_falsy(col: Column, dtype: T.DataType) -> Column:
     """Null, empty text, zero, false and empty collections count as missing."""
     if isinstance(dtype, T.StringType):
@@ -91,141 +67,159 @@ def rule_errors(rule: object, index: int) -> str | None:
     return None if shaped else BAD_RULE.format(kind, index)
 
 
-def text_length_messages(rule: Mapping, fields: Fields) -> list[Column]:
-    limit = int(rule["max_length"])
-    found = []
-    for name in rule.get("text_fields", []):
-        col = fields.get(name)
-        if col is None or not isinstance(fields.type_of(name), T.StringType):
-            continue
-        message = F.format_string(TOO_LONG, F.lit(name), F.length(col), F.lit(limit))
-        found.append(messages_if(F.length(col) > limit, message))
-    return found
-
-
-def required_messages(rule: Mapping, fields: Fields) -> list[Column]:
-    found = []
-    for name in rule.get("fields", []):
-        col = fields.get(name)
-        missing = F.lit(True) if col is None else is_falsy(col, fields.type_of(name))
-        found.append(messages_if(missing, F.lit(MISSING.format(name))))
-    return found
-
-
-def format_messages(rule: Mapping, fields: Fields) -> list[Column]:
-    name, pattern = rule["field"], rule["pattern"]
-    col = fields.get(name)
-    if col is None:
-        return []
+#: One entry per check of a policy; ``message`` is said as it stands by ``error`` and ``bad_format``.
+RULE = "struct<kind string, field string, max_length bigint, pattern string, message string>"
+
+
+def pattern_error(pattern: object) -> str | None:
+    """Why a pattern cannot be used, in the words of the regular expression compiler; None if it can."""
     try:
         re.compile(pattern)
     except re.error as bad:
-        return [messages_if(col.isNotNull(), F.lit(BAD_PATTERN.format(name, bad)))]
-    matches = as_text(col, fields.type_of(name)).rlike(f"\\A(?:{pattern})")
-    return [messages_if(col.isNotNull() & ~matches, F.lit(BAD_FORMAT.format(name)))]
+        return str(bad)
+    return None
 
 
-_CHECKS = {
-    "text_length_limit": text_length_messages,
-    "required_fields": required_messages,
-    "format_validation": format_messages,
-}
+def _in_jvm(pattern: Column) -> Column:
+    """A pattern in the JVM's spelling of named groups, their back references and the end of the text."""
+    named = F.regexp_replace(F.regexp_replace(pattern, r"\(\?P<", "(?<"), r"\(\?P=([A-Za-z0-9]+)\)", r"\\k<$1>")
+    return F.regexp_replace(named, r"(?<!\\)((?:\\\\)*)\\Z", r"$1\\z")
 
 
-def joined(arrays: list[Column]) -> Column:
-    if not arrays:
-        return no_text()
-    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+def compiled_rules(policy: Column, errors: Column) -> Column:
+    """The checks of ``custom_validation_rules`` of a policy (a variant), in order, as an array of :data:`RULE`.
 
+    ``errors`` maps patterns that cannot be used to their error. Rules of a wrong shape become their message.
+    """
 
-def custom_rule_messages(policy: Mapping, fields: Fields) -> Column:
-    """Messages of ``custom_validation_rules`` in rule order."""
-    rules = policy.get("custom_validation_rules", [])
-    if not isinstance(rules, list):
-        return F.array(F.lit(NOT_A_LIST))
-    arrays: list[Column] = []
-    for index, rule in enumerate(rules):
-        error = rule_errors(rule, index)
-        if error:
-            arrays.append(F.array(F.lit(error)))
-        elif rule.get("type") in _CHECKS:
-            arrays.extend(_CHECKS[rule["type"]](rule, fields))
-    return joined(arrays)
+    def entry(kind: str, name: Column | None = None, limit: Column | None = None, pattern: Column | None = None, message: Column | None = None) -> Column:
+        text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+        parts = {
+            "kind": F.lit(kind),
+            "field": text if name is None else name,
+            "max_length": number if limit is None else limit,
+            "pattern": text if pattern is None else pattern,
+            "message": text if message is None else message,
+        }
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    def part(rule: Column, name: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(rule, f"$.{name}", kind)
+
+    def names(rule: Column, key: str) -> Column:
+        """The listed names; empty without the key, null if it holds no list."""
+        kind = F.schema_of_variant(part(rule, key))
+        listed = F.array_compact(F.coalesce(part(rule, key, "array<string>"), no_text()))
+        return F.when(kind.isNull(), no_text()).when(kind.startswith("ARRAY"), listed)
+
+    def one(rule: Column, index: Column) -> Column:
+        kind = part(rule, "type", "string")
+        limit, limit_kind = part(rule, "max_length", "bigint"), F.schema_of_variant(part(rule, "max_length"))
+        name, pattern = part(rule, "field", "string"), part(rule, "pattern", "string")
+        wrong = F.array(entry("error", message=F.format_string(BAD_RULE.replace("{}", "%s"), kind, index)))
+        whole_number = F.coalesce(limit_kind.isin("BIGINT", "BOOLEAN"), F.lit(False))
+        lengths = F.transform(names(rule, "text_fields"), lambda n: entry("length", n, limit))
+        required = F.transform(names(rule, "fields"), lambda n: entry("required", n, message=F.format_string(MISSING.replace("{}", "%s"), n)))
+        error = errors[pattern]
+        shaped = F.coalesce((F.length(name) > 0) & (F.length(pattern) > 0), F.lit(False))
+        checked = F.when(
+            error.isNotNull(), F.array(entry("bad_format", name, message=F.format_string(BAD_PATTERN.replace("{}", "%s"), name, error)))
+        ).otherwise(F.array(entry("format", name, pattern=F.concat(F.lit("\\A(?:"), _in_jvm(pattern), F.lit(")")), message=F.format_string(BAD_FORMAT.replace("{}", "%s"), name))))
+        return (
+            F.when(~F.coalesce(F.schema_of_variant(rule).startswith("OBJECT"), F.lit(False)), F.array(entry("error", message=F.format_string(NOT_AN_OBJECT.replace("{}", "%s"), index))))
+            .when(kind == "text_length_limit", F.when(whole_number, F.coalesce(lengths, wrong)).otherwise(wrong))
+            .when(kind == "required_fields", F.coalesce(required, wrong))
+            .when(kind == "format_validation", F.when(shaped, checked).otherwise(wrong))
+            .otherwise(F.array().cast(f"array<{RULE}>"))
+        )
 
+    kind = F.schema_of_variant(part(policy, "custom_validation_rules"))
+    listed = part(policy, "custom_validation_rules", "array<variant>")
+    found = (
+        F.when(kind.isNull(), F.array().cast(f"array<{RULE}>"))
+        .when(~kind.startswith("ARRAY"), F.array(entry("error", message=F.lit(NOT_A_LIST))))
+        .otherwise(F.flatten(F.transform(listed, one)))
+    )
+    return found.cast(f"array<{RULE}>")
 
-def class_list_messages(policy: Mapping, side: str, text: Column, predicted: Column) -> Column:
-    """Deny-list and allow-list of predicted classes; both may report."""
-    title = side.capitalize()
-    denied = policy.get(f"disallowed_colbert_{side}_classes", [])
-    allowed = policy.get(f"allowed_colbert_{side}_classes", [])
-    ran = F.coalesce(text, F.lit("")) != ""
-    arrays = []
-    if denied:
-        arrays.append(
-            messages_if(ran & predicted.isin(denied), F.format_string(CLASS_DENIED.format(title), predicted))
-        )
-    if allowed:
-        arrays.append(
-            messages_if(
-                ran & ~predicted.isin(allowed), F.format_string(CLASS_NOT_ALLOWED.format(title), predicted)
-            )
+
+def rule_messages(rules: Column, df: DataFrame) -> Column:
+    """The messages of an array of :data:`RULE` on a row of ``df``, in rule order.
+
+    Rules are data: a row's fields are one array, and each rule looks its own up by name.
+    The work of a row is that of its policy's rules, however many policies there are.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    given = [n for n in types if not n.startswith("_")]
+    shape = "struct<text:string,missing:boolean,limited:boolean>"
+
+    def value(col: Column, dtype: T.DataType) -> Column:
+        limited = F.lit(isinstance(dtype, T.StringType))
+        text = F.lit(None).cast("string") if isinstance(dtype, (T.StructType, T.VariantType)) else as_text(col, dtype)
+        return F.struct(text.alias("text"), is_falsy(col, dtype).alias("missing"), limited.alias("limited")).cast(shape)
+
+    values = F.array(*[value(F.col(f"`{n}`"), types[n]) for n in given])
+    known = F.array(*[F.lit(n) for n in given])
+    extra = types.get("extra")
+
+    def message(rule: Column) -> Column:
+        at = F.array_position(known, rule["field"])
+        here = F.get(values, (at - 1).cast("int"))
+        if isinstance(extra, T.MapType):
+            here = F.when(at > 0, here).otherwise(value(F.col("extra")[rule["field"]], extra.valueType))
+        else:
+            here = F.when(at > 0, here)
+        too_long = here["limited"] & (F.length(here["text"]) > rule["max_length"])
+        return (
+            F.when(rule["kind"] == "error", rule["message"])
+            .when((rule["kind"] == "length") & too_long, F.format_string(TOO_LONG, rule["field"], F.length(here["text"]), rule["max_length"]))
+            .when((rule["kind"] == "required") & F.coalesce(here["missing"], F.lit(True)), rule["message"])
+            .when((rule["kind"] == "format") & ~F.rlike(here["text"], rule["pattern"]), rule["message"])
+            .when((rule["kind"] == "bad_format") & here["text"].isNotNull(), rule["message"])
         )
-    return joined(arrays)
 
+    return F.array_compact(F.transform(rules, message))
 
-def pair_messages(prediction: Column, probability: Column, input_text: Column, output_text: Column) -> Column:
-    """Prediction 0 of the pair classifier, only where one of the texts is given."""
-    given = (F.coalesce(input_text, F.lit("")) != "") | (F.coalesce(output_text, F.lit("")) != "")
-    return messages_if(given & (prediction == 0), F.format_string(IO_FAILED, two_decimals(probability)))
 
+def bad_patterns(policies: Iterable[Mapping]) -> Column:
+    """Patterns of policies held by the driver that cannot be used, with their errors."""
+    found = {}
+    for policy in policies:
+        rules = policy.get("custom_validation_rules")
+        for rule in rules if isinstance(rules, list) else []:
+            pattern = rule.get("pattern") if isinstance(rule, Mapping) else None
+            if isinstance(pattern, str) and pattern_error(pattern):
+                found[pattern] = pattern_error(pattern)
+    if not found:
+        return F.lit(None).cast("map<string,string>")
+    return F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
 
-def _text(fields: Fields, name: str) -> Column:
-    col = fields.get(name)
-    return F.lit(None).cast("string") if col is None else col
 
+def custom_rule_messages(policy: Mapping, df: DataFrame) -> Column:
+    """Messages of the ``custom_validation_rules`` of one policy on each row, in rule order."""
+    return rule_messages(compiled_rules(F.parse_json(F.lit(json.dumps(policy))), bad_patterns([policy])), df)
 
-@dataclass
-class PolicyChecks:
-    """Messages of one policy before and after those of its items, and the checks that had no model."""
 
-    before: Column
-    after: Column
-    items: bool
-    skipped: list[str]
+def joined(arrays: list[Column]) -> Column:
+    if not arrays:
+        return no_text()
+    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
 
 
-def policy_checks(policy: Mapping, df: DataFrame, has_items: bool = False) -> PolicyChecks:
-    """The checks of one policy on a request.
+def class_list_messages(side: str, text: Column, predicted: Column, denied: Column, allowed: Column) -> Column:
+    """Deny-list and allow-list (arrays; empty lists say nothing) of predicted classes; both may report."""
+    title = side.capitalize()
+    ran = F.coalesce(text, F.lit("")) != ""
+    return F.concat(
+        messages_if(ran & F.array_contains(denied, predicted), F.format_string(CLASS_DENIED.format(title), predicted)),
+        messages_if(
+            ran & (F.size(allowed) > 0) & ~F.array_contains(allowed, predicted),
+            F.format_string(CLASS_NOT_ALLOWED.format(title), predicted),
+        ),
+    )
 
-    Model results are read from the columns ``io_prediction``, ``io_probability``,
-    ``input_class`` and ``output_class``. A check whose column is absent is
-    skipped and named, item checks also when no item results are given.
-    """
-    fields = Fields(df)
-    arrays: list[Column] = []
-    skipped: list[str] = []
-    if policy.get("modernbert_io_validation", False):
-        if {"io_prediction", "io_probability"} <= set(df.columns):
-            arrays.append(
-                pair_messages(
-                    F.col("io_prediction"),
-                    F.col("io_probability"),
-                    _text(fields, "input_text"),
-                    _text(fields, "output_text"),
-                )
-            )
-        else:
-            skipped.append("modernbert_io_validation")
-    for side in ("input", "output"):
-        if not policy.get(f"colbert_{side}_sensitivity", False):
-            continue
-        if f"{side}_class" in df.columns:
-            arrays.append(
-                class_list_messages(policy, side, _text(fields, f"{side}_text"), F.col(f"{side}_class"))
-            )
-        else:
-            skipped.append(f"colbert_{side}_sensitivity")
-    items = bool(policy.get("item_processing_rules"))
-    if items and not has_items:
-        skipped.append("item_processing_rules")
-    return PolicyChecks(joined(arrays), custom_rule_messages(policy, fields), items, skipped)
+
+def pair_messages(prediction: Column, probability: Column, input_text: Column, output_text: Column) -> Column:
+    """Prediction 0 of the pair classifier, only where one of the texts is given."""
+    given = (F.coalesce(input_text, F.lit("")) != "") | (F.coalesce(output_text, F.lit("")) != "")
+    return messages_if(given & (prediction == 0), F.format_string(IO_FAILED, two_decimals(probability)))

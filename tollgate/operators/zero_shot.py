@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tollgate.functions.text import is_blank, round_two, strip_caption_echo, strip_explanation_echo, two_decimals
 from tollgate.functions.vectors import best_of, cosine, softmax
-from tollgate.operators.requests import by_lower_name
+from tollgate.operators.policies import by_lower_name
 
 # Texts that mark failed captions, and result texts.
 FAILED = "Failed to generate"

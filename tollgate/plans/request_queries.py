@@ -10,7 +10,7 @@ from tollgate.operators import requests as request_ops
 from tollgate.operators import rules
 from tollgate.plans import views
 from tollgate.plans.catalog import query, view
-from tollgate.sources.policies import parse_examples, parse_policies
+from tollgate.sources.policies import parse_examples, parse_policies, policy_rows
 
 
 def _listed(col="violations"):
@@ -32,7 +32,7 @@ def io_pairs(spark, sf_dir) -> DataFrame:
     "requests",
 )
 def policy_lookup(spark, sf_dir):
-    found = request_ops.lookup_policy(views.requests(spark, sf_dir), request_ops.policy_table(spark, views.POLICIES))
+    found = request_ops.lookup_policy(views.requests(spark, sf_dir), views.policy_rows(spark))
     return found.select(
         "request_id",
         F.coalesce("policy_name", F.lit("")).alias("policy_name"),
@@ -67,6 +67,28 @@ def policy_load(spark, sf_dir):
     )
 
 
+@query(
+    "policy_table_validate",
+    """SELECT doc_id AS request_id, CASE WHEN violations = '' THEN 'PASS' ELSE 'REJECT_POLICY_VIOLATION' END AS overall_status, violations
+       FROM (SELECT doc_id, concat_ws('|', CASE WHEN length(text) > limit_of THEN 'Field ''text'' (length ' || length(text) || ') exceeds maximum length of '
+                 || limit_of || ' characters.' END,
+               CASE WHEN NOT regexp_matches(lang, '^(en|' || other || ')$') THEN 'Field ''lang'' does not match required format pattern.' END) AS violations
+             FROM documents JOIN (SELECT source, max(n_chars) // 2 AS limit_of, min(lang) AS other FROM documents GROUP BY source) USING (source))""",
+)
+def policy_table_validate(spark, sf_dir):
+    """Every document against the policy of its source, from a table of policy files made from the sources."""
+    docs = views.table(spark, sf_dir, "documents")
+    sources = docs.groupBy("source").agg(F.max("n_chars").alias("n"), F.min("lang").alias("other"))
+    rules = F.array(
+        F.to_json(F.struct(F.lit("text_length_limit").alias("type"), F.floor(F.col("n") / 2).alias("max_length"), F.array(F.lit("text")).alias("text_fields"))),
+        F.to_json(F.struct(F.lit("format_validation").alias("type"), F.lit("lang").alias("field"), F.concat(F.lit("(en|"), "other", F.lit(")$")).alias("pattern"))),
+    )
+    file = F.concat(F.lit('{"'), F.upper("source"), F.lit('_Gate": {"custom_validation_rules": ['), F.array_join(rules, ", "), F.lit("]}}"))
+    incoming = docs.select(F.col("doc_id").alias("request_id"), F.concat("source", F.lit("_GATE")).alias("api_class"), "text", "lang")
+    checked = request_ops.validate(incoming, policy_rows(sources.select(file.alias("value"))))
+    return checked.select("request_id", "overall_status", _listed("violation_reasons"))
+
+
 @query(
     "reference_examples",
     """SELECT lang || '/' || source AS class, doc_id, v.example_no,
@@ -95,8 +117,7 @@ def reference_examples(spark, sf_dir):
 )
 def rule_text_length(spark, sf_dir):
     df = views.requests(spark, sf_dir)
-    rule = views.POLICIES["BasicGate"]["custom_validation_rules"][0]
-    found = rules.joined(rules.text_length_messages(rule, rules.Fields(df)))
+    found = rules.custom_rule_messages(views.POLICIES["BasicGate"], df)
     return df.withColumn("violations", found).select("request_id", _listed())
 
 
@@ -110,8 +131,8 @@ def rule_text_length(spark, sf_dir):
 )
 def rule_required(spark, sf_dir):
     df = views.requests(spark, sf_dir)
-    rule = {"fields": ["input_text", "user_id", "turn", "tenant"]}
-    found = rules.joined(rules.required_messages(rule, rules.Fields(df)))
+    rule = {"type": "required_fields", "fields": ["input_text", "user_id", "turn", "tenant"]}
+    found = rules.custom_rule_messages({"custom_validation_rules": [rule]}, df)
     return df.withColumn("violations", found).select("request_id", _listed())
 
 
@@ -127,12 +148,9 @@ def rule_required(spark, sf_dir):
 )
 def rule_format(spark, sf_dir):
     df = views.requests(spark, sf_dir)
-    fields = rules.Fields(df)
-    found = rules.joined(
-        rules.format_messages({"field": "user_email", "pattern": views.EMAIL_PATTERN}, fields)
-        + rules.format_messages({"field": "user_id", "pattern": "[u"}, fields)
-        + rules.format_messages({"field": "absent", "pattern": "x"}, fields)
-    )
+    wanted = [("user_email", views.EMAIL_PATTERN), ("user_id", "[u"), ("absent", "x")]
+    listed = [{"type": "format_validation", "field": name, "pattern": pattern} for name, pattern in wanted]
+    found = rules.custom_rule_messages({"custom_validation_rules": listed}, df)
     return df.withColumn("v", found).select("request_id", F.array_join("v", "").alias("violations"))
 
 
@@ -155,10 +173,9 @@ def rule_config_errors(spark, sf_dir):
             {"type": "format_validation", "field": "user_email"},
         ]
     }
-    fields = rules.Fields(df)
     found = F.concat(
-        rules.custom_rule_messages(wrong, fields),
-        rules.custom_rule_messages({"custom_validation_rules": {}}, fields),
+        rules.custom_rule_messages(wrong, df),
+        rules.custom_rule_messages({"custom_validation_rules": {}}, df),
     )
     return df.select(F.explode(found).alias("message")).groupBy("message").agg(F.count("*").alias("requests"))
 
@@ -175,10 +192,17 @@ def rule_config_errors(spark, sf_dir):
 def class_lists(spark, sf_dir):
     df = views.scored_requests(spark, sf_dir)
     policy = views.POLICIES["StrictGate"]
+
+    def listed(key):
+        return F.array(*[F.lit(c) for c in policy.get(key, [])]).cast("array<string>")
+
     found = [
-        rules.class_list_messages(policy, side, F.col(f"{side}_text"), F.col(f"{side}_class"))
+        rules.class_list_messages(
+            side, F.col(f"{side}_text"), F.col(f"{side}_class"),
+            listed(f"disallowed_colbert_{side}_classes"), listed(f"allowed_colbert_{side}_classes"),
+        )
         for side in ("input", "output")
-    ]
+    ]
     return df.withColumn("violations", rules.joined(found)).select("request_id", _listed())
 
 
@@ -235,7 +259,7 @@ def item_shape(spark, sf_dir):
 )
 def item_rule_match(spark, sf_dir):
     items = item_ops.explode_items(views.requests_with_items(spark, sf_dir))
-    matched = item_ops.match_rules(items, item_ops.item_rule_table(spark, views.POLICIES))
+    matched = item_ops.match_rules(items, views.policy_rows(spark))
     return matched.select("request_id", "item_no", "item_type", F.coalesce("rule_no", F.lit(-1)).alias("rule_no"))
 
 
@@ -266,7 +290,7 @@ def checked_items(spark, sf_dir, base=None):
     attached = items.join(
         given.withColumn("has_file", F.lit(True)), ["request_id", "file_name"], "left"
     )
-    return item_ops.item_messages(attached, views.POLICIES)
+    return item_ops.item_messages(attached, views.policy_rows(spark))
 
 
 @query("item_checks", "SELECT request_id, item_no, item_type, violations FROM item_results", "item_results")
@@ -346,11 +370,11 @@ _STATUS = """CASE WHEN coalesce(api_class, '') = '' THEN 'ERROR_BAD_REQUEST'
 
 
 def validated(spark, sf_dir):
-    """Requests with model results, item results and all rules applied."""
+    """Requests with model results, item results and all rules applied, by policies read from their JSON."""
     base = views.requests(spark, sf_dir)
     with_items = views.requests_with_items(spark, sf_dir, base)
     per_request = item_ops.regroup(checked_items(spark, sf_dir, base))
-    return request_ops.validate(with_items, views.POLICIES, per_request)
+    return request_ops.validate(with_items, views.policy_rows(spark), per_request)
 
 
 @query(

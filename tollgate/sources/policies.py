@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.operators.requests import by_lower_name
+from tollgate.operators.policies import by_lower_name
 
 # The example texts a classifier uses when none are given.
 DEFAULT_EXAMPLES: dict[str, list[str]] = {
@@ -46,6 +46,20 @@ def parse_policies(files: DataFrame) -> DataFrame:
     return named.select(F.lower("name").alias("policy_name"), "policy")
 
 
+def policy_rows(files: DataFrame) -> DataFrame:
+    """``(policy_name, policy)`` of policy files, with the policy as a variant: no schema drops or bends what is in it.
+
+    ``value`` holds one file per row. Of names that are equal in lower case the last one of a file counts, of several
+    files the one with the largest text; an empty policy counts as absent.
+    """
+    parsed = files.select("value", F.from_json("value", "map<string,variant>").alias("policies"))
+    named = parsed.select(F.col("value"), F.posexplode("policies").alias("place", "name", "policy"))
+    text = F.to_json("policy")
+    last = named.groupBy(F.lower("name").alias("policy_name")).agg(F.max_by(text, F.struct("value", "place")).alias("text"))
+    filled = last.select("policy_name", F.try_parse_json("text").alias("policy"))
+    return filled.where(F.schema_of_variant("policy").startswith("OBJECT") & (F.schema_of_variant("policy") != "OBJECT<>"))
+
+
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return parse_policies(spark.read.text(path, wholetext=True))
 
