@@ -140,3 +140,80 @@ def test_vector_columns(spark):
     ).first()
     assert r["n"] == 5 and r["zero"] == 0 and abs(r["one"] - 1) < 1e-12
     assert abs(sum(r["p"]) - 1) < 1e-12 and r["best"]["index"] == 2 and r["u"] == [0.6, 0.8]
+
+
+@pytest.mark.parametrize("limit", [similarity.BROADCAST_BYTES, 3000])
+def test_searches_move_no_vectors(data, limit):
+    """Also with queries in many waves, only ids and scores are shuffled."""
+    docs, asked, df, q = data
+    found = similarity.top_k(q, df, 3, broadcast_bytes=limit)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert not ("Exchange" in line and ("vector" in line or "embedding" in line)), line
+    assert plan.count("hashpartitioning") == 1 and plan.count("hashpartitioning(query_id") == 1
+
+
+def test_top_k_of_text_ids_and_few_documents(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", None)], "id string, embedding array<double>")
+    q = spark.createDataFrame([("x", [2.0, 0.0]), ("y", [0.0, 0.0])], "query_id string, vector array<double>")
+    got = [(r["query_id"], r["id"], r["rank"]) for r in similarity.top_k(q, df, 2).orderBy("query_id", "rank").collect()]
+    assert got == [("x", "a", 1), ("x", "b", 2), ("y", "a", 1), ("y", "b", 2)]
+    assert similarity.top_k(q.limit(0), df, 2).count() == 0 and similarity.top_k(q, df.limit(0), 2).count() == 0
+
+
+def make_tokens(spark, seed, n, most, groups, name):
+    """Documents whose tokens lie near one of a few directions."""
+    rng = np.random.default_rng(seed)
+    centres = similarity.unit_rows(np.random.default_rng(0).normal(size=(groups, 12)))
+    rows = []
+    for d in range(n):
+        base = centres[d % groups]
+        rows += [(d, t, (base + 0.15 * rng.normal(size=12)).tolist()) for t in range(1 + int(rng.integers(most)))]
+    return rows, spark.createDataFrame(rows, f"{name} long, token_no long, vector array<double>").repartition(5)
+
+
+@pytest.mark.parametrize(("limit", "part", "agg"), [(similarity.BROADCAST_BYTES, 4096, "mean"), (2000, 4096, "sum"), (similarity.BROADCAST_BYTES, 7, "mean")])
+def test_maxsim_top_is_exact_and_skips(spark, limit, part, agg):
+    rows, docs = make_tokens(spark, 3, 240, 12, 8, "doc_id")
+    asked, queries = make_tokens(spark, 4, 11, 5, 8, "query_id")
+
+    def matrix(found, key):
+        return similarity.unit_rows(np.array([r[-1] for r in found if r[0] == key]))
+
+    work = similarity.Work(spark)
+    got = {}
+    for r in similarity.maxsim_top(queries, docs, 5, agg, limit, work, part).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    combine = np.mean if agg == "mean" else np.sum
+    for q in range(11):
+        scores = {d: round(combine((matrix(asked, q) @ matrix(rows, d).T).max(axis=1)), 10) for d in range(240)}
+        want = sorted(scores, key=lambda d: (-scores[d], d))[:5]
+        assert [d for d, _ in got[q]] == want
+        assert np.allclose([s for _, s in got[q]], [scores[d] for d in want])
+    assert work.met.value > 0 and (part == 7 or work.skipped() > 0.5)
+
+
+def test_rerank_scores_the_candidates_only(spark, monkeypatch):
+    rows, docs = make_tokens(spark, 5, 60, 9, 6, "doc_id")
+    asked, queries = make_tokens(spark, 6, 7, 4, 6, "query_id")
+    seen = []
+    plain = similarity.score_pairs
+    monkeypatch.setattr(similarity, "score_pairs", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    monkeypatch.setattr(similarity.token_rows, "__defaults__", (4,))  # long documents come in parts
+    found = similarity.rerank(queries, docs, 8).collect()
+    assert seen == [56] and len(found) == 56
+    for r in found:
+        mine = similarity.unit_rows(np.array([x[-1] for x in asked if x[0] == r["query_id"]]))
+        theirs = similarity.unit_rows(np.array([x[-1] for x in rows if x[0] == r["doc_id"]]))
+        assert abs(r["score"] - (mine @ theirs.T).max(axis=1).mean()) < 1e-9
+    for q in range(7):
+        ranked = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["score"] for r in ranked] == sorted((r["score"] for r in ranked), reverse=True)
+
+
+def test_balls_hold_all_tokens():
+    tokens = similarity.unit_rows(np.random.default_rng(7).normal(size=(50, 6)))
+    for some in (tokens, tokens[:1], np.repeat(tokens[:1], 5, axis=0)):
+        centres, radii = similarity.balls(some)
+        for probe in tokens:
+            assert (some @ probe).max() <= (centres @ probe + radii).max() + 1e-9

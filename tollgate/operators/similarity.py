@@ -1,9 +1,11 @@
-"""Exact similarity of many vectors to many vectors, in blocks.
-
-Each side is packed into blocks (one row per block). Every document block meets
-every query block once, as a dense matrix product inside an Arrow task, and only
-the reduced result leaves the task: k rows per query, one maximum per query
-token, or one sum per example. Pairs are never rows.
+"""Exact similarity of many vectors to many vectors.
+
+Searches for the k best send the queries out in waves of bounded size; documents stay where
+they are, and a task keeps k per query through all its batches. Full score tables (token maxima,
+class scores) pack each side into blocks (one row per block): every document block
+meets every query block once, as a dense matrix product inside an Arrow task, and only
+the reduced result leaves the task: one maximum per query token, or one sum per example.
+Pairs are rows only where they are given.
 """
 
 from __future__ import annotations
@@ -17,10 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.session import cut_lineage
+from tollgate.functions.vectors import mean_vectors, unit
+from tollgate.session import cut_lineage, small_side
 
 QUERY_BLOCK = 1024
+DOC_BLOCK = 2048
+LEAST_WAVE = 8
 BROADCAST_BYTES = 64 << 20
+#: Tokens in one row of a document, and balls that bound them.
+PART_TOKENS = 4096
+BALLS = 4
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -107,6 +115,80 @@ def _meet(
     return chosen.mapInPandas(compute, schema)
 
 
+class Best:
+    """The k best documents of each query so far: a bounded pool that a task carries through all its batches."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.queries = k, queries
+        self.query = np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+        self.doc: np.ndarray = np.zeros(0, object)
+        self.least = np.full(queries, -np.inf)  # the score that a document must reach, per query
+
+    def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
+        if not len(query):
+            return
+        self.query = np.concatenate([self.query, query])
+        self.score = np.concatenate([self.score, score])
+        self.doc = np.concatenate([self.doc, doc]) if len(self.doc) else doc
+        if len(self.query) > 2 * self.k * self.queries + 4096:
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep k per query: larger scores first, then smaller ids."""
+        if not len(self.query):
+            return
+        rank = np.empty(len(self.doc), np.int64)
+        rank[np.argsort(self.doc, kind="stable")] = np.arange(len(self.doc))
+        order = np.lexsort((rank, -self.score, self.query))
+        query = self.query[order]
+        starts = np.searchsorted(query, np.arange(self.queries + 1))
+        keep = np.arange(len(query)) - starts[query] < self.k
+        order = order[keep]
+        self.query, self.score, self.doc = self.query[order], self.score[order], self.doc[order]
+        starts = np.searchsorted(self.query, np.arange(self.queries + 1))
+        full = np.flatnonzero(np.diff(starts) == self.k)
+        self.least[full] = self.score[starts[full] + self.k - 1]
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as the ids do."""
+    if pa.types.is_integer(column.type):
+        return np.asarray(column)
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _waves(queries: DataFrame, per_query: float, limit: int) -> Iterator[pa.Table]:
+    """The stored queries in parts of about ``limit`` bytes, by a hash of their id: what one broadcast holds.
+
+    A wave is never meant for fewer than ``LEAST_WAVE`` queries, since each one reads all documents.
+    """
+    count = queries.count()
+    waves = max(1, min(math.ceil(count / LEAST_WAVE), math.ceil(count * per_query / max(1, limit))))
+    for wave in range(waves):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == wave).toArrow()
+        if part.num_rows:
+            yield part
+
+
+def _unit_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long vectors as rows of length one."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.asarray(whole.flatten(), dtype=np.float64)
+    return unit_rows(flat.reshape(len(whole), -1)) if len(whole) else np.zeros((0, 1))
+
+
+def _ranked(parts: list[DataFrame], k: int, query_id: str, doc_id: str, empty: DataFrame) -> DataFrame:
+    """The k best of what the tasks kept."""
+    found = parts[0] if parts else empty
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_k(
     queries: DataFrame,
     documents: DataFrame,
@@ -120,34 +202,48 @@ def top_k(
     """The ``k`` documents with the largest dot product per query: ``rank`` from 1, ties by id.
 
     Documents hold unit vectors; queries are normalised here, so the score is a cosine.
+    Documents stay where they are. Queries go out in waves of at most about ``broadcast_bytes``, results
+    held by a task included; a task keeps k documents per query through all its batches and sends nothing else.
     """
-    q_type = dict(queries.dtypes)[query_id]
-    d_type = dict(documents.dtypes)[doc_id]
-
-    def reduce(docs, matrix, names, probe):
-        # Rounded, so equal vectors tie exactly and the id decides.
-        scores = np.round(unit_rows(probe) @ matrix.T, 10)
-        keys = docs[doc_id].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, scores = keys[order], scores[:, order]
-        if k < scores.shape[1]:
-            picked = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            edge = np.take_along_axis(scores, picked, axis=1).min(axis=1, keepdims=True)
-            rows, cols = np.nonzero(scores >= edge)
-        else:
-            rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-        found = pd.DataFrame(
-            {query_id: names[query_id].to_numpy()[rows], doc_id: keys[cols], "score": scores[rows, cols]}
-        )
-        found = found.sort_values([query_id, "score", doc_id], ascending=[True, False, True], kind="stable")
-        return found.groupby(query_id, sort=False).head(k)
-
-    partial = _meet(
-        documents, [doc_id], doc_vector, queries, [query_id], query_vector, reduce,
-        f"{query_id} {q_type}, {doc_id} {d_type}, score double", broadcast_bytes,
-    )
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    types = dict(documents.dtypes) | {f"asked {c}": t for c, t in queries.dtypes}
+    schema = f"{query_id} {types['asked ' + query_id]}, {doc_id} {types[doc_id]}, score double"
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
+    asked = cut_lineage(asked.filter(F.size("vector") > 0))  # met once per wave
+    dim = asked.agg(F.max(F.size("vector"))).first()[0] or 1
+    held = documents.select(F.col(doc_id).alias("id"), F.col(doc_vector).cast("array<double>").alias("vector")).filter(F.size("vector") > 0)
+    context = documents.sparkSession.sparkContext
+
+    def search(wave: pa.Table) -> DataFrame:
+        shared = context.broadcast((wave.column("query_id").combine_chunks(), _unit_matrix(wave.column("vector"))))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, probe = shared.value
+            best = Best(len(probe), k)
+            kind = None
+            for batch in batches:
+                kind = batch.column(0).type
+                for at in range(0, batch.num_rows, DOC_BLOCK):
+                    part = batch.slice(at, DOC_BLOCK)
+                    keys = _values(part.column(0))
+                    matrix = np.asarray(part.column(1).flatten(), np.float64).reshape(len(keys), -1)
+                    for low in range(0, len(probe), QUERY_BLOCK):
+                        # rounded, so equal vectors tie exactly and the id decides
+                        scores = np.round(probe[low : low + QUERY_BLOCK] @ matrix.T, 10)
+                        if k < len(keys):  # no more than k of these documents can count, and their ties
+                            edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                            row, col = np.nonzero(scores >= np.maximum(edge, best.least[low : low + QUERY_BLOCK])[:, None])
+                        else:
+                            row, col = np.nonzero(scores >= best.least[low : low + QUERY_BLOCK][:, None])
+                        best.add(row + low, scores[row, col], keys[col])
+            best.settle()
+            if len(best.query):
+                data = [names.take(pa.array(best.query)), pa.array(best.doc.tolist(), kind), pa.array(best.score)]
+                yield pa.RecordBatch.from_arrays(data, names=[query_id, doc_id, "score"])
+
+        return held.mapInArrow(task, schema)
+
+    parts = [search(wave) for wave in _waves(asked, 8 * dim + 32 * k + 16, broadcast_bytes)]
+    return _ranked(parts, k, query_id, doc_id, documents.sparkSession.createDataFrame([], schema))
 
 
 def nearest(documents: DataFrame, query: Sequence[float], k: int, doc_id: str = "id", doc_vector: str = "embedding") -> DataFrame:
@@ -207,6 +303,176 @@ def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, agg: str = "mean", **
     return best.groupBy("query_id", "doc_id").agg(combine("best").alias("score"))
 
 
+def token_rows(tokens: DataFrame, key: str, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """``key``, ``parts``, ``n`` and all token vectors of a document in one row, as bytes of unit vectors.
+
+    A document of more than ``part_tokens`` tokens has several rows (``parts``), so that none is unbounded.
+    """
+    rows = tokens.select(key, F.col("vector").cast("array<double>").alias("vector"), F.xxhash64("token_no").alias("_at"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    long = cut_lineage(sizes.filter(F.col("_n") > part_tokens).select(key, F.ceil(F.col("_n") / part_tokens).cast("int").alias("parts")))
+    placed = rows.join(small_side(long), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("_part", F.pmod("_at", F.col("parts")))
+    grouped = placed.groupBy(key, "parts", "_part").agg(F.collect_list("vector").alias("vectors"))
+    kind = dict(tokens.dtypes)[key]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, counts = [], []
+            for row in batch.column(2):
+                counts.append(len(row.values))
+                packed.append(_unit_matrix(row.values).tobytes())
+            data = [batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, names=[key, "parts", "n", "tokens"])
+
+    return grouped.select(key, "parts", "vectors").mapInArrow(pack, f"{key} {kind}, parts int, n int, tokens binary")
+
+
+class Work:
+    """How many (query, document) pairs were met, and how many of them had to be scored."""
+
+    def __init__(self, spark):
+        self.met, self.scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def skipped(self) -> float:
+        return 1 - self.scored.value / max(1, self.met.value)
+
+
+def balls(tokens: np.ndarray, count: int = BALLS) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of a few balls that hold all token vectors; ``count`` at most."""
+    seeds = [0]
+    far = 1 - tokens @ tokens[0]
+    while len(seeds) < min(count, len(tokens)) and far.max() > 1e-12:
+        seeds.append(int(far.argmax()))
+        far = np.minimum(far, 1 - tokens @ tokens[seeds[-1]])
+    own = (tokens @ tokens[seeds].T).argmax(axis=1)
+    centres = np.stack([tokens[own == i].mean(axis=0) if (own == i).any() else tokens[s] for i, s in enumerate(seeds)])
+    distance = np.sqrt(np.maximum(((tokens - centres[own]) ** 2).sum(axis=1), 0))
+    radii = np.array([distance[own == i].max(initial=0.0) for i in range(len(seeds))])
+    return centres, radii
+
+
+def maxsim_top(
+    query_tokens: DataFrame,
+    doc_tokens: DataFrame,
+    k: int,
+    agg: str = "mean",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    work: Work | None = None,
+    part_tokens: int = PART_TOKENS,
+) -> DataFrame:
+    """The ``k`` documents of largest MaxSim per query, ``rank`` from 1, ties by id; exact.
+
+    All tokens of a document lie in one row. A few balls hold them, and a query token is no nearer to
+    any token than to a ball's centre plus its radius, so their mean bounds the score from above. Documents whose
+    bound does not reach the k-th score that the task has seen are skipped. Queries go out in waves, and k documents a query
+    leave a task. Documents of more than ``part_tokens`` tokens are scored from the maxima of their parts.
+    """
+    kinds = dict(query_tokens.dtypes)["query_id"], dict(doc_tokens.dtypes)["doc_id"]
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    spark = doc_tokens.sparkSession
+    asked = cut_lineage(token_rows(query_tokens, "query_id", 1 << 30).select("query_id", "n", "tokens"))
+    rows = token_rows(doc_tokens, "doc_id", part_tokens)
+    width = asked.agg(F.max(F.octet_length("tokens"))).first()[0] or 8
+
+    def search(wave: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast((wave.column("query_id").combine_chunks(), wave.column("n").to_pylist(), wave.column("tokens").to_pylist()))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, counts, packed = shared.value
+            probe = np.concatenate([np.frombuffer(p, np.float64).reshape(n, -1) for n, p in zip(counts, packed, strict=True)])
+            first = np.concatenate([[0], np.cumsum(counts)])
+            weights = 1 / np.asarray(counts, float) if agg == "mean" else np.ones(len(counts))
+            best = Best(len(counts), k)
+            met = scored = 0
+            kind = None
+            for batch in batches:
+                kind = batch.column(0).type
+                keys = _values(batch.column(0))
+                docs = [np.frombuffer(p, np.float64).reshape(n, -1) for n, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                held = [balls(d) for d in docs]
+                edge = np.concatenate([[0], np.cumsum([len(r) for _, r in held])])
+                centres, radii = np.concatenate([c for c, _ in held]), np.concatenate([r for _, r in held])
+                for q in range(len(counts)):
+                    own = probe[first[q] : first[q + 1]]
+                    near = np.maximum.reduceat(own @ centres.T + radii, edge[:-1], axis=1)
+                    # a hair above the exact value, so that rounding never skips a document
+                    bound = np.minimum(near, 1.0).sum(axis=0) * weights[q] + 1e-9
+                    order = np.argsort(-bound, kind="stable")
+                    met += len(order)
+                    at, step = 0, max(16, 2 * k)
+                    while at < len(order) and bound[order[at]] >= best.least[q]:
+                        chosen = order[at : at + step]
+                        chosen = chosen[bound[chosen] >= best.least[q]]
+                        score = np.array([np.round((own @ docs[d].T).max(axis=1).sum() * weights[q], 10) for d in chosen])
+                        scored += len(chosen)
+                        good = score >= best.least[q]
+                        best.add(np.full(int(good.sum()), q), score[good], keys[chosen[good]])
+                        mine = best.score[best.query == q]
+                        if len(mine) >= k:
+                            best.least[q] = max(best.least[q], -np.partition(-mine, k - 1)[k - 1])
+                        at += step
+            best.settle()
+            if work is not None:
+                work.met.add(met)
+                work.scored.add(scored)
+            if len(best.query):
+                data = [names.take(pa.array(best.query)), pa.array(best.doc.tolist(), kind), pa.array(best.score)]
+                yield pa.RecordBatch.from_arrays(data, names=["query_id", "doc_id", "score"])
+
+        return rows.filter("parts = 1").select("doc_id", "n", "tokens").mapInArrow(task, schema)
+
+    parts = [search(wave) for wave in _waves(asked, width + 32 * k + 16, broadcast_bytes)]
+    cut = rows.filter("parts > 1").select("doc_id").distinct()
+    long = cut_lineage(doc_tokens.join(cut, "doc_id", "left_semi"))
+    if long.limit(1).count():
+        parts.append(maxsim(query_tokens, long, agg, broadcast_bytes=broadcast_bytes).withColumn("score", F.round("score", 10)).select("query_id", "doc_id", "score"))
+    return _ranked(parts, k, "query_id", "doc_id", spark.createDataFrame([], schema))
+
+
+def score_pairs(pairs: DataFrame, query_rows: DataFrame, doc_rows: DataFrame, agg: str = "mean") -> DataFrame:
+    """MaxSim of given ``(query_id, doc_id)`` pairs only: each pair fetches both token blocks and is scored in its row.
+
+    ``query_rows`` and ``doc_rows`` come from :func:`token_rows`; the parts of a long document are put together by
+    the largest value of each query token.
+    """
+    kinds = dict(pairs.dtypes)
+    asked = query_rows.select("query_id", F.col("n").alias("asked_n"), F.col("tokens").alias("asked"))
+    met = pairs.join(doc_rows, "doc_id").join(asked, "query_id")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for n, tokens, m, own in zip(*[batch.column(c).to_pylist() for c in ("n", "tokens", "asked_n", "asked")], strict=True):
+                similar = np.frombuffer(own, np.float64).reshape(m, -1) @ np.frombuffer(tokens, np.float64).reshape(n, -1).T
+                best.append(similar.max(axis=1).tolist())
+            data = [batch.column("query_id"), batch.column("doc_id"), batch.column("parts"), pa.array(best, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(data, names=["query_id", "doc_id", "parts", "best"])
+
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, parts int, best array<double>"
+    found = met.select("query_id", "doc_id", "parts", "n", "tokens", "asked_n", "asked").mapInArrow(task, schema)
+    single = found.filter("parts = 1").select("query_id", "doc_id", "best")
+    pieces = found.filter("parts > 1").select("query_id", "doc_id", F.posexplode("best").alias("at", "x"))
+    whole = pieces.groupBy("query_id", "doc_id", "at").agg(F.max("x").alias("x")).groupBy("query_id", "doc_id").agg(F.collect_list("x").alias("best"))
+    total = F.aggregate("best", F.lit(0.0), lambda a, x: a + x)
+    score = total / F.size("best") if agg == "mean" else total
+    return single.unionByName(whole).select("query_id", "doc_id", score.alias("score"))
+
+
+def rerank(query_tokens: DataFrame, doc_tokens: DataFrame, candidates: int, agg: str = "mean", decimals: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``candidates`` documents per query by the cosine of mean vectors, put in MaxSim order: ``score`` and ``rank``.
+
+    No more than ``candidates`` pairs a query are scored.
+    """
+    means = mean_vectors(doc_tokens, ["doc_id"], "vector", "embedding").withColumn("embedding", unit(F.col("embedding")))
+    asked = mean_vectors(query_tokens, ["query_id"], "vector")
+    first = cut_lineage(top_k(asked, means, candidates, doc_id="doc_id", broadcast_bytes=broadcast_bytes).select("query_id", "doc_id"))
+    wanted = doc_tokens.join(small_side(first.select("doc_id").distinct()), "doc_id", "left_semi")
+    scores = score_pairs(first, token_rows(query_tokens, "query_id", 1 << 30), token_rows(wanted, "doc_id"), agg)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", decimals)), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order))
+
+
 def class_scores(
     text_tokens: DataFrame, example_tokens: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tollgate.functions.vectors import cosine, dot, mean_vectors, norm, unit
+from tollgate.functions.vectors import cosine, dot, mean_vectors, norm
 from tollgate.operators import similarity
 from tollgate.operators.embedding import classify_texts
 from tollgate.operators.zero_shot import classify_captions
@@ -165,22 +165,21 @@ view(
 )
 def maxsim_rerank(spark, sf_dir):
     """Ten candidates per query by mean vector, put in MaxSim order."""
-    docs, asked = doc_tokens(spark, sf_dir), query_tokens(spark, sf_dir)
-    return rerank(asked, docs, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-def rerank(asked, docs, candidates: int):
-    from pyspark.sql import Window
-
-    means = mean_vectors(docs, ["doc_id"], "vector", "embedding")
-    held = means.withColumn("embedding", unit(F.col("embedding")))
-    first = similarity.top_k(
-        mean_vectors(asked, ["query_id"], "vector"), held, candidates, doc_id="doc_id"
-    ).select("query_id", "doc_id")
-    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    scores = similarity.maxsim(asked, kept).join(first, ["query_id", "doc_id"], "left_semi")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order))
+    found = similarity.rerank(query_tokens(spark, sf_dir), doc_tokens(spark, sf_dir), 10, decimals=6)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "maxsim_topk",
+    """SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM
+         (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS rank
+          FROM (SELECT query_id, doc_id, avg(best) AS score FROM token_maxima GROUP BY 1, 2)) WHERE rank <= 10""",
+    "token_maxima",
+)
+def maxsim_topk(spark, sf_dir):
+    """The ten documents of largest MaxSim per query, without scoring those that cannot be among them."""
+    found = similarity.maxsim_top(query_tokens(spark, sf_dir), doc_tokens(spark, sf_dir), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- nearest class -----------------------------------------------------------------------------
