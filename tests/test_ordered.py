@@ -94,7 +94,34 @@ def test_gaps_and_pairs_with_hot_keys(spark, events):
 def test_config_in_force(spark):
     metrics = spark.createDataFrame([("m", t, t * 10) for t in range(0, 100)], "metric string, ts int, row_id long")
     versions = spark.createDataFrame([("m", 20, 1, 0.5), ("m", 60, 2, 0.7)], "metric string, ts int, version_id long, threshold double")
-    for limits in ({}, HOT):
+    for limits in ({}, {"max_versions": 0}, {"max_versions": 0} | HOT):
         found = config.in_force(metrics, versions, "metric", "threshold", **limits)
         got = {r["ts"]: r["threshold"] for r in found.collect()}
         assert got[19] is None and got[20] == 0.5 and got[59] == 0.5 and got[60] == 0.7 and len(got) == 100
+
+
+def test_config_in_force_forms_agree(spark):
+    rng = random.Random(6)
+    metrics = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(30)]), i) for i in range(400)]
+    versions = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)]), i, rng.choice([None, float(i)])) for i in range(60)]
+    m = spark.createDataFrame(metrics, "metric string, ts int, row_id long")
+    v = spark.createDataFrame(versions, "metric string, ts int, version_id long, threshold double")
+    near, far = config.in_force(m, v, "metric", "threshold"), config.in_force(m, v, "metric", "threshold", max_versions=0)
+    same(near, far)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    probe = plan[plan.index("BroadcastHashJoin") :].split("BroadcastExchange")[0]
+    assert "Exchange" not in probe  # metrics stay where they are
+    assert config.in_force(m, v.limit(0), "metric", "threshold").filter("threshold IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 50, 10**6])
+def test_quantiles_by_selection(spark, monkeypatch, limit):
+    monkeypatch.setattr(monitoring, "SKETCH", 20)
+    rng = random.Random(7)
+    rows = [("hot", float(rng.randrange(3000))) for _ in range(5000)] + [("same", 4.0)] * 700 + [("ties", float(rng.choice([1, 2, 2, 2, 9]))) for _ in range(900)]
+    rows += [("one", 3.5), ("two", 1.0), ("two", 2.0), (None, 5.0), (None, 6.0), ("gone", None)] + [("skew", rng.random() ** 9) for _ in range(2000)]
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "key string, value double, id long").repartition(6)
+    for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+        want = {r["key"]: round(r["q"], 9) for r in df.filter("value IS NOT NULL").groupBy("key").agg(F.percentile("value", q).alias("q")).collect()}
+        got = {r["key"]: round(r["quantile"], 9) for r in monitoring.exact_quantiles(df, "key", q, "id", max_group_rows=limit).collect()}
+        assert got == want, q

@@ -1,5 +1,6 @@
 """Streams over files: order, late rows and state."""
 
+import random
 import time
 
 import pytest
@@ -186,3 +187,24 @@ def test_stream_reader_takes_folders_and_files(spark, sf_dir):
     assert stream.isStreaming
     rows = run(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts")), "files")
     assert len(rows) == spark.read.parquet(path).count()
+
+
+def test_settled_types_equal_one_by_one(spark):
+    """Random changes with shared and disputed fields, against a loop over the changes in order."""
+    rng = random.Random(9)
+    rows, changes = [], []
+    for change in range(300):
+        fields = {f"f{rng.randrange(14)}": rng.choice(["string", "string", "number"]) for _ in range(rng.randrange(1, 4))}
+        fields = {f: "string" if f in ("f0", "f1", "f2") else kind for f, kind in fields.items()}
+        changes.append((change, fields))
+        rows += [("s", change // 3, change, f, kind) for f, kind in fields.items()]
+    recorded = {}
+    for change, fields in changes:
+        if all(recorded.get(f, (kind, 0))[0] == kind for f, kind in fields.items()):
+            for f, kind in fields.items():
+                recorded.setdefault(f, (kind, change))
+    df = spark.createDataFrame(rows, "schema_type string, ts long, change_id long, field string, json_type string")
+    found = config._settled_types(df).collect()
+    assert {r["field"]: (r["recorded_type"], r["first_change"]) for r in found} == recorded and len(found) == len(recorded)
+    plain = df.filter("field IN ('f0', 'f1', 'f2')")
+    assert {r["recorded_type"] for r in config._settled_types(plain).collect()} == {"string"}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions.text import no_text
 from tollgate.operators.ordered import carried_forward, numbered
-from tollgate.session import cut_lineage, small_side, small_table
+from tollgate.session import cut_lineage, fits, small_side, small_table
 
 # The base schemas, the role and the author prefix of each schema type.
 STAMPS = ["author", "timestamp"]
@@ -196,20 +196,39 @@ def _settled_types(rows: DataFrame) -> DataFrame:
 
     A field is recorded by the first change that is not refused, and a change is refused
     if any of its fields has another type than the recorded one: as if the changes came
-    one by one. A round refuses what contradicts the recorded types, then accepts every
-    open change that is the earliest open one for all its unrecorded fields. The earliest
-    open change always is, so there is at most one round per added field. Only rows of
-    added fields take part.
+    one by one. Only fields that occur with several types can refuse a change, so only those
+    are settled in order; what is left of the changes then settles all other fields in one aggregate.
     """
-    spark, key = rows.sparkSession, ["schema_type", "field"]
-    settled = spark.createDataFrame([], "schema_type string, field string, recorded_type string, first_ts timestamp, first_change bigint")
-    settled = settled.withColumns({"first_ts": F.col("first_ts").cast(rows.schema["ts"].dataType), "first_change": F.col("first_change").cast(rows.schema["change_id"].dataType)})
-    change = ["schema_type", "ts", "change_id"]
-    open_rows = rows.select(*change, "field", "json_type")
+    key, change = ["schema_type", "field"], ["schema_type", "ts", "change_id"]
+    kinds = rows.groupBy(*key).agg(F.min("json_type").alias("one"), F.max("json_type").alias("other"))
+    disputed = cut_lineage(kinds.filter("one <> other").select(*key))
+    if disputed.isEmpty():
+        return _first_of(rows)
+    few = small_side(disputed)
+    settled, refused = _settled_in_order(rows.join(few, key, "left_semi").select(*change, "field", "json_type"))
+    clear = rows.join(few, key, "left_anti").join(small_side(refused), change, "left_anti")
+    return settled.unionByName(_first_of(clear))
+
+
+def _first_of(rows: DataFrame) -> DataFrame:
+    first = rows.groupBy("schema_type", "field").agg(F.min(F.struct("ts", "change_id", "json_type")).alias("first"))
+    return first.select("schema_type", "field", F.col("first.json_type").alias("recorded_type"), F.col("first.ts").alias("first_ts"), F.col("first.change_id").alias("first_change"))
+
+
+def _settled_in_order(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The recorded types of disputed fields, and the changes that they refuse.
+
+    A round refuses what contradicts the recorded types, then accepts every open change
+    that is the earliest open one for all its unrecorded fields. The earliest open change
+    always is, so each round records a field, and fields that no change ties together are recorded in the same round.
+    """
+    key, change = ["schema_type", "field"], ["schema_type", "ts", "change_id"]
+    settled = _first_of(rows.limit(0))
+    open_rows = rows
     while True:
         known = open_rows.join(settled, key, "left")
         refused = known.filter(F.col("recorded_type") != F.col("json_type")).select(*change).distinct()
-        left = known.filter("recorded_type IS NULL").join(refused, change, "left_anti").select(*change, "field", "json_type")
+        left = cut_lineage(known.filter("recorded_type IS NULL").join(refused, change, "left_anti").select(*change, "field", "json_type"))
         earliest = left.groupBy(*key).agg(F.min(F.struct("ts", "change_id")).alias("first"))
         marked = left.join(earliest, key).withColumn("is_first", F.struct("ts", "change_id") == F.col("first"))
         ready = marked.groupBy(*change).agg(F.bool_and("is_first").alias("ready")).filter("ready").drop("ready")
@@ -218,8 +237,9 @@ def _settled_types(rows: DataFrame) -> DataFrame:
         )
         new = cut_lineage(new.dropDuplicates(key))
         if new.isEmpty():
-            return settled
-        settled, open_rows = cut_lineage(settled.unionByName(new)), cut_lineage(left)
+            against = rows.join(settled, key).filter(F.col("recorded_type") != F.col("json_type"))
+            return settled, cut_lineage(against.select(*change).distinct())
+        settled, open_rows = settled.unionByName(new), left
 
 
 def _added(valid_changes: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
@@ -294,16 +314,44 @@ def incompatible_history(accepted: DataFrame) -> DataFrame:
     return rows.join(small_table(newest), ["schema_type", "field"]).filter(F.col("json_type") != F.col("newest_type"))
 
 
-def in_force(metrics: DataFrame, versions: DataFrame, key: str, value: str, **limits) -> DataFrame:
+def in_force(metrics: DataFrame, versions: DataFrame, key: str, value: str, max_versions: int = 200_000, **limits) -> DataFrame:
     """Each metric row with the configuration value in force at its time.
 
-    ``metrics`` holds ``(key, ts, row_id, ...)``, ``versions`` ``(key, ts, version_id, value)``.
-    Both sides are put in time order; a version counts from its own instant on.
+    ``metrics`` holds ``(key, ts, row_id, ...)``, ``versions`` ``(key, ts, version_id, value)``. A version counts from
+    its own instant on; a version without a value changes nothing. Up to ``max_versions`` versions (measured, and
+    64 MB) are broadcast as one sorted array per key and searched by bisection in the metric's row, which
+    is not shuffled. More of them are put in time order with the metrics, in pieces that split a hot key.
     """
+    known = versions.filter(F.col(value).isNotNull()).select(key, "ts", "version_id", value)
+    if fits(known, max_versions):
+        return _in_force_by_bisection(metrics, known, key, value)
     m = metrics.select(
         *metrics.columns, F.lit(1).alias("_side"), F.col("row_id").alias("_tie"), F.lit(None).cast(dict(versions.dtypes)[value]).alias(value)
     )
-    v = versions.select(key, "ts", F.lit(0).alias("_side"), F.col("version_id").alias("_tie"), value)
+    v = known.select(key, "ts", F.lit(0).alias("_side"), F.col("version_id").alias("_tie"), value)
     both = m.unionByName(v, allowMissingColumns=True)
     filled = carried_forward(both, [key], ["ts", "_side", "_tie"], [value], **limits)
     return filled.filter("_side = 1").drop("_side", "_tie")
+
+
+def _in_force_by_bisection(metrics: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "version_id", F.col(value).alias("value"))))
+    # a group holds versions of one key, of a table that was measured to be small
+    listed = known.groupBy(F.col(key).alias("_key")).agg(F.transform(ordered, lambda v: v["ts"]).alias("_from"), F.transform(ordered, lambda v: v["value"]).alias("_values"))
+    met = metrics.join(F.broadcast(listed), metrics[key].eqNullSafe(F.col("_key")), "left")
+
+    def halve(state: Column, _: Column) -> Column:
+        """Versions before ``low`` have begun, those from ``high`` on have not."""
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        begun = F.coalesce(F.get("_from", middle) <= F.col("ts"), F.get("_from", middle).isNull())
+        searched = state["low"] >= state["high"]
+        return F.struct(
+            F.when(~searched & begun, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(~searched & ~begun, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    size = F.coalesce(F.size("_from"), F.lit(0))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    found = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda s: s["low"])
+    place = F.when(size > 0, found - 1)
+    return met.select(*metrics.columns, F.get("_values", place).alias(value))

@@ -89,17 +89,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
+    """Whether ``df`` was measured to be small, in rows and in bytes."""
+    row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(row_bytes).alias("size")).first()
+    return found["n"] <= max_rows and (found["size"] or 0) <= max_bytes
+
+
 def small_side(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """Mark ``df`` for broadcast only if it was measured to be small, in rows and in bytes.
+    """Mark ``df`` for broadcast only if it was measured to be small (:func:`fits`).
 
     Larger tables come back unmarked, so the join shuffles and adaptive
     execution splits its skewed partitions.
     """
-    row_bytes = F.octet_length(F.to_json(F.struct(*df.columns)))
-    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(row_bytes).alias("size")).first()
-    if found["n"] <= max_rows and (found["size"] or 0) <= max_bytes:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 def small_table(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
