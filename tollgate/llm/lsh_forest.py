@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm import store
@@ -346,20 +346,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = store.written(placed.groupBy("label").agg(F.min("row").alias("best")), "forest-best")
     losers = placed.join(best, "label").where("row != best").select("row.doc_id", "row.digest").distinct()
     losers = store.written(losers, "forest-losers")
-    repeated = store.written(rows.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "forest-repeated")
-    place, digest = free_name("place", docs), free_name("digest", docs)
+    place, digest, number = (free_name(n, docs) for n in ("place", "digest", "number"))
     marked = docs.withColumns({place: F.col("doc_id").cast("long"), digest: F.xxhash64("text")})
-
-    def same(other: DataFrame) -> Column:
-        return marked[place].eqNullSafe(other["doc_id"]) & (marked[digest] == other["digest"])
-
-    rest = marked.join(losers, same(losers), "left_anti")
-    marked = rest
-    single = marked.join(repeated, same(repeated), "left_anti").select(docs.columns)
-    several = marked.join(repeated, same(repeated), "left_semi")
-    number = free_name("number", docs)
-    several = several.withColumn(number, F.row_number().over(Window.partitionBy(place, digest).orderBy(place)))
-    return single.unionByName(several.where(F.col(number) == 1).select(docs.columns))
+    # the documents move once: the anti-join finds them dealt by the columns of the window
+    copies = Window.partitionBy(place, digest).orderBy(place)
+    single = marked.withColumn(number, F.row_number().over(copies)).where(F.col(number) == 1)
+    dropped = losers.select(F.col("doc_id").alias(place), F.col("digest").alias(digest))
+    return single.join(dropped, [place, digest], "left_anti").select(docs.columns)
 
 
 def free_name(name: str, docs: DataFrame) -> str:
