@@ -5,6 +5,8 @@ Each gives its sink back as a table, which must hold the rows of the batch form.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tollgate.operators import agent, audit, config, monitoring, pebbles, requests
@@ -109,6 +111,47 @@ def quick_alert_sliding(spark, sf_dir):
     return found.select(F.unix_seconds("window_start").alias("window_start"), "metric", F.round("mean", 6).alias("mean"), "samples")
 
 
+# Alert configurations of the five metrics; the second one for clicks replaces the first.
+ALERT_BODIES = [
+    (1, "click", 1.0, "1d"), (2, "click", 12.0, "5m"), (1, "view", 10.0, "1h"), (1, "purchase", 9.0, "90m"),
+    (1, "signup", 9.0, "2d"), (1, "error", 1.0, "soon"),
+]
+
+
+@query(
+    "quick_alert_configured",
+    """SELECT (epoch(ts)::BIGINT // s) * s AS window_start, s AS window_seconds, metric, round(avg(value), 6) AS mean, count(*) AS samples
+       FROM (SELECT ts, event_type AS metric, value FROM events)
+       JOIN (VALUES ('click', 12.0, 300), ('view', 10.0, 3600), ('purchase', 9.0, 5400), ('signup', 9.0, 172800)) t(metric, threshold, s) USING (metric)
+       GROUP BY 1, 2, 3, threshold HAVING avg(value) > threshold""",
+)
+def quick_alert_configured(spark, sf_dir):
+    """Alerts in windows of the length that each metric's configuration names, in one stream."""
+    metrics, finish = _metrics(spark, sf_dir)
+    bodies = [(ts, json.dumps({"targetMetric": m, "quickAlertHeuristic": {"threshold": t, "window": w}})) for ts, m, t, w in ALERT_BODIES]
+    settings = jobs.alert_settings(spark.createDataFrame(bodies, "ts int, body string"))
+    found = _run(jobs.alerts_by_setting(metrics, settings), "alerts-configured", sf_dir, finish=finish)
+    return found.select(
+        F.unix_seconds("window_start").alias("window_start"), "window_seconds", "metric", F.round("mean", 6).alias("mean"), "samples"
+    )
+
+
+@query(
+    "policy_rate_limit",
+    """SELECT epoch(time_bucket(INTERVAL 1 MINUTE, ts))::BIGINT AS window_start, event_type AS policy, user_id % 7 AS user_id, count(*) AS calls, allowed
+       FROM events JOIN (VALUES ('click', 1), ('view', 2)) t(event_type, allowed) USING (event_type)
+       GROUP BY 1, 2, 3, allowed HAVING count(*) > allowed""",
+)
+def policy_rate_limit(spark, sf_dir):
+    """Calls a minute against the limit that stands in the caller's policy."""
+    events, finish = ended_stream(spark, sf_dir)
+    limits = {"Click": {"enabled": True, "max_requests_per_minute": 1}, "VIEW": {"enabled": True, "max_requests_per_minute": 2}, "error": {"enabled": False, "max_requests_per_minute": 0}}
+    policies = {name: {"rate_limiting": limit} for name, limit in limits.items()}
+    calls = events.select("ts", F.upper("event_type").alias("api_class"), (F.col("user_id") % 7).alias("user_id"))
+    found = _run(jobs.rate_limit_by_policy(calls, policies), "policy-rate-limit", sf_dir, finish=finish)
+    return found.withColumn("window_start", F.unix_seconds("window_start"))
+
+
 @query(
     "stream_baseline",
     f"""SELECT epoch(w)::BIGINT AS window_start, metric, samples, round((m.mean - b.mean) / b.spread, 6) AS deviation FROM

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, StringType, StructField, StructType
 
+from tollgate.functions.text import duration_seconds
+from tollgate.operators.policies import Policies, with_policy
 from tollgate.session import scratch_path
 
 
@@ -146,6 +148,60 @@ def alerts(
     )
 
 
+def alert_settings(bodies: DataFrame) -> DataFrame:
+    """``(metric, threshold, window)`` of configuration bodies (JSON in ``body``): the alert heuristic of their target metric.
+
+    Of several bodies for a metric the one that is latest by ``ts`` counts.
+    """
+    parsed = bodies.select("ts", F.try_parse_json("body").alias("b"))
+    rows = parsed.select(
+        "ts",
+        F.try_variant_get("b", "$.targetMetric", "string").alias("metric"),
+        F.try_variant_get("b", "$.quickAlertHeuristic.threshold", "double").alias("threshold"),
+        F.try_variant_get("b", "$.quickAlertHeuristic.window", "string").alias("window"),
+    )
+    last = rows.filter("metric IS NOT NULL").groupBy("metric").agg(F.max_by(F.struct("threshold", "window"), "ts").alias("s"))
+    return last.select("metric", "s.threshold", "s.window")
+
+
+def alerts_by_setting(metrics: DataFrame, settings: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Windows whose mean crosses the metric's threshold, each metric in windows of its own configured length.
+
+    ``settings`` is the static side ``(metric, threshold, window)`` with lengths such as ``5m`` or ``1h``; an unreadable length
+    raises no alert. Windows start at multiples of their length. The watermark runs on the windows' ends
+    and stays behind by the longest length and ``late``, so no window closes before its last row could arrive.
+    """
+    known = settings.select("metric", "threshold", duration_seconds(F.col("window")).alias("_seconds"))
+    longest = known.agg(F.max("_seconds").alias("s")).first()["s"] or 60
+    # metrics without a setting keep their rows up to the sum, since an end row has to reach the watermark
+    placed = metrics.join(F.broadcast(known), "metric", "left").withColumn("_length", F.coalesce("_seconds", F.lit(longest)))
+    begin = F.floor(F.unix_seconds("ts") / F.col("_length")) * F.col("_length")
+    placed = placed.withColumns({"window_start": F.timestamp_seconds(begin), "window_end": F.timestamp_seconds(begin + F.col("_length"))})
+    seconds = math.ceil(longest + pd.Timedelta(late).total_seconds())
+    means = (
+        placed.withWatermark("window_end", f"{seconds} seconds")
+        .groupBy("window_end", "window_start", "metric")
+        # settings as aggregates: a filter on keys would be pushed down and take the end row before the watermark sees it
+        .agg(F.avg("value").alias("mean"), F.count("*").alias("samples"), F.max("threshold").alias("threshold"), F.max("_seconds").alias("window_seconds"))
+    )
+    return means.filter((F.col("mean") > F.col("threshold")) & F.col("window_seconds").isNotNull()).select(
+        "window_start", "window_seconds", "metric", "mean", "samples"
+    )
+
+
+def rate_limit_by_policy(calls: DataFrame, policies: Policies, late: str = "10 minutes") -> DataFrame:
+    """Minutes in which a caller made more calls than the policy's ``rate_limiting`` allows.
+
+    ``calls`` holds ``(ts, api_class, user_id)``. A policy without an enabled limit, or an unknown one, limits nothing.
+    """
+    counted = calls.withColumn("api_class", F.lower("api_class")).withWatermark("ts", late)
+    counted = counted.groupBy(F.window("ts", "1 minute"), "api_class", "user_id").agg(F.count("*").alias("calls"))
+    limit = F.col("_policy.rate_limit")
+    return with_policy(counted, policies).filter(F.col("calls") > limit).select(
+        F.col("window.start").alias("window_start"), F.col("api_class").alias("policy"), "user_id", "calls", limit.alias("allowed")
+    )
+
+
 def against_baseline(metrics: DataFrame, stored: DataFrame, every: str, late: str = "10 minutes") -> DataFrame:
     """Deviation of each window's mean from the stored baseline, in spreads."""
     means = metrics.withWatermark("ts", late).groupBy(F.window("ts", every), "metric").agg(
