@@ -215,7 +215,7 @@ def test_token_files(spark, docs, texts, nothing):
     root = store.work_folder(spark, "test-tokens")
     manifest = repair_tokens.write(docs, root, tokenizer_path(), shard_ids=5_000, task_bytes=20_000)
     got = sorted(map(tuple, repair_tokens.read(spark, root, manifest).collect()), key=lambda r: r[1])
-    rows = sorted([(None if i == 3 else i, t) for i, t in enumerate(texts)] + [(5, texts[5])], key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = sorted([(None if i == 3 else i, t) for i, t in enumerate(texts)] + [(5, texts[5])], key=lambda r: (r[0] is not None, r[0] or 0))  # equal ids hold equal texts here
     want, at = [], 0
     for doc, text in rows:
         ids = np.asarray([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -239,7 +239,23 @@ def test_repair_random_access(kind):
         size = int(rng.integers(0, min(3000, len(ids) - start) + 1))
         assert (shard.slice(start, size) == ids[start : start + size]).all()
     if kind != "short":
-        assert len(shard.symbols) < len(ids)
+        assert shard.n_symbols < len(ids)
+
+
+def test_repair_leaves_no_frequent_pair_and_takes_large_ids():
+    rng = np.random.default_rng(5)
+    ids = (rng.zipf(1.3, 60_000) % 90_000 + 20_000).astype(np.int32)
+    rules, sizes, symbols = repair_tokens.compress(ids, 200_000)
+    used = np.bincount(np.concatenate([rules.ravel(), symbols]), minlength=200_000 + len(rules))[200_000:]
+    assert used.min() >= repair_tokens.LEAST_COUNT
+    pairs, counts = np.unique(np.stack([symbols[:-1], symbols[1:]], 1), axis=0, return_counts=True)
+    # what is left that often is a run of one symbol, whose occurrences overlap
+    assert all(a == b for (a, b), n in zip(pairs.tolist(), counts.tolist()) if n >= repair_tokens.LEAST_COUNT)
+    assert (repair_tokens.Grammar(rules, sizes, 200_000).expand(symbols) == ids).all()
+    shard = repair_tokens.Shard(repair_tokens.pack(ids, np.array([0]), [None], 200_000))
+    assert (shard.ids() == ids).all()
+    with pytest.raises(ValueError, match="not below"):
+        repair_tokens.compress(ids, 50_000)
 
 
 def test_secrets_base_and_redaction(spark, nothing):

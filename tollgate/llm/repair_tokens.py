@@ -6,15 +6,19 @@ about ``SHARD_IDS`` ids (whole documents), compresses each shard and writes it u
 temporary name; the manifest of the committed shards then gives the final names and,
 by a running sum over shards, the place of each document in the whole stream.
 
-Re-Pair replaces frequent pairs of symbols by new symbols until no pair is frequent. A
-round replaces all pairs whose count is at least a sixteenth of the highest one; where
-occurrences overlap, the leftmost goes first. A shard file holds the rules, the
-expansion length of each rule, the symbols, the expanded position of every
-``STEP``-th symbol, and the start of each document: any range of ids is decoded from
-the symbols that cover it.
+Re-Pair replaces frequent pairs of symbols by new symbols until none is left that can be
+replaced ``LEAST_COUNT`` times. The limit falls from an eighth of the highest count to
+``LEAST_COUNT`` by eighths; at each limit, rounds go on until no pair reaches it, and
+after the first round only pairs with a symbol of the last round need counting. Where
+occurrences overlap, the leftmost goes first. Symbols are the ids of the vocabulary, then
+the rules of the shard, with no bound on their number but 32 bits. A shard file holds
+the rules, the expansion length of each rule, the symbols (each in as many bits as the
+shard needs), the expanded position of every ``STEP``-th symbol, and the start of each
+document: any range of ids is decoded from the symbols that cover it.
 
 Defined cases: a null or empty text is one end id; null doc_ids come first; equal
-doc_ids are ordered by text; an empty table gives no shard and no row; only ``doc_id``
+doc_ids are ordered by a hash of the text, then the text, so that the rows of one id
+spread over tasks; an id outside the vocabulary is an error; an empty table gives no shard and no row; only ``doc_id``
 and ``text`` are read.
 """
 
@@ -38,15 +42,17 @@ from tollgate.llm.wordcache import WordCache
 END_ID = 1
 SHARD_IDS = 4_000_000
 TASK_BYTES = 16 << 20
-#: Symbols are 16-bit numbers: the ids of the vocabulary, then the rules of the shard.
-SYMBOLS = 1 << 16
-#: A pair that occurs less often is not worth a rule.
-LEAST_COUNT = 48
+#: A rule costs two symbols and its expansion length, some three symbols: it pays from four uses.
+LEAST_COUNT = 4
+#: From one limit of the counts to the next lower one.
+COARSENESS = 8
 STEP = 1024
 #: Rules that expand to more ids are expanded through their parts.
 LONG_RULE = 4096
-MAGIC = b"RPTOK001"
-HEADER = struct.Struct("<8sIIqqq")
+MAGIC = b"RPTOK002"
+HEADER = struct.Struct("<8sIIIIqqq")
+#: Numbers that go through the bit arrays at a time, a multiple of eight.
+BIT_BLOCK = 1 << 18
 JOINED_WORDS = 4000
 #: Words that a Python worker holds from task to task, some 40 bytes each.
 KEEP_WORDS = 3_000_000
@@ -100,70 +106,133 @@ class LibraryEncoder:
         return lengths, out
 
 
-def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule r stands for the two symbols in ``rules[r]`` and is itself the symbol first_rule + r."""
-    symbols = ids.astype(np.uint16)
-    rules: list[np.ndarray] = []
-    made = 0
-    while made < SYMBOLS - first_rule and len(symbols) > 1:
-        pair = (symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:]
-        slot = (pair * np.uint32(2654435769)) >> np.uint32(12)
-        often = np.bincount(slot, minlength=1 << 20) >= least
-        keys = np.sort(pair[often[slot]])
-        if not len(keys):
-            break
-        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.append(edges, len(keys)))
-        top = int(counts.max())
-        if top < least:
-            break
-        good = np.flatnonzero(counts >= max(least, top // 16))
-        good = good[np.argsort(-counts[good], kind="stable")][: SYMBOLS - first_rule - made]
-        chosen = np.sort(keys[edges[good]])
-        place = np.full(1 << 20, False)
-        place[(chosen * np.uint32(2654435769)) >> np.uint32(12)] = True
-        maybe = np.flatnonzero(place[slot])
-        at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-        same = chosen[at] == pair[maybe]
-        maybe, at = maybe[same], at[same]
-        # of overlapping occurrences take every second one, from the left
-        begin = np.concatenate([[True], np.diff(maybe) > 1])
-        run = np.maximum.accumulate(np.where(begin, np.arange(len(maybe)), 0))
-        take = (np.arange(len(maybe)) - run) % 2 == 0
-        maybe, at = maybe[take], at[take]
-        used, number = np.unique(at, return_inverse=True)
-        rules.append(np.stack([chosen[used] >> np.uint32(16), chosen[used] & np.uint32(0xFFFF)], 1).astype(np.uint16))
-        symbols[maybe] = (first_rule + made + number).astype(np.uint16)
+def _slots(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+
+
+def _frequent(pair: np.ndarray, slot: np.ndarray, limit: int) -> np.ndarray:
+    """The pairs that occur ``limit`` times or more, sorted."""
+    often = np.bincount(slot, minlength=1 << 20) >= limit
+    keys = np.sort(pair[often[slot]])
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edges[np.diff(np.append(edges, len(keys))) >= limit]]
+
+
+def _replaced(pair: np.ndarray, slot: np.ndarray, where: np.ndarray | None, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where chosen pairs are replaced, and by which; pairs that overlaps leave too few places are put aside."""
+    hit = np.zeros(1 << 20, bool)
+    hit[_slots(chosen)] = True
+    maybe = np.flatnonzero(hit[slot])
+    at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
+    same = chosen[at] == pair[maybe]
+    maybe, at = maybe[same], at[same]
+    if where is not None:
+        maybe = where[maybe]
+    # of overlapping occurrences take every second one, from the left
+    begin = np.concatenate([[True], np.diff(maybe) > 1])[: len(maybe)]
+    run = np.maximum.accumulate(np.where(begin, np.arange(len(maybe)), 0))
+    take = (np.arange(len(maybe)) - run) % 2 == 0
+    maybe, at = maybe[take], at[take]
+    enough = (np.bincount(at, minlength=len(chosen)) >= least)[at]
+    return maybe[enough], at[enough]
+
+
+def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, sizes, symbols): rule r is the symbol first_rule + r, the two symbols ``rules[r]``, and ``sizes[r]`` ids."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < first_rule:
+        raise ValueError(f"an id is not below {first_rule}")
+    symbols = ids.astype(np.uint32)
+    rules, sizes = [np.zeros((0, 2), np.uint32)], np.ones(first_rule, np.int64)
+    made, fresh, limit = 0, 0, 0
+    while len(symbols) > 1:
+        left, right, where = symbols[:-1], symbols[1:], None
+        if fresh:
+            # the last round left no older pair at this limit
+            new = symbols >= fresh
+            where = np.flatnonzero(new[:-1] | new[1:])
+            left, right = symbols[where], symbols[where + 1]
+        pair = (left.astype(np.uint64) << np.uint64(32)) | right
+        slot = _slots(pair)
+        if not limit:
+            limit = max(least, int(np.bincount(slot, minlength=1 << 20).max()) // COARSENESS)
+        chosen = _frequent(pair, slot, limit)
+        at, number = _replaced(pair, slot, where, chosen, least) if len(chosen) else (chosen, chosen)
+        if not len(at):
+            if limit == least and not fresh:
+                break
+            limit, fresh = max(least, limit // COARSENESS), 0
+            continue
+        used, number = np.unique(number, return_inverse=True)
+        both = np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1)
+        rules.append(both.astype(np.uint32))
+        sizes = np.concatenate([sizes, sizes[both.astype(np.int64)].sum(1)])
+        fresh = first_rule + made
+        symbols[at] = (fresh + number).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
-        keep[maybe + 1] = False
+        keep[at + 1] = False
         symbols = symbols[keep]
         made += len(used)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)), symbols
+    return np.concatenate(rules), sizes[first_rule:], symbols
+
+
+def bits_of(values: np.ndarray) -> int:
+    return max(1, int(values.max()).bit_length()) if len(values) else 1
+
+
+def to_bits(values: np.ndarray, width: int) -> bytes:
+    """Each number in ``width`` bits, lowest bit first, one after the other."""
+    out = []
+    for at in range(0, len(values), BIT_BLOCK):
+        rows = values[at : at + BIT_BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4)
+        out.append(np.packbits(np.unpackbits(rows, axis=1, bitorder="little")[:, :width], bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def from_bits(data: np.ndarray, width: int, count: int) -> np.ndarray:
+    out = [np.zeros(0, np.uint32)]
+    for at in range(0, count, BIT_BLOCK):
+        own = min(BIT_BLOCK, count - at)
+        flat = np.unpackbits(data[at * width // 8 : -(-(at + own) * width // 8)], bitorder="little")[: own * width]
+        rows = np.zeros((own, 32), np.uint8)
+        rows[:, :width] = flat.reshape(-1, width)
+        out.append(np.packbits(rows, axis=1, bitorder="little").view("<u4").ravel())
+    return np.concatenate(out)
 
 
 class Grammar:
-    """The rules of one shard, with their expansion lengths."""
+    """The rules of one shard, with the expansion length of each."""
 
-    def __init__(self, rules: np.ndarray, first_rule: int):
-        self.rules = rules.astype(np.int64)
+    def __init__(self, rules: np.ndarray, sizes: np.ndarray, first_rule: int):
+        self.rules = rules.astype(np.int64).reshape(-1, 2)
         self.first = first_rule
-        sizes = np.ones(first_rule + len(rules), np.int64)
-        for number, (a, b) in enumerate(self.rules.tolist()):
-            sizes[first_rule + number] = sizes[a] + sizes[b]
-        self.sizes = sizes
+        self.sizes = np.concatenate([np.ones(first_rule, np.int64), sizes.astype(np.int64)])
+        number = np.arange(first_rule, len(self.sizes))[:, None]
+        if (self.rules >= number).any() or (self.sizes[self.rules].sum(1) != sizes).any():
+            raise ValueError("expansion lengths do not match the rules")
         self._flat: np.ndarray | None = None
 
     def _tables(self) -> None:
-        """The expansions of all ids and short rules, one after the other."""
-        parts: list = [None] * len(self.rules)
-        for number, (a, b) in enumerate(self.rules.tolist()):
-            if self.sizes[self.first + number] <= LONG_RULE:
-                left = parts[a - self.first] if a >= self.first else [a]
-                right = parts[b - self.first] if b >= self.first else [b]
-                parts[number] = [*left, *right]
-        self._short = np.concatenate([np.ones(self.first, np.int64), [len(p) if p else 0 for p in parts]]).astype(np.int64)
+        """The expansions of all ids and short rules, one after the other, parts before wholes."""
+        level = np.zeros(len(self.sizes), np.int64)
+        while True:
+            deeper = level[self.rules].max(1, initial=0) + 1
+            if np.array_equal(deeper, level[self.first :]):
+                break
+            level[self.first :] = deeper
+        self._short = np.where(self.sizes <= LONG_RULE, self.sizes, 0)
         self._at = np.cumsum(self._short) - self._short
-        self._flat = np.concatenate([np.arange(self.first), np.asarray([x for p in parts if p for x in p], np.int64)]).astype(np.int32)
+        flat = np.empty(int(self._short.sum()), np.int32)
+        flat[: self.first] = np.arange(self.first)
+        level[self._short == 0] = -1
+        order = np.argsort(level, kind="stable")
+        edges = np.searchsorted(level[order], np.arange(1, int(level.max(initial=0)) + 2))
+        for begin, end in zip(edges, edges[1:], strict=False):
+            own = order[begin:end]
+            left, right = self.rules[own - self.first].T
+            size = self._short[left]
+            flat[wb.ranges(self._at[own], size)] = flat[wb.ranges(self._at[left], size)]
+            flat[wb.ranges(self._at[own] + size, self._short[right])] = flat[wb.ranges(self._at[right], self._short[right])]
+        self._flat = flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         if self._flat is None:
@@ -181,16 +250,17 @@ class Grammar:
 
 def pack(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None], first_rule: int) -> bytes:
     """One shard file: ``starts`` has the first id of each document."""
-    rules, symbols = compress(ids, first_rule)
-    grammar = Grammar(rules, first_rule)
-    places = np.cumsum(grammar.sizes[symbols]) - grammar.sizes[symbols]
+    rules, sizes, symbols = compress(ids, first_rule)
+    spans = np.concatenate([np.ones(first_rule, np.int64), sizes])[symbols]
+    places = np.cumsum(spans) - spans
     known = np.asarray([d is not None for d in doc_ids], np.uint8)
     numbers = np.asarray([d or 0 for d in doc_ids], "<i8")
+    width, size_width = bits_of(np.asarray([first_rule + len(rules) - 1])), bits_of(sizes)
     parts = [
-        HEADER.pack(MAGIC, first_rule, len(rules), len(symbols), len(doc_ids), len(ids)),
-        rules.astype("<u2").tobytes(),
-        grammar.sizes[first_rule:].astype("<i8").tobytes(),
-        symbols.astype("<u2").tobytes(),
+        HEADER.pack(MAGIC, first_rule, len(rules), width, size_width, len(symbols), len(doc_ids), len(ids)),
+        to_bits(rules.ravel(), width),
+        to_bits(sizes, size_width),
+        to_bits(symbols, width),
         places[::STEP].astype("<i8").tobytes(),
         starts.astype("<i8").tobytes(),
         numbers.tobytes(),
@@ -203,7 +273,7 @@ class Shard:
     """Reads a shard file."""
 
     def __init__(self, data: bytes):
-        magic, first_rule, n_rules, n_symbols, n_docs, self.n_ids = HEADER.unpack_from(data)
+        magic, first_rule, n_rules, self.width, size_width, self.n_symbols, n_docs, self.n_ids = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEADER.size
@@ -214,16 +284,19 @@ class Shard:
             at += out.nbytes
             return out
 
-        rules = array("<u2", 2 * n_rules).reshape(-1, 2)
-        sizes = array("<i8", n_rules)
-        self.symbols = array("<u2", n_symbols)
-        self.places = array("<i8", -(-n_symbols // STEP))
+        rules = from_bits(array("u1", -(-2 * n_rules * self.width // 8)), self.width, 2 * n_rules)
+        sizes = from_bits(array("u1", -(-n_rules * size_width // 8)), size_width, n_rules)
+        self.packed = array("u1", -(-self.n_symbols * self.width // 8))
+        self.places = array("<i8", -(-self.n_symbols // STEP))
         self.starts = array("<i8", n_docs)
         self.numbers = array("<i8", n_docs)
         self.known = array("u1", n_docs).astype(bool)
-        self.grammar = Grammar(rules, first_rule)
-        if (self.grammar.sizes[first_rule:] != sizes).any():
-            raise ValueError("expansion lengths do not match the rules")
+        self.grammar = Grammar(rules, sizes, first_rule)
+
+    def symbols(self, low: int, high: int) -> np.ndarray:
+        """The symbols of the blocks [low, high) of ``STEP`` symbols each, which begin at whole bytes."""
+        first, last = low * STEP, min(high * STEP, self.n_symbols)
+        return from_bits(self.packed[first * self.width // 8 : -(-last * self.width // 8)], self.width, max(0, last - first))
 
     def slice(self, start: int, length: int) -> np.ndarray:
         """The ids [start, start + length), decoded from the symbols that cover them."""
@@ -231,12 +304,12 @@ class Shard:
             return np.zeros(0, np.int32)
         low = max(0, int(np.searchsorted(self.places, start, "right")) - 1)
         high = int(np.searchsorted(self.places, start + length, "left"))
-        ids = self.grammar.expand(self.symbols[low * STEP : high * STEP])
+        ids = self.grammar.expand(self.symbols(low, high))
         begin = start - int(self.places[low])
         return ids[begin : begin + length]
 
     def ids(self) -> np.ndarray:
-        return self.grammar.expand(self.symbols)
+        return self.grammar.expand(self.symbols(0, len(self.places)))
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -254,7 +327,7 @@ MANIFEST = "part int, seq int, temporary string, name string, docs long, ids lon
 def write(docs: DataFrame, root: str, tokenizer: str, shard_ids: int = SHARD_IDS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Write the ids of all texts as shard files below ``root``; returns the manifest, in stream order by (part, seq)."""
     spark = docs.sparkSession
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = max(spark.sparkContext.defaultParallelism, -(-total // task_bytes))
 
@@ -291,7 +364,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, shard_ids: int = SHARD_IDS
         if names:
             yield flush()
 
-    shards = held.repartitionByRange(int(pieces), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(task, MANIFEST)
+    shards = held.repartitionByRange(int(pieces), "doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text").mapInArrow(task, MANIFEST)
     manifest = store.written(shards, "token-manifest")
 
     def commit(batches):
