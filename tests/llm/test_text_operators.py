@@ -168,6 +168,17 @@ def test_decontamination(spark, docs, texts, nothing, limit):
     assert not any(r["contaminated"] for r in wu_manber.scan(docs, items.limit(0)).collect())
 
 
+def test_benchmark_stays_off_the_driver(spark, docs, monkeypatch):
+    items = spark.range(400).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 12), i -> concat('w', id * 12 + i))) AS text")
+    parts = wu_manber.slices(items.union(items), limit=4_000)
+    assert len(parts) > 5 and max(size for _, size in parts) < 12 * min(size for _, size in parts)
+    owners = [o for address, size in parts for own in wu_manber.loaded(address, size).owners for o in own]
+    assert len(owners) == 3 * 400 and len(set(owners)) == 400
+    monkeypatch.setattr(wu_manber, "KEEP_BYTES", 1)
+    wu_manber.loaded(*parts[0]), wu_manber.loaded(*parts[1])
+    assert len(wu_manber._loaded) == 1
+
+
 def test_wu_manber_on_random_text():
     rng = random.Random(8)
     words = ["ab", "abc", "b", "ba", "cab", "é"]

@@ -8,8 +8,12 @@ give the shift table and the suffix-hash buckets. The search moves many position
 chunk at once, each by its own shift; where the shift is zero, the bucket's patterns
 are compared byte by byte.
 
-A benchmark of more than ``SLICE_BYTES`` goes to the executors in slices of about half as
-much, dealt by hash; every slice is searched in every text in the same stage.
+The benchmark never passes through the driver. Its distinct rows are dealt by hash to slices
+of about ``SLICE_BYTES``; a task builds the tables of one slice and writes them to a file of
+the shared folder, and the driver keeps the names only. A task over documents takes blocks of
+about ``BLOCK_BYTES`` of text, loads slice after slice (the last ones stay in the worker, up to
+``KEEP_BYTES`` of files), and adds up the hits of each block, so that a task holds a few
+slices and a block, whatever the sizes of both tables.
 
 Defined cases: a null or empty text has no words and is not contaminated; a null or
 empty item, or one without words, has no windows; a null item_id is ignored; items with
@@ -20,6 +24,8 @@ equal windows are all reported; repeated rows give repeated results; only ``doc_
 from __future__ import annotations
 
 import hashlib
+import pickle
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.llm import store
 from tollgate.llm import wordbytes as wb
 
 WINDOW_WORDS = 10
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Text that a task searches slice after slice, and files of slices that a worker keeps loaded.
+BLOCK_BYTES = 8 << 20
+KEEP_BYTES = 64 << 20
 BLOCK = 8
 LANE_BYTES = 512
 TABLE_BITS = 18
@@ -167,28 +177,104 @@ class Search:
         return np.searchsorted(folded.word_starts, starts), numbers
 
 
-def slices(items: DataFrame, limit: int = SLICE_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark as lists of (item_id, text) of about half of ``limit`` bytes, dealt by hash; one list if it fits."""
-    held = items.select(F.col("item_id").alias("item"), F.col("text").alias("body")).where("item IS NOT NULL")
-    total = held.agg(F.sum(F.octet_length(F.coalesce("body", F.lit(""))) + 64)).first()[0] or 0
-    count = 1 if total <= limit else -(-2 * total // limit)
-    for number in range(count):
-        own = held if count == 1 else held.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == number)
-        yield [tuple(r) for r in own.collect()]
+SLICES = "number long, temporary string, name string, bytes long"
+
+
+def slices(items: DataFrame, window: int = WINDOW_WORDS, limit: int = SLICE_BYTES) -> list[tuple[str, int]]:
+    """Address and size of each slice file: the tables over about ``limit`` bytes of distinct items."""
+    spark = items.sparkSession
+    held = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where("item IS NOT NULL")
+    size = F.sum(F.octet_length(F.coalesce("body", F.lit(""))) + 64)
+    count = max(1, -(-(held.agg(size).first()[0] or 0) // limit))
+    root = store.work_folder(spark, "benchmark-slices")
+
+    @wb.sparing
+    def build(batches):
+        own: dict[int, list] = {}
+        for batch in batches:
+            for number, item, body in zip(*(batch.column(c).to_pylist() for c in ("number", "item", "body")), strict=True):
+                own.setdefault(number, []).append((item, body))
+        for number in sorted(own):
+            data = pickle.dumps(Search(own.pop(number), window), protocol=5)
+            name = f"slice-{number:08d}.pickle"
+            address = store.temporary(root, name)
+            with store.create(address) as out:
+                out.write(data)
+            row = [pa.array([number]), pa.array([address]), pa.array([name]), pa.array([len(data)])]
+            yield pa.RecordBatch.from_arrays(row, names=["number", "temporary", "name", "bytes"])
+
+    dealt = held.distinct().withColumn("number", F.pmod(F.xxhash64("item", "body"), F.lit(count)))
+    made = store.written(dealt.repartition(int(count), "number").mapInArrow(build, SLICES), "benchmark-slices")
+    return [(r["temporary"], r["bytes"]) for r in made.orderBy("number").select("temporary", "bytes").toLocalIterator()]
+
+
+_loaded: OrderedDict[str, tuple[Search, int]] = OrderedDict()
+
+
+def loaded(address: str, size: int) -> Search:
+    """The tables of one slice; the worker keeps those used last."""
+    if address in _loaded:
+        _loaded.move_to_end(address)
+        return _loaded[address][0]
+    while _loaded and size + sum(n for _, n in _loaded.values()) > KEEP_BYTES:
+        _loaded.popitem(last=False)
+    with store.reopen(address) as file:
+        search = pickle.loads(file.read())
+    _loaded[address] = (search, size)
+    return search
+
+
+class Hits:
+    """Words inside an occurrence and items found, for the texts of one chunk, slice by slice."""
+
+    def __init__(self, folded: Folded):
+        self.folded = folded
+        self.edge = np.zeros(len(folded.word_starts) + 1, np.int64)
+        self.found: dict[int, set] = {}
+
+    def add(self, search: Search) -> None:
+        at, number = search.occurrences(self.folded)
+        np.add.at(self.edge, at, 1)
+        np.add.at(self.edge, at + search.words[number], -1)
+        doc = np.searchsorted(self.folded.firsts, at, "right") - 1
+        for pair in np.unique(np.stack([doc, number], 1), axis=0) if len(at) else ():
+            self.found.setdefault(int(pair[0]), set()).update(search.owners[pair[1]])
+
+    def words(self) -> np.ndarray:
+        return wb.per_row((np.cumsum(self.edge)[:-1] > 0).astype(np.int64), self.folded.firsts)
 
 
 def hits_of(folded: Folded, searches: list[Search]) -> tuple[np.ndarray, dict[int, set]]:
     """Words inside an occurrence per text, and the items found per text."""
-    edge = np.zeros(len(folded.word_starts) + 1, np.int64)
-    found: dict[int, set] = {}
+    hits = Hits(folded)
     for search in searches:
-        at, number = search.occurrences(folded)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + search.words[number], -1)
-        doc = np.searchsorted(folded.firsts, at, "right") - 1
-        for pair in np.unique(np.stack([doc, number], 1), axis=0) if len(at) else ():
-            found.setdefault(int(pair[0]), set()).update(search.owners[pair[1]])
-    return wb.per_row((np.cumsum(edge)[:-1] > 0).astype(np.int64), folded.firsts), found
+        hits.add(search)
+    return hits.words(), hits.found
+
+
+def searched(batches, parts: list[tuple[str, int]]) -> Iterator[tuple[pa.RecordBatch, Hits]]:
+    """Rows and their hits, block by block; all slices are searched in a block before it leaves."""
+    block: list[tuple[pa.RecordBatch, Hits]] = []
+    held = 0
+
+    def finish():
+        for address, size in parts if block else ():
+            search = loaded(address, size)
+            for _, hits in block:
+                hits.add(search)
+
+    for batch in batches:
+        for first, rows in wb.row_runs(batch.column("text")):
+            part = batch.slice(first, rows)
+            hits = Hits(Folded(part.column("text")))
+            block.append((part, hits))
+            held += len(hits.folded.bytes)
+            if held >= BLOCK_BYTES:
+                finish()
+                yield from block
+                block, held = [], 0
+    finish()
+    yield from block
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -197,42 +283,34 @@ RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, limit: int = SLICE_BYTES) -> DataFrame:
     """Words, hit words and matching items of every document."""
-    shared = [docs.sparkSession.sparkContext.broadcast(Search(own, window)) for own in slices(items, limit)]
+    parts = slices(items, window, limit)
 
     @wb.sparing
     def task(batches):
-        searches = [b.value for b in shared]
-        for batch in batches:
-            for first, rows in wb.row_runs(batch.column("text")):
-                part = batch.slice(first, rows)
-                folded = Folded(part.column("text"))
-                hit, found = hits_of(folded, searches)
-                names = [sorted(found.get(i, ())) for i in range(rows)]
-                columns = [
-                    part.column("doc_id"),
-                    pa.array(np.diff(folded.firsts)),
-                    pa.array(hit),
-                    pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-                    pa.array(hit > 0),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=RESULT_NAMES)
+        for part, hits in searched(batches, parts):
+            hit = hits.words()
+            names = [sorted(hits.found.get(i, ())) for i in range(part.num_rows)]
+            columns = [
+                part.column("doc_id"),
+                pa.array(np.diff(hits.folded.firsts)),
+                pa.array(hit),
+                pa.array([len(x) for x in names], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
+                pa.array(hit > 0),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=RESULT_NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, RESULT)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, limit: int = SLICE_BYTES) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    shared = [docs.sparkSession.sparkContext.broadcast(Search(own, window)) for own in slices(items, limit)]
+    parts = slices(items, window, limit)
 
     @wb.sparing
     def task(batches):
-        searches = [b.value for b in shared]
-        for batch in batches:
-            for first, rows in wb.row_runs(batch.column("text")):
-                part = batch.slice(first, rows)
-                hit, _ = hits_of(Folded(part.column("text")), searches)
-                yield part.filter(pa.array(hit == 0))
+        for part, hits in searched(batches, parts):
+            yield part.filter(pa.array(hits.words() == 0))
 
     return docs.mapInArrow(task, docs.schema)
 
