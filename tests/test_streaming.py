@@ -208,3 +208,29 @@ def test_settled_types_equal_one_by_one(spark):
     assert {r["field"]: (r["recorded_type"], r["first_change"]) for r in found} == recorded and len(found) == len(recorded)
     plain = df.filter("field IN ('f0', 'f1', 'f2')")
     assert {r["recorded_type"] for r in config._settled_types(plain).collect()} == {"string"}
+
+
+def test_late_rows_are_a_result(spark):
+    path, schema = scratch_path(spark, "late-in"), "ts timestamp, kind string, n int"
+    job = jobs.LateRows(spark, scratch_path(spark, "late-out"), ["kind"], "1 minute", late="2 minutes")
+    batches = [
+        [(at(0), "a", 1), (at(30), "a", 2), (at(400), "b", 3), (None, "b", 4)],
+        # before the mark of 280 s: windows that end at 240 s or less are late, the one that ends at 300 s is not
+        [(at(10), "a", 5), (at(239), "a", 6), (at(240), "a", 7), (at(410), None, 8)],
+        [],
+        [(at(20), "a", 9), (at(900), "b", 10)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+        job.run_available(spark.readStream.schema(schema).parquet(path))
+    got = {(r["window_start"], r["kind"]): (r["in_time"], r["late"]) for r in job.counts().collect()}
+    assert got == {
+        (at(0), "a"): (2, 2), (at(180), "a"): (0, 1), (at(240), "a"): (1, 0), (at(360), "b"): (1, 0), (at(360), None): (1, 0), (at(900), "b"): (1, 0),
+    }
+    assert sorted(r["n"] for r in job.late_rows().collect()) == [5, 6, 9]
+    total = job.progress().agg(F.sum("rows"), F.sum("late"), F.sum("untimed")).first()
+    assert tuple(total) == (10, 3, 1)
+    # a batch that is repeated replaces its rows
+    last = job.progress().agg(F.max("batch")).first()[0]
+    job.step(spark.createDataFrame(batches[3], schema), last)
+    assert sorted(r["n"] for r in job.late_rows().collect()) == [5, 6, 9]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from tollgate.functions.patterns import Patterns
 
 # Characters that Python's str.strip() removes.
 WHITESPACE = (
@@ -12,6 +18,8 @@ WHITESPACE = (
 )
 _SPACE_CLASS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 _LINE_END = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: Longer lists of words are looked for by an automaton.
+NATIVE_WORDS = 64
 # Units of duration texts such as "5m".
 UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
 
@@ -148,7 +156,23 @@ def messages_if(condition: Column, message: Column) -> Column:
 
 
 def words_found(low: Column, listed: list[str]) -> Column:
-    """The words of a fixed list that occur in a lower-cased text, in list order."""
+    """The words of a fixed list that occur in a lower-cased text, in list order.
+
+    Short lists become one native expression. Its code and time grow with the list, so longer
+    ones go out in one broadcast and are looked for all at once (:mod:`tollgate.functions.patterns`).
+    """
     if not listed:
         return no_text()
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in listed]))
+    if len(listed) <= NATIVE_WORDS:
+        return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in listed]))
+    shared = SparkSession.active().sparkContext.broadcast(tuple(listed))
+
+    @pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = shared.value
+        search = Patterns([w.lower() for w in words])
+        for texts in batches:
+            found = search.in_texts([None if t is None else t for t in texts])
+            yield pd.Series([[words[n] for n in own] for own in found], dtype=object)
+
+    return run(low)

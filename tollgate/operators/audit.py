@@ -158,6 +158,6 @@ def hash_sample(df: DataFrame, key: str, one_in: int) -> DataFrame:
 def matched_patterns(df: DataFrame, text: str, patterns: list[str], name: str = "pattern") -> DataFrame:
     """One row per known pattern (any case) that occurs in the whole text.
 
-    Patterns are configuration and become one native expression per row; there is no join.
+    Patterns are configuration: a native expression, or for long lists one automaton; there is no join.
     """
     return df.withColumn(name, F.explode(words_found(F.lower(F.col(text)), patterns)))

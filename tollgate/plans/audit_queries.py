@@ -213,6 +213,22 @@ def attack_patterns(spark, sf_dir):
     return audit.matched_patterns(docs, "text", ["ignore", "The ", "password", "eaux", "@"]).select("doc_id", "pattern")
 
 
+# A long list made by a rule: all threes of common letters.
+_LETTERS = "etaoinshrdlu"
+
+
+@query(
+    "pattern_counts",
+    f"""WITH letter AS (SELECT unnest(string_split('{_LETTERS}', '')) AS c),
+       pattern AS (SELECT a.c || b.c || d.c AS pattern FROM letter a, letter b, letter d)
+       SELECT pattern, count(*) AS docs FROM documents, pattern WHERE contains(lower(text), pattern) GROUP BY pattern""",
+)
+def pattern_counts(spark, sf_dir):
+    """Documents per pattern of a list of 1,728."""
+    patterns = [a + b + c for a in _LETTERS for b in _LETTERS for c in _LETTERS]
+    return audit.matched_patterns(views.documents(spark, sf_dir), "text", patterns).groupBy("pattern").agg(F.count("*").alias("docs"))
+
+
 # --- handshake --------------------------------------------------------------------------------
 
 

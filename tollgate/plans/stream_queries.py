@@ -152,6 +152,33 @@ def policy_rate_limit(spark, sf_dir):
     return found.withColumn("window_start", F.unix_seconds("window_start"))
 
 
+_ARRIVED = "epoch(ts)::BIGINT + CASE event_id % 10 WHEN 0 THEN 172800 WHEN 1 THEN 900 ELSE 0 END"
+
+
+@query(
+    "late_rows",
+    f"""WITH part AS (SELECT *, ({_ARRIVED}) // 691200 AS arrival FROM events),
+       seen AS (SELECT a.arrival, max(b.ts) - INTERVAL 10 MINUTE AS mark
+                FROM (SELECT DISTINCT arrival FROM part) a LEFT JOIN (SELECT arrival, max(ts) AS ts FROM part GROUP BY 1) b ON b.arrival < a.arrival GROUP BY 1),
+       placed AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS w, coalesce(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark, false) AS is_late
+                  FROM part JOIN seen USING (arrival) WHERE ts IS NOT NULL)
+       SELECT epoch(w)::BIGINT AS window_start, event_type, count(*) FILTER (NOT is_late) AS in_time, count(*) FILTER (is_late) AS late
+       FROM placed GROUP BY 1, 2""",
+)
+def late_rows(spark, sf_dir):
+    """Events that arrive in files of eight days, a tenth of them two days late: rows in time and late rows per hour and type."""
+    events = views.events(spark, sf_dir)
+    delay = F.when(F.col("event_id") % 10 == 0, 172800).when(F.col("event_id") % 10 == 1, 900).otherwise(0)
+    parts = events.withColumn("arrival", F.floor((F.unix_seconds("ts") + delay) / 691200))
+    known = [r["arrival"] for r in parts.select("arrival").distinct().orderBy("arrival").collect()]  # one value per eight days
+    folder = scratch_path(spark, "arriving")
+    job = jobs.LateRows(spark, scratch_path(spark, "late"), ["event_type"], "1 hour")
+    for arrival in known:
+        parts.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(folder)
+        job.run_available(spark.readStream.schema(events.schema).parquet(folder))
+    return job.counts().withColumn("window_start", F.unix_seconds("window_start"))
+
+
 @query(
     "stream_baseline",
     f"""SELECT epoch(w)::BIGINT AS window_start, metric, samples, round((m.mean - b.mean) / b.spread, 6) AS deviation FROM

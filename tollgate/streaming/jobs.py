@@ -132,6 +132,71 @@ def rate_limit(
     )
 
 
+PROGRESS = "latest long, rows long, late long, untimed long, batch long"
+
+
+class LateRows:
+    """Counts per window and key in which rows that come too late are a result, not a loss.
+
+    A row is late when its window had ended ``late`` before the latest time of all earlier batches. Each batch adds its
+    partial counts to ``counts``, its late rows (whole, for a later correction) to ``late_rows`` and one row to ``progress``: the
+    latest time, rows, late rows and rows without a time, added up from the batch's counts. All three are tables
+    below ``path``, one folder per batch, so a batch that is repeated after a failure replaces what it wrote, and a
+    restart from the same path goes on with the times seen so far. Partial counts are combined when read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], every: str, late: str = "10 minutes", ts: str = "ts"):
+        self.spark, self.path, self.keys, self.ts = spark, path, keys, ts
+        self.length = int(pd.Timedelta(every).total_seconds())
+        self.late_micros = int(pd.Timedelta(late).total_seconds() * 1_000_000)
+
+    def _write(self, rows: DataFrame, table: str, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        earlier = self.progress().filter(F.col("batch") < number).agg(F.max("latest")).first()[0]
+        begin = F.floor(F.unix_seconds(self.ts) / self.length) * self.length
+        is_late = F.lit(False) if earlier is None else F.coalesce((begin + self.length) * 1_000_000 <= earlier - self.late_micros, F.lit(False))
+        placed = batch.withColumns({"window_start": F.timestamp_seconds(begin), "is_late": is_late})
+        counted = placed.groupBy("window_start", "is_late", *self.keys).agg(
+            F.count(F.lit(1)).alias("rows"), F.max(F.unix_micros(self.ts)).alias("latest")
+        )
+        self._write(counted, "counts", number)
+        self._write(placed.filter("is_late").drop("is_late"), "late_rows", number)
+        written = self.spark.read.schema(counted.schema).parquet(f"{self.path}/counts/batch={number}")
+        # last, since the next batches go by it
+        self._write(
+            written.agg(
+                F.max("latest").alias("latest"),
+                F.sum("rows").alias("rows"),
+                F.sum(F.when(F.col("is_late"), F.col("rows"))).alias("late"),
+                F.sum(F.when(F.col("window_start").isNull(), F.col("rows"))).alias("untimed"),
+            ).na.fill(0, ["rows", "late", "untimed"]),
+            "progress",
+            number,
+        )
+
+    def run_available(self, stream: DataFrame) -> None:
+        """Process what is there and stop."""
+        self._write(self.spark.createDataFrame([], "latest long, rows long, late long, untimed long"), "progress", -1)
+        writer = stream.writeStream.foreachBatch(self.step).option("checkpointLocation", f"{self.path}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    def progress(self) -> DataFrame:
+        return self.spark.read.schema(PROGRESS).parquet(f"{self.path}/progress")
+
+    def late_rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/late_rows")
+
+    def counts(self) -> DataFrame:
+        """Rows in time and late rows per window and key."""
+        partial = self.spark.read.parquet(f"{self.path}/counts").filter("window_start IS NOT NULL")
+        return partial.groupBy("window_start", *self.keys).agg(
+            F.coalesce(F.sum(F.when(~F.col("is_late"), F.col("rows"))), F.lit(0)).alias("in_time"),
+            F.coalesce(F.sum(F.when(F.col("is_late"), F.col("rows"))), F.lit(0)).alias("late"),
+        )
+
+
 def alerts(
     metrics: DataFrame, settings: DataFrame, every: str, slide: str | None = None, late: str = "10 minutes"
 ) -> DataFrame:
