@@ -46,6 +46,8 @@ TASK_BYTES = 16 << 20
 LEAST_COUNT = 4
 #: From one limit of the counts to the next lower one.
 COARSENESS = 8
+#: Fewer pairs are sorted without a look at the counts of their slots.
+FEW_PAIRS = 1 << 16
 STEP = 1024
 #: Rules that expand to more ids are expanded through their parts.
 LONG_RULE = 4096
@@ -112,18 +114,28 @@ def _slots(pair: np.ndarray) -> np.ndarray:
 
 def _frequent(pair: np.ndarray, slot: np.ndarray, limit: int) -> np.ndarray:
     """The pairs that occur ``limit`` times or more, sorted."""
-    often = np.bincount(slot, minlength=1 << 20) >= limit
-    keys = np.sort(pair[often[slot]])
+    if len(pair) > FEW_PAIRS:
+        often = np.bincount(slot, minlength=1 << 20) >= limit
+        pair = pair[often[slot]]
+    keys = np.sort(pair)
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[edges[np.diff(np.append(edges, len(keys))) >= limit]]
 
 
 def _replaced(pair: np.ndarray, slot: np.ndarray, where: np.ndarray | None, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Where chosen pairs are replaced, and by which; pairs that overlaps leave too few places are put aside."""
-    hit = np.zeros(1 << 20, bool)
-    hit[_slots(chosen)] = True
-    maybe = np.flatnonzero(hit[slot])
-    at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
+    own = _slots(chosen)
+    number = np.full(1 << 20, -1, np.int32)
+    number[own] = np.arange(len(chosen))
+    at = number[slot]
+    maybe = np.flatnonzero(at >= 0)
+    at = at[maybe]
+    # chosen pairs that share a slot are told apart by search
+    order = np.sort(own)
+    shared = np.zeros(1 << 20, bool)
+    shared[order[1:][order[1:] == order[:-1]]] = True
+    unsure = np.flatnonzero(shared[slot[maybe]])
+    at[unsure] = np.minimum(np.searchsorted(chosen, pair[maybe[unsure]]), len(chosen) - 1)
     same = chosen[at] == pair[maybe]
     maybe, at = maybe[same], at[same]
     if where is not None:
@@ -143,14 +155,9 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tupl
         raise ValueError(f"an id is not below {first_rule}")
     symbols = ids.astype(np.uint32)
     rules, sizes = [np.zeros((0, 2), np.uint32)], np.ones(first_rule, np.int64)
-    made, fresh, limit = 0, 0, 0
+    made, limit, where = 0, 0, None
     while len(symbols) > 1:
-        left, right, where = symbols[:-1], symbols[1:], None
-        if fresh:
-            # the last round left no older pair at this limit
-            new = symbols >= fresh
-            where = np.flatnonzero(new[:-1] | new[1:])
-            left, right = symbols[where], symbols[where + 1]
+        left, right = (symbols[:-1], symbols[1:]) if where is None else (symbols[where], symbols[where + 1])
         pair = (left.astype(np.uint64) << np.uint64(32)) | right
         slot = _slots(pair)
         if not limit:
@@ -158,20 +165,25 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tupl
         chosen = _frequent(pair, slot, limit)
         at, number = _replaced(pair, slot, where, chosen, least) if len(chosen) else (chosen, chosen)
         if not len(at):
-            if limit == least and not fresh:
+            if limit == least and where is None:
                 break
-            limit, fresh = max(least, limit // COARSENESS), 0
+            limit, where = max(least, limit // COARSENESS), None
             continue
-        used, number = np.unique(number, return_inverse=True)
+        used = np.flatnonzero(np.bincount(number, minlength=len(chosen)))
+        rank = np.empty(len(chosen), np.uint32)
+        rank[used] = np.arange(len(used))
         both = np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1)
         rules.append(both.astype(np.uint32))
         sizes = np.concatenate([sizes, sizes[both.astype(np.int64)].sum(1)])
-        fresh = first_rule + made
-        symbols[at] = (fresh + number).astype(np.uint32)
+        symbols[at] = rank[number] + np.uint32(first_rule + made)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
         made += len(used)
+        # no older pair is left at this limit: the next round counts the pairs beside the new symbols
+        place = at - np.arange(len(at))
+        where = np.stack([place - 1, place], 1).ravel()
+        where = where[(np.diff(where, prepend=-2) > 0) & (where >= 0) & (where < len(symbols) - 1)]
     return np.concatenate(rules), sizes[first_rule:], symbols
 
 
