@@ -81,13 +81,15 @@ class LibraryEncoder:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.zeros(len(words), np.int64)
-        plain = [i for i, w in enumerate(words) if "<|" not in w and PLAIN.fullmatch(w)]
+        # a word of ASCII letters is one piece
+        letters = [w.isascii() and w.isalpha() for w in words]
+        plain = [i for i, w in enumerate(words) if letters[i] or ("<|" not in w and PLAIN.fullmatch(w))]
         flat = [np.zeros(0, np.int32)]
         calls = [plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
         joined = [" ".join([words[i] for i in own]) for own in calls]
         for own, found in zip(calls, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.asarray(found.ids, np.int32)
-            pieces = np.cumsum([len(PIECE.findall(words[i].lower())) for i in own])
+            pieces = np.cumsum([1 if letters[i] else len(PIECE.findall(words[i].lower())) for i in own])
             ends = np.flatnonzero(self.ends_piece[ids])
             if len(ends) != pieces[-1]:
                 raise ValueError("the tokenizer splits words in another way")
