@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tollgate.operators import config, handshake
 from tollgate.session import scratch_path
 from tollgate.streaming import jobs
+from tollgate.streaming.items import validate_arriving
 
 SCHEMA = "token string, log_id long, ts timestamp, expiry timestamp"
 
@@ -234,3 +235,110 @@ def test_late_rows_are_a_result(spark):
     last = job.progress().agg(F.max("batch")).first()[0]
     job.step(spark.createDataFrame(batches[3], schema), last)
     assert sorted(r["n"] for r in job.late_rows().collect()) == [5, 6, 9]
+
+
+def test_a_new_policy_version_takes_effect_while_the_stream_runs(spark):
+    schema = "ts timestamp, api_class string, user_id long"
+    versions = "policy_name string, ts timestamp, version_id long, body string"
+    calls, table = scratch_path(spark, "calls"), scratch_path(spark, "versions")
+
+    def add_version(second, number, body):
+        spark.createDataFrame([("Gate", at(second), number, body)], versions).write.mode("append").parquet(table)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(calls)
+        job.run_available(spark.readStream.schema(schema).parquet(calls))
+
+    def limit(number, enabled=True):
+        return '{"rate_limiting": {"enabled": %s, "max_requests_per_minute": %d}}' % (str(enabled).lower(), number)
+
+    job = jobs.VersionedRateLimit(spark, scratch_path(spark, "limits"), lambda: spark.read.parquet(table), "0 seconds")
+    add_version(0, 1, limit(1))
+    arrive([(at(0), "gate", 1), (at(5), "GATE", 1), (at(6), "gate", None), (at(70), "gate", 2), (at(71), "gate", 2), (at(200), "none", 1), (at(201), "none", 1)])
+    arrive([(at(3600), "gate", 1)])
+    assert {(r["user_id"], r["calls"], r["allowed"]) for r in job.rows().collect()} == {(1, 2, 1), (2, 2, 1)}
+    # a limit of two from here on, then one that is no JSON, then none at all
+    add_version(3600, 2, limit(2))
+    add_version(3660, 3, "[")
+    arrive([(at(3601), "gate", 1), (at(3665 + 2), "gate", 3), (at(3668), "gate", 3), (at(3669), "gate", 3)])
+    add_version(7200, 4, limit(0, enabled=False))
+    arrive([(at(7200), "gate", 1), (at(7201), "gate", 1), (at(7300), "gate", 1)])
+    arrive([(at(9000), "gate", 1)])
+    # a call before the first version is limited by none
+    got = {(r["window_start"].minute, r["user_id"], r["calls"], r["allowed"]) for r in job.rows().collect()}
+    assert got == {(0, 1, 2, 1), (1, 2, 2, 1), (1, 3, 3, 2)}
+
+
+ITEM_POLICIES = {
+    "Media": {
+        "strict_item_type_matching": True,
+        "colbert_input_sensitivity": True,
+        "disallowed_colbert_input_classes": ["Class 1: PII"],
+        "item_processing_rules": [
+            {"item_type": "image", "vlm_processing": {"required": True},
+             "derived_text_checks": {"colbert_sensitivity": True, "disallowed_classes": ["Class 1: PII"], "blocked_keywords": ["Secret"]}}
+        ],
+        "custom_validation_rules": [{"type": "required_fields", "fields": ["user_id"]}],
+    },
+    "Plain": {"custom_validation_rules": []},
+}
+ITEM_REQUESTS = "request_id long, ts timestamp, api_class string, user_id string, input_text string, output_text string, input_items string"
+ITEM_FILES = "request_id long, file_name string, ts timestamp, description string"
+
+
+def image(name, kind="image"):
+    return '{"id": "%s", "type": "%s", "filename_in_form": "%s"}' % (name, kind, name)
+
+
+def test_items_and_files_of_streams_equal_the_batch(spark):
+    from tollgate import api
+
+    examples = {"Class 1: PII": ["SSN: 123-45-6789"], "Class 4: Public": ["Press release for the public"]}
+
+    def asked(number, second, items, gate="media", user="u", text="a press release"):
+        return (number, at(second) if second is not None else None, gate, user, text, "", items)
+
+    batches = [
+        [asked(1, 0, f"[{image('a')}, {image('b')}]"), asked(2, 10, f"[{image('a')}]", user=None), asked(3, 20, "[]"), asked(4, 30, None, text="ssn: 123-45-6789")],
+        [asked(5, 700, '{"no": "list"}'), asked(6, 710, f"[{image('a')}, 7, {image('x', 'audio')}]", text="ssn: 123-45-6789"), asked(7, 720, f"[{image('a')}]", gate="plain")],
+        [asked(8, 1500, f"[{image('a')}]", gate="none"), asked(9, 1510, "broken ["), asked(10, 1520, f"[{image('a')}]"), asked(11, 1530, '[{"type": "image"}]')],
+    ]
+    given = [
+        [(1, "a", at(1), "a top SECRET place"), (2, "a", at(10), "press release"), (2, "other", at(11), "secret")],
+        # the second file of request 1 comes with a later batch; the same file again counts once
+        [(1, "b", at(600), "card with ssn: 123-45-6789"), (1, "a", at(500), "press release"), (6, "a", at(720), "")],
+        # too late for its request, and before its request
+        [(10, "a", at(1520 + 601), "press release"), (11, "", at(1531), "secret"), (9, "a", at(1500), "x")],
+    ]
+    requests_path, files_path = write_batches(spark, batches, ITEM_REQUESTS), write_batches(spark, given, ITEM_FILES)
+    incoming, no_more_requests = jobs.with_end(jobs.read_files(spark, requests_path, ITEM_REQUESTS, files_per_trigger=1), "ts")
+    files, no_more_files = jobs.with_end(jobs.read_files(spark, files_path, ITEM_FILES, files_per_trigger=1), "ts")
+
+    def finish():
+        no_more_requests()
+        no_more_files()
+
+    checked = api.validate_stream(incoming, ITEM_POLICIES, files, examples=examples)
+    sink = jobs.run_available(checked, "items", finish=finish)
+    rows = spark.read.schema(checked.schema).parquet(sink).collect()
+    got = {r["request_id"]: (r["overall_status"], r["violation_reasons"], r["checks_skipped"], r["error_message"]) for r in rows}
+    counted = [f for f in sum(given, []) if f[:3] not in ((1, "a", at(500)), (10, "a", at(2121)), (9, "a", at(1500)))]
+    batch = api.validate(
+        spark.createDataFrame(sum(batches, []), ITEM_REQUESTS), ITEM_POLICIES, spark.createDataFrame(counted, ITEM_FILES).drop("ts"), examples=examples
+    )
+    want = {r["request_id"]: (r["overall_status"], r["violation_reasons"], r["checks_skipped"], r["error_message"]) for r in batch.collect()}
+    assert len(rows) == 11 and got == want
+    assert [m.split(" ")[0] for m in got[1][1]] == ["VLM-derived", "VLM-derived"] and len(got[6][1]) == 3 and got[3][0] == "PASS"
+
+
+def test_a_request_without_a_time_cannot_wait_for_files(spark):
+    rows = [(1, None, "media", "u", "", "", f"[{image('a')}]"), (2, None, "plain", "u", "", "", f"[{image('a')}]")]
+    path = write_batches(spark, [rows], ITEM_REQUESTS)
+    none = scratch_path(spark, "no-files")
+    spark.createDataFrame([], ITEM_FILES).write.parquet(none)
+    checked = validate_arriving(
+        jobs.read_files(spark, path, ITEM_REQUESTS).withColumn("input_class", F.lit("Class 4: Public")), ITEM_POLICIES, spark.readStream.schema(ITEM_FILES).parquet(none)
+    )
+    sink = jobs.run_available(checked, "timeless")
+    got = {r["request_id"]: (r["overall_status"], r["checks_skipped"]) for r in spark.read.schema(checked.schema).parquet(sink).collect()}
+    assert got == {1: ("PASS", ["item_processing_rules"]), 2: ("PASS", [])}

@@ -15,6 +15,7 @@ from tollgate.operators.policies import Policies, policy_table, with_policy
 from tollgate.operators.similarity import top_k
 from tollgate.session import cut_lineage
 from tollgate.sources import index_store
+from tollgate.streaming.items import validate_arriving
 
 Make = Callable[[], Embedder]
 
@@ -33,9 +34,50 @@ def validate(
     array column ``items`` or as JSON text in ``input_items``. ``files`` holds ``(request_id, file_name, description)``
     of attached files. A model only sees the rows whose policy asks for it.
     """
+    table = _stored_policies(incoming, policies)
+    rows = _with_models(incoming, table, pair_model, examples, make)
+    listed = {"items": items.explode_items, "input_items": items.explode_json_items}
+    given = next((c for c in listed if c in rows.columns), None)
+    if files is not None and given:
+        attached = items.attach_files(listed[given](rows), files)
+        described = classify_texts(attached, "description", "_found", examples, make)
+        checked = items.item_messages(
+            described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found"), table
+        )
+        return requests.validate(rows, table, items.regroup(checked))
+    return requests.validate(rows, table)
+
+
+def validate_stream(
+    incoming: DataFrame,
+    policies: Policies,
+    files: DataFrame,
+    pair_model: PipelineModel | None = None,
+    examples: Mapping[str, Sequence[str]] | None = None,
+    make: Make = TrigramEmbedder,
+    wait: str = "10 minutes",
+    late: str = "10 minutes",
+) -> DataFrame:
+    """:func:`validate` for streams: requests ``(request_id, ts, ...)``, and their files ``(request_id, file_name, ts, description)``.
+
+    Models see each text and each description once, where it arrives. See :func:`tollgate.streaming.items.validate_arriving`.
+    """
+    table = _stored_policies(incoming, policies)
+    rows = _with_models(incoming, table, pair_model, examples, make)
+    described = classify_texts(files, "description", "_found", examples, make)
+    described = described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found")
+    return validate_arriving(rows, table, described, wait, late)
+
+
+def _stored_policies(incoming: DataFrame, policies: Policies) -> DataFrame:
     table = policy_table(incoming.sparkSession, policies)
-    if isinstance(policies, DataFrame):
-        table = cut_lineage(table)  # met three times below
+    return cut_lineage(table) if isinstance(policies, DataFrame) else table  # met several times
+
+
+def _with_models(
+    incoming: DataFrame, table: DataFrame, pair_model: PipelineModel | None, examples: Mapping[str, Sequence[str]] | None, make: Make
+) -> DataFrame:
+    """Requests with their policy and the results of the models that some policy asks for."""
     asked = table.agg(*[F.max(c).alias(c) for c in ("pair_check", "input_check", "output_check")]).first()
     rows = with_policy(incoming, table)
     for side in ("input", "output"):
@@ -49,16 +91,7 @@ def validate(
         )
     if pair_model is not None and asked["pair_check"]:
         rows = pairs.score(rows, pair_model)
-    listed = {"items": items.explode_items, "input_items": items.explode_json_items}
-    given = next((c for c in listed if c in rows.columns), None)
-    if files is not None and given:
-        attached = items.attach_files(listed[given](rows), files)
-        described = classify_texts(attached, "description", "_found", examples, make)
-        checked = items.item_messages(
-            described.withColumn("description_class", F.col("_found.predicted_class")).drop("_found"), table
-        )
-        return requests.validate(rows, table, items.regroup(checked))
-    return requests.validate(rows, table)
+    return rows
 
 
 def build_index(

@@ -40,13 +40,17 @@ def shape_messages(items_json: Column) -> Column:
     )
 
 
-def explode_items(requests: DataFrame) -> DataFrame:
-    """One row per item with its index and the default id and type; rows without items drop out."""
+def explode_items(requests: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per item with its index and the default id and type; rows without items drop out.
+
+    ``carry`` names columns of the request that its items keep.
+    """
     rows = requests.filter(F.size("items") > 0).select(
-        "request_id", F.lower("api_class").alias("policy_name"), F.posexplode("items").alias("item_no", "item")
+        "request_id", *carry, F.lower("api_class").alias("policy_name"), F.posexplode("items").alias("item_no", "item")
     )
     return rows.select(
         "request_id",
+        *carry,
         "policy_name",
         "item_no",
         F.coalesce("item.id", F.concat(F.lit("item_"), F.col("item_no").cast("string"))).alias("item_id"),
@@ -55,20 +59,21 @@ def explode_items(requests: DataFrame) -> DataFrame:
     )
 
 
-def explode_json_items(requests: DataFrame, column: str = "input_items") -> DataFrame:
+def explode_json_items(requests: DataFrame, column: str = "input_items", carry: tuple[str, ...] = ()) -> DataFrame:
     """The same for items given as JSON text, with ``shape_error`` for what is no list or no object.
 
     A value that is no list gives one row of its own.
     """
     given = requests.filter(F.col(column).isNotNull()).select(
         "request_id",
+        *carry,
         F.lower("api_class").alias("policy_name"),
         F.explode(F.array(F.try_parse_json(column))).alias("_json"),
     )
     is_list = F.coalesce(F.schema_of_variant("_json").startswith("ARRAY"), F.lit(False))
     elements = F.when(is_list, F.col("_json").cast("array<variant>")).otherwise(F.array(F.col("_json")))
     rows = given.select(
-        "request_id", "policy_name", is_list.alias("_is_list"), F.posexplode(elements).alias("item_no", "_item")
+        "request_id", *carry, "policy_name", is_list.alias("_is_list"), F.posexplode(elements).alias("item_no", "_item")
     )
     is_object = F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False))
     error = F.when(~F.col("_is_list"), F.lit(NOT_A_LIST)).when(
@@ -80,6 +85,7 @@ def explode_json_items(requests: DataFrame, column: str = "input_items") -> Data
 
     return rows.select(
         "request_id",
+        *carry,
         "policy_name",
         "item_no",
         F.coalesce(field("id"), F.concat(F.lit("item_"), F.col("item_no").cast("string"))).alias("item_id"),
@@ -89,6 +95,13 @@ def explode_json_items(requests: DataFrame, column: str = "input_items") -> Data
     )
 
 
+def has_json_items(column: Column) -> Column:
+    """Whether :func:`explode_json_items` gives rows for the value: anything but null and an empty list."""
+    parsed = F.try_parse_json(column)
+    is_list = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False))
+    return column.isNotNull() & ~(is_list & F.coalesce(F.size(parsed.cast("array<variant>")) == 0, F.lit(False)))
+
+
 def rule_of(item_type: Column) -> Column:
     """The rule of the row's policy for an item type; null where it has none."""
     return F.get(F.filter(F.col("_policy.item_rules"), lambda r: r["item_type"] == item_type), F.lit(0))

@@ -55,17 +55,11 @@ def skipped_checks(df: DataFrame, has_items: bool) -> Column:
     return F.array_compact(F.array(*named)) if named else no_text()
 
 
-def validate(requests: DataFrame, policies: Policies, item_results: DataFrame | None = None) -> DataFrame:
-    """One result row per request. Works on batch and streaming frames.
+def with_messages(requests: DataFrame, policies: Policies, has_items: bool) -> DataFrame:
+    """Requests with the messages of all checks but those of items, which go between ``_before`` and ``_after``.
 
-    ``policies`` is a dict or a table (see :func:`tollgate.operators.policies.policy_table`) of any number of
-    policies: a request meets its own one in a join, and only that one's rules are worked on. Model results are
-    read from the columns ``io_prediction``, ``io_probability``, ``input_class`` and ``output_class``; a check
-    whose column is absent is skipped and named. Item messages come from a column ``item_violations`` or from
-    ``item_results``, ``(request_id, item_violations)``. Without ``item_results`` nothing but the policies moves.
-    With it, texts are checked before the join, so a plan that does not select them does not shuffle them.
+    ``_known`` tells whether the policy is there, ``_items`` whether it has item rules.
     """
-    has_items = item_results is not None or "item_violations" in requests.columns
     rows = requests if "_policy" in requests.columns else with_policy(requests, policies)
     policy = F.col("_policy")
     known = policy.isNotNull()
@@ -76,12 +70,13 @@ def validate(requests: DataFrame, policies: Policies, item_results: DataFrame |
         "_known": known,
         "_items": F.coalesce(F.size(policy["item_rules"]) > 0, F.lit(False)),
     }
-    judged = rows.withColumns(checked).drop("_policy")
-    if item_results is not None:
-        judged = judged.join(item_results.select("request_id", "item_violations"), "request_id", "left")
-    told = F.when(F.col("_items"), F.col("item_violations")) if has_items else no_text()
-    reasons = F.concat("_before", F.coalesce(told, no_text()), "_after")
-    judged = judged.withColumn("violation_reasons", reasons)
+    return rows.withColumns(checked).drop("_policy")
+
+
+def settled(judged: DataFrame, item_messages: Column) -> DataFrame:
+    """The status of rows of :func:`with_messages`; ``item_messages`` count where the policy has item rules."""
+    told = F.coalesce(F.when(F.col("_items"), item_messages), no_text())
+    judged = judged.withColumn("violation_reasons", F.concat("_before", told, "_after"))
     asked = F.coalesce(F.col("api_class"), F.lit("")) != ""
     status = (
         F.when(~asked, F.lit(BAD_REQUEST))
@@ -92,8 +87,25 @@ def validate(requests: DataFrame, policies: Policies, item_results: DataFrame |
     error = F.when(~asked, F.lit(CLASS_REQUIRED)).when(
         ~F.col("_known"), F.format_string(POLICY_NOT_FOUND, F.col("api_class"), F.lower(F.col("api_class")))
     )
-    judged = judged.withColumns({"overall_status": status, "error_message": error})
-    return judged.drop("_before", "_after", "_known", "_items", *(["item_violations"] if has_items else []))
+    return judged.withColumns({"overall_status": status, "error_message": error}).drop("_before", "_after", "_known", "_items")
+
+
+def validate(requests: DataFrame, policies: Policies, item_results: DataFrame | None = None) -> DataFrame:
+    """One result row per request. Works on batch and streaming frames.
+
+    ``policies`` is a dict or a table (see :func:`tollgate.operators.policies.policy_table`) of any number of
+    policies: a request meets its own one in a join, and only that one's rules are worked on. Model results are
+    read from the columns ``io_prediction``, ``io_probability``, ``input_class`` and ``output_class``; a check
+    whose column is absent is skipped and named. Item messages come from a column ``item_violations`` or from
+    ``item_results``, ``(request_id, item_violations)``. Without ``item_results`` nothing but the policies moves.
+    With it, texts are checked before the join, so a plan that does not select them does not shuffle them.
+    Streams whose files arrive on their own go through :mod:`tollgate.streaming.items`.
+    """
+    has_items = item_results is not None or "item_violations" in requests.columns
+    judged = with_messages(requests, policies, has_items)
+    if item_results is not None:
+        judged = judged.join(item_results.select("request_id", "item_violations"), "request_id", "left")
+    return settled(judged, F.col("item_violations") if has_items else no_text()).drop("item_violations")
 
 
 def with_request_id(requests: DataFrame, key: str, received: Column) -> DataFrame:

@@ -19,31 +19,35 @@ def view(name: str, body: str, needs: str = "") -> None:
     VIEWS[name] = (needs.split(), body)
 
 
-def with_views(body: str, needs: str = "") -> str:
-    """``body`` behind a WITH clause that defines the views it needs."""
+def with_views(body: str, needs: str = "", replaced: dict[str, tuple[str, str]] | None = None) -> str:
+    """``body`` behind a WITH clause that defines the views it needs.
+
+    ``replaced`` gives other definitions, ``(needs, body)``, to some of them.
+    """
     order: list[str] = []
+    views = VIEWS | {name: (inner.split(), text) for name, (inner, text) in (replaced or {}).items()}
 
     def visit(name: str) -> None:
-        for inner in VIEWS[name][0]:
+        for inner in views[name][0]:
             visit(inner)
         if name not in order:
             order.append(name)
 
     for name in needs.split():
         visit(name)
-    defined = [f"{name} AS ({VIEWS[name][1]})" for name in order]
+    defined = [f"{name} AS ({views[name][1]})" for name in order]
     if not defined:
         return body
     return "WITH RECURSIVE " + ",\n".join(defined) + "\n" + body
 
 
-def query(name: str, sql: str | None = None, needs: str = ""):
+def query(name: str, sql: str | None = None, needs: str = "", replaced: dict[str, tuple[str, str]] | None = None):
     """Register a query, with the SQL that gives the same rows where SQL can express it."""
 
     def register(function):
         QUERIES[name] = function
         if sql is not None:
-            CHECK_SQL[name] = with_views(sql.strip(), needs)
+            CHECK_SQL[name] = with_views(sql.strip(), needs, replaced)
         return function
 
     return register

@@ -18,6 +18,7 @@ from tollgate.plans.request_queries import _STATUS, checked_items
 from tollgate.session import cut_lineage, scratch_path, small_table
 from tollgate.sources.logs import action_log_view, audit_entries, read_audit
 from tollgate.streaming import jobs
+from tollgate.streaming.items import validate_arriving
 
 
 def event_stream(spark, sf_dir):
@@ -59,6 +60,52 @@ def stream_validate(spark, sf_dir):
     )
 
 
+# Requests and files made of events: a file comes up to six minutes after its request, or a second before it, or too late.
+_EVENT_PAIRS = """SELECT event_id AS conv_id, 1 AS turn, event_type || ' ' || props AS input_text,
+    CASE WHEN event_id % 6 = 0 THEN '' ELSE repeat(event_type || ' the ', event_id % 80) END AS output_text FROM events"""
+_EVENT_FILES = """SELECT * FROM (SELECT r.request_id, 'f' || v.item_no || '.png' AS file_name, r.output_text AS description, (r.request_id + v.item_no) % 9 AS arrival,
+      CASE (r.request_id + v.item_no) % 5 WHEN 0 THEN 'Class 1: PII' WHEN 1 THEN 'Class 2: Confidential'
+           WHEN 2 THEN 'Class 3: Internal' WHEN 3 THEN 'Class 4: Public' ELSE 'Class 5: Unknown' END AS description_class
+    FROM requests r, (VALUES (0), (1)) v(item_no) WHERE NOT (v.item_no = 1 AND r.output_text = '')) WHERE arrival < 7"""
+
+
+@query(
+    "stream_items",
+    f"SELECT request_id, {_STATUS} AS overall_status, violations FROM validated",
+    "validated",
+    {"io_pairs": ("", _EVENT_PAIRS), "files": ("requests", _EVENT_FILES)},
+)
+def stream_items(spark, sf_dir):
+    """Requests and their files as two streams: items are read, matched with rules and files, and settled within them."""
+
+    def arriving():
+        events, finish = ended_stream(spark, sf_dir)
+        answer = F.when(F.col("event_id") % 6 == 0, "").otherwise(F.expr("repeat(event_type || ' the ', int(event_id % 80))"))
+        pairs = events.select(
+            "ts", F.col("event_id").alias("conv_id"), F.lit(1).alias("turn"), F.concat_ws(" ", "event_type", "props").alias("input_text"), answer.alias("output_text")
+        )
+        return views.as_requests(pairs, "ts"), finish
+
+    base, no_more_requests = arriving()
+    answered, no_more_files = arriving()
+    given = views.files(spark, sf_dir, answered, carry=("ts",))
+    number = F.col("request_id") + F.substring("file_name", 2, 1).cast("int")
+    seconds = F.when(number % 9 == 7, -1).when(number % 9 == 8, 1200).otherwise(60 * (number % 9))
+    attached = given.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + 1_000_000 * seconds))
+
+    def finish():
+        no_more_requests()
+        no_more_files()
+
+    checked = validate_arriving(views.requests_with_items(spark, sf_dir, base), views.POLICIES, attached)
+    return _run(
+        checked.select("request_id", "overall_status", F.array_join("violation_reasons", "|").alias("violations")),
+        "stream-items",
+        sf_dir,
+        finish=finish,
+    )
+
+
 @query(
     "rate_limit",
     f"""SELECT epoch(w)::BIGINT AS window_start, policy, user_id, calls FROM
@@ -152,6 +199,37 @@ def policy_rate_limit(spark, sf_dir):
     return found.withColumn("window_start", F.unix_seconds("window_start"))
 
 
+# Versions of policies by the day of January from which they hold; the ones that are no JSON change nothing.
+LIMIT_VERSIONS = [
+    ("Click", 1, 1), ("click", 10, 2), ("CLICK", 20, None), ("View", 5, 1), ("view", 12, "{"), ("view", 25, 0), ("Error", 1, None), ("error", 15, 1),
+]
+
+
+@query(
+    "versioned_rate_limit",
+    """SELECT epoch(w)::BIGINT AS window_start, policy, user_id, calls, allowed FROM
+         (SELECT w, policy, user_id, calls, (SELECT max_by(v.allowed, v.day) FROM
+             (VALUES ('click', 1, 1), ('click', 10, 2), ('click', 20, -1), ('view', 5, 1), ('view', 25, 0), ('error', 1, -1), ('error', 15, 1)) v(policy, day, allowed)
+             WHERE v.policy = c.policy AND make_timestamp(2024, 1, v.day, 0, 0, 0) <= c.w) AS allowed
+          FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS w, event_type AS policy, user_id % 3 AS user_id, count(*) AS calls FROM events GROUP BY 1, 2, 3) c)
+       WHERE allowed >= 0 AND calls > allowed""",
+)
+def versioned_rate_limit(spark, sf_dir):
+    """Calls a minute against the policy version in force at that minute; the table of versions is read for every batch."""
+    events, finish = ended_stream(spark, sf_dir)
+    rows = [
+        (name, f"2024-01-{day:02d}", number, limit if isinstance(limit, str) else json.dumps({"rate_limiting": {"enabled": limit is not None, "max_requests_per_minute": limit or 0}}))
+        for number, (name, day, limit) in enumerate(LIMIT_VERSIONS)
+    ]
+    table = scratch_path(spark, "limit-versions")
+    versions = spark.createDataFrame(rows, "policy_name string, day string, version_id long, body string")
+    versions.withColumn("ts", F.col("day").cast("timestamp")).drop("day").write.parquet(table)
+    job = jobs.VersionedRateLimit(spark, scratch_path(spark, "versioned-limit"), lambda: spark.read.parquet(table))
+    calls = events.select("ts", F.col("event_type").alias("api_class"), (F.col("user_id") % 3).alias("user_id"))
+    job.run_available(calls, jobs.state_partitions(spark, f"{sf_dir}/events.parquet"), finish)
+    return job.rows().withColumn("window_start", F.unix_seconds("window_start"))
+
+
 _ARRIVED = "epoch(ts)::BIGINT + CASE event_id % 10 WHEN 0 THEN 172800 WHEN 1 THEN 900 ELSE 0 END"
 
 

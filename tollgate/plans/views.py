@@ -77,6 +77,11 @@ view(
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_requests(io_pairs(spark, sf_dir))
+
+
+def as_requests(pairs: DataFrame, *carry: str) -> DataFrame:
+    """Requests made of pairs of turns, batch or stream."""
     conv = F.col("conv_id")
     api_class = (
         F.when(conv % 5 == 0, "BasicGate")
@@ -85,7 +90,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(conv % 5 == 3, "NoSuchGate")
     )
     user = F.concat(F.lit("u"), conv.cast("string"))
-    return io_pairs(spark, sf_dir).select(
+    return pairs.select(
+        *carry,
         (conv * 1000 + F.col("turn")).alias("request_id"),
         "conv_id",
         "turn",
@@ -237,7 +243,7 @@ view(
 )
 
 
-def files(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, base: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Attached files with the description an image model gave; no second file for unanswered turns."""
     rows = (base or requests(spark, sf_dir)).withColumn("item_no", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.filter(~((F.col("item_no") == 1) & (F.col("output_text") == ""))).select(
@@ -245,6 +251,7 @@ def files(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> Da
         F.concat(F.lit("f"), F.col("item_no").cast("string"), F.lit(".png")).alias("file_name"),
         F.col("output_text").alias("description"),
         class_of((F.col("request_id") + F.col("item_no")) % 5).alias("description_class"),
+        *carry,
     )
 
 

@@ -6,6 +6,7 @@ windows with watermarks, the single-use token state and the two-phase join.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import math
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, StringType, StructField, StructType
 
 from tollgate.functions.text import duration_seconds
+from tollgate.operators.config import in_force
 from tollgate.operators.policies import Policies, with_policy
 from tollgate.session import scratch_path
 
@@ -81,6 +83,18 @@ def with_end(stream: DataFrame, *times: str) -> tuple[DataFrame, Callable[[], No
     return stream.unionByName(spark.readStream.schema(schema).parquet(folder)), finish
 
 
+@contextlib.contextmanager
+def _partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """Partitions for the state of a query that is started inside; it takes its own copy of the settings then."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, str(number or before))
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def run_available(
     stream: DataFrame, label: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "append",
     path: str | None = None, partitions: int | None = None, finish: Callable[[], None] | None = None,
@@ -95,18 +109,12 @@ def run_available(
         run_available(stream, label, fmt, partition_by, mode, base, partitions)
         finish()
         return run_available(stream, label, fmt, partition_by, mode, base, partitions)
-    conf, setting = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(setting)
     base = path or scratch_path(stream.sparkSession, label)
     writer = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    try:
-        # the query takes its own copy of the settings when it starts
-        conf.set(setting, str(partitions or before))
+    with _partitions(stream.sparkSession, partitions):
         started = writer.trigger(availableNow=True).start(f"{base}/rows")
-    finally:
-        conf.set(setting, before)
     started.awaitTermination()
     return f"{base}/rows"
 
@@ -267,6 +275,62 @@ def rate_limit_by_policy(calls: DataFrame, policies: Policies, late: str = "10 m
     )
 
 
+def limit_versions(bodies: DataFrame) -> DataFrame:
+    """``(api_class, ts, version_id, allowed)`` of policy versions ``(policy_name, ts, version_id, body)``, the body as JSON text.
+
+    A version without an enabled limit lifts the one before it (-1); one that cannot be read changes nothing.
+    """
+    policy = F.try_parse_json("body")
+    enabled = F.coalesce(F.try_variant_get(policy, "$.rate_limiting.enabled", "boolean"), F.lit(False))
+    number = F.try_variant_get(policy, "$.rate_limiting.max_requests_per_minute", "bigint")
+    allowed = F.when(F.schema_of_variant(policy).startswith("OBJECT"), F.coalesce(F.when(enabled, number), F.lit(-1).cast("bigint")))
+    return bodies.select(F.lower("policy_name").alias("api_class"), "ts", "version_id", allowed.alias("allowed"))
+
+
+class VersionedRateLimit:
+    """Minutes in which a caller made more calls than the policy version in force when the minute began allows.
+
+    ``read_versions`` gives the table of :func:`limit_versions`'s input. It is called for every batch, so a version that is
+    added while the stream runs holds for all minutes from its ``ts`` on that are settled later; a minute is settled when the
+    watermark passes its end. Each batch first writes its finished minutes below ``path``, one folder per batch, and settles them
+    from there, so a batch that is repeated after a failure replaces what it wrote.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, read_versions: Callable[[], DataFrame], late: str = "10 minutes"):
+        self.spark, self.path, self.read_versions, self.late = spark, path, read_versions, late
+
+    def step(self, minutes: DataFrame, number: int) -> None:
+        stored, found = f"{self.path}/minutes/batch={number}", f"{self.path}/rows/batch={number}"
+        minutes.write.mode("overwrite").parquet(stored)
+        counted = self.spark.read.schema(minutes.schema).parquet(stored)
+        counted = counted.withColumn("row_id", F.xxhash64("ts", "api_class", "user_id"))
+        limited = in_force(counted, limit_versions(self.read_versions()), "api_class", "allowed")
+        over = limited.filter((F.col("allowed") >= 0) & (F.col("calls") > F.col("allowed")))
+        over.select(F.col("ts").alias("window_start"), F.col("api_class").alias("policy"), "user_id", "calls", "allowed").write.mode(
+            "overwrite"
+        ).parquet(found)
+
+    def counted(self, calls: DataFrame) -> DataFrame:
+        """Calls ``(ts, api_class, user_id)`` a minute; counts combine before the shuffle."""
+        placed = calls.select("ts", F.lower("api_class").alias("api_class"), "user_id").withWatermark("ts", self.late)
+        per_minute = placed.groupBy(F.window("ts", "1 minute"), "api_class", "user_id").agg(F.count(F.lit(1)).alias("calls"))
+        return per_minute.select(F.col("window.start").alias("ts"), "api_class", "user_id", "calls")
+
+    def run_available(self, calls: DataFrame, partitions: int | None = None, finish: Callable[[], None] | None = None) -> None:
+        """Process what is there and stop; with ``finish`` (see :func:`with_end`) the input is complete."""
+        writer = self.counted(calls).writeStream.foreachBatch(self.step).option("checkpointLocation", f"{self.path}/checkpoint")
+        with _partitions(self.spark, partitions):
+            started = writer.trigger(availableNow=True).start()
+        started.awaitTermination()
+        if finish is not None:
+            finish()
+            self.run_available(calls, partitions)
+
+    def rows(self) -> DataFrame:
+        schema = "window_start timestamp, policy string, user_id bigint, calls bigint, allowed bigint, batch long"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows").drop("batch")
+
+
 def against_baseline(metrics: DataFrame, stored: DataFrame, every: str, late: str = "10 minutes") -> DataFrame:
     """Deviation of each window's mean from the stored baseline, in spreads."""
     means = metrics.withWatermark("ts", late).groupBy(F.window("ts", every), "metric").agg(
