@@ -167,7 +167,7 @@ ALERT_BODIES = [
 
 @query(
     "quick_alert_configured",
-    """SELECT (epoch(ts)::BIGINT // s) * s AS window_start, s AS window_seconds, metric, round(avg(value), 6) AS mean, count(*) AS samples
+    """SELECT (epoch_us(ts) // 1000000 // s) * s AS window_start, s AS window_seconds, metric, round(avg(value), 6) AS mean, count(*) AS samples
        FROM (SELECT ts, event_type AS metric, value FROM events)
        JOIN (VALUES ('click', 12.0, 300), ('view', 10.0, 3600), ('purchase', 9.0, 5400), ('signup', 9.0, 172800)) t(metric, threshold, s) USING (metric)
        GROUP BY 1, 2, 3, threshold HAVING avg(value) > threshold""",
@@ -230,7 +230,7 @@ def versioned_rate_limit(spark, sf_dir):
     return job.rows().withColumn("window_start", F.unix_seconds("window_start"))
 
 
-_ARRIVED = "epoch(ts)::BIGINT + CASE event_id % 10 WHEN 0 THEN 172800 WHEN 1 THEN 900 ELSE 0 END"
+_ARRIVED = "epoch_us(ts) // 1000000 + CASE event_id % 10 WHEN 0 THEN 172800 WHEN 1 THEN 900 ELSE 0 END"
 
 
 @query(
