@@ -131,6 +131,36 @@ def test_quality_sees_other_scripts(spark, alphabet):
     assert not any(found[1000 + i] for i in range(3))
 
 
+def test_quality_counts_letters_that_share_a_class(spark):
+    """Two texts of the same classes: the one of the rarer letters is less likely."""
+    rng = random.Random(3)
+    alphabet = list(map(chr, range(0x4E00, 0x4E00 + 200)))
+    weights = [1 / (i + 1) for i in range(200)]
+    texts = [" ".join("".join(rng.choices(alphabet, weights, k=4)) for _ in range(80)) for _ in range(60)]
+    rows = [(i, t, "zh") for i, t in enumerate(texts)]
+    counted = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    points, classes, shares = quality_kn.letters_of(counted)["zh"]
+    mass = collections.defaultdict(float)
+    for k, share in zip(classes.tolist(), shares.tolist(), strict=True):
+        mass[k] += 10**share
+    assert all(math.isclose(x, 1, rel_tol=1e-5) for x in mass.values()) and len(mass) == quality_kn.LETTERS
+    rarest = {}
+    for point, k, share in sorted(zip(points.tolist(), classes.tolist(), shares.tolist(), strict=True), key=lambda x: -x[2]):
+        rarest[k] = chr(point)
+    swap = {chr(p): rarest[k] for p, k in zip(points.tolist(), classes.tolist(), strict=True)}
+    pair = [texts[0], "".join(swap.get(x, x) for x in texts[0])]
+    table = quality_kn.class_table((points, classes, shares))
+    assert (quality_kn.symbol_codes(pair[:1], table)[0] == quality_kn.symbol_codes(pair[1:], table)[0]).all()
+    found = {r["doc_id"]: r["log_perplexity"] for r in quality_kn.judge(spark.createDataFrame([*rows, (999, pair[1], "zh")], counted.schema)).collect()}
+    assert found[999] > found[0] + 0.2
+
+
+def test_quality_classes_beyond_the_basic_plane():
+    table = quality_kn.symbol_classes()
+    kinds = {"𐀀": "丁", "𝟎": "0", "😀": "©", "𑁆": "\u0301", "\U000e0100": "\u0301", "𐄀": "("}
+    assert {a: int(table[ord(a)]) for a in kinds} == {a: int(table[ord(b)]) for a, b in kinds.items()}
+
+
 def decontaminated(texts, items, window=10):
     def split(text):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
