@@ -217,3 +217,23 @@ def test_balls_hold_all_tokens():
         centres, radii = similarity.balls(some)
         for probe in tokens:
             assert (some @ probe).max() <= (centres @ probe + radii).max() + 1e-9
+
+
+def test_python_sees_few_rows_of_a_batch(spark):
+    """A model is given slices of a batch, by bytes and by rows; results stay at their rows."""
+    import pyarrow as pa
+
+    from tollgate.functions.runs import RUN_BYTES, RUN_ROWS, runs
+
+    class Counting(TrigramEmbedder):
+        def embed(self, texts):
+            assert len(texts) <= RUN_ROWS and (len(texts) == 1 or sum(map(len, texts)) <= RUN_BYTES), len(texts)
+            return super().embed(texts)
+
+    df = spark.range(4000, numPartitions=1).withColumn("t", F.when(F.col("id") % 7 > 0, F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 200)))
+    rows = df.withColumn("v", embed_text(F.col("t"), Counting)).orderBy("id").collect()
+    for row in rows[::97]:
+        want = similarity.unit_rows(TrigramEmbedder().embed([row["t"] or ""]))[0]
+        assert np.allclose(row["v"], want)
+    lists = pa.array([["a" * 10] * 3, None, [], ["b" * 50], ["c"] * 90])
+    assert pa.concat_arrays(list(runs(lists, 60))).equals(lists) and len(list(runs(lists, 60))) > 1

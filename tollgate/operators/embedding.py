@@ -7,21 +7,25 @@ deterministic and needs no weights; its scores are not those of a language model
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from tollgate.functions.runs import in_runs, list_rows, runs
 from tollgate.functions.text import words
 from tollgate.functions.vectors import best_of
 from tollgate.operators.similarity import unit_rows
 from tollgate.sources.policies import DEFAULT_EXAMPLES
 
 UNKNOWN_CLASS = "Class 5: Unknown"
+#: Texts of which a vocabulary is made, and its words that are embedded at once.
+VOCABULARY_BYTES = 8 << 20
+WORDS_AT_ONCE = 8192
 
 
 class Embedder(Protocol):
@@ -41,34 +45,32 @@ class TrigramEmbedder:
         for row, text in enumerate(texts):
             if not text:
                 continue
-            codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-            grams = (codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % self.dim
+            # at most 993 times the largest code point, which fits 32 bits
+            codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            grams = (codes[:-2] * np.uint32(961) + codes[1:-1] * np.uint32(31) + codes[2:]) % np.uint32(self.dim)
             out[row] = np.bincount(grams, minlength=self.dim)
         return out
 
 
 def embed_text(col: Column, make: Callable[[], Embedder] = TrigramEmbedder) -> Column:
-    """Unit vector of the lower-cased text. ``make`` runs once per Python worker."""
+    """Unit vector of the lower-cased text. ``make`` runs once per task."""
 
-    @pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each() -> Callable[[pa.Array], pa.Array]:
         model = make()
-        for texts in batches:
-            yield pd.Series(list(unit_rows(model.embed(texts.fillna("").tolist()))))
+        return lambda texts: list_rows(unit_rows(model.embed([t or "" for t in texts.to_pylist()])))
 
-    return run(F.lower(col))
+    return in_runs(each, "array<double>")(F.lower(col))
 
 
 def embed_tokens(col: Column, make: Callable[[], Embedder] = TrigramEmbedder) -> Column:
     """One unit vector per word of the whole text."""
 
-    @pandas_udf("array<array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each() -> Callable[[pa.Array], list]:
         model = make()
-        for lists in batches:
-            yield pd.Series([unit_rows(model.embed(list(w))).tolist() if w is not None else None for w in lists])
+        return lambda lists: [None if w is None else list(unit_rows(model.embed(w))) for w in lists.to_pylist()]
 
-    return run(words(F.lower(col)))
+    # a word of some bytes becomes a vector
+    return in_runs(each, "array<array<double>>", 1 << 16)(words(F.lower(col)))
 
 
 def example_scores(
@@ -76,33 +78,36 @@ def example_scores(
 ) -> Column:
     """MaxSim (mean) of the text against each example, in class and example order.
 
-    Each Arrow batch scores its distinct words once. Null for blank text.
+    The distinct words of about ``VOCABULARY_BYTES`` of text are scored once. Null for blank text.
     """
     phrases = [phrase.lower().split() for texts in examples.values() for phrase in texts]
 
-    @pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each() -> Callable[[pa.Array], pa.Array]:
         model = make()
         tokens = unit_rows(model.embed([w for p in phrases for w in p]))
         starts = np.cumsum([0] + [len(p) for p in phrases[:-1]])
-        for lists in batches:
-            sizes = np.array([0 if w is None else len(w) for w in lists])
-            flat = np.concatenate([w for w in lists if w is not None and len(w)]) if sizes.sum() else np.array([], object)
-            if not len(flat):
-                yield pd.Series([None] * len(lists), dtype=object)
-                continue
-            codes, vocabulary = pd.factorize(flat)
-            similar = unit_rows(model.embed(list(vocabulary))) @ tokens.T
-            best = np.maximum.reduceat(similar, starts, axis=1)
-            filled = np.flatnonzero(sizes)
-            ends = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
-            means = np.add.reduceat(best[codes], ends, axis=0) / sizes[filled][:, None]
-            out: list = [None] * len(lists)
-            for at, row in zip(filled, means):
-                out[at] = row.tolist()
-            yield pd.Series(out, dtype=object)
-
-    return run(words(F.lower(text)))
+
+        def score(lists: pa.Array) -> pa.Array:
+            given = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)) > 0
+            coded = lists.flatten().dictionary_encode()
+            best = np.zeros((len(coded.dictionary), len(phrases)))
+            for at in range(0, len(best), WORDS_AT_ONCE):
+                similar = unit_rows(model.embed(coded.dictionary.slice(at, WORDS_AT_ONCE).to_pylist())) @ tokens.T
+                best[at : at + WORDS_AT_ONCE] = np.maximum.reduceat(similar, starts, axis=1)
+            means, first = [np.zeros((0, len(phrases)))], 0
+            for part in runs(lists):
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(part), 0), np.int64)
+                filled = sizes[sizes > 0]
+                if len(filled):
+                    codes = np.asarray(coded.indices.slice(first, int(filled.sum())))
+                    ends = np.concatenate([[0], np.cumsum(filled)[:-1]])
+                    means.append(np.add.reduceat(best[codes], ends, axis=0) / filled[:, None])
+                first += int(filled.sum())
+            return list_rows(np.concatenate(means), given)
+
+        return score
+
+    return in_runs(each, "array<double>", VOCABULARY_BYTES, 1 << 16, once=False)(words(F.lower(text)))
 
 
 def classify_texts(
