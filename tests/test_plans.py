@@ -59,3 +59,15 @@ def test_only_measured_tables_are_broadcast(spark):
         assert "Broadcast" not in plan(left.join(small_side(wide, max_bytes=50_000), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_python_runs_once_and_behind_the_repartition(spark, sf_dir):
+    """No copy of a Python function in a filter below the exchange, where one task would run it."""
+    import __spark_entry__ as entry
+
+    found = entry.queries()
+    for name, most in {"code_functions": 1, "code_class_stats": 1, "split_overlap": 1, "md_chunks": 2}.items():
+        plan = found[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        lines = [x for x in plan.split("\n") if "ArrowEvalPython" in x or "Exchange RoundRobin" in x]
+        assert sum("ArrowEvalPython" in x for x in lines) <= most, (name, lines)
+        assert "Exchange RoundRobin" in lines[-1], (name, lines)
