@@ -237,3 +237,27 @@ def test_python_sees_few_rows_of_a_batch(spark):
         assert np.allclose(row["v"], want)
     lists = pa.array([["a" * 10] * 3, None, [], ["b" * 50], ["c"] * 90])
     assert pa.concat_arrays(list(runs(lists, 60))).equals(lists) and len(list(runs(lists, 60))) > 1
+
+
+def test_single_precision_loses_no_document(monkeypatch, spark):
+    """Blocks after the first take no whole score table, and near ties beyond single precision keep their order."""
+    rng = np.random.default_rng(5)
+    base = similarity.unit_rows(rng.normal(size=(40, 64)))
+    docs = similarity.unit_rows(np.repeat(base, 60, axis=0) + rng.normal(size=(2400, 64)) * 1e-7)
+    probe = similarity.unit_rows(rng.normal(size=(30, 64)))
+    best, rough, full = similarity.Best(30, 5), probe.astype(np.float32), []
+    real = similarity._full_block
+    monkeypatch.setattr(similarity, "_full_block", lambda *a: full.append(1) or real(*a))
+    order = rng.permutation(2400)
+    for at in range(0, 2400, 300):
+        part = order[at : at + 300]
+        if np.isfinite(best.least).all():
+            row, col, score = similarity._better(probe, rough, docs[part], best.least, 5)
+        else:
+            row, col, score = similarity._full_block(probe, docs[part], best.least, 5)
+        best.add(row, score, part[col])
+        best.settle()
+    scores = np.round(probe @ docs.T, 10)
+    want = np.sort(scores, axis=1)[:, :-6:-1]
+    assert np.allclose(best.score.reshape(30, 5), want, atol=2e-10, rtol=0)
+    assert len(full) < 8

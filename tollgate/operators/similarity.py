@@ -138,8 +138,10 @@ class Best:
         """Keep k per query: larger scores first, then smaller ids."""
         if not len(self.query):
             return
-        rank = np.empty(len(self.doc), np.int64)
-        rank[np.argsort(self.doc, kind="stable")] = np.arange(len(self.doc))
+        codes, distinct = pd.factorize(self.doc)  # far fewer documents than entries
+        place = np.empty(len(distinct), np.int64)
+        place[np.argsort(distinct, kind="stable")] = np.arange(len(distinct))
+        rank = place[codes]
         order = np.lexsort((rank, -self.score, self.query))
         query = self.query[order]
         starts = np.searchsorted(query, np.arange(self.queries + 1))
@@ -151,6 +153,33 @@ class Best:
         self.least[full] = self.score[starts[full] + self.k - 1]
 
 
+def _full_block(probe: np.ndarray, matrix: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, document, score) of the pairs that may count: at most k documents a query, and those that tie with the last."""
+    # rounded, so equal vectors tie exactly and the id decides
+    scores = np.round(probe @ matrix.T, 10)
+    edge = least
+    if k < len(matrix):
+        edge = np.maximum(edge, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+    row, col = np.nonzero(scores >= edge[:, None])
+    return row, col, scores[row, col]
+
+
+def _better(probe: np.ndarray, rough: np.ndarray, matrix: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_full_block` for queries that have k documents: single precision finds the few pairs that may reach ``least``.
+
+    ``rough`` is the probe in single precision. Its product is off by no more than ``slack``, so no pair is lost; the chosen ones are
+    scored in double.
+    """
+    length = float(np.sqrt((matrix * matrix).sum(axis=1).max(initial=0.0)))
+    slack = (matrix.shape[1] + 4) * 2.0**-22 * max(length, 1.0)
+    row, col = np.nonzero(rough @ matrix.T.astype(np.float32) >= (least - slack).astype(np.float32)[:, None])
+    if len(row) > 4 * k * len(probe):  # the scores known so far say little here
+        return _full_block(probe, matrix, least, k)
+    score = np.round(np.einsum("ij,ij->i", probe[row], matrix[col]), 10)
+    good = score >= least[row]
+    return row[good], col[good], score[good]
+
+
 def _values(column: pa.Array) -> np.ndarray:
     """Ids as an array that sorts as the ids do."""
     if pa.types.is_integer(column.type):
@@ -212,12 +241,16 @@ def top_k(
     dim = asked.agg(F.max(F.size("vector"))).first()[0] or 1
     held = documents.select(F.col(doc_id).alias("id"), F.col(doc_vector).cast("array<double>").alias("vector")).filter(F.size("vector") > 0)
     context = documents.sparkSession.sparkContext
+    per_query = 8 * dim + 32 * k + 16
+    if asked.count() * per_query > broadcast_bytes:
+        held = cut_lineage(held)  # read once per wave: vectors may be the work of a model
 
     def search(wave: pa.Table) -> DataFrame:
         shared = context.broadcast((wave.column("query_id").combine_chunks(), _unit_matrix(wave.column("vector"))))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, probe = shared.value
+            rough = probe.astype(np.float32)
             best = Best(len(probe), k)
             kind = None
             for batch in batches:
@@ -227,14 +260,14 @@ def top_k(
                     keys = _values(part.column(0))
                     matrix = np.asarray(part.column(1).flatten(), np.float64).reshape(len(keys), -1)
                     for low in range(0, len(probe), QUERY_BLOCK):
-                        # rounded, so equal vectors tie exactly and the id decides
-                        scores = np.round(probe[low : low + QUERY_BLOCK] @ matrix.T, 10)
-                        if k < len(keys):  # no more than k of these documents can count, and their ties
-                            edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                            row, col = np.nonzero(scores >= np.maximum(edge, best.least[low : low + QUERY_BLOCK])[:, None])
+                        own = slice(low, low + QUERY_BLOCK)
+                        if np.isfinite(best.least[own]).all():
+                            row, col, score = _better(probe[own], rough[own], matrix, best.least[own], k)
                         else:
-                            row, col = np.nonzero(scores >= best.least[low : low + QUERY_BLOCK][:, None])
-                        best.add(row + low, scores[row, col], keys[col])
+                            row, col, score = _full_block(probe[own], matrix, best.least[own], k)
+                        best.add(row + low, score, keys[col])
+                    if not np.isfinite(best.least).all():
+                        best.settle()  # the first k documents of a query are what the next ones have to reach
             best.settle()
             if len(best.query):
                 data = [names.take(pa.array(best.query)), pa.array(best.doc.tolist(), kind), pa.array(best.score)]
@@ -242,7 +275,7 @@ def top_k(
 
         return held.mapInArrow(task, schema)
 
-    parts = [search(wave) for wave in _waves(asked, 8 * dim + 32 * k + 16, broadcast_bytes)]
+    parts = [search(wave) for wave in _waves(asked, per_query, broadcast_bytes)]
     return _ranked(parts, k, query_id, doc_id, documents.sparkSession.createDataFrame([], schema))
 
 
