@@ -342,3 +342,77 @@ def test_a_request_without_a_time_cannot_wait_for_files(spark):
     sink = jobs.run_available(checked, "timeless")
     got = {r["request_id"]: (r["overall_status"], r["checks_skipped"]) for r in spark.read.schema(checked.schema).parquet(sink).collect()}
     assert got == {1: ("PASS", ["item_processing_rules"]), 2: ("PASS", [])}
+
+
+def test_a_finished_table_in_time_order_keeps_little_state(spark):
+    schema = "n long, ts timestamp, user_id long"
+    rows = [(n, at((n * 7919) % 40000) if n % 50 else None, n % 3) for n in range(400)]
+    table = spark.createDataFrame(rows, schema).repartition(5)
+    folder = jobs.write_in_time_order(table, rows_each=100)
+    stream = jobs.read_files(spark, folder, schema, files_per_trigger=1)
+    counted = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 minute"), "user_id").count()
+    base = scratch_path(spark, "ordered")
+    query = counted.writeStream.format("parquet").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start(f"{base}/r")
+    query.awaitTermination()
+    operators = [op for p in query.recentProgress for op in p["stateOperators"]]
+    assert sum(op["numRowsDroppedByWatermark"] for op in operators) == 0
+    # two spans at most, not the 392 windows of the table
+    assert 0 < max(op["numRowsTotal"] for op in operators) <= 230
+    got = sorted((r["window"]["start"], r["user_id"], r["count"]) for r in spark.read.parquet(f"{base}/r").collect())
+    want = table.filter("ts IS NOT NULL").groupBy(F.window("ts", "1 minute"), "user_id").count().collect()
+    assert got == sorted((r["window"]["start"], r["user_id"], r["count"]) for r in want)
+
+
+def test_a_table_of_one_time_is_one_span(spark):
+    schema = "n long, ts timestamp"
+    for times in ([at(0)] * 30, [None] * 30, []):
+        table = spark.createDataFrame([(n, t) for n, t in enumerate(times)], schema)
+        written = spark.read.parquet(jobs.write_in_time_order(table, rows_each=10))
+        assert written.filter(F.coalesce(F.col("ts") < F.lit(jobs.FAR), F.lit(True))).count() == len(times)
+        assert written.filter(F.col("ts") == F.lit(jobs.FAR)).count() == 1
+
+
+def test_stream_items_in_many_spans_equal_the_sql(spark, sf_dir, monkeypatch):
+    import functools
+
+    import check_sql
+    from tollgate.plans import catalog
+
+    catalog.load()
+    monkeypatch.setattr(jobs, "write_in_time_order", functools.partial(jobs.write_in_time_order, rows_each=300))
+    good, text = check_sql.compare(spark, sf_dir, "stream_items")
+    assert good, text
+
+
+@pytest.mark.parametrize("others", [0, 80])
+def test_descriptions_of_files_are_read_where_they_arrive(spark, others):
+    """Messages are those of the batch; the texts stay out of the state unless the words are too many to look for."""
+    from pathlib import Path
+
+    from tollgate.operators import items, requests
+
+    rng = random.Random(4)
+    noise = ["".join(rng.choices("bcdfghjklmnpqrstvwxyz0123456789", k=20000)) for _ in range(60)]
+    words = ["Zebra", "ÜBER", "oak"]
+    rule = {"item_type": "image", "vlm_processing": {"required": True}, "derived_text_checks": {"blocked_keywords": words + [f"none{n}" for n in range(others)]}}
+    policies = {"Media": {"item_processing_rules": [rule]}, "Other": {"item_processing_rules": [{**rule, "derived_text_checks": {"blocked_keywords": ["oak"]}}]}}
+    ends = ["an OAK", "über a zebra", "", "plain"]
+    asked = [(n, at(n), ("media", "other")[n % 2], "u", "", "", f"[{image('a')}]") for n in range(60)]
+    given = [(n, "a", at(n + 1), None if n % 15 == 7 else "" if n % 15 == 8 else noise[n] + " " + ends[n // 2 % 4]) for n in range(60) if n % 15 != 9]
+    requests_path, files_path = write_batches(spark, [asked], ITEM_REQUESTS), write_batches(spark, [given], ITEM_FILES)
+    checked = validate_arriving(
+        jobs.read_files(spark, requests_path, ITEM_REQUESTS), policies, jobs.read_files(spark, files_path, ITEM_FILES)
+    )
+    sink = jobs.run_available(checked, "described")
+    state = sum(p.stat().st_size for p in (Path(sink.removeprefix("file:")).parent / "checkpoint" / "state").rglob("*") if p.is_file())
+    assert (state > 600_000) if others else (state < 300_000)
+
+    incoming, no_more_requests = jobs.with_end(jobs.read_files(spark, requests_path, ITEM_REQUESTS), "ts")
+    files, no_more_files = jobs.with_end(jobs.read_files(spark, files_path, ITEM_FILES), "ts")
+    ended = validate_arriving(incoming, policies, files)
+    sink = jobs.run_available(ended, "described-ended", finish=lambda: (no_more_requests(), no_more_files()))
+    got = {r["request_id"]: r["violation_reasons"] for r in spark.read.schema(ended.schema).parquet(sink).collect()}
+    batch = spark.createDataFrame(asked, ITEM_REQUESTS)
+    told = items.item_messages(items.attach_files(items.explode_json_items(batch), spark.createDataFrame(given, ITEM_FILES)), policies)
+    want = {r["request_id"]: r["violation_reasons"] for r in requests.validate(batch, policies, items.regroup(told)).collect()}
+    assert got == want and {m.split(": ")[-1] for own in want.values() for m in own if "blocked" in m} == {"oak.", "Zebra, ÜBER."}

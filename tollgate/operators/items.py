@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.functions.text import messages_if, no_text, words_found
-from tollgate.operators.policies import Policies, with_policy
+from tollgate.functions.text import NATIVE_WORDS, messages_if, no_text, words_found
+from tollgate.operators.policies import Policies, policy_table, with_policy
 from tollgate.operators.rules import joined
 
 # Message texts and the item types an image model takes.
@@ -127,28 +127,54 @@ def blocked_words(text: Column, words: Column | list[str]) -> Column:
     return F.filter(words, lambda w: F.contains(low, F.lower(w)))
 
 
-def _rule_messages(rule: Column, has_class: bool) -> Column:
+def listed_words(policies: Policies) -> list[str] | None:
+    """All words that the item rules of policies given as a dict block, for :func:`read_descriptions`.
+
+    None if they are too many to look for in every text, or for a table of policies, which may hold any number.
+    """
+    if isinstance(policies, DataFrame):
+        return None
+    spark = SparkSession.active()
+    rules = policy_table(spark, policies).select(F.explode("item_rules").alias("rule"))
+    words = sorted(r["word"] for r in rules.select(F.explode("rule.words").alias("word")).distinct().limit(NATIVE_WORDS + 1).collect())
+    return words if len(words) <= NATIVE_WORDS else None
+
+
+def read_descriptions(files: DataFrame, words: list[str]) -> DataFrame:
+    """Files with what :func:`item_messages` asks of a description in its place: ``described`` and ``found_words``."""
+    text = F.coalesce(F.col("description"), F.lit(""))
+    listed = F.array(*[F.lit(w) for w in words]) if words else no_text()
+    read = {"described": text != "", "found_words": F.when(text != "", blocked_words(text, listed))}
+    return files.withColumns(read).drop("description")
+
+
+def _rule_messages(rule: Column, has_class: bool, is_read: bool) -> Column:
     item, name, kind = F.col("item_id"), F.col("file_name"), F.col("item_type")
     no_name = F.coalesce(name, F.lit("")) == ""
     found = F.coalesce(F.col("has_file"), F.lit(False)) & ~no_name
-    text = F.when(found & kind.isin(IMAGE_TYPES), F.coalesce(F.col("description"), F.lit(""))).otherwise(F.lit(""))
-    hits = blocked_words(text, rule["words"])
+    given = F.col("described") if is_read else F.col("description") != ""
+    has_text = found & kind.isin(IMAGE_TYPES) & F.coalesce(given, F.lit(False))
+    if is_read:
+        hits = F.filter(rule["words"], lambda w: F.array_contains(F.col("found_words"), w))
+    else:
+        hits = blocked_words(F.col("description"), rule["words"])
     arrays = [
         messages_if(no_name, F.format_string(NO_FILE_NAME, item)),
         messages_if(~no_name & ~found, F.format_string(NO_FILE, name, item)),
         messages_if(found & ~kind.isin(IMAGE_TYPES), F.format_string(NOT_SUPPORTED, kind)),
     ]
     if has_class:
-        denied = rule["class_check"] & (text != "") & F.array_contains(rule["denied"], F.col("description_class"))
+        denied = rule["class_check"] & has_text & F.array_contains(rule["denied"], F.col("description_class"))
         arrays.append(messages_if(denied, F.format_string(DERIVED_CLASS, item, F.col("description_class"))))
     arrays.append(
-        messages_if((text != "") & (F.size(hits) > 0), F.format_string(DERIVED_WORDS, item, F.array_join(hits, ", ")))
+        messages_if(has_text & (F.size(hits) > 0), F.format_string(DERIVED_WORDS, item, F.array_join(hits, ", ")))
     )
     return F.when(rule["required"], joined(arrays)).otherwise(no_text())
 
 
 def item_messages(items: DataFrame, policies: Policies, strict_reported: bool = True) -> DataFrame:
-    """Adds ``violations`` per item. Reads ``has_file``, ``description`` and, if there, ``description_class``.
+    """Adds ``violations`` per item. Reads ``has_file``, ``description`` (or what :func:`read_descriptions` made of it)
+    and, if there, ``description_class``.
 
     An item meets the rules of its policy in a join and looks up the one of its type.
     ``strict_reported=False`` reproduces services that note a missing rule but never report it.
@@ -163,11 +189,12 @@ def item_messages(items: DataFrame, policies: Policies, strict_reported: bool =
         chosen = F.when(F.col("shape_error").isNotNull() & reported, F.array("shape_error")).when(
             F.col("shape_error").isNotNull(), no_text()
         )
-    chosen = chosen.when(F.col("_rule").isNotNull(), _rule_messages(F.col("_rule"), has_class))
+    is_read = "found_words" in items.columns
+    chosen = chosen.when(F.col("_rule").isNotNull(), _rule_messages(F.col("_rule"), has_class, is_read))
     if strict_reported:
         missing = F.array(F.format_string(NO_RULE, F.col("item_type")))
         chosen = chosen.when(with_rules & F.col("_policy.strict"), missing)
-    if "description" not in items.columns:
+    if not is_read and "description" not in items.columns:
         rows = rows.withColumn("description", F.lit(None).cast("string"))
     return rows.withColumn("violations", chosen.otherwise(no_text())).select(*items.columns, "violations")
 

@@ -146,7 +146,7 @@ def compiled_rules(policy: Column, errors: Column) -> Column:
 def rule_messages(rules: Column, df: DataFrame) -> Column:
     """The messages of an array of :data:`RULE` on a row of ``df``, in rule order.
 
-    Rules are data: a row's fields are one array, and each rule looks its own up by name.
+    Rules are data: each looks its field up by name, once, and only that field is turned into text.
     The work of a row is that of its policy's rules, however many policies there are.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -158,17 +158,16 @@ def rule_messages(rules: Column, df: DataFrame) -> Column:
         text = F.lit(None).cast("string") if isinstance(dtype, (T.StructType, T.VariantType)) else as_text(col, dtype)
         return F.struct(text.alias("text"), is_falsy(col, dtype).alias("missing"), limited.alias("limited")).cast(shape)
 
-    values = F.array(*[value(F.col(f"`{n}`"), types[n]) for n in given])
-    known = F.array(*[F.lit(n) for n in given])
     extra = types.get("extra")
 
-    def message(rule: Column) -> Column:
-        at = F.array_position(known, rule["field"])
-        here = F.get(values, (at - 1).cast("int"))
-        if isinstance(extra, T.MapType):
-            here = F.when(at > 0, here).otherwise(value(F.col("extra")[rule["field"]], extra.valueType))
-        else:
-            here = F.when(at > 0, here)
+    def field(name: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(None).cast(shape))
+        for n in given:
+            found = found.when(name == n, value(F.col(f"`{n}`"), types[n]))
+        return found.otherwise(value(F.col("extra")[name], extra.valueType)) if isinstance(extra, T.MapType) else found
+
+    def message(looked_up: Column) -> Column:
+        rule, here = looked_up["rule"], looked_up["here"]
         too_long = here["limited"] & (F.length(here["text"]) > rule["max_length"])
         return (
             F.when(rule["kind"] == "error", rule["message"])
@@ -178,7 +177,9 @@ def rule_messages(rules: Column, df: DataFrame) -> Column:
             .when((rule["kind"] == "bad_format") & here["text"].isNotNull(), rule["message"])
         )
 
-    return F.array_compact(F.transform(rules, message))
+    # a step of its own: an expression that stands in several places of a lambda is worked out in each
+    looked_up = F.transform(rules, lambda r: F.struct(r.alias("rule"), field(r["field"]).alias("here")))
+    return F.array_compact(F.transform(looked_up, message))
 
 
 def bad_patterns(policies: Iterable[Mapping]) -> Column:

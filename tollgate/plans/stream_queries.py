@@ -77,32 +77,28 @@ _EVENT_FILES = """SELECT * FROM (SELECT r.request_id, 'f' || v.item_no || '.png'
 )
 def stream_items(spark, sf_dir):
     """Requests and their files as two streams: items are read, matched with rules and files, and settled within them."""
+    events = views.events(spark, sf_dir)
+    folder = jobs.write_in_time_order(events)
 
     def arriving():
-        events, finish = ended_stream(spark, sf_dir)
+        rows = jobs.read_files(spark, folder, events.schema, files_per_trigger=1)
+        # the checks of a row cost far more than its bytes, of which a scan makes few tasks; long texts are made behind the shuffle
+        rows = rows.repartition(jobs.row_partitions(spark), "event_id")
         answer = F.when(F.col("event_id") % 6 == 0, "").otherwise(F.expr("repeat(event_type || ' the ', int(event_id % 80))"))
-        pairs = events.select(
+        pairs = rows.select(
             "ts", F.col("event_id").alias("conv_id"), F.lit(1).alias("turn"), F.concat_ws(" ", "event_type", "props").alias("input_text"), answer.alias("output_text")
         )
-        return views.as_requests(pairs, "ts"), finish
+        return views.as_requests(pairs, "ts")
 
-    base, no_more_requests = arriving()
-    answered, no_more_files = arriving()
-    given = views.files(spark, sf_dir, answered, carry=("ts",))
+    given = views.files(spark, sf_dir, arriving(), carry=("ts",))
     number = F.col("request_id") + F.substring("file_name", 2, 1).cast("int")
     seconds = F.when(number % 9 == 7, -1).when(number % 9 == 8, 1200).otherwise(60 * (number % 9))
     attached = given.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + 1_000_000 * seconds))
-
-    def finish():
-        no_more_requests()
-        no_more_files()
-
-    checked = validate_arriving(views.requests_with_items(spark, sf_dir, base), views.POLICIES, attached)
+    checked = validate_arriving(views.requests_with_items(spark, sf_dir, arriving()), views.POLICIES, attached)
     return _run(
         checked.select("request_id", "overall_status", F.array_join("violation_reasons", "|").alias("violations")),
         "stream-items",
         sf_dir,
-        finish=finish,
     )
 
 

@@ -35,7 +35,8 @@ def validate_arriving(
 
     A request whose policy has no item rules, or that lists no items, passes at once and takes no state. Texts
     are checked where they arrive: items carry the messages, not the texts, so state holds a few short rows
-    per request until the watermark has passed its time and ``wait``. A request without a time cannot wait; its item check is
+    per request until the watermark has passed its time and ``wait``. So are descriptions, unless the policies
+    block too many words to look for all of them in every text, or come as a table. A request without a time cannot wait; its item check is
     named in ``checks_skipped``.
     """
     listed, has_items = _has_items(requests)
@@ -58,7 +59,10 @@ def validate_arriving(
 
     seconds = math.ceil(pd.Timedelta(wait).total_seconds())
     delay = math.ceil(seconds + pd.Timedelta(late).total_seconds())
-    described = [c for c in ("description", "description_class") if c in files.columns]
+    words = item_ops.listed_words(policies) if "description" in files.columns else None
+    if words is not None:
+        files = item_ops.read_descriptions(files, words)
+    described = [c for c in ("description", "description_class", "described", "found_words") if c in files.columns]
     # two files that one request could take lie at most ``wait`` apart, which the state of this step covers
     arrived = (
         files.select(F.col("request_id").alias("_request"), F.col("file_name").alias("_name"), F.col("ts").alias("_file_ts"), *described)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import datetime
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegerType, IntegralType, StringType, StructField, StructType
 
 from tollgate.functions.text import duration_seconds
 from tollgate.operators.config import in_force
@@ -47,6 +48,11 @@ def state_partitions(spark: SparkSession, path: str, bytes_each: int = 128 << 20
     return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def row_partitions(spark: SparkSession, per_core: int = 3) -> int:
+    """Partitions for a stream whose work lies in its rows, however few files and bytes they come in."""
+    return per_core * spark.sparkContext.defaultParallelism
+
+
 FAR = datetime.datetime(9000, 1, 1)
 
 
@@ -77,12 +83,44 @@ def with_end(stream: DataFrame, *times: str) -> tuple[DataFrame, Callable[[], No
     spark.createDataFrame([], schema).write.parquet(folder)
 
     def finish() -> None:
-        row = tuple(FAR if f.name in times else _empty(f.dataType) for f in schema)
-        spark.createDataFrame([row], schema).write.mode("append").parquet(folder)
+        _end_row(spark, schema, times).write.mode("append").parquet(folder)
 
     return stream.unionByName(spark.readStream.schema(schema).parquet(folder)), finish
 
 
+def _end_row(spark: SparkSession, schema: StructType, times: tuple[str, ...]) -> DataFrame:
+    row = tuple(FAR if f.name in times else _empty(f.dataType) for f in schema)
+    return spark.createDataFrame([row], schema)
+
+
+def write_in_time_order(rows: DataFrame, ts: str = "ts", rows_each: int = 1_000_000) -> str:
+    """A finished table as files in the order of its times, the end row of :func:`with_end` in the last one.
+
+    A stream reads the folder with ``files_per_trigger=1``. Each file holds the rows of one span of time, about ``rows_each``,
+    and is younger than the one before, so the watermark follows the rows and state holds two spans, not the table. In a table
+    read as a whole all rows are state before the first can leave it. Rows of one time share a file; those without come first.
+    """
+    spark, schema = rows.sparkSession, StructType([StructField(f.name, f.dataType) for f in rows.schema])
+    folder, time_of = scratch_path(spark, "in-time-order"), F.unix_micros(ts)
+    number = math.ceil(rows.count() / rows_each)
+    bounds = []
+    if number > 1:
+        shares = [n / number for n in range(1, number)]
+        bounds = sorted(set(rows.select(time_of.alias("t")).approxQuantile("t", shares, min(0.01, 0.1 / number))))
+    if bounds:
+        span = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: time_of >= b))
+        staged = scratch_path(spark, "time-spans")
+        rows.withColumn("time_span", span).write.partitionBy("time_span").parquet(staged)
+        parted = spark.read.schema(StructType([*schema, StructField("time_span", IntegerType())])).parquet(staged)
+    for n in range(len(bounds) + 1):
+        part = parted.filter(F.col("time_span") == n).drop("time_span") if bounds else rows
+        # small row groups, so that a batch's one file is still read by several tasks
+        part.coalesce(1).write.option("parquet.block.size", 4 << 20).mode("append").parquet(folder)
+        time.sleep(1)  # some file systems keep times in seconds, and the source goes by them
+    _end_row(spark, schema, (ts,)).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 @contextlib.contextmanager
 def _partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
     """Partitions for the state of a query that is started inside; it takes its own copy of the settings then."""
